@@ -3,10 +3,58 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from meshlight.llm.common import table, written
+from meshlight.llm.decontaminate import decontaminate
+from meshlight.llm.minhash import near_duplicates
+from meshlight.llm.mixing import mix
+from meshlight.llm.quality import filter_quality
+from meshlight.llm.secrets import redact
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that importance resampling selects."""
+    return filter_quality(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of each near-duplicate class that has the least doc_id."""
+    kept = near_duplicates(docs).where("keep and doc_id is not null").select(F.col("doc_id").alias("_keep")).distinct()
+    one = docs.join(kept, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
+    return one.union(docs.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a window of a benchmark item."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces every secret in the text by its kind."""
+    return redact(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes words of, with the words taken and their source's target."""
+    return mix(docs).where("taken > 0")
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secrets", secret_scan),
+    ("mixing", mixture),
+]
+#: Gumbel sampling, signatures and automata have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, name)
+    return docs

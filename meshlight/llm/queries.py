@@ -7,15 +7,37 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination
+from .html import main_text
+from .media import read_texts, store_texts
 from .minhash import near_duplicates
 from .mixing import mix
+from .quality import select
+from .secrets import report
 from .substring import repeated_runs
+from .toxicity import toxicity
+from .warc import round_trip
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_texts(store_texts(table(spark, sf_dir, "documents")))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -32,9 +54,22 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_runs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op6_decontaminate, op7_mix, op10_substring)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash, op2_media, op3_warc, op4_toxicity, op5_secrets, op6_decontaminate, op7_mix, op8_quality, op9_html, op10_substring,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
