@@ -1,14 +1,539 @@
-"""The registered queries of the graph engine and their SQL counterparts."""
+"""The registered queries of the graph engine and their SQL counterparts.
+
+Every query runs over whole tables.  Seeds are looked up by rank, never by
+literal, so a query means the same at every scale factor.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-QUERIES: dict = {}
+from .functions import paths as P
+from .functions import text as T
+from .operators import graph as G
+from .operators import names as N
+from .operators.components import connected_components
+from .operators.storage import save, stat_fingerprint
+from .plans import analytics as A
+from .plans import export as X
+from .plans import neural as NN
+from .plans import selection as S
+from .sources.views import cte, load
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.groupBy("o_custkey").agg(F.count("*").alias("n_orders"))
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return load(spark, sf_dir, "trade_nodes"), load(spark, sf_dir, "trade_edges")
+
+
+# ---------------------------------------------------------------- degrees and hubs
+
+_DEG = """, ends AS (SELECT src AS id, 1 AS o, 0 AS i FROM {e} UNION ALL SELECT dst, 0, 1 FROM {e}),
+deg AS (SELECT n.id, n.name, n.kind, n.file, n.cluster, CAST(coalesce(sum(i), 0) AS BIGINT) AS in_degree, CAST(coalesce(sum(o), 0) AS BIGINT) AS out_degree,
+ CAST(coalesce(sum(i + o), 0) AS BIGINT) AS degree FROM trade_nodes n LEFT JOIN ends USING (id) GROUP BY ALL)"""
+_FULL = cte("trade_nodes", "trade_all_edges") + _DEG.format(e="trade_all_edges")
+_SPARSE = cte("trade_nodes", "trade_edges") + _DEG.format(e="trade_edges")
+
+
+@query(_FULL + " SELECT id, in_degree, out_degree, degree FROM deg")
+def degrees(spark, sf_dir):
+    return G.degrees(load(spark, sf_dir, "trade_nodes"), load(spark, sf_dir, "trade_all_edges"))
+
+
+@query(_FULL + """, fit AS (SELECT * FROM deg WHERE length(name) > 3 AND NOT regexp_matches(lower(kind), 'primitive|builtin|macro')),
+cut AS (SELECT greatest(1, floor(0.05 * count(*))) AS k FROM fit), r AS (SELECT degree, row_number() OVER (ORDER BY degree DESC, id) AS rk FROM fit)
+SELECT id, degree, CAST(degree AS DOUBLE) AS score FROM fit WHERE degree > 0 AND degree >= (SELECT degree FROM r, cut WHERE rk = k)""")
+def hub_nodes(spark, sf_dir):
+    nodes, edges = load(spark, sf_dir, "trade_nodes"), load(spark, sf_dir, "trade_all_edges")
+    # degrees of eligible nodes count all their edges
+    return G.compute_hubs(nodes, edges)
+
+
+@query(_FULL + """, r AS (SELECT degree, row_number() OVER (ORDER BY degree DESC, id) AS rk FROM deg), c AS (SELECT count(*) AS n FROM deg)
+SELECT CAST(degree AS BIGINT) AS threshold FROM r, c WHERE rk = least(greatest(floor(0.05 * n), 1), n - 1) + 1""")
+def hub_threshold(spark, sf_dir):
+    value = G.hub_threshold(load(spark, sf_dir, "trade_nodes"), load(spark, sf_dir, "trade_all_edges"))
+    return spark.range(1).select(F.lit(value).cast("long").alias("threshold"))
+
+
+@query(cte("trade_all_edges") + " SELECT count(*) AS n_edges FROM trade_all_edges")
+def total_edges(spark, sf_dir):
+    return G.total_edges(load(spark, sf_dir, "trade_all_edges"))
+
+
+# ---------------------------------------------------------------- neighbours and traces
+
+
+def busiest(nodes: DataFrame, edges: DataFrame, lang: str, side: str) -> DataFrame:
+    """``(id)``: the node of a kind with the most neighbours on a side, then the least id."""
+    end = "dst" if side == "callers" else "src"
+    n = edges.groupBy(F.col(end).alias("id")).agg(F.count("*").alias("n"))
+    return nodes.where(F.col("lang") == lang).join(n, "id").orderBy(F.desc("n"), "id").limit(1).select("id")
+
+
+_SEED = cte("trade_nodes", "trade_edges") + """, seed AS (SELECT n.id FROM trade_nodes n JOIN (SELECT {end} AS id, count(*) AS n FROM trade_edges GROUP BY 1) c USING (id)
+ WHERE n.lang = '{lang}' ORDER BY c.n DESC, n.id LIMIT 1)"""
+_PART, _CUST, _SUPP = (_SEED.format(end=e, lang=g) for e, g in (("dst", "part"), ("src", "customer"), ("dst", "supplier")))
+_TRACE = """, up1 AS (SELECT DISTINCT src AS id FROM trade_edges WHERE dst IN (SELECT id FROM seed)),
+down1 AS (SELECT DISTINCT dst AS id FROM trade_edges WHERE src IN (SELECT id FROM seed) AND dst NOT IN (SELECT id FROM up1)),
+seen AS (SELECT id FROM seed UNION SELECT id FROM up1 UNION SELECT id FROM down1),
+up2 AS (SELECT DISTINCT src AS id FROM trade_edges WHERE dst IN (SELECT id FROM up1) AND src NOT IN (SELECT id FROM seen)),
+down2 AS (SELECT DISTINCT dst AS id FROM trade_edges WHERE src IN (SELECT id FROM down1) AND dst NOT IN (SELECT id FROM seen) AND dst NOT IN (SELECT id FROM up2)),
+rows_ AS (SELECT 'caller' AS side, 1 AS hop, id FROM up1 UNION ALL SELECT 'callee', 1, id FROM down1 UNION ALL SELECT 'caller', 2, id FROM up2 UNION ALL SELECT 'callee', 2, id FROM down2)"""
+
+
+@query(_PART + " SELECT src, dst FROM trade_edges WHERE dst IN (SELECT id FROM seed)")
+def callers_of(spark, sf_dir):
+    nodes, edges = trade(spark, sf_dir)
+    return G.callers(edges, busiest(nodes, edges, "part", "callers"))
+
+
+@query(_CUST + " SELECT src, dst FROM trade_edges WHERE src IN (SELECT id FROM seed)")
+def callees_of(spark, sf_dir):
+    nodes, edges = trade(spark, sf_dir)
+    return G.children(edges, busiest(nodes, edges, "customer", "callees"))
+
+
+def _traced(spark, sf_dir, lang, side):
+    nodes, edges = trade(spark, sf_dir)
+    rows = G.trace_neighborhood(edges, busiest(nodes, edges, lang, side))
+    return rows.join(nodes.select("id", "name", "file"), "id").select("side", "hop", "id", "name", "file")
+
+
+_NAMED = " SELECT side, hop, id, name, file FROM rows_ JOIN trade_nodes USING (id)"
+
+
+@query(_PART + _TRACE + _NAMED)
+def trace_part(spark, sf_dir):
+    return _traced(spark, sf_dir, "part", "callers")
+
+
+@query(_CUST + _TRACE + _NAMED)
+def trace_customer(spark, sf_dir):
+    return _traced(spark, sf_dir, "customer", "callees")
+
+
+@query(_SUPP + _TRACE + _NAMED)
+def trace_supplier(spark, sf_dir):
+    return _traced(spark, sf_dir, "supplier", "callers")
+
+
+FLAGSHIP = trace_part
+
+
+@query(_PART + _TRACE + " SELECT side, CAST(count(*) FILTER (hop = 1) AS BIGINT) AS direct, CAST(count(*) FILTER (hop > 1) AS BIGINT) AS transitive FROM rows_ GROUP BY side")
+def hop_split(spark, sf_dir):
+    nodes, edges = trade(spark, sf_dir)
+    return G.hop_split(G.trace_neighborhood(edges, busiest(nodes, edges, "part", "callers")))
+
+
+_BOTH = ", u AS (SELECT src, dst FROM trade_edges UNION SELECT dst, src FROM trade_edges), h1 AS (SELECT DISTINCT u.dst AS id FROM u JOIN seed ON u.src = seed.id)"
+
+
+@query(_PART + _BOTH + " SELECT id, 0 AS hop FROM seed UNION ALL SELECT id, 1 FROM h1")
+def expand_hops_1(spark, sf_dir):
+    nodes, edges = trade(spark, sf_dir)
+    return G.expand_hops(edges, busiest(nodes, edges, "part", "callers"), 1)
+
+
+@query(_PART + _BOTH + """ SELECT id, 0 AS hop FROM seed UNION ALL SELECT id, 1 FROM h1 UNION ALL
+SELECT DISTINCT u.dst, 2 FROM u JOIN h1 ON u.src = h1.id WHERE u.dst NOT IN (SELECT id FROM h1) AND u.dst NOT IN (SELECT id FROM seed)""")
+def expand_hops_2(spark, sf_dir):
+    nodes, edges = trade(spark, sf_dir)
+    return G.expand_hops(edges, busiest(nodes, edges, "part", "callers"), 2)
+
+
+@query(_PART + """, own AS (SELECT n.id AS seed, n.name, n.file FROM trade_nodes n JOIN seed USING (id)),
+peers AS (SELECT o.seed, n.id FROM trade_nodes n JOIN own o ON n.name = o.name WHERE n.id <> o.seed AND n.file <> o.file AND n.kind LIKE '%method%'),
+r AS (SELECT DISTINCT p.seed, e.src AS id FROM trade_edges e JOIN peers p ON e.dst = p.id)
+SELECT seed, id FROM r WHERE NOT EXISTS (SELECT 1 FROM trade_edges e WHERE e.dst = r.seed AND e.src = r.id)""")
+def peer_callers(spark, sf_dir):
+    nodes, edges = trade(spark, sf_dir)
+    return N.peer_callers(nodes, edges, busiest(nodes, edges, "part", "callers"))
+
+
+@query(_SPARSE + """, seed AS (SELECT id FROM deg WHERE kind = 'method_definition' ORDER BY in_degree DESC, id LIMIT 1),
+s1 AS (SELECT d.id, d.in_degree, d.name FROM trade_edges e JOIN deg d ON e.src = d.id WHERE e.dst IN (SELECT id FROM seed) AND d.in_degree BETWEEN 1 AND {most}
+ ORDER BY d.in_degree DESC, d.name, d.id LIMIT 1),
+s2 AS (SELECT d.id, d.in_degree, d.name FROM trade_edges e JOIN deg d ON e.src = d.id WHERE e.dst IN (SELECT id FROM s1) AND d.in_degree BETWEEN 1 AND {most}
+ ORDER BY d.in_degree DESC, d.name, d.id LIMIT 1)
+SELECT 0 AS step, id FROM seed UNION ALL SELECT 1, id FROM s1 UNION ALL SELECT 2, id FROM s2""".format(most=1_000_000))
+def spine_walk(spark, sf_dir):
+    nodes, edges = trade(spark, sf_dir)
+    return A.spine_walk(nodes, edges, busiest(nodes, edges, "part", "callers"), halt=1_000_000)
+
+
+# ---------------------------------------------------------------- bridges
+
+_RANKED = cte("trade_bridges") + ", b AS (SELECT src, dst, CASE max(CASE kind WHEN 'export' THEN 3 WHEN 'ipc' THEN 2 ELSE 1 END) WHEN 3 THEN 'export' WHEN 2 THEN 'ipc' ELSE 'twin' END AS kind FROM trade_bridges GROUP BY 1, 2)"
+
+
+@query(_RANKED + " SELECT src, dst, kind FROM b")
+def bridge_best_kind(spark, sf_dir):
+    return G.bridge_kind_between(load(spark, sf_dir, "trade_bridges"))
+
+
+@query(cte("trade_bridges") + " SELECT kind, count(*) AS n_bridges FROM trade_bridges GROUP BY kind")
+def interconnect_summary(spark, sf_dir):
+    return G.interconnect_summary(load(spark, sf_dir, "trade_bridges"))
+
+
+@query(cte("trade_nodes", "trade_edges", "trade_bridges") + """, t AS (SELECT src, dst, kind, CASE kind WHEN 'export' THEN 3 WHEN 'ipc' THEN 2 ELSE 1 END AS rk FROM trade_bridges),
+e AS (SELECT src, dst, kind, rk FROM t UNION ALL SELECT src, dst, 'call', 0 FROM trade_edges x WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.src = x.src AND t.dst = x.dst)),
+c AS (SELECT e.*, a.cluster AS from_cluster, b.cluster AS to_cluster FROM e JOIN trade_nodes a ON e.src = a.id JOIN trade_nodes b ON e.dst = b.id WHERE a.cluster <> b.cluster),
+f AS (SELECT dst, count(*) AS fan_in FROM c GROUP BY dst)
+SELECT src, dst, kind, from_cluster, to_cluster, fan_in FROM c JOIN f USING (dst) ORDER BY rk DESC, fan_in DESC, src, dst LIMIT 20""")
+def find_bridges(spark, sf_dir):
+    nodes, edges = trade(spark, sf_dir)
+    return G.find_bridges(nodes, edges, load(spark, sf_dir, "trade_bridges"))
+
+
+@query(cte("trade_nodes") + " SELECT cluster, count(*) AS n_nodes, count(DISTINCT file) AS n_files FROM trade_nodes GROUP BY cluster")
+def cluster_summary(spark, sf_dir):
+    return G.cluster_summary(load(spark, sf_dir, "trade_nodes"))
+
+
+# ---------------------------------------------------------------- names
+
+
+@query(cte("trade_nodes") + """ SELECT name, count(DISTINCT file) AS n_files, count(*) AS n_defs, count(DISTINCT kind) AS n_kinds FROM trade_nodes
+WHERE length(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')) >= 3 GROUP BY name HAVING count(DISTINCT file) >= 3 ORDER BY n_files DESC, n_defs DESC, name LIMIT 50""")
+def name_collisions(spark, sf_dir):
+    return N.name_collisions(load(spark, sf_dir, "trade_nodes"))
+
+
+@query(cte("trade_nodes") + " SELECT name, CAST(place AS INTEGER) AS place, id, file, start_line FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY file, start_line, id) AS place FROM trade_nodes) x WHERE place <= 16")
+def name_locations(spark, sf_dir):
+    return N.name_locations(load(spark, sf_dir, "trade_nodes"))
+
+
+@query(cte("trade_nodes") + " SELECT name, min(id) AS id FROM trade_nodes WHERE kind <> 'struct_item' AND length(name) >= 3 GROUP BY name HAVING count(*) = 1")
+def unique_names(spark, sf_dir):
+    return N.unique_names(load(spark, sf_dir, "trade_nodes"))
+
+
+@query(cte("trade_nodes") + """ SELECT CAST(count(*) FILTER (m IS NULL) AS BIGINT) AS missing, CAST(count(*) FILTER (n IS NULL) AS BIGINT) AS orphan, CAST(count(*) FILTER (n <> m) AS BIGINT) AS mismatch
+FROM (SELECT id, name AS n FROM trade_nodes) a FULL JOIN (SELECT concat('p:', CAST(p_partkey + 1 AS STRING)) AS id, p_name AS m FROM part) b USING (id)""")
+def name_index_audit(spark, sf_dir):
+    index = load(spark, sf_dir, "part").select(F.concat(F.lit("p:"), (F.col("p_partkey") + 1).cast("string")).alias("id"), F.col("p_name").alias("name"))
+    return N.name_index_audit(load(spark, sf_dir, "trade_nodes"), index)
+
+
+@query(_SPARSE + """ SELECT name, id, file, in_degree FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY CASE kind WHEN 'struct_item' THEN 100 ELSE 90 END DESC, in_degree DESC, file, id) AS r FROM deg) x WHERE r = 1""")
+def pick_homonym(spark, sf_dir):
+    nodes, edges = trade(spark, sf_dir)
+    return N.pick_homonym(nodes, G.degrees(nodes, edges))
+
+
+@query(cte("trade_nodes") + """, sites AS (SELECT DISTINCT file, start_line + 3 AS line FROM trade_nodes WHERE lang = 'part')
+SELECT file, line, id FROM (SELECT s.file, s.line, n.id, row_number() OVER (PARTITION BY s.file, s.line ORDER BY n.end_line - n.start_line, n.id) AS r
+ FROM sites s JOIN trade_nodes n ON s.file = n.file AND s.line BETWEEN n.start_line AND n.end_line) x WHERE r = 1""")
+def enclosing_block(spark, sf_dir):
+    nodes = load(spark, sf_dir, "trade_nodes")
+    sites = nodes.where("lang = 'part'").select("file", (F.col("start_line") + 3).alias("line")).distinct()
+    return N.enclosing_block(nodes, sites)
+
+
+# ---------------------------------------------------------------- identity, hashes, census
+
+_TWINS = cte("docs_nodes", "docs_edges") + """, k AS (SELECT *, first_value(id) OVER (PARTITION BY name, kind, content_hash ORDER BY size DESC, id) AS keep_id FROM docs_nodes)"""
+
+
+@query(_TWINS + " SELECT id, name, kind, content_hash FROM k WHERE id = keep_id")
+def canonize_docs(spark, sf_dir):
+    nodes = load(spark, sf_dir, "docs_nodes").withColumn("score", F.lit(0.0))
+    return G.canonize(nodes, load(spark, sf_dir, "docs_edges"))[0].select("id", "name", "kind", "content_hash")
+
+
+@query(_TWINS + " SELECT DISTINCT a.keep_id AS src, b.keep_id AS dst FROM docs_edges e JOIN k a ON e.src = a.id JOIN k b ON e.dst = b.id WHERE a.keep_id <> b.keep_id")
+def canonize_edges(spark, sf_dir):
+    nodes = load(spark, sf_dir, "docs_nodes").withColumn("score", F.lit(0.0))
+    return G.canonize(nodes, load(spark, sf_dir, "docs_edges"))[1]
+
+
+_NUM = "CAST(concat('0x', substr(md5(concat(file, '=', h)), 1, 15)) AS BIGINT)"
+
+
+@query(cte("docs_nodes") + f""", f AS (SELECT file, min(content_hash) AS h FROM docs_nodes GROUP BY file)
+SELECT regexp_replace(file, '/[^/]*$', '') AS module, count(*) AS n_files, bit_xor({_NUM}) AS hash FROM f GROUP BY 1""")
+def module_hashes(spark, sf_dir):
+    return G.module_hashes(load(spark, sf_dir, "docs_nodes"))
+
+
+@query(cte("docs_nodes", "docs_edges") + f""" SELECT (SELECT bit_xor({_NUM}) FROM (SELECT file, content_hash AS h FROM docs_nodes) x) AS epoch,
+(SELECT count(*) FROM docs_nodes) AS n_nodes, (SELECT count(*) FROM docs_edges) AS n_edges""")
+def trace_epoch(spark, sf_dir):
+    return G.trace_epoch(load(spark, sf_dir, "docs_nodes"), load(spark, sf_dir, "docs_edges"))
+
+
+@query("SELECT max(ts) AS max_mtime, CAST(sum(length(props)) AS BIGINT) AS total_bytes, count(*) AS n_files FROM events")
+def stat_fingerprint_events(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    return stat_fingerprint(e.select(F.col("ts").alias("mtime"), F.octet_length("props").cast("long").alias("bytes")))
+
+
+@query("SELECT lang, count(*) AS n_files, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY lang")
+def lang_census(spark, sf_dir):
+    return A.lang_census(load(spark, sf_dir, "documents"))
+
+
+@query("""SELECT max(n) FILTER (rk = 1) >= 50 AND max(n) FILTER (rk = 1) >= 4 * coalesce(max(n) FILTER (rk = 2), 0) AS dominated, max(lang) FILTER (rk = 1) AS lang
+FROM (SELECT lang, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, lang) AS rk FROM documents GROUP BY lang) x""")
+def lang_void(spark, sf_dir):
+    return A.lang_void(A.lang_census(load(spark, sf_dir, "documents")))
+
+
+# ---------------------------------------------------------------- cycles and components
+
+
+@query(cte("flow_edges").replace("WITH ", "WITH RECURSIVE ", 1) + """, reach(a, b) AS (SELECT src, dst FROM flow_edges UNION SELECT r.a, e.dst FROM reach r JOIN flow_edges e ON r.b = e.src)
+SELECT DISTINCT a AS id FROM reach WHERE a = b""")
+def cycle_nodes(spark, sf_dir):
+    return G.detect_cycles(load(spark, sf_dir, "flow_edges"), save)
+
+
+@query(cte("flow_edges").replace("WITH ", "WITH RECURSIVE ", 1) + """, u AS (SELECT src, dst FROM flow_edges WHERE src <> dst UNION SELECT dst, src FROM flow_edges WHERE src <> dst),
+reach(a, b) AS (SELECT src, dst FROM u UNION SELECT r.a, u.dst FROM reach r JOIN u ON r.b = u.src)
+SELECT a AS node, least(a, min(b)) AS component FROM reach GROUP BY a""")
+def components(spark, sf_dir):
+    edges = load(spark, sf_dir, "flow_edges").where("src <> dst")
+    return connected_components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), save)
+
+
+# ---------------------------------------------------------------- paths, scopes, facets
+
+
+@query(cte("pages_nodes") + r""" SELECT id, split_part(file, '/', -1) AS base, array_to_string(list_slice(string_split(file, '/'), -3, -1), '/') AS short,
+ array_to_string(list_slice(string_split(file, '/'), 1, 2), '/') AS island, regexp_replace(file, '/[^/]*$', '') AS module FROM pages_nodes""")
+def path_parts(spark, sf_dir):
+    f = F.col("file")
+    return load(spark, sf_dir, "pages_nodes").select("id", P.basename(f).alias("base"), P.short_path(f).alias("short"), P.island_key(f).alias("island"), P.module_key(f).alias("module"))
+
+
+@query(cte("docs_nodes") + " SELECT id, file FROM docs_nodes WHERE (starts_with(file, 'src1/') OR starts_with(file, 'src2/en/')) AND NOT list_contains(string_split(file, '/'), 'de')")
+def scope_filter(spark, sf_dir):
+    return load(spark, sf_dir, "docs_nodes").where(P.scope_include(F.col("file"), ["src1/", "src2/en"], ignore=["de"])).select("id", "file")
+
+
+@query(cte("trade_nodes") + " SELECT array_to_string(list_slice(string_split(file, '/'), 1, 2), '/') AS scope, count(DISTINCT file) AS n_files FROM trade_nodes WHERE list_contains(list_slice(string_split(file, '/'), 1, 2), 'catalog') OR contains(file, 'ASIA') GROUP BY 1 ORDER BY n_files DESC, scope LIMIT 10")
+def scope_repair(spark, sf_dir):
+    return A.scope_repair(load(spark, sf_dir, "trade_nodes").where("file like 'catalog/%' or file like '%ASIA%'"))
+
+
+@query(_PART + " SELECT regexp_replace(n.file, '/[^/]*$', '') AS facet, count(DISTINCT n.id) AS n FROM trade_edges e JOIN trade_nodes n ON e.src = n.id WHERE e.dst IN (SELECT id FROM seed) GROUP BY 1 ORDER BY n DESC, facet LIMIT 8")
+def dir_facets(spark, sf_dir):
+    nodes, edges = trade(spark, sf_dir)
+    return A.dir_facets(nodes, G.callers(edges, busiest(nodes, edges, "part", "callers")).select(F.col("src").alias("id")))
+
+
+@query(cte("trade_nodes") + " SELECT split_part(file, '/', 1) AS dir, count(DISTINCT file) AS n_files FROM trade_nodes GROUP BY 1 ORDER BY n_files DESC, dir LIMIT 8")
+def top_dir_scopes(spark, sf_dir):
+    return A.top_dir_scopes(load(spark, sf_dir, "trade_nodes"))
+
+
+@query(cte("trade_nodes") + """ SELECT array_to_string(list_slice(string_split(file, '/'), 1, 2), '/') AS dir, count(DISTINCT file) AS n_files, count(*) AS n_nodes
+FROM trade_nodes GROUP BY 1""")
+def arch_rollup(spark, sf_dir):
+    return A.arch_rollup(load(spark, sf_dir, "trade_nodes"))
+
+
+@query(_FULL + """ SELECT name, id, degree FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY degree DESC, id) AS r FROM deg) x WHERE r = 1 ORDER BY degree DESC, name LIMIT 20""")
+def arch_hubs(spark, sf_dir):
+    nodes = load(spark, sf_dir, "trade_nodes")
+    return A.hub_unique(nodes, G.degrees(nodes, load(spark, sf_dir, "trade_all_edges")), 20)
+
+
+@query(cte("trade_nodes", "trade_edges") + " SELECT count(DISTINCT n.file) AS edged, (SELECT count(DISTINCT file) FROM trade_nodes) - count(DISTINCT n.file) AS open FROM trade_nodes n WHERE n.id IN (SELECT src FROM trade_edges UNION SELECT dst FROM trade_edges)")
+def edge_progress(spark, sf_dir):
+    nodes, edges = trade(spark, sf_dir)
+    return A.edge_progress(nodes, edges)
+
+
+# ---------------------------------------------------------------- scores and selection
+
+
+@query(cte("trade_nodes") + """, t AS (SELECT unnest(['almond', 'part', 'steel', 'c']) AS token) SELECT id, token, CAST(CASE WHEN lower(name) = token THEN 100000 + 100 * greatest(length(token), 3)
+ WHEN length(token) >= 3 AND ends_with(lower(name), '_' || token) THEN 800 + 8 * length(token) WHEN length(token) >= 4 AND ends_with(lower(name), token) THEN 500 + 5 * length(token)
+ WHEN length(token) >= 3 AND starts_with(lower(name), token) THEN 450 + 4 * length(token) WHEN list_contains(string_split_regex(lower(name), '[_:]'), token) THEN 400 + 4 * length(token)
+ WHEN length(token) >= 5 AND contains(lower(name), token) THEN 150 + 2 * length(token) ELSE 0 END AS DOUBLE) AS score FROM trade_nodes, t""")
+def name_score(spark, sf_dir):
+    nodes = load(spark, sf_dir, "trade_nodes")
+    tokens = F.explode(F.array(*map(F.lit, ("almond", "part", "steel", "c")))).alias("token")
+    return nodes.select("id", "name", tokens).select("id", "token", T.name_score(F.col("name"), F.col("token")).alias("score"))
+
+
+@query(cte("docs_nodes") + """ SELECT id, CAST(CASE WHEN list_contains(string_split_regex(lower(file), '[/\\\\.-]'), 'src1') THEN 88 WHEN FALSE THEN 0 ELSE 0 END AS DOUBLE) AS segment,
+ CAST(CASE WHEN contains(lower(file), 'src11') THEN CASE WHEN list_contains(string_split_regex(lower(file), '[/\\\\.-]'), 'src11') THEN 90 ELSE 30 END ELSE 0 END AS DOUBLE) AS inside FROM docs_nodes""")
+def path_score(spark, sf_dir):
+    f = F.col("file")
+    return load(spark, sf_dir, "docs_nodes").select("id", T.path_score(f, F.lit("src1")).alias("segment"), T.path_score(f, F.lit("src11")).alias("inside"))
+
+
+@query(_SPARSE + """ SELECT id, CAST(15.0 * CAST(lang_part AS INT) + 2.2 * in_degree + out_degree AS DOUBLE) AS score FROM (SELECT *, kind = 'method_definition' AS lang_part FROM deg) x""")
+def heuristic_score(spark, sf_dir):
+    nodes, edges = trade(spark, sf_dir)
+    deg = G.degrees(nodes, edges).join(nodes.select("id", "kind"), "id")
+    s = T.heuristic_score(F.col("in_degree"), F.col("out_degree"), F.col("kind") == "method_definition", F.lit(False), F.lit(False), F.lit(9999))
+    return deg.select("id", s.cast("double").alias("score"))
+
+
+@query(_SPARSE + """, s AS (SELECT *, row_number() OVER (PARTITION BY name, file ORDER BY degree DESC, id) AS r FROM deg)
+SELECT id, name, file, degree FROM s WHERE r = 1 ORDER BY degree DESC, id LIMIT 8""")
+def select_top8(spark, sf_dir):
+    nodes, edges = trade(spark, sf_dir)
+    scored = G.degrees(nodes, edges).join(nodes.select("id", "name", "file"), "id").withColumn("score", F.col("degree"))
+    return S.select_blocks(scored, 8).select("id", "name", "file", "degree")
+
+
+@query(cte("trade_nodes") + """, m AS (SELECT DISTINCT regexp_replace(file, '/[^/]*$', '') AS module FROM trade_nodes)
+SELECT module, CAST(10 + 4 + CASE WHEN contains(lower(split_part(module, '/', -1)), 'asia') THEN 8 ELSE 0 END AS INTEGER) AS score FROM m WHERE contains(lower(module), 'asia') ORDER BY score DESC, module LIMIT 32""")
+def l0_modules(spark, sf_dir):
+    return S.l0_modules(load(spark, sf_dir, "trade_nodes"), ["asia"])
+
+
+@query(_SPARSE + """, t AS (SELECT e.src, n.id, n.degree, row_number() OVER (PARTITION BY e.src ORDER BY n.degree DESC, n.id) AS place, count(*) OVER (PARTITION BY e.src) AS n
+ FROM trade_edges e JOIN deg n ON e.dst = n.id) SELECT src, id, CAST(place AS INTEGER) AS place, n - 5 AS omitted FROM t WHERE place <= 5 AND n > 5""")
+def cap_by_score(spark, sf_dir):
+    nodes, edges = trade(spark, sf_dir)
+    rows = edges.join(G.degrees(nodes, edges).select(F.col("id").alias("dst"), "degree"), "dst").select("src", F.col("dst").alias("id"), F.col("degree").alias("score"))
+    return S.cap_by_score(rows, "src", 5).where("omitted > 0").select("src", "id", "place", "omitted")
+
+
+@query(_FULL + " SELECT id, CASE WHEN in_degree = 0 THEN 'none' WHEN in_degree <= 3 THEN 'low' WHEN in_degree <= 10 THEN 'medium' WHEN in_degree <= 50 THEN 'high' ELSE 'very high' END AS band FROM deg")
+def fan_band(spark, sf_dir):
+    deg = G.degrees(load(spark, sf_dir, "trade_nodes"), load(spark, sf_dir, "trade_all_edges"))
+    return deg.select("id", T.fan_band(F.col("in_degree")).alias("band"))
+
+
+# ---------------------------------------------------------------- sets, changes, labels
+
+
+@query("""WITH b AS (SELECT DISTINCT o_custkey AS k, o_orderpriority AS p FROM orders WHERE o_orderstatus = 'F'), a AS (SELECT DISTINCT o_custkey AS k, o_orderpriority AS p FROM orders WHERE o_orderstatus = 'O')
+SELECT k, p FROM b EXCEPT SELECT k, p FROM a""")
+def set_lost(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("p"), "o_orderstatus")
+    return A.set_lost(o.where("o_orderstatus = 'F'").drop("o_orderstatus"), o.where("o_orderstatus = 'O'").drop("o_orderstatus"))
+
+
+@query(cte("docs_nodes", "docs_edges") + """, changed AS (SELECT DISTINCT file FROM docs_nodes WHERE doc_id % 7 = 0), ids AS (SELECT id FROM docs_nodes WHERE file IN (SELECT file FROM changed))
+SELECT DISTINCT n.file FROM docs_nodes n JOIN docs_edges e ON n.id = e.src WHERE e.dst IN (SELECT id FROM ids) AND n.file NOT IN (SELECT file FROM changed)""")
+def dirty_cone(spark, sf_dir):
+    nodes = load(spark, sf_dir, "docs_nodes")
+    return G.reverse_dependents(nodes, load(spark, sf_dir, "docs_edges"), nodes.where("doc_id % 7 = 0").select("file"))
+
+
+@query(cte("docs_nodes") + """, now AS (SELECT file AS path, content_hash AS h FROM docs_nodes WHERE doc_id % 5 <> 0), old AS (SELECT file AS path, CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE content_hash END AS h FROM docs_nodes WHERE doc_id % 4 <> 0)
+SELECT path, CASE WHEN old.h IS NULL THEN 'added' WHEN now.h IS NULL THEN 'deleted' WHEN now.h <> old.h THEN 'changed' ELSE 'same' END AS change FROM now FULL JOIN old USING (path)""")
+def file_delta(spark, sf_dir):
+    from .operators.storage import file_delta as delta
+
+    n = load(spark, sf_dir, "docs_nodes").select(F.col("file").alias("path"), F.col("content_hash").alias("hash"), "doc_id")
+    old = n.where("doc_id % 4 <> 0").withColumn("hash", F.when(F.col("doc_id") % 3 == 0, "x").otherwise(F.col("hash")))
+    return delta(n.where("doc_id % 5 <> 0"), old)
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+k AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM g)
+SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_events FROM k GROUP BY user_id, n""")
+def session_debounce(spark, sf_dir):
+    return A.debounce(load(spark, sf_dir, "events"), "user_id", "ts", "event_id", 600)
+
+
+@query("""SELECT CASE WHEN quality IS NULL OR toxic IS NULL THEN 'null' WHEN quality NOT IN (0, 1) OR toxic NOT IN (0, 1) THEN 'range' WHEN quality = 1 AND toxic = 1 THEN 'conflict' ELSE 'ok' END AS issue, count(*) AS n FROM labels GROUP BY 1""")
+def label_validate(spark, sf_dir):
+    return A.label_validate(load(spark, sf_dir, "labels"))
+
+
+@query("SELECT doc_id, quality FROM (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY doc_id) AS r FROM labels) x WHERE r <= 25")
+def polarity_caps(spark, sf_dir):
+    return A.polarity_caps(load(spark, sf_dir, "labels"), "quality", "doc_id", 25)
+
+
+@query("""SELECT count(*) AS n_labelled, CAST(count(*) FILTER (quality = 1) AS BIGINT) AS critical, CAST(count(*) FILTER (quality = 0) AS BIGINT) AS rejected FROM labels""")
+def harvest_status(spark, sf_dir):
+    return A.harvest_status(load(spark, sf_dir, "labels"), "quality")
+
+
+# ---------------------------------------------------------------- export and neural
+
+
+@query(_SPARSE + """, x AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM trade_nodes)
+SELECT a.idx AS from_idx, b.idx AS to_idx, 1 AS type FROM trade_edges e JOIN x a ON e.src = a.id JOIN x b ON e.dst = b.id""")
+def export_edges(spark, sf_dir):
+    nodes, edges = trade(spark, sf_dir)
+    return X.export_edges(X.dense_index(nodes), edges)
+
+
+@query(_SPARSE + ", x AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM trade_nodes) SELECT idx, id, CAST(degree AS BIGINT) AS degree FROM x JOIN deg USING (id)")
+def export_nodes(spark, sf_dir):
+    nodes, edges = trade(spark, sf_dir)
+    return X.dense_index(nodes).join(G.degrees(nodes, edges).select("id", "degree"), "id").select("idx", "id", "degree")
+
+
+@query("""SELECT n_name AS name, list_reduce(list_concat([CAST(0 AS HUGEINT)], list_transform(string_split(n_name, ''), lambda c: CAST(ascii(c) AS HUGEINT))), lambda h, b: (h * 31 + b) % 18446744073709551616) AS h FROM nation""".replace(" AS h FROM", " % 18446744073709551616 AS u FROM").join(
+    ["SELECT name, CAST(CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END AS BIGINT) AS name_hash FROM (", ") x"]))
+def name_hash(spark, sf_dir):
+    n = load(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
+    return n.withColumn("name_hash", T.name_hash_column(F.col("name")))
+
+
+_GNN = cte("vector_edges") + """, e AS (SELECT src, dst FROM vector_edges UNION ALL SELECT dst, src FROM vector_edges UNION ALL SELECT vec_id, vec_id FROM embeddings),
+x AS (SELECT vec_id AS id, unnest(range(32)) AS i, unnest(list_slice(embedding, 1, 32)) AS v FROM embeddings),
+w AS (SELECT i.i, j.j, 0.002 + ((i.i * 32 + j.j) % 17) * 0.0003 AS w1 FROM range(32) i(i), range(32) j(j)),
+h AS (SELECT id, j, sum(CAST(v AS DOUBLE) * w1) AS h FROM x JOIN w USING (i) GROUP BY id, j),
+m AS (SELECT e.dst AS id, j, avg(h) AS m FROM e JOIN h ON e.src = h.id GROUP BY 1, 2)
+SELECT id, round(sum((exp(2 * m) - 1) / (exp(2 * m) + 1) * (0.002 + ((1024 + j) % 17) * 0.0003)), 6) AS score FROM m GROUP BY id"""
+
+
+@query(_GNN)
+def gnn_forward(spark, sf_dir):
+    v = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 32).alias("x"))
+    out = NN.gnn_forward(v, load(spark, sf_dir, "vector_edges"))
+    return out.select("id", F.round("score", 6).alias("score"))
+
+
+@query(_SPARSE + """ SELECT id, round(ln(1 + in_degree), 6) AS f_in, round(ln(1 + out_degree), 6) AS f_out, round(CAST(degree AS DOUBLE) / (SELECT max(degree) FROM deg), 6) AS f_total,
+CASE kind WHEN 'struct_item' THEN 1 ELSE 0 END AS is_type FROM deg""")
+def gnn_features(spark, sf_dir):
+    nodes, edges = trade(spark, sf_dir)
+    return NN.gnn_features(nodes, G.degrees(nodes, edges))
+
+
+# ---------------------------------------------------------------- rows only
+
+
+@query()
+def pack_neighbors(spark, sf_dir):
+    nodes, edges = trade(spark, sf_dir)
+    rows = G.trace_neighborhood(edges, busiest(nodes, edges, "part", "callers")).join(nodes.select("id", "name", "file"), "id")
+    scored = rows.join(G.degrees(nodes, edges).select("id", F.col("degree").alias("score")), "id")
+    return S.pack_neighbors(scored, char_budget=4000)
+
+
+@query()
+def render_budget(spark, sf_dir):
+    docs = load(spark, sf_dir, "docs_nodes").join(load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("source")), "doc_id")
+    return S.render_budget(docs.select("id", F.col("size").alias("score"), "source", F.lit(0).alias("bin")), 4000)
+
+
+@query()
+def python_call_edges(spark, sf_dir):
+    from .sources.samples import python_project
+
+    return python_project(spark)
