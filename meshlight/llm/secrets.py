@@ -185,6 +185,9 @@ def report(docs: DataFrame) -> DataFrame:
             F.transform(spans, lambda s: F.concat_ws(":", names[s["rule"].cast("int")], s["start"].cast("string"), s["end"].cast("string"))), ","
         )
 
-    counts = [F.size(F.filter("secrets", lambda s, i=i: s["rule"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
+    def count(i: int):
+        return F.size(F.filter("secrets", lambda s: s["rule"] == i)).cast("long")
+
+    counts = [count(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
     base = F.filter("secrets", lambda s: s["rule"] < len(BASE))
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
