@@ -38,7 +38,7 @@ def suffix_array(h: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     step, sa = 1, None
     while step < depth:
         nxt = np.zeros(len(h), np.int64)
-        nxt[: len(h) - step] = rank[step:]
+        nxt[: max(len(h) - step, 0)] = rank[step:]
         key = (rank << 32) | nxt
         sa = np.argsort(key, kind="stable")
         key = key[sa]
