@@ -253,7 +253,7 @@ def main_node(root: Node) -> list[Node]:
             kept.append(kid)
         elif best.tag in ("article", "main") and kid.tag != best.tag:
             continue
-        elif finals.get(id(kid), 0.0) >= bar:
+        elif finals.get(id(kid), 0.0) >= bar and kid.score >= 0.2 * best.score:
             kept.append(kid)
         elif kid.tag == "p":
             text, linked = _plain(kid)
