@@ -60,6 +60,28 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     return df.mapInArrow(run, schema)
 
 
+KEY_BITS = 1 << 23
+
+
+def key_words(keys: DataFrame, h: Column) -> DataFrame:
+    """``(__mesh_w, __mesh_bits)``: a filter of fixed size over the hashes ``h`` of ``keys``; ``KEY_BITS / 64`` rows at most."""
+    b = F.pmod(h, F.lit(KEY_BITS))
+    bit = F.expr("shiftleft(1L, cast(__mesh_b & 63 as int))")
+    return keys.select(b.alias("__mesh_b")).groupBy(F.shiftright("__mesh_b", 6).alias("__mesh_w")).agg(F.bit_or(bit).alias("__mesh_bits"))
+
+
+def maybe_among(df: DataFrame, words: DataFrame, h: Column) -> DataFrame:
+    """Adds ``__mesh_maybe``: false only if ``h`` is none of the hashes that made ``words``.
+
+    The filter is broadcast, which its size allows whatever made it; one that
+    fills up marks more rows, and only costs time.
+    """
+    at = df.withColumn("__mesh_b", F.pmod(h, F.lit(KEY_BITS)))
+    hit = at.join(F.broadcast(words), F.shiftright("__mesh_b", 6) == F.col("__mesh_w"), "left")
+    found = F.expr("coalesce((shiftright(__mesh_bits, cast(__mesh_b & 63 as int)) & 1) = 1, false)")
+    return hit.withColumn("__mesh_maybe", found).drop("__mesh_b", "__mesh_w", "__mesh_bits")
+
+
 def running_total(df: DataFrame, order: list[Column], value: Column, name: str, reset: str | None = None) -> DataFrame:
     """Add ``name``: the inclusive running sum of ``value`` (long) in ``order``.
 

@@ -10,23 +10,26 @@ the points whose level lies under the multiplicity).  Points are drawn in
 ascending time and a process stops once its time passes the largest slot of its
 document, which takes about ``n + m log m`` points instead of ``n * m``.
 
-Candidates share a band of slots; each is verified on the exact multiset overlap.
+Candidates share a band of slots and agree in enough slots of a short signature
+(eight bits a slot); each is verified on the exact multiset overlap.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import arrow_map, written
-from .tokens import U64, chunks, group_hash, mix, shingles, span_hash, split_words
+from .common import arrow_map, key_words, maybe_among, written
+from .tokens import CHUNK_BYTES, U64, chunks, group_hash, mix, shingles, span_hash, split_words
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 SLOTS = BANDS * ROWS
+LANES = 7  # slots in a long of the short signature: eight bits and a guard bit each
 
 
 def bag(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,9 +74,16 @@ def signatures(h: np.ndarray, doc: np.ndarray, count: np.ndarray, docs: int, slo
     return sig.reshape(docs, slots)
 
 
-def _sketch(k: int, slots: int):
+def _lists(values: np.ndarray) -> pa.ListArray:
+    n, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(values.ravel()))
+
+
+def _sketch(k: int, bands: int, rows: int):
+    slots = bands * rows
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, sigs = [], []
+        keys, shorts, buckets, some = [], [], [], []
         for t in chunks(batch.column("text")):
             words, folded = split_words(t)
             h = span_hash(folded, words.start, words.end)
@@ -83,40 +93,61 @@ def _sketch(k: int, slots: int):
             key[empty, 0], key[empty, 1] = raw[empty], ~raw[empty]
             keys.append(key)
             sig = signatures(*bag(*shingles(h, words.first, k)), len(t.start), slots)
-            bits = (mix(sig.view(U64)) >> U64(32)).astype(np.uint32).astype(np.int32)
-            bits[empty] = 0
-            sigs.append(bits)
-        key, sig = np.concatenate(keys), np.concatenate(sigs)
-        flat = pa.array(sig.ravel(), pa.int32())
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, slots, dtype=np.int32)), flat)
-        none = pa.array(~sig.any(axis=1))
-        lists = pa.ListArray.from_arrays(lists.offsets, lists.values, mask=none) if none.true_count else lists
+            bits = mix(sig.view(U64))
+            n = len(bits)
+            first = np.arange(n * bands + 1) * rows
+            band = group_hash(bits.ravel(), first).reshape(n, bands)
+            buckets.append(mix(band + np.arange(bands, dtype=U64)).view(np.int64))
+            short = np.zeros((n, -(-slots // LANES) * LANES), U64)
+            short[:, :slots] = bits & U64(0xFF)
+            short = short.reshape(n, -1, LANES) << (np.arange(LANES, dtype=U64) * U64(9))
+            shorts.append(np.bitwise_or.reduce(short, axis=2).view(np.int64))
+            some.append(~empty)
+        key = np.concatenate(keys)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.array(key[:, 0].view(np.int64)), pa.array(key[:, 1].view(np.int64)), lists],
-            ["doc_id", "k1", "k2", "sig"],
+            [
+                batch.column("doc_id").cast(pa.int64()), pa.array(key[:, 0].view(np.int64)), pa.array(key[:, 1].view(np.int64)),
+                pa.array(np.concatenate(some)), _lists(np.concatenate(shorts)), _lists(np.concatenate(buckets)),
+            ],
+            ["doc_id", "k1", "k2", "words", "sig", "buckets"],
         )
 
     return run
 
 
+def _agreeing(x: str, y: str, slots: int):
+    """Number of slots in which two short signatures agree: a lane of the XOR that is not zero reaches its guard bit."""
+    ones = sum(0xFF << (9 * i) for i in range(LANES))
+    guard = sum(0x100 << (9 * i) for i in range(LANES))
+    differ = F.lit(0)
+    for i in range(-(-slots // LANES)):
+        d = F.col(f"{x}.sig")[i].bitwiseXOR(F.col(f"{y}.sig")[i])
+        differ = differ + F.bit_count((d + F.lit(ones)).bitwiseAND(F.lit(guard)))
+    return F.lit(slots) - differ
+
+
 def overlap(a: pa.Array, b: pa.Array, k: int) -> np.ndarray:
     """Exact multiset Jaccard similarity of the shingles of each pair of texts."""
     out = np.zeros(len(a))
-    both = pa.concat_arrays([a.cast(pa.large_string()), b.cast(pa.large_string())])
-    order = np.arange(2 * len(a)).reshape(2, -1).T.ravel()  # a0 b0 a1 b1 ..., so a pair stays together
-    step = 64
-    for lo in range(0, len(a), step):
-        texts = both.take(pa.array(order[2 * lo : 2 * (lo + step)]))
-        for t in chunks(texts, 1 << 62):
+    a, b = a.cast(pa.large_string()), b.cast(pa.large_string())
+    size = np.asarray(pc.binary_length(a)) + np.asarray(pc.binary_length(b))
+    lo = 0
+    while lo < len(a):
+        # pairs of about CHUNK_BYTES together, one at least
+        hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo : lo + 64]), CHUNK_BYTES, "right")))
+        x, y = a.slice(lo, hi - lo), b.slice(lo, hi - lo)
+        order = np.arange(2 * len(x)).reshape(2, -1).T.ravel()  # a0 b0 a1 b1 ..., so a pair stays together
+        for t in chunks(pa.concat_arrays([x, y]).take(pa.array(order)), 1 << 62):
             words, folded = split_words(t)
             h, doc, count = bag(*shingles(span_hash(folded, words.start, words.end), words.first, k))
-            pair, n = doc // 2, len(t.start) // 2
+            pair, n = doc // 2, len(x)
             order2 = np.lexsort((doc, h, pair))
             h, pair, count = h[order2], pair[order2], count[order2]
             total = np.bincount(pair, count, n)
             same = (h[1:] == h[:-1]) & (pair[1:] == pair[:-1])
             common = np.bincount(pair[1:][same], np.minimum(count[1:], count[:-1])[same], n)
-            out[lo : lo + n] = common / np.maximum(total - common, 1)
+            out[lo:hi] = common / np.maximum(total - common, 1)
+        lo = hi
     return out
 
 
@@ -128,13 +159,22 @@ def _verify(k: int):
     return run
 
 
+def wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one of ``ids(doc_id)``, each doc_id once.
+
+    The ids first go, as bits of a filter of fixed size, to where the texts are
+    read, so that few other texts are exchanged; the join after it decides.
+    """
+    near = maybe_among(docs, key_words(ids, F.xxhash64("doc_id")), F.xxhash64("doc_id")).where("__mesh_maybe").select("doc_id", "text")
+    return near.join(ids.hint("shuffle_merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
     """The pairs (a, b) of ``doc_id`` whose texts reach the threshold."""
-    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = wanted(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    both = pairs.join(left.hint("shuffle_merge"), "a").join(right.hint("shuffle_merge"), "b").select("a", "b", "ta", "tb")
     return arrow_map(both, _verify(k), "a long, b long, similarity double").where(F.col("similarity") >= threshold)
 
 
@@ -151,11 +191,13 @@ def near_duplicates(
     band with probability below 4e-6.
 
     Equal texts are one node from the start, so a group of copies costs one
-    node.  In every bucket two leaders (the least node and the least by hash)
-    are compared with all members; pairs of a bucket that are in different
+    node.  In every bucket two leaders are compared with all members: the member
+    that meets most others over its buckets, which the others are copies of if
+    any is, and the least by a hash.  Pairs of a bucket that are in different
     components after that are compared too, whenever their signatures agree in
-    half of the slots (a pair at the threshold falls below that with probability
-    under 1e-11).  So no link between components is lost to a cap.
+    ``similarity - 0.15`` of the slots, which a pair at the threshold misses
+    with probability 2e-4 and which also decides for the leaders.  No pair is
+    left out by a cap.
 
     Null text reads as empty; texts without words are alike only if equal.
     Rows that share a doc_id belong to one class.  Rows with a null doc_id form
@@ -163,33 +205,34 @@ def near_duplicates(
     ignored, an empty table gives an empty result.
     """
     slots = bands * rows
+    least = int((similarity - 0.15) * slots)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    sketch = written(
-        arrow_map(docs, _sketch(words, slots), "doc_id long, k1 long, k2 long, sig array<int>"), "sketch"
-    )
+    schema = "doc_id long, k1 long, k2 long, words boolean, sig array<long>, buckets array<long>"
+    sketch = written(arrow_map(docs, _sketch(words, bands, rows), schema), "sketch")
     keyed = sketch.where("doc_id is not null")
     nodes = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
     member = written(keyed.select("doc_id", "k1", "k2").join(nodes, ["k1", "k2"]).select("doc_id", "node"), "member")
     reps = member.where("doc_id = node").select("node").distinct()
-    sigs = keyed.where("sig is not null").join(reps, keyed.doc_id == reps.node, "left_semi")
-    sigs = sigs.select(F.col("doc_id").alias("node"), "sig").dropDuplicates(["node"])
-    sigs = written(sigs, "signature")
-    band = F.explode(
-        F.array(*[F.xxhash64(F.lit(i), F.slice("sig", i * rows + 1, rows)) for i in range(bands)])
-    ).alias("bucket")
-    spread = sigs.select("node", band)
-    leaders = spread.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.min("node").alias("l1"), F.min(F.struct(F.xxhash64("node"), "node")).alias("l2")
+    sigs = keyed.where("words").select(F.col("doc_id").alias("node"), "sig", "buckets")
+    sigs = written(sigs.join(reps.hint("shuffle_merge"), "node", "left_semi").dropDuplicates(["node"]), "signature")
+    spread = sigs.select("node", F.explode("buckets").alias("bucket"))
+    sizes = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    inside = written(spread.join(sizes, "bucket"), "bucket")
+    met = inside.join(inside.groupBy("node").agg(F.sum("n").alias("met")), "node")
+    leaders = met.groupBy("bucket").agg(
+        F.max(F.struct("met", -F.col("node"))).alias("l1"), F.min(F.struct(F.xxhash64("node"), "node")).alias("l2")
     )
-    leaders = leaders.where("n > 1").select("bucket", "l1", F.col("l2.node").alias("l2"))
-    inside = written(spread.join(leaders, "bucket"), "bucket")
-    stars = inside.select("node", F.explode(F.array("l1", "l2")).alias("leader")).where("node != leader")
+    leaders = leaders.select("bucket", F.array((-F.col("l1.col2")), F.col("l2.node")).alias("leaders"))
+    stars = inside.join(leaders, "bucket").select("node", F.explode("leaders").alias("leader")).where("node != leader")
     pairs = written(
         stars.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "pairs"
     )
+    sig = sigs.select("node", "sig").hint("shuffle_merge")
+    close = pairs.join(sig.alias("x"), F.col("a") == F.col("x.node")).join(sig.alias("y"), F.col("b") == F.col("y.node"))
+    close = written(close.where(_agreeing("x", "y", slots) >= least).select("a", "b"), "close")
     # The same document under two texts: one class.
     shared = member.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("u")).where("u != v").select("u", "v")
-    links = written(verified(pairs, docs, words, similarity), "links")
+    links = written(verified(close, docs, words, similarity), "links")
     parts = written(connected_components(links.select(F.col("b").alias("u"), F.col("a").alias("v")).union(shared), written), "parts")
 
     # Pairs that still lie in different components of one bucket.
@@ -197,14 +240,12 @@ def near_duplicates(
         "bucket", "node", F.coalesce("component", "node").alias("component")
     )
     split = comp.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    open_ = comp.join(split.select("bucket"), "bucket", "left_semi").join(sigs, "node")
+    open_ = comp.join(split.select("bucket"), "bucket", "left_semi").join(sig, "node")
     open_ = written(open_, "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    agree = F.aggregate(F.zip_with("x.sig", "y.sig", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
-    rest = x.join(
-        y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & (agree >= slots // 2)
-    ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+    x, y = open_.alias("x"), open_.alias("y").hint("shuffle_merge")
+    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
+    rest = x.join(y, apart & (_agreeing("x", "y", slots) >= least)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    rest = written(rest.join(pairs.hint("shuffle_merge"), ["a", "b"], "left_anti"), "rest")
     more = written(verified(rest, docs, words, similarity), "more")
     every = links.union(more)
     final = connected_components(every.select(F.col("b").alias("u"), F.col("a").alias("v")).union(shared), written)
