@@ -163,6 +163,61 @@ def parse_file(path: str, source: str) -> list[dict]:
         return [dict.fromkeys([x.split()[0] for x in SCHEMA.split(", ")]) | {"file": path, "lang": lang or None, "parse_error": str(e)[:200]}]
 
 
+def _parser(lang: str):
+    def parse(path: str, source: str) -> list[dict]:
+        return parse_braced(path, source, lang)
+
+    return parse
+
+
+parse_rust, parse_typescript, parse_go, parse_c, parse_cpp = (_parser(x) for x in ("rust", "typescript", "go", "c", "cpp"))
+parse_dispatch, dialect_sniff = parse_file, dialect
+
+
+def c_prototypes(path: str, source: str) -> list[dict]:
+    """Function prototypes alone."""
+    return [r for r in parse_braced(path, source, "c") if r["kind"] == "function_declaration"]
+
+
+def macro_recover(rows: list[dict]) -> list[dict]:
+    """``class MACRO Name {`` that was read as a function is a type."""
+    for r in rows:
+        if r["kind"] == "function_definition" and re.match(r"\s*(class|struct)\s+[A-Z_]+\s+\w+", r["source"] or ""):
+            r["kind"] = "class_specifier"
+    return rows
+
+
+def rust_export_name(attributes: str, name: str) -> str:
+    """The name an export attribute gives, else the function's own."""
+    m = re.search(r"name\s*=\s*\"([^\"]+)\"", attributes)
+    return m[1] if m else name
+
+
+def py_import_exports(source: str, exports: set[str]) -> set[str]:
+    """Imported names that are exports."""
+    return {o.rsplit(".", 1)[-1] for o in py_imports(source).values()} & exports
+
+
+def go_import_match(directory: str, spec: str) -> bool:
+    """The directory is a suffix of the import path, by whole components."""
+    return ("/" + spec.strip("/")).endswith("/" + directory.strip("/"))
+
+
+def go_pkg_resolve(candidates: list[tuple[str, str]], spec: str) -> str | None:
+    """Of (id, file) the first whose directory matches the import, tests last."""
+    fit = [(f.endswith("_test.go"), f, i) for i, f in candidates if "/" in f and go_import_match(f.rsplit("/", 1)[0], spec)]
+    return min(fit)[2] if fit else None
+
+
+def py_resolve(receiver: str | None, name: str, imports: dict[str, str], local: set[str]) -> str:
+    """How a Python call resolves: local, import, or nothing for a receiver that no import binds."""
+    if receiver is None:
+        return "import" if name in imports else "local" if name in local else "none"
+    if receiver in ("self", "cls"):
+        return "local"
+    return "import" if receiver in imports else "none"
+
+
 def extract(files: DataFrame) -> DataFrame:
     """Definition rows of ``files(path, source)``; a null source is an empty file."""
 

@@ -6,12 +6,13 @@ import os
 import duckdb
 import pytest
 
-from meshlight import catalogue
+from meshlight import catalogue, catalogue_more
 from meshlight.sources.views import TABLES
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no fixture tables")
-SLOW = {"cycle_nodes", "components"}
+QUERIES = catalogue.QUERIES | catalogue_more.QUERIES
+ORACLE_SQL = catalogue.ORACLE_SQL | catalogue_more.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
@@ -28,18 +29,18 @@ def plain(v):
     return v.replace(tzinfo=None) if hasattr(v, "tzinfo") else v
 
 
-@pytest.mark.parametrize("name", [n for n in catalogue.QUERIES if n in catalogue.ORACLE_SQL])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLE_SQL])
 def test_query_equals_sql(spark, oracle, name):
-    df = catalogue.QUERIES[name](spark, DIR)
+    df = QUERIES[name](spark, DIR)
     columns = sorted(df.columns)
     found = collections.Counter(tuple(plain(r[c]) for c in columns) for r in df.collect())
-    r = oracle.execute(catalogue.ORACLE_SQL[name])
+    r = oracle.execute(ORACLE_SQL[name])
     names = [d[0] for d in r.description]
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
     assert found == collections.Counter(tuple(plain(x[i]) for i in at) for x in r.fetchall())
 
 
-@pytest.mark.parametrize("name", [n for n in catalogue.QUERIES if n not in catalogue.ORACLE_SQL])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLE_SQL])
 def test_query_has_rows(spark, name):
-    assert not catalogue.QUERIES[name](spark, DIR).isEmpty()
+    assert not QUERIES[name](spark, DIR).isEmpty()
