@@ -1,12 +1,15 @@
 """Substring de-duplication by hashing of lines, cut at sentence ends.
 
 Each line of a text is cut after ``.``, ``!`` or ``?`` that white space follows,
-since repeated passages are often pasted into the middle of a line.  A unit is
-normalised to its word sequence (case, punctuation and spacing dropped) and
+since repeated passages are often pasted into the middle of a line.  Units of more than
+``LONG_WORDS`` words are cut further after every two words whose common hash is a
+multiple of ``CUT_EVERY``, wherever they begin.  A unit is normalised to its word sequence (case, punctuation and spacing dropped) and
 hashed to 128 bits.  Digests are grouped over all documents; the occurrence with
 the least (doc_id, position) stays and every other one is a repeat.  Repeats
-that follow each other in a text form a run; runs of ``min_words`` words or more
-are removed, with their offsets in the original text kept.
+that follow each other in a text form a run.  Runs of ``min_words`` words or more,
+of which units of at least ``SOLID_WORDS`` words make up ``SOLID_SHARE``, are
+removed, with their offsets in the original text kept; short units alone, which
+repeat by chance, are no evidence.
 """
 
 from __future__ import annotations
@@ -17,9 +20,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, written
-from .tokens import chunks, code_points, group_hash, mix, span_hash, split_words
+from .tokens import U64, chunks, code_points, group_hash, mix, span_hash, split_words
 
 MIN_WORDS = 20
+LONG_WORDS, CUT_EVERY = 16, 8
+SOLID_WORDS, SOLID_SHARE = 5, 0.6
 _STOP = np.zeros(256, bool)
 _STOP[[0x21, 0x2E, 0x3F]] = True
 _SPACE = np.zeros(256, bool)
@@ -38,14 +43,23 @@ def _units(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         after = np.append(d[1:], 0xFF)
         cut = np.flatnonzero((d == 10) | (_STOP[d] & _SPACE[after]) | (d == 0xFF))  # a unit ends with this byte
         unit = np.searchsorted(cut, words.start)
-        head = np.flatnonzero(np.append(True, (unit[1:] != unit[:-1]) | (words.doc[1:] != words.doc[:-1])))
+        fresh = np.append(True, (unit[1:] != unit[:-1]) | (words.doc[1:] != words.doc[:-1]))
+        head = np.flatnonzero(fresh)
+        size = np.diff(np.append(head, len(unit)))
+        anchor = mix(h[:-1] + mix(h[1:])) % U64(CUT_EVERY) == 0  # of words i and i + 1, cuts before i + 2
+        inner = np.flatnonzero(anchor[:-1] & np.repeat(size > LONG_WORDS, size)[1:-1] & ~fresh[2:] & ~fresh[1:-1]) + 2
+        fresh[inner] = True
+        head = np.flatnonzero(fresh)
         first = np.append(head, len(unit))
         doc = words.doc[head]
         where = code_points(d)
         base = where[t.start[doc]]
         begin = where[words.start[head]] - base
-        stop = cut[unit[head]]
-        end = where[np.where((d[stop] == 10) | (d[stop] == 0xFF), stop, stop + 1)] - base
+        tail = first[1:] - 1
+        stop = cut[unit[tail]]
+        whole = np.append(unit[1:] != unit[:-1], True)[tail] | np.append(words.doc[1:] != words.doc[:-1], True)[tail]
+        stop = np.where((d[stop] == 10) | (d[stop] == 0xFF), stop, stop + 1)
+        end = where[np.where(whole, stop, words.end[tail])] - base
         index = np.arange(len(head)) - np.searchsorted(doc, doc)
         out.append([ids[t.lo + doc], index, begin, end, np.diff(first), group_hash(h, first).view(np.int64), group_hash(mix(h), first).view(np.int64)])
     if not out:
@@ -73,9 +87,12 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = again.select("doc_id", "unit", "start", "end", "words").withColumn("run", F.col("unit") - F.dense_rank().over(order))
     return (
         runs.groupBy("doc_id", "run")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.count("*").alias("units"))
-        .where(F.col("words") >= min_words)
-        .drop("run")
+        .agg(
+            F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.count("*").alias("units"),
+            F.sum(F.when(F.col("words") >= SOLID_WORDS, F.col("words")).otherwise(0)).alias("solid"),
+        )
+        .where((F.col("words") >= min_words) & (F.col("solid") >= SOLID_SHARE * F.col("words")))
+        .drop("run", "solid")
     )
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 SEP = 0xFF  # in no UTF-8 text
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
