@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlight.llm.common import table, written
+from meshlight.llm.common import key_words, maybe_among, table, written
 from meshlight.llm.decontaminate import decontaminate
 from meshlight.llm.minhash import near_duplicates
 from meshlight.llm.mixing import mix
@@ -20,9 +20,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of each near-duplicate class that has the least doc_id."""
-    kept = near_duplicates(docs).where("keep and doc_id is not null").select(F.col("doc_id").alias("_keep")).distinct()
-    one = docs.join(kept, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    return one.union(docs.where("doc_id is null"))
+    classes = written(near_duplicates(docs), "classes").where("doc_id is not null")
+    gone = classes.where("not keep").select("doc_id").distinct()
+    twice = classes.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    # Only rows that may go or that share their id are exchanged.
+    marked = maybe_among(docs, key_words(gone.union(twice), F.xxhash64("doc_id")), F.xxhash64(F.col("doc_id").cast("long")))
+    names = [f"`{n}`" for n in docs.columns]
+    alone = marked.where("not __mesh_maybe or doc_id is null").select(*names)
+    rest = marked.where("__mesh_maybe and doc_id is not null").select(*names)
+    return alone.union(rest.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*names))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
