@@ -191,9 +191,10 @@ def near_duplicates(
     band with probability below 4e-6.
 
     Equal texts are one node from the start, so a group of copies costs one
-    node.  In every bucket two leaders are compared with all members: the member
+    node.  In every bucket three leaders are compared with all members: the member
     that meets most others over its buckets, which the others are copies of if
-    any is, and the least by a hash.  Pairs of a bucket that are in different
+    any is, and two drawn by a hash of node and bucket, so that a member of a large
+    group meets other ones in each of its buckets.  Pairs of a bucket that are in different
     components after that are compared too, whenever their signatures agree in
     ``similarity - 0.15`` of the slots, which a pair at the threshold misses
     with probability 2e-4 and which also decides for the leaders.  No pair is
@@ -219,10 +220,11 @@ def near_duplicates(
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     inside = written(spread.join(sizes, "bucket"), "bucket")
     met = inside.join(inside.groupBy("node").agg(F.sum("n").alias("met")), "node")
+    draw = F.struct(F.xxhash64("node", "bucket"), "node")
     leaders = met.groupBy("bucket").agg(
-        F.max(F.struct("met", -F.col("node"))).alias("l1"), F.min(F.struct(F.xxhash64("node"), "node")).alias("l2")
+        F.max(F.struct("met", -F.col("node"))).alias("l1"), F.min(draw).alias("l2"), F.max(draw).alias("l3")
     )
-    leaders = leaders.select("bucket", F.array((-F.col("l1.col2")), F.col("l2.node")).alias("leaders"))
+    leaders = leaders.select("bucket", F.array((-F.col("l1.col2")), F.col("l2.node"), F.col("l3.node")).alias("leaders"))
     stars = inside.join(leaders, "bucket").select("node", F.explode("leaders").alias("leader")).where("node != leader")
     pairs = written(
         stars.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "pairs"
