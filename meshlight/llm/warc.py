@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, tune, written
+from .common import key_words, maybe_among, new_path, tune, written
 
 DATA, INDEX = "archive/data.warc", "indexes/index.cdxj"
 RANGE_BYTES = 4 << 20  # records read at once
@@ -95,7 +95,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     Of rows with equal payloads (null html is the empty one) those with the
     largest page_id are responses, the others revisits.  Digests alone are
     grouped, summed before they are exchanged, so a large group of copies is one
-    row; pages then meet their decision by page_id.  Each attempt of a task
+    row; pages that may have an equal then meet their decision by page_id.  Each attempt of a task
     writes a file of its own and only the files of tasks that succeeded reach
     the manifest.  A row with a null page_id cannot be referred to; it is a
     response or a revisit like any other.  No rows give no archives.
@@ -108,8 +108,12 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     groups = digests.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     links = digests.join(groups, "digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
     links = links.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "first").distinct()
+    # Only rows that may have an equal are exchanged; the others are written where they are read.
+    hashed = maybe_among(rows, key_words(groups, F.xxhash64("digest")), F.xxhash64(F.unhex(F.sha1("html"))))
     on = F.col("page_id").eqNullSafe(F.col("_id")) & (F.unhex(F.sha1("html")) == F.col("_digest"))
-    marked = rows.join(links, on, "left").select("page_id", "url", "html", "first")
+    columns = ["page_id", "url", "html", "first"]
+    alone = hashed.where("not __mesh_maybe").withColumn("first", F.lit(None).cast("long")).select(*columns)
+    marked = alone.union(hashed.where("__mesh_maybe").join(links, on, "left").select(*columns))
     date = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +150,7 @@ def directory(source, size: int) -> list[Member]:
     tail = min(size, 65_557)
     end = read_at(source, size - tail, tail)
     at = end.rfind(b"PK\x05\x06")
-    while at >= 0 and at + 22 + struct.unpack_from("<H", end, at + 20)[0] > len(end):
+    while at >= 0 and (at + 22 > len(end) or at + 22 + struct.unpack_from("<H", end, at + 20)[0] != len(end)):
         at = end.rfind(b"PK\x05\x06", 0, at)  # such bytes inside a comment
     if at < 0:
         raise ValueError("no end of central directory")
