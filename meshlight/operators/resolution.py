@@ -9,6 +9,7 @@ from ..functions import paths as P
 from ..functions import text as T
 from ..sources import extract as X
 from .names import enclosing_block, peer_callers
+from .storage import save
 
 
 def callers_with_peers(nodes: DataFrame, edges: DataFrame, seed: DataFrame) -> DataFrame:
@@ -111,6 +112,7 @@ def ts_reexport(exports: DataFrame, most: int = 8) -> DataFrame:
         rows = found.union(named).union(star).distinct()
         best = rows.withColumn("top", F.max("named").over(Window.partitionBy("file", "name"))).where("named = top").drop("top")
         found = best.groupBy("file", "name", "named").agg(F.min("origin").alias("origin"), F.countDistinct("origin").alias("n")).where("n = 1").select("file", "name", "origin", "named")
+        found = save(found, "reexport")  # else the plan would treble in every round
     return found.select("file", "name", "origin")
 
 
