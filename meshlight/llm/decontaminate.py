@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune, written
+from .common import tune
 from .tokens import U64, chunks, span_hash, split_words
 
 WINDOW = 10
@@ -123,7 +123,11 @@ def _runs(hit: np.ndarray) -> list[dict]:
     return [{"first": int(a), "last": int(b) - 1} for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def _one_block(docs: DataFrame, ids: list[str], texts: list[str], window: int, extra: str = "") -> DataFrame:
+_FOUND = ("n_words", "n_hit", "items", "hit")
+
+
+def _one_block(docs: DataFrame, ids: list[str], texts: list[str], window: int, extra: str = "", earlier: bool = False) -> DataFrame:
+    """The rows with what the block hits; with ``earlier`` on top of what they carry from blocks before."""
     spark = docs.sparkSession
     tune(spark)
     shared = spark.sparkContext.broadcast((ids, texts))
@@ -137,6 +141,11 @@ def _one_block(docs: DataFrame, ids: list[str], texts: list[str], window: int, e
                 hit, pairs = match(span_hash(folded, words.start, words.end), words.first, bench)
                 docs_ = len(t.start)
                 found: list[list[str]] = [[] for _ in range(docs_)]
+                if earlier:
+                    found = [list(x) for x in batch.column("items").slice(t.lo, docs_).to_pylist()]
+                    for d, spans in enumerate(batch.column("hit").slice(t.lo, docs_).to_pylist()):
+                        for r in spans:
+                            hit[words.first[d] + r["first"] : words.first[d] + r["last"] + 1] = True
                 for d, i in pairs.tolist():
                     found[d].append(bench.ids[i])
                 counts = np.bincount(words.doc[hit], minlength=docs_)
@@ -148,9 +157,8 @@ def _one_block(docs: DataFrame, ids: list[str], texts: list[str], window: int, e
                 continue
             kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
             cols = [pa.array(np.concatenate(n_words)), pa.array(np.concatenate(n_hit).astype(np.int64)), pa.array(items, pa.list_(pa.string())), pa.array(runs, kind)]
-            kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text" or extra]
-            names = [name for name in batch.schema.names if name != "text" or extra]
-            yield pa.RecordBatch.from_arrays([*kept, *cols], [*names, "n_words", "n_hit", "items", "hit"])
+            names = [name for name in batch.schema.names if (name != "text" or extra) and not (earlier and name in _FOUND)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in names), *cols], [*names, *_FOUND])
 
     return docs.mapInArrow(run, _SCHEMA if not extra else extra + _SCHEMA.removeprefix("doc_id long"))
 
@@ -177,23 +185,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     as sorted strings; ``hit`` the runs of hit words (indices, both inclusive).
     Null text has no words; items with null id or without words match nothing;
     items that share an id count as one.  An empty benchmark hits nothing.
-    With several blocks rows are merged by doc_id, which must then be unique.
+    Rows are treated alone, in one block or several: repeats and null ids stay.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = [_one_block(docs, ids, texts, window) for ids, texts in _blocks(benchmark, block_words)]
-    if len(parts) == 1:
-        return parts[0].withColumn("items", F.array_sort(F.array_distinct("items")))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
-    words = F.flatten(F.transform(F.flatten(F.collect_list("hit")), lambda r: F.sequence(r["first"], r["last"])))
-    merged = written(every, "contamination").groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(words)).alias("_w"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    single = F.transform("_w", lambda w: F.struct(w.alias("first"), w.alias("last")))
-    return merged.select("doc_id", "n_words", F.size("_w").cast("long").alias("n_hit"), "items", single.alias("hit"))
+    blocks = _blocks(benchmark, block_words)
+    block, after = next(blocks), next(blocks, None)
+    if after is None:
+        found = _one_block(docs, *block, window)
+    else:
+        # the text and the marks go from block to block in each row
+        found = _one_block(docs, *block, window, "doc_id long, text string")
+        while after is not None:
+            found, after = _one_block(found, *after, window, "doc_id long, text string", earlier=True), next(blocks, None)
+    return found.select("doc_id", "n_words", "n_hit", F.array_sort(F.array_distinct("items")).alias("items"), "hit")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -1,10 +1,9 @@
 """Work that must not be left out: cases that a shorter way would miss."""
 
+import collections
 import random
 
-from pyspark.sql import functions as F
-
-from meshlight.llm import substring
+from meshlight.llm import decontaminate, substring
 
 
 def _own(seed, n):
@@ -30,3 +29,20 @@ def test_repeats_of_short_units_and_without_stops(spark):
     assert set(cut) == {2, 3, 4} | {2000 + i for i in range(40)}
     left = {r.doc_id: r.text for r in substring.remove_repeats(t).collect()}
     assert left[1] == short and left[4] == "" and left[2] == "Own words are here.\n\nAnd more."
+
+
+def test_blocks_keep_null_and_repeated_rows(spark):
+    a, b = " ".join(_own(1, 15)), " ".join(_own(2, 12))
+    rows = [(1, f"x {a} y {b}"), (1, f"x {a} y {b}"), (1, a), (None, f"{b} z"), (None, "nothing"), (None, None), (2, f"{a} {b}"), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([("7", a), ("8", b), ("9", a)], "item_id string, text string")
+
+    def found(**kw):
+        got = decontaminate.contamination(docs, bench, **kw).collect()
+        return collections.Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), tuple(map(tuple, r.hit))) for r in got)
+
+    want = collections.Counter({
+        (1, 29, 27, ("7", "8", "9"), ((1, 15), (17, 28))): 2, (1, 15, 15, ("7", "9"), ((0, 14),)): 1, (None, 13, 12, ("8",), ((0, 11),)): 1,
+        (None, 1, 0, (), ()): 1, (None, 0, 0, (), ()): 1, (2, 27, 27, ("7", "8", "9"), ((0, 26),)): 1, (3, 0, 0, (), ()): 1,
+    })
+    assert found() == want and found(block_words=4) == want
