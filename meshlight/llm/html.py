@@ -3,7 +3,9 @@
 The page is read into a tree; every paragraph passes points for its length and
 its commas to its ancestors, and the points of a container are discounted by the
 share of its text that is links.  The best container is kept, with siblings that
-score or read alike; what is boilerplate by its tag or its name is left out.
+score or read alike; what is boilerplate by its tag or its name is left out.  A
+form or a container with a name of boilerplate that may hold the article counts
+for less instead, and is left out only where the better part lies outside it.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ JUNK = re.compile(
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+#: A container with this share of the page's text is not boilerplate by its name alone; ``LOW`` is what its points count.
+LARGE_SHARE, LOW = 0.5, 0.25
 GOOD = re.compile(r"article|body|content|entry|hentry|main|page|post|text|blog|story", re.I)
 
 _TOKEN = re.compile(
@@ -60,10 +64,11 @@ _P_STOPS = frozenset("article aside blockquote body button dd div fieldset figur
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "parent", "score", "own")
+    __slots__ = ("tag", "attrs", "kids", "parent", "score", "own", "low", "plain")
 
     def __init__(self, tag: str, attrs: str = "", parent: Node | None = None):
         self.tag, self.attrs, self.parent, self.kids, self.score, self.own = tag, attrs, parent, [], 0.0, False
+        self.low, self.plain = False, 0
 
 
 def parse(page: str) -> Node:
@@ -132,9 +137,27 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)} if raw.strip() else {}
 
 
-def _is_junk(node: Node) -> bool:
+def _measure(root: Node) -> None:
+    """Sets ``plain`` of every node: the length of the text below that is in no link and no boilerplate tag."""
+    for node in reversed(list(_walk(root))):
+        if node.tag == "a" or node.tag in CHROME and node.tag != "form":
+            continue
+        node.plain = sum(len(k.strip()) if isinstance(k, str) else k.plain for k in node.kids)
+
+
+def _may_hold_text(node: Node, page: int) -> bool:
+    if node.tag not in BLOCK or not node.plain:
+        return False
+    a = _attributes(node.attrs)
+    if GOOD.search(f"{a.get('class', '')} {a.get('id', '')}") or node.plain >= LARGE_SHARE * page:
+        return True
+    return any(n.tag in ("article", "main") and n.plain for n in _walk(node))
+
+
+def _is_junk(node: Node, page: int) -> bool:
+    """Whether a node is boilerplate; one that may hold the article is not, and gets ``low``."""
     tag = node.tag
-    if tag in CHROME:
+    if tag in CHROME and tag != "form":
         return True
     a = _attributes(node.attrs)
     if tag == "header":
@@ -143,23 +166,28 @@ def _is_junk(node: Node) -> bool:
             up = up.parent
         if up is None:
             return True
-    if not a or tag in ("html", "body", "article", "main"):
+    if not a and tag != "form" or tag in ("html", "body", "article", "main"):
         return False
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
         return True
-    return any(JUNK.search(a.get(k, "")) for k in ("class", "id")) and not (tag in ("p", "h1", "h2") and GOOD.search(a.get("class", "")))
+    named = any(JUNK.search(a.get(k, "")) for k in ("class", "id")) and not (tag in ("p", "h1", "h2") and GOOD.search(a.get("class", "")))
+    if not named and tag != "form":
+        return False
+    node.low = _may_hold_text(node, page)
+    return not node.low
 
 
-def _prune(node: Node) -> None:
+def _prune(node: Node, page: int) -> None:
     """Drops boilerplate below the node and marks nodes that hold text of their own."""
     kept = []
     for kid in node.kids:
         if isinstance(kid, str):
             node.own = node.own or not kid.isspace()
             kept.append(kid)
-        elif not _is_junk(kid):
+        elif not _is_junk(kid, page):
+            kid.low = kid.low or node.low  # what is inside counts for less as well
             kept.append(kid)
     node.kids = kept
 
@@ -202,8 +230,9 @@ def _passed(node: Node, points: float) -> None:
 
 def main_node(root: Node) -> list[Node]:
     """The best container and the siblings that belong to it, in page order."""
+    _measure(root)
     for node in _walk(root):
-        _prune(node)
+        _prune(node, root.plain)
     scored: list[Node] = []
     for node in _walk(root):
         if node.tag in ("p", "pre", "td", "blockquote", "li", "h1", "h2", "h3") or node.tag in ("div", "section", "article", "main") and node.own:
@@ -213,7 +242,7 @@ def main_node(root: Node) -> list[Node]:
             share = 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)
             if node.tag in ("li", "h1", "h2", "h3"):
                 share *= 0.25
-            share *= 1 - min(1.0, linked / len(text))
+            share *= (1 - min(1.0, linked / len(text))) * (LOW if node.low else 1)
             if node.tag in ("div", "section", "article", "main"):
                 node.score += share
             _passed(node, share)
@@ -226,7 +255,8 @@ def main_node(root: Node) -> list[Node]:
             continue
         a = _attributes(node.attrs)
         name = f"{a.get('class', '')} {a.get('id', '')} {a.get('itemprop', '')}"
-        total = (node.score + _BASE.get(node.tag, 0) + (15 if GOOD.search(name) else 0)) * (1 - min(1.0, linked / len(text)))
+        extra = _BASE.get(node.tag, 0) + (15 if GOOD.search(name) else 0)
+        total = (node.score + extra * (LOW if node.low and extra > 0 else 1)) * (1 - min(1.0, linked / len(text)))
         finals[id(node)] = total
         if total > best_score:
             best, best_score = node, total
@@ -262,6 +292,20 @@ def main_node(root: Node) -> list[Node]:
     return kept or [best]
 
 
+def without_low(nodes: list[Node]) -> list[Node]:
+    """Leaves the ``low`` containers inside out, unless they hold more text than the rest."""
+    inside = [n for node in nodes if not node.low for n in _walk(node) if n is not node and n.low and not n.parent.low]
+    if inside and sum(_plain_length(n) for n in inside) < 0.5 * sum(_plain_length(n) for n in nodes):
+        for n in inside:
+            n.parent.kids = [k for k in n.parent.kids if k is not n]
+    return nodes
+
+
+def _plain_length(node: Node) -> int:
+    text, linked = _plain(node)
+    return len(text) - linked
+
+
 def blocks(nodes: list[Node]) -> list[str]:
     """Texts of the blocks in page order, white space turned into single spaces."""
     out: list[str] = []
@@ -296,7 +340,7 @@ def extract(page: str | None) -> str:
     """Main text of a page; empty if there is none.  Null reads as empty."""
     if not page:
         return ""
-    return "\n".join(blocks(main_node(parse(page))))
+    return "\n".join(blocks(without_low(main_node(parse(page)))))
 
 
 def _run(batch: pa.RecordBatch) -> pa.RecordBatch:

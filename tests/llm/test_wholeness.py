@@ -3,7 +3,9 @@
 import collections
 import random
 
-from meshlight.llm import decontaminate, substring
+import pytest
+
+from meshlight.llm import decontaminate, html, substring
 
 
 def _own(seed, n):
@@ -46,3 +48,30 @@ def test_blocks_keep_null_and_repeated_rows(spark):
         (None, 1, 0, (), ()): 1, (None, 0, 0, (), ()): 1, (2, 27, 27, ("7", "8", "9"), ((0, 26),)): 1, (3, 0, 0, (), ()): 1,
     })
     assert found() == want and found(block_words=4) == want
+
+
+BODY = [f"Paragraph {i} of the story, which has commas, and is long enough to count as text of the page." for i in range(6)]
+STORY = "".join(f"<p>{p}</p>" for p in BODY)
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "layout with-sidebar", "content no-comments", "post has-tags tags-news", "elementor-widget elementor-widget-text-editor"])
+def test_wrappers_named_like_boilerplate_keep_the_article(name):
+    for inner in (STORY, f"<div>{STORY}</div>", f"<article>{STORY}</article>"):
+        assert html.extract(f'<body><div class="{name}">{inner}</div><div class="sidebar"><p>Other things, to see.</p></div></body>').split("\n") == BODY
+
+
+def test_form_around_the_page_and_widgets():
+    assert html.extract(f"<body><form action=x><div>{STORY}</div></form></body>").split("\n") == BODY
+    assert html.extract(f"<body><form><div>{STORY}</div><form><p>Mail, please.</p></form></form></body>").split("\n")[: len(BODY)] == BODY
+    widgets = "".join(f'<div class="elementor-widget elementor-widget-text-editor"><p>{p}</p></div>' for p in BODY)
+    assert html.extract(f"<body><div>{widgets}</div></body>").split("\n") == BODY
+
+
+def test_boilerplate_by_name_stays_out():
+    junk = "<p>Something else to read, with a comma.</p>"
+    for name in ("related-posts", "sidebar", "comments", "footer-text", "share"):
+        assert html.extract(f'<body><article>{STORY}<div class="{name}">{junk}</div></article></body>').split("\n") == BODY
+        assert html.extract(f'<body><div class="story">{STORY}</div><div class="{name}">{junk}</div></body>').split("\n") == BODY
+    assert html.extract(f"<body><div>{STORY}</div><form>{junk}</form></body>").split("\n") == BODY
+    many = "".join(f'<li><article class="comment-body">{junk * 2}</article></li>' for _ in range(3))
+    assert html.extract(f'<body><article>{STORY}</article><ol class="comment-list">{many}</ol></body>').split("\n") == BODY
