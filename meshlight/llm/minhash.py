@@ -11,7 +11,9 @@ ascending time and a process stops once its time passes the largest slot of its
 document, which takes about ``n + m log m`` points instead of ``n * m``.
 
 Candidates share a band of slots and agree in enough slots of a short signature
-(eight bits a slot); each is verified on the exact multiset overlap.
+(eight bits a slot); each is verified on the exact multiset overlap.  Buckets of
+many members that the leaders leave apart are compared in blocks instead, on the
+exact overlap of all their members.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .tokens import CHUNK_BYTES, U64, chunks, group_hash, mix, shingles, span_ha
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 SLOTS = BANDS * ROWS
+SMALL = 64  # members of a bucket whose pairs are joined; larger ones are compared in blocks
+BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20
 LANES = 7  # slots in a long of the short signature: eight bits and a guard bit each
 
 
@@ -83,7 +87,7 @@ def _sketch(k: int, bands: int, rows: int):
     slots = bands * rows
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, shorts, buckets, some = [], [], [], []
+        keys, shorts, buckets, some, sizes = [], [], [], [], []
         for t in chunks(batch.column("text")):
             words, folded = split_words(t)
             h = span_hash(folded, words.start, words.end)
@@ -103,13 +107,14 @@ def _sketch(k: int, bands: int, rows: int):
             short = short.reshape(n, -1, LANES) << (np.arange(LANES, dtype=U64) * U64(9))
             shorts.append(np.bitwise_or.reduce(short, axis=2).view(np.int64))
             some.append(~empty)
+            sizes.append(t.end - t.start)
         key = np.concatenate(keys)
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id").cast(pa.int64()), pa.array(key[:, 0].view(np.int64)), pa.array(key[:, 1].view(np.int64)),
-                pa.array(np.concatenate(some)), _lists(np.concatenate(shorts)), _lists(np.concatenate(buckets)),
+                pa.array(np.concatenate(some)), pa.array(np.concatenate(sizes).astype(np.int64)), _lists(np.concatenate(shorts)), _lists(np.concatenate(buckets)),
             ],
-            ["doc_id", "k1", "k2", "words", "sig", "buckets"],
+            ["doc_id", "k1", "k2", "words", "size", "sig", "buckets"],
         )
 
     return run
@@ -159,6 +164,98 @@ def _verify(k: int):
     return run
 
 
+def _units(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per text its shingles, the n-th occurrence of one as a unit of its own, so that overlaps of sets are those of bags."""
+    units, owner = [], []
+    for t in chunks(texts):
+        words, folded = split_words(t)
+        h, doc, count = bag(*shingles(span_hash(folded, words.start, words.end), words.first, k))
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        units.append(mix(np.repeat(h, count) + nth.astype(U64) * U64(0xD6E8FEB86659FD93)))
+        owner.append(np.repeat(doc, count) + t.lo)
+    return (np.concatenate(units), np.concatenate(owner)) if units else (np.zeros(0, U64), np.zeros(0, np.int64))
+
+
+def overlaps(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], rows: int, cols: int) -> np.ndarray:
+    """Number of units that text i of ``a`` and text j of ``b`` share, for all i < rows and j < cols.
+
+    Units that many texts hold go through a matrix product, a block of units at
+    a time; for the others the pairs of texts that hold them are counted.
+    """
+    out = np.zeros((rows, cols))
+    known = np.intersect1d(a[0], b[0])
+    if not len(known):
+        return out
+    sides = []
+    for units, owner in (a, b):
+        at = np.searchsorted(known, units)
+        mine = known[np.minimum(at, len(known) - 1)] == units
+        order = np.argsort(at[mine], kind="stable")
+        sides.append((at[mine][order], owner[mine][order]))
+    (au, ao), (bu, bo) = sides
+    na, nb = np.bincount(au, minlength=len(known)), np.bincount(bu, minlength=len(known))
+    dense = na * nb * 64 >= rows * cols
+    column = np.cumsum(dense) - 1
+    for lo in range(0, int(dense.sum()), 1024):
+        x, y = np.zeros((rows, 1024), np.float32), np.zeros((cols, 1024), np.float32)
+        for m, u, o in ((x, au, ao), (y, bu, bo)):
+            use = dense[u] & (column[u] >= lo) & (column[u] < lo + 1024)
+            m[o[use], column[u[use]] - lo] = 1
+        out += x @ y.T
+    light = np.flatnonzero(~dense[au])
+    per, start = nb[au[light]], (np.cumsum(nb) - nb)[au[light]]
+    done = np.cumsum(per)
+    lo = 0
+    while lo < len(light):
+        hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + (4 << 20), "right")))
+        n = per[lo:hi]
+        j = np.repeat(start[lo:hi], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out += np.bincount(np.repeat(ao[light[lo:hi]], n) * cols + bo[j], minlength=rows * cols).reshape(rows, cols)
+        lo = hi
+    return out
+
+
+def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """One row for each node but the first of every component of the bipartite links: (a node, the component's least)."""
+    out, free = [], linked.any(axis=1)
+    while free.any():
+        rows, cols = np.zeros(len(left), bool), np.zeros(len(right), bool)
+        rows[np.argmax(free)] = True
+        while True:
+            cols = linked[rows].any(axis=0)
+            more = rows | linked[:, cols].any(axis=1)
+            if (more == rows).all():
+                break
+            rows = more
+        free &= ~rows
+        nodes = np.unique(np.concatenate([left[rows], right[cols]]))
+        out += [(int(x), int(nodes[0])) for x in nodes[1:]]
+    return out
+
+
+def _compare(k: int, threshold: float):
+    """Links of a pair of blocks; the rows of its left block have ``side`` 0, of its right 1, of a block with itself 2."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        side, node = group.column("side").to_numpy(), group.column("node").to_numpy()
+        units, owner = _units(group.column("text").combine_chunks(), k)
+        size = np.bincount(owner, minlength=len(node))
+        parts = []
+        for mine in (side != 1, side != 0):
+            new = np.cumsum(mine) - 1
+            use = mine[owner]
+            parts.append((units[use], new[owner[use]]))
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        common = overlaps(*parts, len(left), len(right))
+        linked = common >= threshold * (size[left][:, None] + size[right][None, :] - common)
+        linked &= node[left][:, None] != node[right][None, :]
+        found = _forest(linked, node[left], node[right])
+        return pa.table({"a": pa.array([y for _, y in found], pa.int64()), "b": pa.array([x for x, _ in found], pa.int64())})
+
+    return run
+
+
 def wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one of ``ids(doc_id)``, each doc_id once.
 
@@ -178,27 +275,63 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: float) -> Dat
     return arrow_map(both, _verify(k), "a long, b long, similarity double").where(F.col("similarity") >= threshold)
 
 
+def _in_blocks(members: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) that connect what the exact links within each bucket of ``members(bucket, node, component, size)`` connect.
+
+    The members outside a bucket's largest component are compared with each
+    other and with that component, in blocks of about ``BLOCK_ROWS`` texts or
+    ``BLOCK_BYTES``; each pair of blocks is a task's group of its own, so none
+    grows with the bucket, and only a spanning forest of its links comes out.
+    """
+    per = members.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    top = per.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "bytes", "component")).alias("top"))
+
+    def blocks(n, size):
+        return F.ceil(F.greatest(n / BLOCK_ROWS, size / BLOCK_BYTES, F.lit(1e-9))).cast("int")
+
+    top = top.select(
+        "bucket", F.col("top.component").alias("core"), blocks(F.col("top.n"), F.col("top.bytes")).alias("inner"),
+        blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("outer"),
+    )
+    rows = members.join(top, "bucket").withColumn("is_core", F.col("component") == F.col("core"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.when(F.col("is_core"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
+
+    def key(kind, i, j, side):
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+
+    own, outer, inner = F.col("block"), F.sequence(F.lit(0), F.col("outer") - 1), F.sequence(F.lit(0), F.col("inner") - 1)
+    with_core = F.transform(inner, lambda j: key(1, own, j, F.lit(0)))
+    with_outer = F.transform(outer, lambda j: key(0, F.least(own, j), F.greatest(own, j), F.when(own < j, 0).when(own > j, 1).otherwise(2)))
+    from_core = F.transform(outer, lambda i: key(1, i, own, F.lit(1)))
+    meets = F.when(F.col("is_core"), from_core).otherwise(F.concat(with_core, with_outer))
+    texts = wanted(docs, members.select(F.col("node").alias("doc_id")).distinct()).select(F.col("doc_id").alias("node"), "text")
+    rows = rows.select("bucket", "node", meets.alias("meets")).join(texts.hint("shuffle_merge"), "node")
+    rows = rows.select("bucket", "node", "text", F.explode("meets").alias("m")).select("bucket", "node", "text", "m.*")
+    return rows.groupBy("bucket", "kind", "i", "j").applyInArrow(_compare(k, threshold), "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """``(doc_id, class_id, n_links, keep)``, one row for each row of ``docs(doc_id, text)``.
+    """``(doc_id, class_id, keep)``, one row for each row of ``docs(doc_id, text)``.
 
     A class is a connected component of the links: equal word sequences, or a
     multiset Jaccard similarity of ``words``-word shingles of at least
     ``similarity``.  ``class_id`` is the least doc_id of the class, whose row is
-    kept; ``n_links`` counts the verified links of the row's word sequence to
-    other sequences.  With 24 bands of 4 slots a pair at the threshold shares no
-    band with probability below 4e-6.
+    kept.  With 24 bands of 4 slots a pair at the threshold shares no band with
+    probability below 4e-6.
 
     Equal texts are one node from the start, so a group of copies costs one
     node.  In every bucket three leaders are compared with all members: the member
     that meets most others over its buckets, which the others are copies of if
     any is, and two drawn by a hash of node and bucket, so that a member of a large
-    group meets other ones in each of its buckets.  Pairs of a bucket that are in different
-    components after that are compared too, whenever their signatures agree in
-    ``similarity - 0.15`` of the slots, which a pair at the threshold misses
-    with probability 2e-4 and which also decides for the leaders.  No pair is
-    left out by a cap.
+    group meets other ones in each of its buckets.  Pairs of a bucket that are in
+    different components after that are compared too: in a bucket of at most
+    ``SMALL`` members whenever their signatures agree in ``similarity - 0.15`` of
+    the slots, which a pair at the threshold misses with probability 2e-4 and
+    which also decides for the leaders; in a larger one all of them, in blocks.
+    No pair is left out by a cap.  The time for a large bucket whose members stay
+    apart grows with the square of their number, its rows and memory do not.
 
     Null text reads as empty; texts without words are alike only if equal.
     Rows that share a doc_id belong to one class.  Rows with a null doc_id form
@@ -208,15 +341,15 @@ def near_duplicates(
     slots = bands * rows
     least = int((similarity - 0.15) * slots)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    schema = "doc_id long, k1 long, k2 long, words boolean, sig array<long>, buckets array<long>"
+    schema = "doc_id long, k1 long, k2 long, words boolean, size long, sig array<long>, buckets array<long>"
     sketch = written(arrow_map(docs, _sketch(words, bands, rows), schema), "sketch")
     keyed = sketch.where("doc_id is not null")
     nodes = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
     member = written(keyed.select("doc_id", "k1", "k2").join(nodes, ["k1", "k2"]).select("doc_id", "node"), "member")
     reps = member.where("doc_id = node").select("node").distinct()
-    sigs = keyed.where("words").select(F.col("doc_id").alias("node"), "sig", "buckets")
+    sigs = keyed.where("words").select(F.col("doc_id").alias("node"), "size", "sig", "buckets")
     sigs = written(sigs.join(reps.hint("shuffle_merge"), "node", "left_semi").dropDuplicates(["node"]), "signature")
-    spread = sigs.select("node", F.explode("buckets").alias("bucket"))
+    spread = sigs.select("node", "size", F.explode("buckets").alias("bucket"))
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     inside = written(spread.join(sizes, "bucket"), "bucket")
     met = inside.join(inside.groupBy("node").agg(F.sum("n").alias("met")), "node")
@@ -234,29 +367,22 @@ def near_duplicates(
     close = written(close.where(_agreeing("x", "y", slots) >= least).select("a", "b"), "close")
     # The same document under two texts: one class.
     shared = member.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("u")).where("u != v").select("u", "v")
-    links = written(verified(close, docs, words, similarity), "links")
+    links = written(verified(close, docs, words, similarity).select("a", "b"), "links")
     parts = written(connected_components(links.select(F.col("b").alias("u"), F.col("a").alias("v")).union(shared), written), "parts")
 
-    # Pairs that still lie in different components of one bucket.
-    comp = inside.select("bucket", "node").join(parts, "node", "left").select(
-        "bucket", "node", F.coalesce("component", "node").alias("component")
-    )
+    # Members that still lie in different components of one bucket.
+    comp = inside.select("bucket", "node", "size", "n").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = comp.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    open_ = comp.join(split.select("bucket"), "bucket", "left_semi").join(sig, "node")
-    open_ = written(open_, "open")
-    x, y = open_.alias("x"), open_.alias("y").hint("shuffle_merge")
+    open_ = written(comp.join(split.select("bucket"), "bucket", "left_semi"), "open")
+    few = open_.where(F.col("n") <= SMALL).join(sig, "node")
+    x, y = few.alias("x"), few.alias("y").hint("shuffle_merge")
     apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
     rest = x.join(y, apart & (_agreeing("x", "y", slots) >= least)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     rest = written(rest.join(pairs.hint("shuffle_merge"), ["a", "b"], "left_anti"), "rest")
-    more = written(verified(rest, docs, words, similarity), "more")
-    every = links.union(more)
+    more = written(verified(rest, docs, words, similarity).select("a", "b"), "more")
+    many = written(_in_blocks(open_.where(F.col("n") > SMALL), docs, words, similarity), "blocks")
+    every = links.union(more).union(many)
     final = connected_components(every.select(F.col("b").alias("u"), F.col("a").alias("v")).union(shared), written)
-    degree = every.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    known = member.join(final, "node", "left").join(degree, "node", "left")
-    known = known.select(
-        "doc_id", F.coalesce("component", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
-    none = sketch.where("doc_id is null").select(
-        "doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")
-    )
+    known = member.join(final, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id"))
+    none = sketch.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"))
     return known.union(none).withColumn("keep", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))

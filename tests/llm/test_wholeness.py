@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from meshlight.llm import decontaminate, html, substring
+from meshlight.llm import decontaminate, html, minhash, substring
 
 
 def _own(seed, n):
@@ -75,3 +75,40 @@ def test_boilerplate_by_name_stays_out():
     assert html.extract(f"<body><div>{STORY}</div><form>{junk}</form></body>").split("\n") == BODY
     many = "".join(f'<li><article class="comment-body">{junk * 2}</article></li>' for _ in range(3))
     assert html.extract(f'<body><article>{STORY}</article><ol class="comment-list">{many}</ol></body>').split("\n") == BODY
+
+
+def test_near_copies_of_a_large_group_by_brute_force(spark, monkeypatch):
+    # copies with 0 to 14 words changed, of which few reach 0.8, and chains of copies of copies
+    r = random.Random(5)
+    base = _own(900, 150)
+    rows = []
+    for i in range(240):
+        w = list(rows[-1][1].split()) if i % 9 and i > 200 else list(base)
+        for at in r.sample(range(150), r.randrange(15)):
+            w[at] = f"n{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, "same words again " * n) for i, n in enumerate((10, 11, 12, 20, 21, 40))]
+    want = _classes(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for small, block in ((64, 512), (8, 512), (8, 16)):
+        monkeypatch.setattr(minhash, "SMALL", small)
+        monkeypatch.setattr(minhash, "BLOCK_ROWS", block)
+        got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+        assert got == want
+    assert 20 < len(set(want.values())) < 200
+
+
+def _classes(rows):
+    bags = {d: collections.Counter(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for d, t in rows}
+    root = {d: d for d in bags}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a, x in bags.items():
+        for b, y in bags.items():
+            if a < b and sum((x & y).values()) >= 0.8 * sum((x | y).values()) and find(a) != find(b):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {d: find(d) for d in bags}
