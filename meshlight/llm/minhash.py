@@ -31,8 +31,8 @@ from .tokens import CHUNK_BYTES, U64, chunks, group_hash, mix, shingles, span_ha
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 SLOTS = BANDS * ROWS
-SMALL = 64  # members of a bucket whose pairs are joined; larger ones are compared in blocks
-BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20
+SMALL = 32  # members of a bucket whose pairs are joined; larger ones are compared in blocks
+BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
 LANES = 7  # slots in a long of the short signature: eight bits and a guard bit each
 
 
@@ -207,7 +207,7 @@ def overlaps(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     done = np.cumsum(per)
     lo = 0
     while lo < len(light):
-        hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + (4 << 20), "right")))
+        hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + (1 << 20), "right")))
         n = per[lo:hi]
         j = np.repeat(start[lo:hi], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         out += np.bincount(np.repeat(ao[light[lo:hi]], n) * cols + bo[j], minlength=rows * cols).reshape(rows, cols)
@@ -322,16 +322,15 @@ def near_duplicates(
     probability below 4e-6.
 
     Equal texts are one node from the start, so a group of copies costs one
-    node.  In every bucket three leaders are compared with all members: the member
-    that meets most others over its buckets, which the others are copies of if
-    any is, and two drawn by a hash of node and bucket, so that a member of a large
-    group meets other ones in each of its buckets.  Pairs of a bucket that are in
-    different components after that are compared too: in a bucket of at most
-    ``SMALL`` members whenever their signatures agree in ``similarity - 0.15`` of
-    the slots, which a pair at the threshold misses with probability 2e-4 and
-    which also decides for the leaders; in a larger one all of them, in blocks.
-    No pair is left out by a cap.  The time for a large bucket whose members stay
-    apart grows with the square of their number, its rows and memory do not.
+    node.  In every bucket a leader is compared with all members: the member that
+    meets most others over its buckets, which the others are copies of if any is.
+    Pairs of a bucket that are in different components after that are compared
+    too: in a bucket of at most ``SMALL`` members whenever their signatures agree
+    in ``similarity - 0.15`` of the slots, which a pair at the threshold misses
+    with probability 2e-4 and which also decides for the leader; in a larger one
+    all of them, in blocks.  No pair is left out by a cap.  The time for a large
+    bucket whose members stay apart grows with the square of their number, its
+    rows and memory do not.
 
     Null text reads as empty; texts without words are alike only if equal.
     Rows that share a doc_id belong to one class.  Rows with a null doc_id form
@@ -353,12 +352,8 @@ def near_duplicates(
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     inside = written(spread.join(sizes, "bucket"), "bucket")
     met = inside.join(inside.groupBy("node").agg(F.sum("n").alias("met")), "node")
-    draw = F.struct(F.xxhash64("node", "bucket"), "node")
-    leaders = met.groupBy("bucket").agg(
-        F.max(F.struct("met", -F.col("node"))).alias("l1"), F.min(draw).alias("l2"), F.max(draw).alias("l3")
-    )
-    leaders = leaders.select("bucket", F.array((-F.col("l1.col2")), F.col("l2.node"), F.col("l3.node")).alias("leaders"))
-    stars = inside.join(leaders, "bucket").select("node", F.explode("leaders").alias("leader")).where("node != leader")
+    leaders = met.groupBy("bucket").agg(F.max(F.struct("met", -F.col("node"))).alias("most")).select("bucket", (-F.col("most.col2")).alias("leader"))
+    stars = inside.join(leaders, "bucket").select("node", "leader").where("node != leader")
     pairs = written(
         stars.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "pairs"
     )

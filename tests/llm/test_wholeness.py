@@ -90,7 +90,7 @@ def test_near_copies_of_a_large_group_by_brute_force(spark, monkeypatch):
     rows += [(1000 + i, "same words again " * n) for i, n in enumerate((10, 11, 12, 20, 21, 40))]
     want = _classes(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for small, block in ((64, 512), (8, 512), (8, 16)):
+    for small, block in ((32, 512), (8, 512), (8, 16)):
         monkeypatch.setattr(minhash, "SMALL", small)
         monkeypatch.setattr(minhash, "BLOCK_ROWS", block)
         got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
