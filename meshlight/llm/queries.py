@@ -10,6 +10,7 @@ from .decontaminate import contamination
 from .html import main_text
 from .media import read_texts, store_texts
 from .minhash import near_duplicates
+from .mixing import SQL as MIX_SQL
 from .mixing import mix
 from .quality import select
 from .secrets import report
@@ -72,4 +73,4 @@ QUERIES = {
         op1_minhash, op2_media, op3_warc, op4_toxicity, op5_secrets, op6_decontaminate, op7_mix, op8_quality, op9_html, op10_substring,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_mix": MIX_SQL}

@@ -167,12 +167,40 @@ def test_mixing(spark, docs, none):
             break
         full |= over
     target = {s: share.get(s, 3.0 * size[s]) for s in names}
-    taken = collections.Counter()
     for r in got:
         assert r.source_size == size[r.source] and abs(r.target - target[r.source]) < 1e-6 * total and 0 <= r.taken <= 3 * r.size
+    assert collections.Counter((r.doc_id, r.taken) for r in got) == queued(rows, {r.source: r.target for r in got}, size, int(total))
+    taken = collections.Counter()
+    for r in got:
         taken[r.source] += r.taken
-    assert all(abs(taken[s] - target[s]) <= 2 for s in names)
+    assert sum(taken.values()) == total and all(abs(taken[s] - target[s]) <= 2 for s in names)
+    # the budget ends the global order: with less of it, less is taken
+    less = mixing.mix(t, budget=500).collect()
+    assert sum(r.taken for r in less) == 500 and sorted(less) != sorted(got)
     assert mixing.mix(docs).count() == len(ROWS) and mixing.mix(none).isEmpty()
+    full = mixing.mixed(docs)
+    assert set(docs.columns) <= set(full.columns) and "__mesh_row" not in full.columns
+    assert collections.Counter((r.doc_id, r.text, r.taken) for r in full.collect()) == collections.Counter(
+        (r.doc_id, text, r.taken) for r in mixing.mix(docs).where("doc_id < 9 or doc_id > 9 or doc_id is null").collect() for text in [dict((x[0], x[1]) for x in ROWS)[r.doc_id]] if r.taken
+    ) + collections.Counter((9, "short  TEXT", r.taken) for r in mixing.mix(docs).where("doc_id = 9").collect() if r.taken)
+
+
+def queued(rows, target, size, budget):
+    """The mix by one sorted list of packets."""
+    quantum, began, packets = max(1, budget // (1000 * len(size))), collections.Counter(), []
+    shuffled = sorted((hashlib.md5(f"{'' if d is None else d}:7".encode()).hexdigest(), d, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), s) for d, t, s in rows)
+    for i, (key, d, n, s) in enumerate(shuffled):
+        for lap in range(3):
+            for part in range(0, n, quantum):
+                words = min(quantum, n - part)
+                packets.append(((began[s] + lap * size[s] + part + words) / target[s], key, d, n, i, lap, part, words))
+        began[s] += n
+    taken = [0] * len(shuffled)
+    for p in sorted(packets):
+        got = min(p[-1], budget)
+        budget -= got
+        taken[p[4]] += got
+    return collections.Counter((x[1], n) for x, n in zip(shuffled, taken, strict=True))
 
 
 def test_quality(spark, docs, none):
