@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from meshlight.llm.common import key_words, maybe_among, table, written
 from meshlight.llm.decontaminate import decontaminate
 from meshlight.llm.minhash import near_duplicates
-from meshlight.llm.mixing import mix
+from meshlight.llm.mixing import mixed
 from meshlight.llm.quality import filter_quality
 from meshlight.llm.secrets import redact
 
@@ -42,8 +42,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes words of, with the words taken and their source's target."""
-    return mix(docs).where("taken > 0")
+    """The documents that the mix takes words of, all columns, with the words taken and their source's target."""
+    return mixed(docs)
 
 
 STAGES = [
