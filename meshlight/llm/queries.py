@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import SQL as CONTAMINATION_SQL
 from .decontaminate import contamination
 from .html import main_text
 from .media import read_texts, store_texts
@@ -73,4 +74,4 @@ QUERIES = {
         op1_minhash, op2_media, op3_warc, op4_toxicity, op5_secrets, op6_decontaminate, op7_mix, op8_quality, op9_html, op10_substring,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op7_mix": MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_decontaminate": CONTAMINATION_SQL, "op7_mix": MIX_SQL}

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 
 from meshlight.llm import jpeg, secrets, warc
 from meshlight.llm.automaton import Automaton
-from meshlight.llm.decontaminate import Benchmark, match, suffix_array
+from meshlight.llm.decontaminate import Block, Shard, suffix_array
 from meshlight.llm.html import extract
 from meshlight.llm.media import feature, padded
 from meshlight.llm.minhash import bag, overlap, shingles, signatures
@@ -73,10 +73,11 @@ def test_suffix_array_and_windows():
     rng = random.Random(2)
     docs = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 60))) for _ in range(30)]
     items = [" ".join(rng.choice("abc") for _ in range(n)) for n in (1, 3, 4, 5, 9)] + ["", "zz"]
-    bench = Benchmark([str(i) for i in range(len(items))], items, 4)
+    names = [str(i) for i in range(len(items))]
     h, words = hashes(docs)
-    assert sorted(suffix_array(h).tolist()) == list(range(len(h)))
-    hit, pairs = match(h, words.first, bench)
+    assert sorted(suffix_array(h, 4).tolist()) == list(range(len(h)))
+    shard = Shard(h, words.first, 4)
+    shard.search(Block(names, items, 4))
     for d, text in enumerate(docs):
         w, marks, found = text.split(), set(), set()
         for i, item in enumerate(items):
@@ -87,8 +88,8 @@ def test_suffix_array_and_windows():
                 if tuple(w[j : j + n]) in windows:
                     found.add(i)
                     marks |= set(range(j, j + n))
-        assert set(np.flatnonzero(hit[words.first[d] : words.first[d + 1]]).tolist()) == marks
-        assert {i for x, i in pairs.tolist() if x == d} == found
+        assert set(np.flatnonzero(shard.hit[words.first[d] : words.first[d + 1]]).tolist()) == marks
+        assert {int(i) for x, i, *_ in shard.found if x == d} == found
 
 
 def base_spans(t):

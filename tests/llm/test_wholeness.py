@@ -50,6 +50,47 @@ def test_blocks_keep_null_and_repeated_rows(spark):
     assert found() == want and found(block_words=4) == want
 
 
+def _longest(doc, items, window):
+    """By brute force: hit words, and for each item the longest match, the first in the document and then in the item."""
+    hit, best = set(), {}
+    for name, item in items:
+        n = min(window, len(item))
+        for i in range(len(doc)):
+            for j in range(len(item)):
+                size = 0
+                while i + size < len(doc) and j + size < len(item) and doc[i + size] == item[j + size]:
+                    size += 1
+                if n and size >= n:
+                    hit |= set(range(i, i + size))
+                    best[name] = min(best.get(name, (0, 0, 0)), (-size, i, j))
+    return len(hit), sorted((name, -s, i, j) for name, (s, i, j) in best.items())
+
+
+@pytest.mark.parametrize("window", [4, 10, 17, 24])
+def test_longest_matches_by_brute_force(spark, window):
+    # few words, so that suffixes share long beginnings
+    r = random.Random(window)
+    items = [(str(i), [r.choice("ab") for _ in range(r.randrange(60))]) for i in range(8)] + [("5", ["a"] * 30)]
+    docs = []
+    for i in range(25):
+        doc = [r.choice("abc") for _ in range(r.randrange(30))]
+        for _ in range(r.randrange(3)):
+            item = r.choice(items)[1]
+            a = r.randrange(len(item) + 1)
+            doc += item[a : a + r.randrange(50)] + [r.choice("abcd")]
+        docs.append((None if i % 7 == 0 else i % 5, " ".join(doc)))
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id string, text string")
+    want = collections.Counter()
+    for d, text in docs:
+        n, matches = _longest(text.split(), items, window)
+        want[d, n, tuple(matches)] += 1
+    for words in (20, 1_000_000):
+        got = decontaminate.contamination(table, bench, window, words).collect()
+        assert collections.Counter((r.doc_id, r.n_hit, tuple((m["item"], m.words, m["at"], m.item_at) for m in r.matches)) for r in got) == want
+        left = decontaminate.decontaminate(table, bench, window, words).collect()
+        assert collections.Counter(r.doc_id for r in left) == collections.Counter(d for d, n, _ in want.elements() if not n)
+
+
 BODY = [f"Paragraph {i} of the story, which has commas, and is long enough to count as text of the page." for i in range(6)]
 STORY = "".join(f"<p>{p}</p>" for p in BODY)
 
