@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import forget
+
 
 def _down(edges: DataFrame) -> DataFrame:
     """Each edge once, from its larger to its smaller end."""
@@ -34,7 +36,9 @@ def connected_components(edges: DataFrame, save: Callable[[DataFrame, str], Data
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = save(_down(small.union(low.select("u", F.col("m").alias("v")))), "cc")
+        before, now = now, save(_down(small.union(low.select("u", F.col("m").alias("v")))), "cc")
+        if hasattr(before, "saved_path"):
+            forget(before)
         was, mark = mark, _fingerprint(now)
         if mark == was:
             break

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import overlay_file, reverse_dependents
+from ..operators.storage import read_pointer, write_pointer
 
 KINDS = ("create", "modify", "remove")
 
@@ -42,26 +43,29 @@ def update_batch(nodes: DataFrame, edges: DataFrame, parsed: DataFrame, changed:
 
 
 class NodeTable:
-    """Nodes in versions under a folder; a version is complete before it is pointed to."""
+    """Nodes in versions under a folder; a version is complete before the pointer in the folder names it."""
 
     def __init__(self, spark: SparkSession, path: str, schema):
         self.spark, self.path, self.schema = spark, path, schema
-        self.version: str | None = None
 
     def read(self) -> DataFrame:
-        if self.version is None:
+        now = read_pointer(self.spark, f"{self.path}/current")
+        if now is None:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.version)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{now['version']}")
 
     def upsert(self, batch: DataFrame, batch_id: int = 0) -> None:
-        """``foreachBatch`` target: the last row of each (file, name, kind) wins and keeps the id it had."""
+        """``foreachBatch`` target: the last row of each (file, name, kind) wins and keeps the id it had.
+
+        A batch that comes again after a restart changes nothing but the version.
+        """
         last = batch.groupBy("file", "name", "kind").agg(F.max(F.struct("seq", *[c for c in self.schema.names if c not in ("file", "name", "kind")])).alias("r"))
         rows = last.select("file", "name", "kind", "r.*").select(*self.schema.names)
         now = self.read()
         kept = now.join(rows.select("file", "name", "kind"), ["file", "name", "kind"], "left_anti").select(*self.schema.names)
-        target = f"{self.path}/v{batch_id}-{uuid.uuid4().hex}"
-        kept.union(overlay_file(now, rows).select(*self.schema.names)).write.parquet(target)
-        self.version = target
+        version = f"v{batch_id}-{uuid.uuid4().hex}"
+        kept.union(overlay_file(now, rows).select(*self.schema.names)).write.parquet(f"{self.path}/{version}")
+        write_pointer(self.spark, f"{self.path}/current", {"version": version})
 
 
 def watch(stream: DataFrame, table: NodeTable, checkpoint: str):
