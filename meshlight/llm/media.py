@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import jpeg
-from .common import arrow_map, written
+from .common import arrow_map, with_fields, written
 
 BATCH_BYTES = 2 << 20
 UNIT = 64
@@ -103,5 +104,5 @@ def decode_images(images: DataFrame) -> DataFrame:
     ``rgb`` is replaced.
     """
     base = images.drop("rgb")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return arrow_map(base, _tensors, schema + ", rgb struct<height:int,width:int,data:binary>")
+    kind = T.StructType([T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("data", T.BinaryType())])
+    return arrow_map(base, _tensors, with_fields(base, rgb=kind))

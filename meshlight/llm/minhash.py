@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import arrow_map, key_words, maybe_among, written
+from .common import arrow_map, forget, key_words, maybe_among, written
 from .tokens import CHUNK_BYTES, U64, chunks, group_hash, mix, shingles, span_hash, split_words
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -378,6 +378,7 @@ def near_duplicates(
     many = written(_in_blocks(open_.where(F.col("n") > SMALL), docs, words, similarity), "blocks")
     every = links.union(more).union(many)
     final = connected_components(every.select(F.col("b").alias("u"), F.col("a").alias("v")).union(shared), written)
+    forget(sigs, inside, pairs, close, links, parts, open_, rest, more, many)
     known = member.join(final, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id"))
     none = sketch.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"))
     return known.union(none).withColumn("keep", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))

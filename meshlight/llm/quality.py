@@ -9,8 +9,8 @@ Gumbel top-k trick: the k largest sums of log weight and Gumbel noise are kept.
 N-grams are tokens (words with case folded, and runs of punctuation as they are)
 and pairs of adjacent token shapes (lower, Title, UPPER, digits, the punctuation
 itself, each marked if it repeats the word before).  The target model is
-smoothed towards the raw one, so that an n-gram too rare to judge has a ratio
-near one.
+smoothed towards the raw one by ``PSEUDO`` counts, so that an n-gram too rare to
+judge has a ratio near one.
 """
 
 from __future__ import annotations
@@ -21,13 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import arrow_map, running_total, tune, written
+from .common import arrow_map, running_total, tune, with_fields, written
 from .tokens import U64, Texts, chunks, mix, span_hash
 
 BUCKETS = 10_000
 TARGET_ROWS = 50_000  # bound of the labelled sample that the target model is fitted on
-PSEUDO = 5.0
+PSEUDO = 50.0
 
 _KIND = np.full(256, 2, np.int8)  # 0 space, 1 word, 2 punctuation
 _KIND[[0x20, 9, 10, 11, 12, 13, 0xFF]] = 0
@@ -108,51 +109,50 @@ def target_sample(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
     return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = 11) -> DataFrame:
-    """``docs`` with ``log_weight`` and ``gumbel_key`` added (columns of those names are replaced)."""
+def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = 11, prefix: str = "") -> DataFrame:
+    """``docs`` with ``log_weight`` and ``gumbel_key`` added, their names after ``prefix`` (columns of those names are replaced)."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
-    base = docs.drop("log_weight", "gumbel_key")
+    weight, key = f"{prefix}log_weight", f"{prefix}gumbel_key"
+    base = docs.drop(weight, key)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = np.zeros(batch.num_rows)
         for t in chunks(batch.column("text")):
             b, doc = ngrams(t, len(shared.value))
             out[t.lo : t.hi] = np.bincount(doc, shared.value[b], t.hi - t.lo)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "log_weight"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, weight])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", log_weight double"
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return arrow_map(base, run, schema).withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
+    return arrow_map(base, run, with_fields(base, **{weight: T.DoubleType()})).withColumn(key, F.col(weight) - F.log(-F.log(uniform)))
 
 
-def threshold(keys: DataFrame) -> float:
-    """The least kept key: the k-th largest, k the number of rows whose weight is at least one."""
-    k = keys.where("log_weight >= 0").count()
+def threshold(keys: DataFrame, k: int | None = None) -> float:
+    """The least kept key: the k-th largest.  If no k is given it is the number of rows whose weight is at least one."""
+    if k is None:
+        k = keys.where("log_weight >= 0").count()
     ranked = running_total(keys.select("gumbel_key"), [-F.col("gumbel_key")], F.lit(1), "_rank")
     found = ranked.where(F.col("_rank") <= k).agg(F.min("gumbel_key")).first()[0]
     return float("inf") if found is None else found
 
 
-def select(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS) -> DataFrame:
+def select(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS, k: int | None = None) -> DataFrame:
     """The sampled rows as ``(doc_id, log_weight, gumbel_key)``.
 
-    k is the number of documents that are likelier under the target model than
-    under the raw one, so the sample size follows the corpus.  Null and empty
-    texts have weight one.  Rows with equal keys (the same doc_id and text) are
-    kept or dropped together.  Without labelled good rows all ratios are one and
-    every row is kept.  An empty table gives an empty result.
+    The sample has k rows; if no k is given, it is the number of documents that
+    are likelier under the target model than under the raw one, so the sample
+    size follows the corpus.  Null and empty texts have weight one.  Rows with
+    equal keys (the same doc_id and text) are kept or dropped together.  Without
+    labelled good rows all ratios are one and, with no k, every row is kept.  An
+    empty table gives an empty result.
     """
     ratio = fit(docs, target_sample(labels, target_rows), buckets)
     keys = written(weigh(docs.select("doc_id", "text"), ratio).drop("text"), "weights")
-    return keys.where(F.col("gumbel_key") >= threshold(keys))
+    return keys.where(F.col("gumbel_key") >= threshold(keys, k))
 
 
-def filter_quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS) -> DataFrame:
+def filter_quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS, k: int | None = None) -> DataFrame:
     """The sampled rows of ``docs`` with their own columns."""
     ratio = fit(docs, target_sample(labels, target_rows), buckets)
     keys = written(weigh(docs.select("doc_id", "text"), ratio).select("log_weight", "gumbel_key"), "weights")
-    least = threshold(keys)
-    own = [n for n in docs.columns if n in ("log_weight", "gumbel_key")]
-    held = docs.withColumnsRenamed({n: f"_own_{n}" for n in own})
-    kept = weigh(held, ratio).where(F.col("gumbel_key") >= least).drop("log_weight", "gumbel_key")
-    return kept.withColumnsRenamed({f"_own_{n}": n for n in own}).select(*[f"`{n}`" for n in docs.columns])
+    kept = weigh(docs, ratio, prefix="__mesh_").where(F.col("__mesh_gumbel_key") >= threshold(keys, k))
+    return kept.drop("__mesh_log_weight", "__mesh_gumbel_key")

@@ -8,6 +8,7 @@ alone: matches are leftmost, longest and non-overlapping within their rule.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from typing import NamedTuple
 
@@ -15,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .automaton import Automaton
-from .common import arrow_map
+from .common import arrow_map, with_fields
 from .tokens import chunks, code_points
 
 
@@ -97,9 +99,16 @@ class Scanner:
 
 
 _KIND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("rule", pa.int64())]))
+_SPANS = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("start", "end", "rule")]))
+_HIDDEN = "__mesh_secrets"
 
 
-def _finder(scanner: Scanner):
+@functools.cache
+def scanner_of(rules: tuple[Rule, ...]) -> Scanner:
+    return Scanner(rules)
+
+
+def _finder(scanner: Scanner, name: str):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
         for t in chunks(batch.column("text")):
@@ -111,22 +120,21 @@ def _finder(scanner: Scanner):
             for i, (a, r, b) in zip(text.tolist(), found, strict=True):
                 base = where[t.start[i]]
                 spans[t.lo + i].append({"start": int(where[a] - base), "end": int(where[b] - base), "rule": r})
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, _KIND)], [*batch.schema.names, "secrets"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, _KIND)], [*batch.schema.names, name])
 
     return run
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``secrets``: spans (start, end, rule) in code points, by start, then rule.
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, name: str = "secrets") -> DataFrame:
+    """``docs`` with ``secrets`` (or ``name``): spans (start, end, rule) in code points, by start, then rule.
 
     A column of that name is replaced.  Null and empty texts have no spans;
     spans of different rules may overlap.  Every row is treated alone, so
     repeats, ties and nulls elsewhere change nothing.
     """
-    base = docs.drop("secrets")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    scanner = base.sparkSession.sparkContext.broadcast(Scanner(rules))
-    return arrow_map(base, lambda b: _finder(scanner.value)(b), schema + ", secrets array<struct<start:bigint,end:bigint,rule:bigint>>")
+    base = docs.drop(name)
+    scanner = base.sparkSession.sparkContext.broadcast(scanner_of(rules))
+    return arrow_map(base, lambda b: _finder(scanner.value, name)(b), with_fields(base, **{name: _SPANS}))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -135,15 +143,13 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     Overlapping spans are replaced as one, named by the first.  ``n_chars``, if
     there, is set to the new length of texts that changed.
     """
-    own = "secrets" in docs.columns
-    found = find_secrets(docs.withColumnRenamed("secrets", "_own_secrets") if own else docs, rules)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
+    found = find_secrets(docs, rules, _HIDDEN)
     kinds = [r.kind for r in rules]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         names = batch.schema.names
         texts, sizes = {}, {}
-        for i, s in enumerate(batch.column("secrets").to_pylist()):
+        for i, s in enumerate(batch.column(_HIDDEN).to_pylist()):
             if s:
                 t = batch.column("text")[i].as_py()
                 out, at = [], 0
@@ -163,8 +169,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 cols[k] = pa.array([new.get(i, v) for i, v in enumerate(old)], cols[k].type)
         return pa.RecordBatch.from_arrays(cols, names)
 
-    out = arrow_map(found, run, schema).drop("secrets")
-    return out.withColumnRenamed("_own_secrets", "secrets").select(*[f"`{n}`" for n in docs.columns]) if own else out
+    return arrow_map(found, run, found.schema).drop(_HIDDEN)
 
 
 def listed(spans: list[dict] | None, rules: tuple[Rule, ...] = RULES, kinds: int | None = None) -> str:

@@ -211,6 +211,7 @@ def test_quality(spark, docs, none):
     kept = {r.doc_id for r in quality.select(t, labels).collect()}
     assert kept == set(range(300))
     assert {r.doc_id for r in quality.filter_quality(t, labels).collect()} == kept
+    assert quality.select(t, labels, k=25).count() == 25 and {r.doc_id for r in quality.select(t, labels, k=25).collect()} <= kept
     every = quality.filter_quality(docs, labels.limit(0))
     assert every.columns == docs.columns and every.count() == len(ROWS)
     assert quality.select(none, labels).isEmpty()
@@ -247,3 +248,18 @@ def test_pipeline(spark, docs):
     assert corpus_pipeline.secret_scan(spark, docs, "").count() == len(ROWS)
     assert corpus_pipeline.mixture(spark, docs, "").where("taken = 0").isEmpty()
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").isEmpty()
+
+
+def test_columns_with_any_name_and_type_stay(spark, docs):
+    odd = docs.withColumns({"_own_secrets": F.lit(1), "_own_n_hit": F.lit(2), "_own_log_weight": F.lit(3), "hit": F.lit("h"), "matches": F.lit(4), "gumbel_key": F.lit(5), "size": F.lit(6), "target": F.lit(7), "_row": F.lit(8)})
+    odd = odd.withColumn("a struct", F.struct(F.lit(1).alias("with a blank"), F.lit("x").alias("and, comma")))
+    bench = spark.createDataFrame([("7", "zz yy")], "item_id string, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for found in (secrets.redact(odd), decontaminate.decontaminate(odd, bench), quality.filter_quality(odd, labels)):
+        assert found.columns == odd.columns and sorted(map(repr, found.collect())) == sorted(map(repr, odd.collect()))
+    assert set(odd.columns) <= set(mixing.mixed(odd).columns) and mixing.mixed(odd).where("doc_id = 1").first()["a struct"]["with a blank"] == 1
+    assert media.decode_images(odd.where("doc_id = 1").withColumn("media", F.lit(None).cast("binary"))).first()["a struct"]["and, comma"] == "x"
+    pages = spark.createDataFrame([(1, "u", "same", 2, "x"), (2, "u", "same", 3, "y")], "page_id long, url string, html string, first int, path string")
+    assert {(r.page_id, r.refers_to) for r in warc.round_trip(pages).collect()} == {(1, 2), (2, None)}
+    pages = pages.withColumn("text", F.lit(1)).withColumn("n_chars", F.lit(2))
+    assert html.main_text(pages).count() == 2
