@@ -64,11 +64,12 @@ _P_STOPS = frozenset("article aside blockquote body button dd div fieldset figur
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "parent", "score", "own", "low", "plain")
+    __slots__ = ("tag", "attrs", "kids", "parent", "score", "own", "low", "plain", "holds", "within", "length", "edges", "commas", "linked", "chars")
 
     def __init__(self, tag: str, attrs: str = "", parent: Node | None = None):
         self.tag, self.attrs, self.parent, self.kids, self.score, self.own = tag, attrs, parent, [], 0.0, False
-        self.low, self.plain = False, 0
+        self.low, self.plain, self.holds, self.within = False, 0, False, False
+        self.length, self.edges, self.commas, self.linked, self.chars = 0, (False, False), 0, 0, 0
 
 
 def parse(page: str) -> Node:
@@ -138,20 +139,50 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _measure(root: Node) -> None:
-    """Sets ``plain`` of every node: the length of the text below that is in no link and no boilerplate tag."""
+    """Sets ``plain``, the length of the text below that is in no link and no boilerplate tag, and ``holds``, whether an article or main with such text is there."""
     for node in reversed(list(_walk(root))):
-        if node.tag == "a" or node.tag in CHROME and node.tag != "form":
-            continue
-        node.plain = sum(len(k.strip()) if isinstance(k, str) else k.plain for k in node.kids)
+        if not (node.tag == "a" or node.tag in CHROME and node.tag != "form"):
+            node.plain = sum(len(k.strip()) if isinstance(k, str) else k.plain for k in node.kids)
+        node.holds = node.tag in ("article", "main") and node.plain > 0 or any(k.holds for k in node.kids if not isinstance(k, str))
+
+
+def _sum(root: Node) -> None:
+    """Sets, from the leaves up, what scoring asks of the text below a node.
+
+    ``length`` is that of the text with white space turned into single blanks and
+    trimmed, ``edges`` whether white space precedes and follows it, ``commas``
+    their number, ``chars`` the characters of the strings and ``linked`` of those in links.
+    """
+    for node in reversed(list(_walk(root))):
+        length, lead, trail = 0, False, False
+        for k in node.kids:
+            if isinstance(k, str):
+                text = _SPACE.sub(" ", k)
+                core = len(text.strip())
+                before, after = text[:1] == " ", text[-1:] == " "
+                node.commas += text.count(",") + text.count("，")
+                node.chars += len(k.strip())
+            else:
+                core, (before, after) = k.length, k.edges
+                node.commas += k.commas
+                node.chars += k.chars
+                node.linked += k.linked
+            if not length:
+                length, lead, trail = core, lead or before, after or not core and lead
+            elif not core:
+                trail = trail or before
+            else:
+                length, trail = length + core + (trail or before), after
+        node.length, node.edges = length, (lead, trail)
+        if node.tag == "a":
+            node.linked = node.chars
 
 
 def _may_hold_text(node: Node, page: int) -> bool:
     if node.tag not in BLOCK or not node.plain:
         return False
     a = _attributes(node.attrs)
-    if GOOD.search(f"{a.get('class', '')} {a.get('id', '')}") or node.plain >= LARGE_SHARE * page:
-        return True
-    return any(n.tag in ("article", "main") and n.plain for n in _walk(node))
+    return node.holds or node.plain >= LARGE_SHARE * page or bool(GOOD.search(f"{a.get('class', '')} {a.get('id', '')}"))
 
 
 def _is_junk(node: Node, page: int) -> bool:
@@ -160,12 +191,8 @@ def _is_junk(node: Node, page: int) -> bool:
     if tag in CHROME and tag != "form":
         return True
     a = _attributes(node.attrs)
-    if tag == "header":
-        up = node.parent
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        if up is None:
-            return True
+    if tag == "header" and not node.within:
+        return True
     if not a and tag != "form" or tag in ("html", "body", "article", "main"):
         return False
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES:
@@ -186,7 +213,9 @@ def _prune(node: Node, page: int) -> None:
         if isinstance(kid, str):
             node.own = node.own or not kid.isspace()
             kept.append(kid)
-        elif not _is_junk(kid, page):
+            continue
+        kid.within = node.within or node.tag in ("article", "main")
+        if not _is_junk(kid, page):
             kid.low = kid.low or node.low  # what is inside counts for less as well
             kept.append(kid)
     node.kids = kept
@@ -200,21 +229,6 @@ def _walk(root: Node):
         todo += [k for k in reversed(node.kids) if not isinstance(k, str)]
 
 
-def _plain(node: Node) -> tuple[str, int]:
-    """The text below a node and the length of what is in links."""
-    parts, linked = [], 0
-    todo: list[tuple] = [(node, False)]
-    while todo:
-        at, link = todo.pop()
-        if isinstance(at, str):
-            parts.append(at)
-            linked += len(at.strip()) * link
-        else:
-            link = link or at.tag == "a"
-            todo += [(k, link) for k in reversed(at.kids)]
-    return _SPACE.sub(" ", "".join(parts)).strip(), linked
-
-
 _BASE = {"article": 25, "main": 25, "section": 4, "div": 5, "blockquote": 3, "pre": 3, "td": 3, "form": -3, "ul": -3, "ol": -3, "li": -3, "h1": -5, "h2": -5, "h3": -5, "th": -5}
 
 
@@ -233,16 +247,16 @@ def main_node(root: Node) -> list[Node]:
     _measure(root)
     for node in _walk(root):
         _prune(node, root.plain)
+    _sum(root)
     scored: list[Node] = []
     for node in _walk(root):
         if node.tag in ("p", "pre", "td", "blockquote", "li", "h1", "h2", "h3") or node.tag in ("div", "section", "article", "main") and node.own:
-            text, linked = _plain(node)
-            if not text:
+            if not node.length:
                 continue
-            share = 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)
+            share = 1 + node.commas + min(node.length / 100, 3)
             if node.tag in ("li", "h1", "h2", "h3"):
                 share *= 0.25
-            share *= (1 - min(1.0, linked / len(text))) * (LOW if node.low else 1)
+            share *= (1 - min(1.0, node.linked / node.length)) * (LOW if node.low else 1)
             if node.tag in ("div", "section", "article", "main"):
                 node.score += share
             _passed(node, share)
@@ -250,13 +264,12 @@ def main_node(root: Node) -> list[Node]:
     for node in _walk(root):
         if node.score <= 0 or node.tag in ("#root", "html") or node.tag not in BLOCK:
             continue
-        text, linked = _plain(node)
-        if not text:
+        if not node.length:
             continue
         a = _attributes(node.attrs)
         name = f"{a.get('class', '')} {a.get('id', '')} {a.get('itemprop', '')}"
         extra = _BASE.get(node.tag, 0) + (15 if GOOD.search(name) else 0)
-        total = (node.score + extra * (LOW if node.low and extra > 0 else 1)) * (1 - min(1.0, linked / len(text)))
+        total = (node.score + extra * (LOW if node.low and extra > 0 else 1)) * (1 - min(1.0, node.linked / node.length))
         finals[id(node)] = total
         if total > best_score:
             best, best_score = node, total
@@ -285,27 +298,21 @@ def main_node(root: Node) -> list[Node]:
             continue
         elif finals.get(id(kid), 0.0) >= bar and kid.score >= 0.2 * best.score:
             kept.append(kid)
-        elif kid.tag == "p":
-            text, linked = _plain(kid)
-            if len(text) > 80 and linked / len(text) < 0.25:
-                kept.append(kid)
+        elif kid.tag == "p" and kid.length > 80 and kid.linked / kid.length < 0.25:
+            kept.append(kid)
     return kept or [best]
 
 
 def without_low(nodes: list[Node]) -> list[Node]:
     """Leaves the ``low`` containers inside out, unless they hold more text than the rest."""
     inside = [n for node in nodes if not node.low for n in _walk(node) if n is not node and n.low and not n.parent.low]
-    if inside and sum(_plain_length(n) for n in inside) < 0.5 * sum(_plain_length(n) for n in nodes):
-        for n in inside:
-            n.parent.kids = [k for k in n.parent.kids if k is not n]
+    if inside and sum(n.length - n.linked for n in inside) < 0.5 * sum(n.length - n.linked for n in nodes):
+        gone, homes = {id(n) for n in inside}, {id(n.parent): n.parent for n in inside}
+        for home in homes.values():
+            home.kids = [k for k in home.kids if id(k) not in gone]
     return nodes
 
 
-def _plain_length(node: Node) -> int:
-    text, linked = _plain(node)
-    return len(text) - linked
-
-
 def blocks(nodes: list[Node]) -> list[str]:
     """Texts of the blocks in page order, white space turned into single spaces."""
     out: list[str] = []

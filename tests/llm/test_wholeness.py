@@ -2,6 +2,7 @@
 
 import collections
 import random
+import time
 
 import pytest
 
@@ -153,3 +154,14 @@ def _classes(rows):
             if a < b and sum((x & y).values()) >= 0.8 * sum((x | y).values()) and find(a) != find(b):
                 root[max(find(a), find(b))] = min(find(a), find(b))
     return {d: find(d) for d in bags}
+
+
+def test_deep_pages_take_time_in_proportion(spark):
+    def took(depth):
+        page = "<body>" + "<div>some text, here" * depth + "</div>" * depth + "</body>"
+        began = time.perf_counter()
+        assert html.extract(page).count("some text, here") == depth
+        return time.perf_counter() - began
+
+    took(100)
+    assert min(took(8000) for _ in range(3)) < 20 * max(0.01, min(took(1000) for _ in range(3)))
