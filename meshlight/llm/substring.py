@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, key_words, maybe_among, written
-from .tokens import U64, Texts, Words, chunks, code_points, mix, powers, span_hash, split_words
+from .tokens import U64, Texts, Words, chunks, code_points, group_hash, mix, powers, span_hash, split_words
 
 MIN_WORDS = 20
 GAP = 32
@@ -199,8 +199,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, start, end, words, units)``: the runs to remove, in code points, end exclusive.
 
     Null and empty texts have no units.  Rows with a null doc_id take no part.
-    Rows that repeat a doc_id are read as one document's occurrences in any
-    order, of which one is kept.  Ties in a position cannot occur otherwise.
+    Rows that repeat a doc_id count as one document, and what they hold at the
+    same position as one occurrence: equal rows repeat nothing.
     Of occurrences in one text that overlap, the part beyond the kept one goes.
     """
     k = min_words
@@ -223,12 +223,69 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return runs.groupBy("doc_id", "start", "end").agg(F.max("words").alias("words"), F.max("units").alias("units"))
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def _line_prints(least: int):
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        ids = batch.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
+        out = []
+        for t in chunks(batch.column("text")):
+            words, folded = split_words(t)
+            cut = np.flatnonzero((t.data == 10) | (t.data == 0xFF))
+            first = np.searchsorted(words.start, np.append(0, cut + 1))
+            many = np.flatnonzero(np.diff(first) >= max(least, 1))
+            if not len(many):
+                continue
+            h = span_hash(folded, words.start, words.end)
+            keys = [group_hash(x, first)[many].view(np.int64) for x in (h, mix(h))]
+            doc = words.doc[first[many]]
+            where = code_points(t.data)
+            begin = np.append(0, cut[:-1] + 1)[many]
+            out.append([ids[t.lo + doc], where[begin] - where[t.start[doc]], where[cut[many]] - where[t.start[doc]], np.diff(first)[many], *keys])
+        if not out:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)).cast(pa.int64()) for x in zip(*out, strict=True)], _LINE)
+
+    return run
+
+
+_LINE = ["doc_id", "start", "end", "words", "k1", "k2"]
+
+
+def repeated_lines(docs: DataFrame, line_words: int = 1) -> DataFrame:
+    """``(doc_id, start, end, words)``: whole lines of ``line_words`` words or more that an earlier line equals in its words.
+
+    Of equal lines the one with the least (doc_id, start) stays, however many
+    there are; offsets are code points without the line break.  Nulls and rows
+    that repeat a doc_id are treated as in ``repeated_runs``.
+    """
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    lines = written(arrow_map(docs, _line_prints(line_words), ", ".join(f"{n} long" for n in _LINE)), "lines")
+    seen = lines.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("keep")).where("n > 1")
+    seen = seen.select("k1", "k2", F.col("keep.doc_id").alias("k_doc"), F.col("keep.start").alias("k_start"))
+    h = F.xxhash64("k1", "k2")
+    again = maybe_among(lines, key_words(seen, h), h).where("__mesh_maybe").join(seen, ["k1", "k2"])
+    return again.where("doc_id != k_doc or start != k_start").select("doc_id", "start", "end", "words").distinct()
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """``(doc_id, start, end)`` without overlaps; the spans of a document are bounded by its length."""
+    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    island = spans.withColumn("_new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
+    island = island.withColumn("_part", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return island.groupBy("doc_id", "_part").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_part")
+
+
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int | None = None) -> DataFrame:
     """All rows and columns of ``docs``, with ``text`` cut and ``removed``: the cut spans of the original.
 
-    Rows without repeats keep their text; ``removed`` is then empty.
+    Repeated runs of ``min_words`` words go, and with ``line_words`` repeated
+    lines of that many words as well, however short.  Rows without repeats keep
+    their text; ``removed`` is then empty.
     """
-    runs = repeated_runs(docs, min_words).groupBy("doc_id").agg(
+    spans = repeated_runs(docs, min_words).select("doc_id", "start", "end")
+    if line_words is not None:
+        spans = spans.union(repeated_lines(docs, line_words).select("doc_id", "start", "end"))
+    runs = _merged(spans).groupBy("doc_id").agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_removed")  # bounded by the text's length
     )
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")

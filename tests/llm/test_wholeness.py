@@ -165,3 +165,20 @@ def test_deep_pages_take_time_in_proportion(spark):
 
     took(100)
     assert min(took(8000) for _ in range(3)) < 20 * max(0.01, min(took(1000) for _ in range(3)))
+
+
+def test_every_repeat_of_a_line_goes_but_the_earliest(spark):
+    licence = "Licensed under the terms, of which a copy is kept."
+    rows = [(i, f"Own é text {i} of this file\n{licence if i % 2 else licence.upper()}\nand its end {i}") for i in range(200)]
+    rows += [(500, f"{licence}\n{licence}"), (501, None), (502, ""), (503, "\n\n!!\n"), (None, licence), (500, f"{licence}\n{licence}")]
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    found = collections.defaultdict(list)
+    for r in substring.repeated_lines(t, 5).collect():
+        found[r.doc_id].append(dict((d, x) for d, x in rows)[r.doc_id][r.start : r.end])
+    want = {i: [licence if i % 2 else licence.upper()] for i in range(1, 200)} | {500: [licence, licence]}
+    assert found == want
+    cut = {r.doc_id: r.text for r in substring.remove_repeats(t, line_words=5).collect() if r.doc_id is not None}
+    assert cut[0] == rows[0][1] and cut[7] == "Own é text 7 of this file\n\nand its end 7" and cut[500] == "\n" and cut[501] is None
+    assert substring.repeated_lines(t.limit(0)).isEmpty() and substring.repeated_lines(t, 11).isEmpty()
+    twice = spark.createDataFrame([(1, rows[0][1]), (1, rows[0][1])], "doc_id long, text string")
+    assert substring.repeated_lines(twice).isEmpty() and substring.repeated_runs(twice).isEmpty()
