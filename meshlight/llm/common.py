@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql.types import DataType, StructField, StructType
 from ..operators.storage import forget, new_path
 from ..operators.storage import save as written
 
-__all__ = ["arrow_map", "forget", "key_words", "maybe_among", "new_path", "running_total", "table", "tune", "with_fields", "written"]
+__all__ = ["arrow_map", "forget", "key_words", "lean", "maybe_among", "new_path", "release", "running_total", "table", "tune", "with_fields", "written"]
 
 #: Rows handed to a Python worker at once; texts are long, so batches stay small.
 ARROW_ROWS = 512
@@ -32,6 +34,33 @@ def with_fields(df: DataFrame, **fields: DataType) -> StructType:
     return StructType([*df.schema.fields, *(StructField(name, kind) for name, kind in fields.items())])
 
 
+@functools.cache
+def _libc() -> ctypes.CDLL | None:
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def release() -> None:
+    """Gives memory that a task has freed back to the system; workers stay alive between tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``; what it has freed is released when the task ends."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with a function of one batch; empty batches are skipped."""
     tune(df.sparkSession)
@@ -41,7 +70,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 KEY_BITS = 1 << 23

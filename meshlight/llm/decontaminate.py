@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_path, tune
+from .common import lean, new_path, tune
 from .tokens import U64, chunks, span_hash, split_words
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
-SHARD_BYTES = 4 << 20
-HELD_BYTES = 8 << 20  # text of the rows that a task holds at once
+SHARD_WORDS = 700_000  # about 4 MB of text; a shard ends with the piece of text that reaches them
+HELD_BYTES = 4 << 20  # text of the rows that a task holds at once
 _END = U64(0)
 
 
@@ -155,6 +155,19 @@ class Shard:
         return [[x[i] for i in sorted(x)] for x in best]
 
 
+def _shards(texts: pa.Array, window: int) -> Iterator[Shard]:
+    """The texts of a column in shards, in order."""
+    hashes, sizes, held = [], [], 0
+    for t in chunks(texts):
+        words, folded = split_words(t)
+        hashes.append(span_hash(folded, words.start, words.end))
+        sizes.append(np.diff(words.first))
+        held += len(hashes[-1])
+        if held >= SHARD_WORDS or t.hi == len(texts):
+            yield Shard(np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), window)
+            hashes, sizes, held = [], [], 0
+
+
 _RUN = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("first", "last")]))
 _MATCH = T.ArrayType(T.StructType([T.StructField("item", T.StringType())] + [T.StructField(n, T.LongType()) for n in ("words", "at", "item_at")]))
 _RUN_ARROW = pa.list_(pa.struct([(n, pa.int64()) for n in ("first", "last")]))
@@ -203,12 +216,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wo
     paths = write_blocks(spark, benchmark, window, block_words)
 
     def work(held: list[pa.RecordBatch], only: Block | None) -> Iterator[pa.RecordBatch]:
-        shards = []
-        for batch in held:
-            shards.append([])
-            for t in chunks(batch.column("text"), SHARD_BYTES):
-                words, folded = split_words(t)
-                shards[-1].append(Shard(span_hash(folded, words.start, words.end), words.first, window))
+        shards = [list(_shards(batch.column("text"), window)) for batch in held]
         for path in paths:
             block = only or _read(path)
             for s in (s for group in shards for s in group):
@@ -236,7 +244,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wo
 
     kinds = (T.LongType(), T.LongType(), _MATCH, _RUN)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(_PREFIX + n, k) for n, k in zip(_ADDED, kinds, strict=True))])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import arrow_map, forget, key_words, maybe_among, written
+from .common import arrow_map, forget, key_words, maybe_among, release, written
 from .tokens import CHUNK_BYTES, U64, chunks, group_hash, mix, shingles, span_hash, split_words
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -251,6 +251,8 @@ def _compare(k: int, threshold: float):
         linked = common >= threshold * (size[left][:, None] + size[right][None, :] - common)
         linked &= node[left][:, None] != node[right][None, :]
         found = _forest(linked, node[left], node[right])
+        del parts, units, owner, common, linked
+        release()
         return pa.table({"a": pa.array([y for _, y in found], pa.int64()), "b": pa.array([x for x, _ in found], pa.int64())})
 
     return run

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, running_total, tune, with_fields, written
+from .common import arrow_map, lean, running_total, tune, with_fields, written
 from .tokens import U64, Texts, chunks, mix, span_hash
 
 BUCKETS = 10_000
@@ -92,7 +92,7 @@ def fit(docs: DataFrame, target_ids: DataFrame, buckets: int = BUCKETS, pseudo:
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
-    counts = marked.mapInArrow(count, "bucket long, raw long, target long")
+    counts = marked.mapInArrow(lean(count), "bucket long, raw long, target long")
     rows = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # one per bucket
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for r in rows:

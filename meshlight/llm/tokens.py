@@ -42,7 +42,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_BASE**i and its inverse, modulo 2**64, for i < n."""
     global _powers
     if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
+        size = (n >> 18) + 1 << 18
         made = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(size, base, U64)

@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_words, maybe_among, new_path, tune, written
+from .common import key_words, lean, maybe_among, new_path, tune, written
 
 DATA, INDEX = "archive/data.warc", "indexes/index.cdxj"
 RANGE_BYTES = 4 << 20  # records read at once
@@ -127,7 +127,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
             archive.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "records": [n]})
 
-    return written(marked.mapInArrow(write, "path string, records long"), "manifest")
+    return written(marked.mapInArrow(lean(write), "path string, records long"), "manifest")
 
 
 # ---------------------------------------------------------------- reading
@@ -289,9 +289,9 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([{k: x[k] for k in schema.names} for x in rows], schema=schema)
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    planned = manifest.select("path").repartition(n, "path").mapInArrow(plan, "path string, offset long, length long")
+    planned = manifest.select("path").repartition(n, "path").mapInArrow(lean(plan), "path string, offset long, length long")
     kinds = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
-    return planned.repartition(n, "path", "offset").mapInArrow(read, ", ".join(f"{f.name} {kinds[f.type]}" for f in schema))
+    return planned.repartition(n, "path", "offset").mapInArrow(lean(read), ", ".join(f"{f.name} {kinds[f.type]}" for f in schema))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
