@@ -42,39 +42,41 @@ def trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return load(spark, sf_dir, "trade_nodes"), load(spark, sf_dir, "trade_edges")
 
 
+def saved_trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The same with the edges written once, for plans that read them more than once."""
+    return load(spark, sf_dir, "trade_nodes"), save(load(spark, sf_dir, "trade_edges"), "edges")
+
+
 # ---------------------------------------------------------------- degrees and hubs
 
 _DEG = """, ends AS (SELECT src AS id, 1 AS o, 0 AS i FROM {e} UNION ALL SELECT dst, 0, 1 FROM {e}),
 deg AS (SELECT n.id, n.name, n.kind, n.file, n.cluster, CAST(coalesce(sum(i), 0) AS BIGINT) AS in_degree, CAST(coalesce(sum(o), 0) AS BIGINT) AS out_degree,
  CAST(coalesce(sum(i + o), 0) AS BIGINT) AS degree FROM trade_nodes n LEFT JOIN ends USING (id) GROUP BY ALL)"""
-_FULL = cte("trade_nodes", "trade_all_edges") + _DEG.format(e="trade_all_edges")
-_SPARSE = cte("trade_nodes", "trade_edges") + _DEG.format(e="trade_edges")
+_FULL = cte("trade_nodes", "trade_edges") + _DEG.format(e="trade_edges")
 
 
 @query(_FULL + " SELECT id, in_degree, out_degree, degree FROM deg")
 def degrees(spark, sf_dir):
-    return G.degrees(load(spark, sf_dir, "trade_nodes"), load(spark, sf_dir, "trade_all_edges"))
+    return G.degrees(load(spark, sf_dir, "trade_nodes"), load(spark, sf_dir, "trade_edges"))
 
 
 @query(_FULL + """, fit AS (SELECT * FROM deg WHERE length(name) > 3 AND NOT regexp_matches(lower(kind), 'primitive|builtin|macro')),
 cut AS (SELECT greatest(1, floor(0.05 * count(*))) AS k FROM fit), r AS (SELECT degree, row_number() OVER (ORDER BY degree DESC, id) AS rk FROM fit)
 SELECT id, degree, CAST(degree AS DOUBLE) AS score FROM fit WHERE degree > 0 AND degree >= (SELECT degree FROM r, cut WHERE rk = k)""")
 def hub_nodes(spark, sf_dir):
-    nodes, edges = load(spark, sf_dir, "trade_nodes"), load(spark, sf_dir, "trade_all_edges")
-    # degrees of eligible nodes count all their edges
-    return G.compute_hubs(nodes, edges)
+    return G.compute_hubs(*trade(spark, sf_dir), save)
 
 
 @query(_FULL + """, r AS (SELECT degree, row_number() OVER (ORDER BY degree DESC, id) AS rk FROM deg), c AS (SELECT count(*) AS n FROM deg)
 SELECT CAST(degree AS BIGINT) AS threshold FROM r, c WHERE rk = least(greatest(floor(0.05 * n), 1), n - 1) + 1""")
 def hub_threshold(spark, sf_dir):
-    value = G.hub_threshold(load(spark, sf_dir, "trade_nodes"), load(spark, sf_dir, "trade_all_edges"))
+    value = G.hub_threshold(*trade(spark, sf_dir), save)
     return spark.range(1).select(F.lit(value).cast("long").alias("threshold"))
 
 
-@query(cte("trade_all_edges") + " SELECT count(*) AS n_edges FROM trade_all_edges")
+@query(cte("trade_edges") + " SELECT count(*) AS n_edges FROM trade_edges")
 def total_edges(spark, sf_dir):
-    return G.total_edges(load(spark, sf_dir, "trade_all_edges"))
+    return G.total_edges(load(spark, sf_dir, "trade_edges"))
 
 
 # ---------------------------------------------------------------- neighbours and traces
@@ -84,7 +86,7 @@ def busiest(nodes: DataFrame, edges: DataFrame, lang: str, side: str) -> DataFra
     """``(id)``: the node of a kind with the most neighbours on a side, then the least id."""
     end = "dst" if side == "callers" else "src"
     n = edges.groupBy(F.col(end).alias("id")).agg(F.count("*").alias("n"))
-    return nodes.where(F.col("lang") == lang).join(n, "id").orderBy(F.desc("n"), "id").limit(1).select("id")
+    return save(nodes.where(F.col("lang") == lang).join(n, "id").orderBy(F.desc("n"), "id").limit(1).select("id"), "seed")
 
 
 _SEED = cte("trade_nodes", "trade_edges") + """, seed AS (SELECT n.id FROM trade_nodes n JOIN (SELECT {end} AS id, count(*) AS n FROM trade_edges GROUP BY 1) c USING (id)
@@ -100,18 +102,18 @@ rows_ AS (SELECT 'caller' AS side, 1 AS hop, id FROM up1 UNION ALL SELECT 'calle
 
 @query(_PART + " SELECT src, dst FROM trade_edges WHERE dst IN (SELECT id FROM seed)")
 def callers_of(spark, sf_dir):
-    nodes, edges = trade(spark, sf_dir)
+    nodes, edges = saved_trade(spark, sf_dir)
     return G.callers(edges, busiest(nodes, edges, "part", "callers"))
 
 
 @query(_CUST + " SELECT src, dst FROM trade_edges WHERE src IN (SELECT id FROM seed)")
 def callees_of(spark, sf_dir):
-    nodes, edges = trade(spark, sf_dir)
+    nodes, edges = saved_trade(spark, sf_dir)
     return G.children(edges, busiest(nodes, edges, "customer", "callees"))
 
 
 def _traced(spark, sf_dir, lang, side):
-    nodes, edges = trade(spark, sf_dir)
+    nodes, edges = saved_trade(spark, sf_dir)
     rows = G.trace_neighborhood(edges, busiest(nodes, edges, lang, side))
     return rows.join(nodes.select("id", "name", "file"), "id").select("side", "hop", "id", "name", "file")
 
@@ -139,7 +141,7 @@ FLAGSHIP = trace_part
 
 @query(_PART + _TRACE + " SELECT side, CAST(count(*) FILTER (hop = 1) AS BIGINT) AS direct, CAST(count(*) FILTER (hop > 1) AS BIGINT) AS transitive FROM rows_ GROUP BY side")
 def hop_split(spark, sf_dir):
-    nodes, edges = trade(spark, sf_dir)
+    nodes, edges = saved_trade(spark, sf_dir)
     return G.hop_split(G.trace_neighborhood(edges, busiest(nodes, edges, "part", "callers")))
 
 
@@ -148,15 +150,15 @@ _BOTH = ", u AS (SELECT src, dst FROM trade_edges UNION SELECT dst, src FROM tra
 
 @query(_PART + _BOTH + " SELECT id, 0 AS hop FROM seed UNION ALL SELECT id, 1 FROM h1")
 def expand_hops_1(spark, sf_dir):
-    nodes, edges = trade(spark, sf_dir)
+    nodes, edges = saved_trade(spark, sf_dir)
     return G.expand_hops(edges, busiest(nodes, edges, "part", "callers"), 1)
 
 
 @query(_PART + _BOTH + """ SELECT id, 0 AS hop FROM seed UNION ALL SELECT id, 1 FROM h1 UNION ALL
 SELECT DISTINCT u.dst, 2 FROM u JOIN h1 ON u.src = h1.id WHERE u.dst NOT IN (SELECT id FROM h1) AND u.dst NOT IN (SELECT id FROM seed)""")
 def expand_hops_2(spark, sf_dir):
-    nodes, edges = trade(spark, sf_dir)
-    return G.expand_hops(edges, busiest(nodes, edges, "part", "callers"), 2)
+    nodes, edges = saved_trade(spark, sf_dir)
+    return G.expand_hops(edges, busiest(nodes, edges, "part", "callers"), 2, save)
 
 
 @query(_PART + """, own AS (SELECT n.id AS seed, n.name, n.file FROM trade_nodes n JOIN seed USING (id)),
@@ -164,18 +166,18 @@ peers AS (SELECT o.seed, n.id FROM trade_nodes n JOIN own o ON n.name = o.name W
 r AS (SELECT DISTINCT p.seed, e.src AS id FROM trade_edges e JOIN peers p ON e.dst = p.id)
 SELECT seed, id FROM r WHERE NOT EXISTS (SELECT 1 FROM trade_edges e WHERE e.dst = r.seed AND e.src = r.id)""")
 def peer_callers(spark, sf_dir):
-    nodes, edges = trade(spark, sf_dir)
+    nodes, edges = saved_trade(spark, sf_dir)
     return N.peer_callers(nodes, edges, busiest(nodes, edges, "part", "callers"))
 
 
-@query(_SPARSE + """, seed AS (SELECT id FROM deg WHERE kind = 'method_definition' ORDER BY in_degree DESC, id LIMIT 1),
+@query(_FULL + """, seed AS (SELECT id FROM deg WHERE kind = 'method_definition' ORDER BY in_degree DESC, id LIMIT 1),
 s1 AS (SELECT d.id, d.in_degree, d.name FROM trade_edges e JOIN deg d ON e.src = d.id WHERE e.dst IN (SELECT id FROM seed) AND d.in_degree BETWEEN 1 AND {most}
  ORDER BY d.in_degree DESC, d.name, d.id LIMIT 1),
 s2 AS (SELECT d.id, d.in_degree, d.name FROM trade_edges e JOIN deg d ON e.src = d.id WHERE e.dst IN (SELECT id FROM s1) AND d.in_degree BETWEEN 1 AND {most}
  ORDER BY d.in_degree DESC, d.name, d.id LIMIT 1)
 SELECT 0 AS step, id FROM seed UNION ALL SELECT 1, id FROM s1 UNION ALL SELECT 2, id FROM s2""".format(most=1_000_000))
 def spine_walk(spark, sf_dir):
-    nodes, edges = trade(spark, sf_dir)
+    nodes, edges = saved_trade(spark, sf_dir)
     return A.spine_walk(nodes, edges, busiest(nodes, edges, "part", "callers"), halt=1_000_000)
 
 
@@ -235,7 +237,7 @@ def name_index_audit(spark, sf_dir):
     return N.name_index_audit(load(spark, sf_dir, "trade_nodes"), index)
 
 
-@query(_SPARSE + """ SELECT name, id, file, in_degree FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY CASE kind WHEN 'struct_item' THEN 100 ELSE 90 END DESC, in_degree DESC, file, id) AS r FROM deg) x WHERE r = 1""")
+@query(_FULL + """ SELECT name, id, file, in_degree FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY CASE kind WHEN 'struct_item' THEN 100 ELSE 90 END DESC, in_degree DESC, file, id) AS r FROM deg) x WHERE r = 1""")
 def pick_homonym(spark, sf_dir):
     nodes, edges = trade(spark, sf_dir)
     return N.pick_homonym(nodes, G.degrees(nodes, edges))
@@ -338,7 +340,7 @@ def scope_repair(spark, sf_dir):
 
 @query(_PART + " SELECT regexp_replace(n.file, '/[^/]*$', '') AS facet, count(DISTINCT n.id) AS n FROM trade_edges e JOIN trade_nodes n ON e.src = n.id WHERE e.dst IN (SELECT id FROM seed) GROUP BY 1 ORDER BY n DESC, facet LIMIT 8")
 def dir_facets(spark, sf_dir):
-    nodes, edges = trade(spark, sf_dir)
+    nodes, edges = saved_trade(spark, sf_dir)
     return A.dir_facets(nodes, G.callers(edges, busiest(nodes, edges, "part", "callers")).select(F.col("src").alias("id")))
 
 
@@ -356,7 +358,7 @@ def arch_rollup(spark, sf_dir):
 @query(_FULL + """ SELECT name, id, degree FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY degree DESC, id) AS r FROM deg) x WHERE r = 1 ORDER BY degree DESC, name LIMIT 20""")
 def arch_hubs(spark, sf_dir):
     nodes = load(spark, sf_dir, "trade_nodes")
-    return A.hub_unique(nodes, G.degrees(nodes, load(spark, sf_dir, "trade_all_edges")), 20)
+    return A.hub_unique(nodes, G.degrees(nodes, load(spark, sf_dir, "trade_edges")), 20)
 
 
 @query(cte("trade_nodes", "trade_edges") + " SELECT count(DISTINCT n.file) AS edged, (SELECT count(DISTINCT file) FROM trade_nodes) - count(DISTINCT n.file) AS open FROM trade_nodes n WHERE n.id IN (SELECT src FROM trade_edges UNION SELECT dst FROM trade_edges)")
@@ -385,7 +387,7 @@ def path_score(spark, sf_dir):
     return load(spark, sf_dir, "docs_nodes").select("id", T.path_score(f, F.lit("src1")).alias("segment"), T.path_score(f, F.lit("src11")).alias("inside"))
 
 
-@query(_SPARSE + """ SELECT id, CAST(15.0 * CAST(lang_part AS INT) + 2.2 * in_degree + out_degree AS DOUBLE) AS score FROM (SELECT *, kind = 'method_definition' AS lang_part FROM deg) x""")
+@query(_FULL + """ SELECT id, CAST(2.2 AS DOUBLE) * in_degree + out_degree + 15 * CAST(lang_part AS INT) AS score FROM (SELECT *, kind = 'method_definition' AS lang_part FROM deg) x""")
 def heuristic_score(spark, sf_dir):
     nodes, edges = trade(spark, sf_dir)
     deg = G.degrees(nodes, edges).join(nodes.select("id", "kind"), "id")
@@ -393,7 +395,7 @@ def heuristic_score(spark, sf_dir):
     return deg.select("id", s.cast("double").alias("score"))
 
 
-@query(_SPARSE + """, s AS (SELECT *, row_number() OVER (PARTITION BY name, file ORDER BY degree DESC, id) AS r FROM deg)
+@query(_FULL + """, s AS (SELECT *, row_number() OVER (PARTITION BY name, file ORDER BY degree DESC, id) AS r FROM deg)
 SELECT id, name, file, degree FROM s WHERE r = 1 ORDER BY degree DESC, id LIMIT 8""")
 def select_top8(spark, sf_dir):
     nodes, edges = trade(spark, sf_dir)
@@ -407,7 +409,7 @@ def l0_modules(spark, sf_dir):
     return S.l0_modules(load(spark, sf_dir, "trade_nodes"), ["asia"])
 
 
-@query(_SPARSE + """, t AS (SELECT e.src, n.id, n.degree, row_number() OVER (PARTITION BY e.src ORDER BY n.degree DESC, n.id) AS place, count(*) OVER (PARTITION BY e.src) AS n
+@query(_FULL + """, t AS (SELECT e.src, n.id, n.degree, row_number() OVER (PARTITION BY e.src ORDER BY n.degree DESC, n.id) AS place, count(*) OVER (PARTITION BY e.src) AS n
  FROM trade_edges e JOIN deg n ON e.dst = n.id) SELECT src, id, CAST(place AS INTEGER) AS place, n - 5 AS omitted FROM t WHERE place <= 5 AND n > 5""")
 def cap_by_score(spark, sf_dir):
     nodes, edges = trade(spark, sf_dir)
@@ -417,7 +419,7 @@ def cap_by_score(spark, sf_dir):
 
 @query(_FULL + " SELECT id, CASE WHEN in_degree = 0 THEN 'none' WHEN in_degree <= 3 THEN 'low' WHEN in_degree <= 10 THEN 'medium' WHEN in_degree <= 50 THEN 'high' ELSE 'very high' END AS band FROM deg")
 def fan_band(spark, sf_dir):
-    deg = G.degrees(load(spark, sf_dir, "trade_nodes"), load(spark, sf_dir, "trade_all_edges"))
+    deg = G.degrees(load(spark, sf_dir, "trade_nodes"), load(spark, sf_dir, "trade_edges"))
     return deg.select("id", T.fan_band(F.col("in_degree")).alias("band"))
 
 
@@ -473,14 +475,14 @@ def harvest_status(spark, sf_dir):
 # ---------------------------------------------------------------- export and neural
 
 
-@query(_SPARSE + """, x AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM trade_nodes)
+@query(_FULL + """, x AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM trade_nodes)
 SELECT a.idx AS from_idx, b.idx AS to_idx, 1 AS type FROM trade_edges e JOIN x a ON e.src = a.id JOIN x b ON e.dst = b.id""")
 def export_edges(spark, sf_dir):
     nodes, edges = trade(spark, sf_dir)
     return X.export_edges(X.dense_index(nodes), edges)
 
 
-@query(_SPARSE + ", x AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM trade_nodes) SELECT idx, id, CAST(degree AS BIGINT) AS degree FROM x JOIN deg USING (id)")
+@query(_FULL + ", x AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM trade_nodes) SELECT idx, id, CAST(degree AS BIGINT) AS degree FROM x JOIN deg USING (id)")
 def export_nodes(spark, sf_dir):
     nodes, edges = trade(spark, sf_dir)
     return X.dense_index(nodes).join(G.degrees(nodes, edges).select("id", "degree"), "id").select("idx", "id", "degree")
@@ -508,7 +510,7 @@ def gnn_forward(spark, sf_dir):
     return out.select("id", F.round("score", 6).alias("score"))
 
 
-@query(_SPARSE + """ SELECT id, round(ln(1 + in_degree), 6) AS f_in, round(ln(1 + out_degree), 6) AS f_out, round(CAST(degree AS DOUBLE) / (SELECT max(degree) FROM deg), 6) AS f_total,
+@query(_FULL + """ SELECT id, round(ln(1 + in_degree), 6) AS f_in, round(ln(1 + out_degree), 6) AS f_out, round(CAST(degree AS DOUBLE) / (SELECT max(degree) FROM deg), 6) AS f_total,
 CASE kind WHEN 'struct_item' THEN 1 ELSE 0 END AS is_type FROM deg""")
 def gnn_features(spark, sf_dir):
     nodes, edges = trade(spark, sf_dir)
@@ -520,7 +522,7 @@ def gnn_features(spark, sf_dir):
 
 @query()
 def pack_neighbors(spark, sf_dir):
-    nodes, edges = trade(spark, sf_dir)
+    nodes, edges = saved_trade(spark, sf_dir)
     rows = G.trace_neighborhood(edges, busiest(nodes, edges, "part", "callers")).join(nodes.select("id", "name", "file"), "id")
     scored = rows.join(G.degrees(nodes, edges).select("id", F.col("degree").alias("score")), "id")
     return S.pack_neighbors(scored, char_budget=4000)

@@ -26,7 +26,7 @@ def query(oracle: str):
     return add
 
 
-_SPARSE = cte("trade_nodes", "trade_edges") + """, ends AS (SELECT src AS id, 1 AS o, 0 AS i FROM trade_edges UNION ALL SELECT dst, 0, 1 FROM trade_edges),
+_FULL = cte("trade_nodes", "trade_edges") + """, ends AS (SELECT src AS id, 1 AS o, 0 AS i FROM trade_edges UNION ALL SELECT dst, 0, 1 FROM trade_edges),
 deg AS (SELECT n.*, CAST(coalesce(sum(i), 0) AS BIGINT) AS in_degree, CAST(coalesce(sum(o), 0) AS BIGINT) AS out_degree, CAST(coalesce(sum(i + o), 0) AS BIGINT) AS degree
  FROM trade_nodes n LEFT JOIN ends USING (id) GROUP BY ALL)"""
 
@@ -48,9 +48,11 @@ def junk_names(spark, sf_dir):
     return load(spark, sf_dir, "docs_nodes").select("id", T.junk_name(n).alias("junk"), T.trace_noise_name(n).alias("noise"))
 
 
-@query(cte("docs_nodes") + " SELECT id, lower(name) = 'the' AS weak, lower(name) = 'the' OR starts_with(lower(name), 'the') OR list_contains(string_split_regex(lower(name), '[_:]'), 'the') OR ends_with(lower(name), '_the') AS strong FROM docs_nodes WHERE NOT contains(name, '-') AND NOT contains(name, '_') AND NOT contains(name, ':')")
+@query(cte("docs_nodes") + r""", n AS (SELECT id, lower(name) AS n FROM docs_nodes)
+SELECT id, n = 'the' OR list_contains(string_split_regex(n, '[_:-]'), 'the') AS weak,
+ n = 'the' OR starts_with(n, 'the') OR list_contains(string_split_regex(n, '[_:]'), 'the') OR ends_with(n, '_the') AS strong FROM n""")
 def name_hits(spark, sf_dir):
-    n = load(spark, sf_dir, "docs_nodes").where("not contains(name, '-') and not contains(name, '_') and not contains(name, ':')")
+    n = load(spark, sf_dir, "docs_nodes")
     return n.select("id", T.name_hit(F.col("name"), F.lit("the"), False).alias("weak"), T.name_hit(F.col("name"), F.lit("the"), True).alias("strong"))
 
 
@@ -83,14 +85,14 @@ def hydrate_source(spark, sf_dir):
     return FS.hydrate_source(nodes, d.select(F.col("doc_id").alias("path"), F.col("text").alias("source"))).select("id", "source")
 
 
-@query(_SPARSE + """, b AS (SELECT src AS id, dst AS neighbor FROM trade_edges UNION SELECT dst, src FROM trade_edges)
+@query(_FULL + """, b AS (SELECT src AS id, dst AS neighbor FROM trade_edges UNION SELECT dst, src FROM trade_edges)
 SELECT id, neighbor, CAST(place AS INTEGER) AS place FROM (SELECT b.id, neighbor, row_number() OVER (PARTITION BY b.id ORDER BY degree DESC, neighbor) AS place FROM b JOIN deg ON neighbor = deg.id) x WHERE place <= 3""")
 def top_neighbors(spark, sf_dir):
     nodes, edges, deg = trade(spark, sf_dir)
     return K.top_neighbors(edges, deg.select("id", F.col("degree").alias("score")), nodes.select("id"), 3)
 
 
-@query(_SPARSE + """, r AS (SELECT e.src AS seed, d.*, row_number() OVER (PARTITION BY e.src ORDER BY CASE d.kind WHEN 'struct_item' THEN 100 ELSE 90 END DESC, d.degree DESC, d.name, d.file, d.id) AS place
+@query(_FULL + """, r AS (SELECT e.src AS seed, d.*, row_number() OVER (PARTITION BY e.src ORDER BY CASE d.kind WHEN 'struct_item' THEN 100 ELSE 90 END DESC, d.degree DESC, d.name, d.file, d.id) AS place
  FROM trade_edges e JOIN deg d ON e.dst = d.id WHERE length(d.name) >= 3)
 SELECT seed, id, CAST(place AS INTEGER) AS place FROM r WHERE place <= 4 ORDER BY place, seed LIMIT 200""")
 def fan_out_cap(spark, sf_dir):
@@ -99,7 +101,7 @@ def fan_out_cap(spark, sf_dir):
     return K.fan_out_cap(rows, 4, 200).select("seed", "id", "place")
 
 
-@query(_SPARSE + ", s AS (SELECT id, degree / 20.0 AS score FROM deg) SELECT id, CASE WHEN score >= 1 THEN 'core' WHEN score >= 0.5 THEN CASE WHEN (SELECT max(score) FROM s) >= 1 THEN 'soft' ELSE 'core' END ELSE 'utility' END AS core FROM s")
+@query(_FULL + ", s AS (SELECT id, degree / 20.0 AS score FROM deg) SELECT id, CASE WHEN score >= 1 THEN 'core' WHEN score >= 0.5 THEN CASE WHEN (SELECT max(score) FROM s) >= 1 THEN 'soft' ELSE 'core' END ELSE 'utility' END AS core FROM s")
 def partition_cores(spark, sf_dir):
     deg = trade(spark, sf_dir)[2]
     return K.partition_cores(deg.select("id", (F.col("degree") / 20.0).alias("score"))).select("id", "core")

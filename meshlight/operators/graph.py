@@ -74,45 +74,58 @@ def interconnect_summary(bridges: DataFrame) -> DataFrame:
     return bridges.groupBy("kind").agg(F.count("*").alias("n_bridges"))
 
 
-def degree_at(nodes_degrees: DataFrame, rank: int) -> int:
-    """The degree at a rank (1-based, descending): by counts per degree, not by a sort of the nodes."""
-    counts = nodes_degrees.groupBy("degree").agg(F.count("*").alias("n"))
-    above = counts.withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("degree"))))
-    return above.where(F.col("upto") >= rank).agg(F.max("degree")).first()[0] or 0
+def degree_counts(deg: DataFrame) -> list[tuple[int, int]]:
+    """(degree, nodes) from the greatest degree down: a row for each distinct degree, of which e edges allow at most 2 * sqrt(e)."""
+    return [(r["degree"], r["n"]) for r in deg.groupBy("degree").agg(F.count("*").alias("n")).orderBy(F.desc("degree")).collect()]
 
 
-def compute_hubs(nodes: DataFrame, edges: DataFrame, share: float = 0.05) -> DataFrame:
-    """Build-time hubs: eligible nodes whose degree reaches that of rank ``floor(share * n)``, ties kept.
+def degree_at(counts: list[tuple[int, int]], rank: int) -> int:
+    """The degree at a rank (1-based, descending)."""
+    upto = 0
+    for degree, n in counts:
+        upto += n
+        if upto >= rank:
+            return degree
+    return 0
+
+
+def compute_hubs(nodes: DataFrame, edges: DataFrame, save: Save, share: float = 0.05) -> DataFrame:
+    """Build-time hubs by ``edges``, each there once: eligible nodes whose degree reaches that of rank ``floor(share * n)``, ties kept.
 
     Kinds with primitive, builtin or macro and names of three bytes or fewer are not
     eligible; nodes without edges are never hubs.
     """
     fit = nodes.where(~F.lower("kind").rlike("primitive|builtin|macro") & (F.octet_length("name") > 3))
-    deg = degrees(fit, edges.select("src", "dst").distinct())
-    n = deg.count()
-    cut = max(1, min(n, int(share * n))) if n else 1
-    least = degree_at(deg, cut)
+    deg = save(degrees(fit, edges), "degrees")
+    counts = degree_counts(deg)
+    n = sum(x for _, x in counts)
+    least = degree_at(counts, max(1, min(n, int(share * n))))
     return deg.where((F.col("degree") >= least) & (F.col("degree") > 0)).select("id", "degree", F.col("degree").cast("double").alias("score"))
 
 
-def hub_threshold(nodes: DataFrame, edges: DataFrame, share: float = 0.05) -> int:
+def hub_threshold(nodes: DataFrame, edges: DataFrame, save: Save, share: float = 0.05) -> int:
     """Query-time hub rule: the degree at the sorted index ``min(max(floor(share * n), 1), n - 1)`` of all nodes."""
-    deg = degrees(nodes, edges)
-    n = deg.count()
-    return degree_at(deg, min(max(int(share * n), 1), n - 1) + 1) if n else 0
+    counts = degree_counts(save(degrees(nodes, edges), "degrees"))
+    n = sum(x for _, x in counts)
+    return degree_at(counts, min(max(int(share * n), 1), n - 1) + 1) if n else 0
 
 
 # ---------------------------------------------------------------- traversal
 
 
-def expand_hops(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """``(id, hop)``: nodes within ``hops`` undirected steps of ``seeds(id)``, with the least number of steps."""
+def expand_hops(edges: DataFrame, seeds: DataFrame, hops: int, save: Save | None = None) -> DataFrame:
+    """``(id, hop)``: nodes within ``hops`` undirected steps of ``seeds(id)``, with the least number of steps.
+
+    With ``save`` each step but the last is written, so that no hop is computed twice.
+    """
     both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     seen = seeds.select("id").distinct().withColumn("hop", F.lit(0))
     front = seen
     for hop in range(1, hops + 1):
         near = both.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
         front = near.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop))
+        if save and hop < hops:
+            front = save(front, "front")
         seen = seen.union(front)
     return seen
 
@@ -217,8 +230,15 @@ def canonize(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Edges are moved to the kept ids, loops and repeats dropped.
     """
-    order = Window.partitionBy("name", "kind", "content_hash").orderBy(F.desc("score"), F.desc("size"), "id")
-    kept = nodes.withColumn("keep_id", F.first("id").over(order))
+    group = ["name", "kind", "content_hash"]
+    same = F.lit(True)
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    names = [F.col(c).alias(f"_{c}") for c in group]
+    # aggregates, not a window: a large group of copies is summed where it is read
+    top = nodes.groupBy(*names).agg(F.max(F.struct("score", "size")).alias("_top"))
+    first = nodes.join(top, same).where(F.struct("score", "size").eqNullSafe(F.col("_top"))).groupBy(*[f"_{c}" for c in group]).agg(F.min("id").alias("keep_id"))
+    kept = nodes.join(first, same).drop(*[f"_{c}" for c in group])
     ids = kept.select("id", "keep_id")
     moved = (
         edges.join(ids.select(F.col("id").alias("src"), F.col("keep_id").alias("s")), "src", "left")

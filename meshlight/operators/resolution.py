@@ -57,7 +57,8 @@ def resolve_target(sites: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(src, dst)`` of ``sites(src, file, name)``: the file's own definition, else the global one unless the name is generic, else the same for the last dotted part."""
     defs = all_name_ids(nodes).join(nodes.select("id", "file"), "id").withColumnRenamed("id", "dst")
     table = global_name_map(nodes).withColumnRenamed("id", "dst")
-    rows = sites.withColumn("leaf", F.element_at(F.split("name", r"\.|::"), -1)).withColumn("n", F.monotonically_increasing_id())
+    rows = sites.select("src", "file", "name").distinct().withColumn("leaf", F.element_at(F.split("name", r"\.|::"), -1))
+    rows = rows.withColumn("n", F.struct("src", "file", F.col("name").alias("called")))
     out = None
     for i, key in enumerate(("name", "leaf")):
         local = rows.join(defs.withColumnRenamed("name", key), ["file", key]).select("n", "src", "dst", F.lit(4 - 2 * i).alias("rank"))

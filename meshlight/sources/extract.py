@@ -9,6 +9,7 @@ row with ``parse_error`` and no definition.
 from __future__ import annotations
 
 import ast
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -56,15 +57,31 @@ def digest(source: str) -> str:
     return hashlib.md5(text.encode()).hexdigest()
 
 
-def _row(path: str, lang: str, source: str, name: str, kind: str, start: int, end: int, parent: str | None) -> dict:
-    body = source[start:end]
-    h = digest(body)
-    first = source.count("\n", 0, start) + 1
-    a = len(source[:start].encode())
-    return {
-        "id": f"{path}:{kind}:{h[:8]}", "name": name, "file": path, "kind": kind, "lang": lang, "start_line": first, "end_line": first + body.count("\n"),
-        "start_byte": a, "end_byte": a + len(body.encode()), "parent_id": parent, "content_hash": h, "source": body, "parse_error": None,
-    }
+class _Rows:
+    """Definition rows of one file; places are looked up, not counted from the file's start each time."""
+
+    def __init__(self, path: str, lang: str, source: str):
+        self.path, self.lang, self.source, self.rows = path, lang, source, []
+        self.lines, self.bytes = [0], [0]
+        for line in source.split("\n"):
+            self.lines.append(self.lines[-1] + len(line) + 1)
+            self.bytes.append(self.bytes[-1] + len(line.encode()) + 1)
+        self.seen: dict[str, int] = {}
+
+    def add(self, name: str, kind: str, start: int, end: int, parent: str | None) -> str:
+        """The id: path, kind and content hash, and a number from the second equal definition of the file on."""
+        body = self.source[start:end]
+        h = digest(body)
+        line = bisect.bisect_right(self.lines, start) - 1
+        first = self.bytes[line] + len(self.source[self.lines[line] : start].encode())
+        key = f"{self.path}:{kind}:{h[:8]}"
+        n = self.seen[key] = self.seen.get(key, 0) + 1
+        self.rows.append({
+            "id": key if n == 1 else f"{key}:{n}", "name": name, "file": self.path, "kind": kind, "lang": self.lang, "start_line": line + 1,
+            "end_line": line + 1 + body.count("\n"), "start_byte": first, "end_byte": first + len(body.encode()), "parent_id": parent,
+            "content_hash": h, "source": body, "parse_error": None,
+        })
+        return self.rows[-1]["id"]
 
 
 def parse_python(path: str, source: str) -> list[dict]:
@@ -73,7 +90,7 @@ def parse_python(path: str, source: str) -> list[dict]:
     starts = [0]
     for x in lines:
         starts.append(starts[-1] + len(x) + 1)
-    rows: list[dict] = []
+    found = _Rows(path, "python", source)
 
     def visit(node: ast.AST, parent: str | None) -> None:
         for kid in ast.iter_child_nodes(node):
@@ -82,13 +99,12 @@ def parse_python(path: str, source: str) -> list[dict]:
                 line = min([kid.lineno, *[d.lineno for d in kid.decorator_list]])
                 start = starts[line - 1] + (len(lines[line - 1]) - len(lines[line - 1].lstrip()))
                 end = starts[kid.end_lineno - 1] + len(lines[kid.end_lineno - 1].encode()[: kid.end_col_offset].decode(errors="ignore"))
-                rows.append(_row(path, "python", source, kid.name, kind, start, end, parent))
-                visit(kid, rows[-1]["id"])
+                visit(kid, found.add(kid.name, kind, start, end, parent))
             else:
                 visit(kid, parent)
 
     visit(ast.parse(source), None)
-    return rows
+    return found.rows
 
 
 _BLANK = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])'|`(?:\\.|[^`\\])*`", re.S)
@@ -99,24 +115,32 @@ def masked(source: str) -> str:
     return _BLANK.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
 
 
-def _end(text: str, at: int) -> int:
-    """Where the item that begins before ``at`` ends: its brace block, or the next ``;`` outside of brackets."""
-    depth = round_ = 0
-    for i in range(at, len(text)):
-        c = text[i]
-        if c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
-            if depth <= 0:
-                return i + (depth == 0)
-        elif c in "([":
-            round_ += 1
-        elif c in ")]":
-            round_ -= 1
-        elif c == ";" and depth == 0 and round_ <= 0:
-            return i + 1
-    return len(text)
+class _Brackets:
+    """Where items end: brackets are read once, and each open brace knows its close."""
+
+    def __init__(self, text: str):
+        self.at = [m.start() for m in re.finditer(r"[{}()\[\];]", text)]
+        self.text, self.close = text, {}
+        opened = []
+        for i in self.at:
+            if text[i] == "{":
+                opened.append(i)
+            elif text[i] == "}" and opened:
+                self.close[opened.pop()] = i
+
+    def end(self, at: int) -> int:
+        """Where the item that begins before ``at`` ends: its brace block, or the next ``;`` outside of brackets."""
+        round_ = 0
+        for i in self.at[bisect.bisect_left(self.at, at) :]:
+            c = self.text[i]
+            if c == "{":
+                return self.close.get(i, len(self.text) - 1) + 1
+            if c == "}":
+                return i
+            round_ += (c in "([") - (c in ")]")
+            if c == ";" and round_ <= 0:
+                return i + 1
+        return len(self.text)
 
 
 def parse_braced(path: str, source: str, lang: str) -> list[dict]:
@@ -128,16 +152,15 @@ def parse_braced(path: str, source: str, lang: str) -> list[dict]:
             if m[1] not in _NOT_CALLS:
                 head = m.start() + len(m[0]) - len(m[0].lstrip())
                 found.setdefault(m.start(1), (head, kind, m[1]))  # the first rule wins
-    rows, stack = [], []
+    rows, stack, brackets = _Rows(path, lang, source), [], _Brackets(text)
     for at, (head, kind, name) in sorted(found.items(), key=lambda x: x[1][0]):
         begin = text.rfind("\n", 0, head) + 1
         start = begin + len(text[begin:head]) - len(text[begin:head].lstrip())  # with what stands before it in the line
-        end = _end(text, at)
+        end = brackets.end(at)
         while stack and stack[-1][0] <= start:
             stack.pop()
-        rows.append(_row(path, lang, source, name, kind, start, end, stack[-1][1] if stack else None))
-        stack.append((end, rows[-1]["id"]))
-    return rows
+        stack.append((end, rows.add(name, kind, start, end, stack[-1][1] if stack else None)))
+    return rows.rows
 
 
 def dialect(path: str, source: str) -> str:
@@ -332,26 +355,39 @@ def call_edges(nodes: DataFrame, calls: DataFrame) -> DataFrame:
 
     callable_ = nodes.where(F.col("kind").rlike("function|method|arrow|class"))
     inside = enclosing_block(callable_, calls.select("file", "line").distinct())
-    at = calls.join(inside, ["file", "line"]).select(F.col("id").alias("src"), F.col("file").alias("f"), F.col("lang").alias("l"), "receiver", "name", "origin")
-    defs = callable_.select(F.col("id").alias("dst"), F.col("file").alias("df"), F.col("lang").alias("dl"), F.col("name").alias("dn"), F.col("parent_id").alias("dp"))
+    at = calls.join(inside, ["file", "line"]).select(F.col("id").alias("src"), F.col("file").alias("f"), F.col("lang").alias("l"), "receiver", "name", "origin").distinct()
     leaf = F.when((F.col("l") == "typescript") & F.col("receiver").isNull() & F.col("origin").isNotNull() & ~F.endswith("origin", F.lit("#*")), F.element_at(F.split("origin", "#"), -1))
     leaf = F.coalesce(leaf, F.when((F.col("l") == "python") & F.col("receiver").isNull() & F.col("origin").isNotNull(), F.element_at(F.split("origin", r"\."), -1)), F.col("name"))
-    pairs = at.withColumn("leaf", leaf).join(defs, (F.col("leaf") == F.col("dn")) & (F.col("l") == F.col("dl")))
-    stem = F.regexp_replace(F.regexp_replace("df", r"\.[^./]+$", ""), r"/(__init__|index)$", "")
+    at = at.withColumn("leaf", leaf).withColumn("family", _family(F.col("l")))
+    defs = callable_.select(F.col("id").alias("dst"), F.col("file").alias("f"), _family(F.col("lang")).alias("family"), F.col("name").alias("leaf"))
+    site = ["src", "name", "receiver"]
+    own = at.where(F.col("origin").isNull() & (F.col("receiver").isNull() | F.col("receiver").isin("self", "cls", "this", "Self")))
+    local = own.join(defs, ["f", "family", "leaf"]).select(*site, "dst", F.lit(3).alias("rank"))
+    # An import and a definition meet by name and by the last part of module and file or folder, which agree if the paths do.
     module = F.when(F.col("l") == "python", F.when(F.col("receiver").isNull(), F.regexp_replace("origin", r"\.[^.]*$", "")).otherwise(F.col("origin"))).otherwise(F.element_at(F.split("origin", "#"), 1))
     wanted = F.regexp_replace(F.regexp_replace(module, r"^(\./|\.\./)+", ""), r"\.", "/")
-    from_import = (stem == wanted) | F.endswith(stem, F.concat(F.lit("/"), wanted)) | F.endswith(wanted, F.concat(F.lit("/"), stem))
-    from_import = from_import | ((F.col("l") == "go") & F.endswith(wanted, F.regexp_replace("df", r"/[^/]*$", "")))
-    local = (F.col("f") == F.col("df")) & (F.col("receiver").isNull() | F.col("receiver").isin("self", "cls", "this", "Self"))
-    n = F.count("*").over(_by("src", "name", "receiver"))
-    rank = F.when(local & F.col("origin").isNull(), 3).when(F.col("origin").isNotNull() & from_import, 2).when(
-        F.col("receiver").isNull() & F.col("origin").isNull() & F.col("l").isin("rust", "c", "cpp", "typescript", "go") & (n == 1), 1
-    ).otherwise(0)
-    best = pairs.withColumn("rank", rank).where("rank > 0 and src <> dst")
-    best = best.withColumn("top", F.max("rank").over(_by("src", "name", "receiver"))).where("rank = top")
+    bound = at.where(F.col("origin").isNotNull()).withColumn("wanted", wanted).withColumn("part", F.element_at(F.split("wanted", "/"), -1)).drop("f")
+    stem = F.regexp_replace(F.regexp_replace("f", r"\.[^./]+$", ""), r"/(__init__|index)$", "")
+    folder = F.regexp_replace("f", r"/[^/]*$", "")
+    homes = F.when(F.col("family") == "go", F.array_distinct(F.array(stem, folder))).otherwise(F.array(stem))
+    places = defs.withColumn("home", F.explode(homes)).withColumn("part", F.element_at(F.split("home", "/"), -1)).drop("f")
+    slash = F.lit("/")
+    fits = F.endswith(F.concat(slash, "home"), F.concat(slash, "wanted")) | F.endswith(F.concat(slash, "wanted"), F.concat(slash, "home"))
+    imported = bound.join(places, ["family", "leaf", "part"]).where(fits).select(*site, "dst", F.lit(2).alias("rank"))
+    # One row for each name, whatever the number of its definitions.
+    only = defs.groupBy("family", "leaf").agg(F.count("*").alias("n"), F.min("dst").alias("dst")).where("n = 1").drop("n")
+    free = at.where(F.col("receiver").isNull() & F.col("origin").isNull() & F.col("l").isin("rust", "c", "cpp", "typescript", "go"))
+    single = free.join(only, ["family", "leaf"]).select(*site, "dst", F.lit(1).alias("rank"))
+    best = local.union(imported).union(single).where("src <> dst")
+    best = best.withColumn("top", F.max("rank").over(_by(*site))).where("rank = top")
     return best.select("src", "dst").distinct()
 
 
+def _family(lang):
+    """C and C++ call each other; other languages resolve among themselves."""
+    return F.when(lang == "cpp", "c").otherwise(lang)
+
+
 def _by(*columns: str):
     from pyspark.sql import Window
 

@@ -25,13 +25,7 @@ VIEWS: dict[str, str] = {
         UNION ALL
         SELECT concat('p:', CAST(p_partkey AS STRING)), p_name, concat('catalog/', p_brand, '/', p_type),
                'method_definition', 'part', 'catalog', p_partkey, p_partkey + 10 FROM {part}""",
-    # Large lines only: a sparse graph for traces.
     "trade_edges": """
-        SELECT DISTINCT concat('c:', CAST(o_custkey AS STRING)) AS src, concat('s:', CAST(l_suppkey AS STRING)) AS dst
-        FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey WHERE l_quantity >= 49
-        UNION ALL
-        SELECT DISTINCT concat('s:', CAST(l_suppkey AS STRING)), concat('p:', CAST(l_partkey AS STRING)) FROM {lineitem} WHERE l_quantity >= 49""",
-    "trade_all_edges": """
         SELECT DISTINCT concat('c:', CAST(o_custkey AS STRING)) AS src, concat('s:', CAST(l_suppkey AS STRING)) AS dst
         FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey
         UNION ALL
@@ -41,14 +35,13 @@ VIEWS: dict[str, str] = {
         SELECT DISTINCT concat('c:', CAST(o_custkey AS STRING)) AS src, concat('s:', CAST(l_suppkey AS STRING)) AS dst,
                CASE WHEN a.n_regionkey <> b.n_regionkey THEN 'export' WHEN a.n_nationkey <> b.n_nationkey THEN 'ipc' ELSE 'twin' END AS kind
         FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey
-        JOIN {nation} a ON c_nationkey = a.n_nationkey JOIN {nation} b ON s_nationkey = b.n_nationkey WHERE l_quantity >= 49""",
-    # A user's first five events in a row.
+        JOIN {nation} a ON c_nationkey = a.n_nationkey JOIN {nation} b ON s_nationkey = b.n_nationkey""",
+    # From the type of each event of a user to that of the next.
     "flow_edges": """
         SELECT DISTINCT src, dst FROM (
           SELECT concat(CAST(user_id AS STRING), ':', event_type) AS src,
                  concat(CAST(user_id AS STRING), ':', lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS dst,
-                 lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt,
-                 row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM {events}) x WHERE nxt IS NOT NULL AND r <= 4""",
+                 lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM {events}) x WHERE nxt IS NOT NULL""",
     "docs_nodes": """
         SELECT concat('d:', CAST(doc_id AS STRING)) AS id, split_part(text, ' ', 1) AS name, concat(source, '/', lang, '/', CAST(doc_id AS STRING), '.txt') AS file,
                CASE WHEN n_chars > 2000 THEN 'struct_item' WHEN n_chars > 500 THEN 'function_item' ELSE 'call_expression' END AS kind,

@@ -59,7 +59,7 @@ class NodeTable:
 
         A batch that comes again after a restart changes nothing but the version.
         """
-        last = batch.groupBy("file", "name", "kind").agg(F.max(F.struct("seq", *[c for c in self.schema.names if c not in ("file", "name", "kind")])).alias("r"))
+        last = batch.groupBy("file", "name", "kind").agg(F.max(F.struct("seq", *[c for c in self.schema.names if c not in ("file", "name", "kind", "seq")])).alias("r"))
         rows = last.select("file", "name", "kind", "r.*").select(*self.schema.names)
         now = self.read()
         kept = now.join(rows.select("file", "name", "kind"), ["file", "name", "kind"], "left_anti").select(*self.schema.names)

@@ -54,7 +54,7 @@ scoped_parse = ensure_call_graph
 
 def finalize(nodes: DataFrame, edges: DataFrame, save) -> dict[str, DataFrame]:
     """Cycles, hubs and the name index of a graph."""
-    return {"cycles": G.detect_cycles(edges, save), "hubs": G.compute_hubs(nodes, edges), "index": name_locations(nodes)}
+    return {"cycles": G.detect_cycles(edges, save), "hubs": G.compute_hubs(nodes, edges.select("src", "dst").distinct(), save), "index": name_locations(nodes)}
 
 
 def post_pass(cone: int, complete: bool) -> bool:
