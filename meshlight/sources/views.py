@@ -42,6 +42,18 @@ VIEWS: dict[str, str] = {
           SELECT concat(CAST(user_id AS STRING), ':', event_type) AS src,
                  concat(CAST(user_id AS STRING), ':', lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS dst,
                  lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM {events}) x WHERE nxt IS NOT NULL""",
+    # A definition for each document: places, names and kinds of a repository, by remainders of its id.
+    "code_nodes": """
+        SELECT id, concat(dir, '/', stem, '.', ext) AS file, name, kind, source, start_line, start_line + span AS end_line, in_degree, out_degree, k,
+               CASE ext WHEN 'rs' THEN 'rust' WHEN 'py' THEN 'python' WHEN 'go' THEN 'go' WHEN 'c' THEN 'c' WHEN 'h' THEN 'c' WHEN 'cpp' THEN 'cpp' WHEN 'txt' THEN '' ELSE 'typescript' END AS lang
+        FROM (SELECT concat('n:', CAST(doc_id AS STRING)) AS id, doc_id AS k,
+          split_part('src,src/core,tests,docs/guide,examples/app,node_modules/pkg,vendor/x,crates/a/src,lib,app,tools,scripts,third_party/z,pkg/b/src,benches,Core/Net', ',', CAST(doc_id % 16 + 1 AS INT)) AS dir,
+          split_part('main,lib,index,test_a,a_test,util,app,server,conftest,mod,x.spec,parser,config', ',', CAST(doc_id % 13 + 1 AS INT)) AS stem,
+          split_part('rs,py,ts,go,c,h,cpp,js,txt,svelte,tsx', ',', CAST(doc_id % 11 + 1 AS INT)) AS ext,
+          split_part('main,run,new,get,Parser,parse_item,test_x,fmt,u8,x,HTTPServer,getValue,init,startAll,_hidden,toString,config,a::open,Result', ',', CAST(doc_id % 19 + 1 AS INT)) AS name,
+          split_part('function_item,struct_item,method_definition,class_declaration,mod_item,enum_item,function_declaration,impl_item,variable_declarator,call_expression,if_statement,trait_item,type_alias,function_definition,unknown', ',', CAST(doc_id % 15 + 1 AS INT)) AS kind,
+          split_part('mod x;,struct A;,static int f(),fn a() b(),  call(x);,type A = B;,macro_rules! m,class B int c;', ',', CAST(doc_id % 8 + 1 AS INT)) AS source,
+          doc_id % 40 * 7 AS start_line, doc_id % 5 * 9 AS span, doc_id % 120 AS in_degree, doc_id % 4 AS out_degree FROM {documents}) x""",
     "docs_nodes": """
         SELECT concat('d:', CAST(doc_id AS STRING)) AS id, split_part(text, ' ', 1) AS name, concat(source, '/', lang, '/', CAST(doc_id AS STRING), '.txt') AS file,
                CASE WHEN n_chars > 2000 THEN 'struct_item' WHEN n_chars > 500 THEN 'function_item' ELSE 'call_expression' END AS kind,
