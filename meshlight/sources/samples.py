@@ -17,6 +17,13 @@ PROJECT = {
     "web/page.ts": "import { fetchAll as all } from './api';\n\nexport class Page {\n  show(url: string) {\n    return all(url);\n  }\n}\n",
     "srv/main.go": "package main\n\nimport \"proj/srv/db\"\n\nfunc Serve() {\n\tdb.Open()\n\thelp()\n}\n\nfunc help() {}\n",
     "srv/db/db.go": "package db\n\nfunc Open() {}\n\ntype Conn struct{}\n\nfunc (c *Conn) Close() {}\n",
+    "app/dyn.py": "def go(obj):\n    obj.save()\n    return len(obj)\n\n\ndef len_of(obj):\n    \"\"\"run(obj)\"\"\"\n    return obj.clean()\n",
+    "web/index.ts": "export { fetchAll } from './api';\nexport * from './page';\n",
+    "web/ipc.ts": "export async function openIt(p: string) {\n  return invoke('open_project', { p });\n}\n",
+    "srv/db/other_test.go": "package db\n\nfunc TestOpen() {\n\tOpen()\n}\n",
+    "ffi/src/lib.rs": "#[pyfunction]\nfn word_count(s: &str) -> usize {\n    s.len()\n}\n\n#[pyfunction]\n#[pyo3(name = \"search_all\")]\nfn search(s: &str) -> usize {\n    0\n}\n\n#[tauri::command]\nfn open_project(path: String) {}\n",
+    "ffi/bind.cpp": "int compute_all(int x) {\n  return add(x, x);\n}\n\nPYBIND11_MODULE(x, m) {\n  m.def(\"compute_all\", &compute_all);\n}\n",
+    "ffi/use.py": "import ffi_mod\n\n\ndef main():\n    ffi_mod.word_count('a')\n    return compute_all(3)\n",
     "native/op.h": "int add(int a, int b);\n",
     "native/op.c": "#include \"op.h\"\nint add(int a, int b) {\n  return a + b;\n}\n\nint twice_of(int a) {\n  return add(a, a);\n}\n",
 }
