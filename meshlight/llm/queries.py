@@ -17,6 +17,7 @@ from .quality import select
 from .secrets import report
 from .substring import repeated_runs
 from .toxicity import toxicity
+from .warc import SQL as WARC_SQL
 from .warc import round_trip
 
 
@@ -74,4 +75,4 @@ QUERIES = {
         op1_minhash, op2_media, op3_warc, op4_toxicity, op5_secrets, op6_decontaminate, op7_mix, op8_quality, op9_html, op10_substring,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op6_decontaminate": CONTAMINATION_SQL, "op7_mix": MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_warc": WARC_SQL, "op6_decontaminate": CONTAMINATION_SQL, "op7_mix": MIX_SQL}

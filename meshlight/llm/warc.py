@@ -297,3 +297,12 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes all pages to archives and returns what the reader finds in them."""
     return read_archives(write_archives(pages))
+
+
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+h AS (SELECT *, sha1(html) AS hex FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+ array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST(concat('0x', substr(hex, i // 8 * 10 + 1, 10)) AS BIGINT) >> (35 - i % 8 * 5)) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+ CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM h
+"""
