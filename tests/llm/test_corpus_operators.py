@@ -263,3 +263,40 @@ def test_columns_with_any_name_and_type_stay(spark, docs):
     assert {(r.page_id, r.refers_to) for r in warc.round_trip(pages).collect()} == {(1, 2), (2, None)}
     pages = pages.withColumn("text", F.lit(1)).withColumn("n_chars", F.lit(2))
     assert html.main_text(pages).count() == 2
+
+
+def test_pipeline_as_a_whole(spark, tmp_path):
+    """Every stage takes effect on what the one before kept, and clean documents come through with their text."""
+    def text(i):
+        return " ".join(f"Sentence {j} of document {i} tells about item {i * 31 + j * 7} and more." for j in range(12))
+
+    item = " ".join(f"benchmark{j * j % 53}x{j}" for j in range(30))
+    good = [(i, text(i), "en", f"s{i % 2}", 1) for i in range(120)]
+    junk = [(1000 + i, "%%% word### of%%% junk!!! " * (6 + i % 4), "en", "s0", 1) for i in range(30)]
+    copies = [(2000 + i, text(i), "en", "s1", 1) for i in range(0, 40, 4)]
+    near = [(3000 + i, text(i).replace("item", "thing", 1), "en", "s1", 1) for i in range(2, 40, 4)]
+    leaks = [(4000 + i, f"{text(500 + i)} {item} {text(600 + i)}", "en", "s0", 1) for i in range(6)]
+    keyed = [(5000 + i, f"{text(700 + i)} password = hunter{i}secret", "en", "s1", 1) for i in range(6)]
+    rows = [*good, *junk, *copies, *near, *leaks, *keyed]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(r[0], 1, 0) for r in good[::2] + leaks[::2] + keyed[::2]] + [(r[0], 0, 0) for r in junk[::2]]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    kept = {r[0] for r in good} | {r[0] for r in keyed}
+    # s1 weighs twice as much, so all of it is taken, some of it again, and s0 is cut at its third
+    assert set(out) <= kept and {r[0] for r in rows if r[0] in kept and r[3] == "s1"} <= set(out)
+    assert abs(3 * sum(r.taken for r in out.values() if r.source == "s0") - sum(r.taken for r in out.values())) <= 30
+    was = {r[0]: r[1] for r in rows}
+    for d, r in out.items():
+        assert r.text == (was[d] if d < 5000 else was[d].split(" password")[0] + " [assign]") and r.n_chars == (1 if d < 5000 else len(r.text))
+        assert 0 < r.taken <= 3 * r["size"]
+    sizes = sum(len(re.findall(r"[^\x20\x09-\x0D]+", was[d].split(" = ")[0].replace("password", "[assign]"))) for d in kept)
+    assert sum(r.taken for r in out.values()) == sizes
+    # the stages alone, in their order
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
+    first = corpus_pipeline.quality(spark, docs, str(tmp_path))
+    assert ids(first) == {r[0] for r in rows} - {r[0] for r in junk}
+    assert ids(corpus_pipeline.near_dedup(spark, docs, "")) == {r[0] for r in rows} - {r[0] for r in copies + near} - ids(docs.where("doc_id between 1000 and 1999")) | ids(corpus_pipeline.near_dedup(spark, docs.where("doc_id between 1000 and 1999"), ""))
+    assert ids(corpus_pipeline.decontamination(spark, docs, str(tmp_path))) == {r[0] for r in rows} - {r[0] for r in leaks}
