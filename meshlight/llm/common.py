@@ -7,6 +7,7 @@ import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
@@ -14,12 +15,17 @@ from pyspark.sql.types import DataType, StructField, StructType
 from ..operators.storage import forget, new_path
 from ..operators.storage import save as written
 
-__all__ = ["arrow_map", "forget", "key_words", "lean", "maybe_among", "new_path", "release", "running_total", "table", "tune", "with_fields", "written"]
+__all__ = ["arrow_map", "forget", "key_words", "lean", "maybe_among", "new_path", "release", "running_total", "store_of", "table", "tune", "with_fields", "written"]
 
 #: Rows handed to a Python worker at once; texts are long, so batches stay small.
 ARROW_ROWS = 512
 
 
+def store_of(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a URI, or of an absolute path without a scheme."""
+    return fs.FileSystem.from_uri(uri)
+
+
 def tune(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for rows that hold whole documents."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

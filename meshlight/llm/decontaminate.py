@@ -21,12 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, new_path, tune
+from .common import lean, new_path, store_of, tune
 from .tokens import U64, chunks, span_hash, split_words
 
 WINDOW = 10
@@ -177,7 +176,7 @@ _MATCH_ARROW = pa.list_(pa.struct([("item", pa.string()), *((n, pa.int64()) for
 def write_blocks(spark: SparkSession, benchmark: DataFrame, window: int, block_words: int) -> list[str]:
     """The items by id in files of a bounded number of words; the rows are streamed to the driver."""
     folder, paths = new_path(spark, "benchmark"), []
-    store, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    store, base = store_of(folder)
     store.create_dir(base, recursive=True)
 
     def flush(ids: list[str], texts: list[str]) -> None:
@@ -200,7 +199,7 @@ def write_blocks(spark: SparkSession, benchmark: DataFrame, window: int, block_w
 
 
 def _read(path: str) -> Block:
-    store, base = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    store, base = store_of(path)
     with store.open_input_stream(base) as source:
         return pickle.loads(source.read())
 

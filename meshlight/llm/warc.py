@@ -21,11 +21,10 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_words, lean, maybe_among, new_path, tune, written
+from .common import key_words, lean, maybe_among, new_path, store_of, tune, written
 
 DATA, INDEX = "archive/data.warc", "indexes/index.cdxj"
 RANGE_BYTES = 4 << 20  # records read at once
@@ -67,7 +66,7 @@ class ArchiveWriter:
     """Streams records into one archive; the index is held until the end."""
 
     def __init__(self, uri: str):
-        store, path = fs.FileSystem.from_uri(uri)
+        store, path = store_of(uri)
         store.create_dir(path.rpartition("/")[0], recursive=True)
         self.out = store.open_output_stream(path)
         self.zip = zipfile.ZipFile(self.out, "w", zipfile.ZIP_STORED, allowZip64=True)
@@ -197,7 +196,7 @@ def member_start(source, member: Member) -> int:
 
 def ranges(uri: str, most: int = RANGE_BYTES) -> Iterator[tuple[int, int]]:
     """Byte ranges (offset, length) of an archive that hold whole records, by its index."""
-    store, path = fs.FileSystem.from_uri(uri)
+    store, path = store_of(uri)
     with store.open_input_file(path) as source:
         members = {m.name: m for m in directory(source, source.size())}
         base = member_start(source, members[DATA])
@@ -282,7 +281,7 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                store, path = fs.FileSystem.from_uri(row["path"])
+                store, path = store_of(row["path"])
                 with store.open_input_file(path) as source:
                     data = read_at(source, row["offset"], row["length"])
                 rows = [parsed(h, b) for h, b in records(data)]
