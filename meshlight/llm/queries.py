@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import SQL as CLUSTER_SQL
+from .centroids import clusters
 from .common import table
 from .decontaminate import SQL as CONTAMINATION_SQL
 from .decontaminate import contamination
@@ -15,8 +17,12 @@ from .mixing import SQL as MIX_SQL
 from .mixing import mix
 from .quality import select
 from .secrets import report
+from .sharding import SQL as SHARD_SQL
+from .sharding import shards
 from .substring import repeated_runs
 from .toxicity import toxicity
+from .variants import SQL as VARIANT_SQL
+from .variants import variants
 from .warc import SQL as WARC_SQL
 from .warc import round_trip
 
@@ -69,10 +75,26 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_runs(table(spark, sf_dir, "documents"))
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash, op2_media, op3_warc, op4_toxicity, op5_secrets, op6_decontaminate, op7_mix, op8_quality, op9_html, op10_substring,
+        op11_variants, op12_centroids, op13_shards,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op3_warc": WARC_SQL, "op6_decontaminate": CONTAMINATION_SQL, "op7_mix": MIX_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": WARC_SQL, "op6_decontaminate": CONTAMINATION_SQL, "op7_mix": MIX_SQL,
+    "op11_variants": VARIANT_SQL, "op12_centroids": CLUSTER_SQL, "op13_shards": SHARD_SQL,
+}
