@@ -146,6 +146,34 @@ def truncate_tokens(text: str, most: int) -> str:
 # ---------------------------------------------------------------- column side
 
 
+def _strip(s: Column) -> Column:
+    return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+
+
+def pascal_col(name: Column) -> Column:
+    """``pascal`` over a column."""
+    return _strip(name).rlike(r"^\p{Lu}[\p{Ll}0-9]*$") & (F.octet_length(_strip(name)) >= 3)
+
+
+def code_shaped_col(name: Column) -> Column:
+    """``code_shaped`` over a column; a source ending has a stop, so it needs no rule of its own."""
+    s = _strip(name)
+    caps = s.rlike(r"^[\p{Lu}0-9]+$") & (F.octet_length(s) >= 4)
+    return (F.octet_length(s) >= 2) & (s.rlike(r"[/\\._]|::") | pascal_col(s) | s.rlike(r"(?s)\p{Ll}.*\p{Lu}") | caps)
+
+
+def junk_symbol_col(name: Column) -> Column:
+    """``junk_symbol`` over a column."""
+    s = _strip(name)
+    return (F.length(F.regexp_replace(s, r"(?U)[^\p{Alnum}]", "")) < 3) | F.lower(s).isin(*JUNK_NAMES)
+
+
+def strong_token_col(token: Column) -> Column:
+    """``strong_token`` over a column."""
+    t = _strip(token)
+    return (F.octet_length(t) >= 3) & ~junk_symbol_col(t) & (code_shaped_col(t) | (F.octet_length(t) >= 6))
+
+
 def count_tokens(text: Column) -> Column:
     """The larger of sub-word tokens and characters, which is the characters."""
     return F.char_length(text)

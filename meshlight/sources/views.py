@@ -54,6 +54,14 @@ VIEWS: dict[str, str] = {
           split_part('function_item,struct_item,method_definition,class_declaration,mod_item,enum_item,function_declaration,impl_item,variable_declarator,call_expression,if_statement,trait_item,type_alias,function_definition,unknown', ',', CAST(doc_id % 15 + 1 AS INT)) AS kind,
           split_part('mod x;,struct A;,static int f(),fn a() b(),  call(x);,type A = B;,macro_rules! m,class B int c;', ',', CAST(doc_id % 8 + 1 AS INT)) AS source,
           doc_id % 40 * 7 AS start_line, doc_id % 5 * 9 AS span, doc_id % 120 AS in_degree, doc_id % 4 AS out_degree FROM {documents}) x""",
+    # Parts by the number of their suppliers, documents by their first word.
+    "name_nodes": """
+        SELECT concat('p:', CAST(p_partkey AS STRING)) AS id, p_name AS name, concat('catalog/', p_brand, '/', p_type) AS file, p_partkey AS start_line,
+               coalesce(n, 0) AS weight, p_partkey AS k
+        FROM {part} LEFT JOIN (SELECT l_partkey, count(DISTINCT l_suppkey) AS n FROM {lineitem} GROUP BY l_partkey) s ON l_partkey = p_partkey
+        UNION ALL
+        SELECT concat('d:', CAST(doc_id AS STRING)), split_part(text, ' ', 1), concat(source, '/', lang, '/', CAST(doc_id AS STRING), '.txt'), doc_id % 97,
+               n_chars % 89, doc_id FROM {documents}""",
     "docs_nodes": """
         SELECT concat('d:', CAST(doc_id AS STRING)) AS id, split_part(text, ' ', 1) AS name, concat(source, '/', lang, '/', CAST(doc_id AS STRING), '.txt') AS file,
                CASE WHEN n_chars > 2000 THEN 'struct_item' WHEN n_chars > 500 THEN 'function_item' ELSE 'call_expression' END AS kind,
