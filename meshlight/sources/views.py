@@ -62,6 +62,21 @@ VIEWS: dict[str, str] = {
         UNION ALL
         SELECT concat('d:', CAST(doc_id AS STRING)), split_part(text, ' ', 1), concat(source, '/', lang, '/', CAST(doc_id AS STRING), '.txt'), doc_id % 97,
                n_chars % 89, doc_id FROM {documents}""",
+    # Orders as functions: a few are tests, types or have names that say nothing.
+    "order_nodes": """
+        SELECT concat('o:', CAST(o_orderkey AS STRING)) AS id, concat(CASE o_orderstatus WHEN 'O' THEN 'src/' WHEN 'F' THEN 'lib/core/' ELSE 'app/' END,
+                 CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'P' THEN 'tests/' ELSE '' END, CAST(o_custkey AS STRING), '.rs') AS file,
+               CASE o_orderpriority WHEN '1-URGENT' THEN concat('handle_', CAST(o_custkey AS STRING)) WHEN '2-HIGH' THEN CASE o_orderstatus WHEN 'F' THEN 'main' ELSE 'try_open' END
+                 WHEN '3-MEDIUM' THEN CASE o_orderstatus WHEN 'F' THEN 'collect' ELSE concat('load_', CAST(o_custkey AS STRING)) END ELSE concat('step_', CAST(o_custkey AS STRING)) END AS name,
+               CASE WHEN o_orderpriority = '4-NOT SPECIFIED' AND o_orderstatus = 'O' THEN 'struct_item' WHEN o_orderstatus = 'P' THEN 'method_definition' ELSE 'function_item' END AS kind,
+               floor(o_totalprice / 10000) AS score FROM {orders}""",
+    # Callers of an order: the order of half its key, those named by its customer and status, and six for each urgent one.
+    "order_edges": """
+        SELECT DISTINCT concat('o:', CAST(a AS STRING)) AS src, concat('o:', CAST(k AS STRING)) AS dst FROM (
+          SELECT CAST(floor(o_orderkey / 2) AS BIGINT) AS a, o_orderkey AS k FROM {orders}
+          UNION ALL SELECT o_custkey, o_orderkey FROM {orders} WHERE o_custkey % 3 <> 0
+          UNION ALL SELECT o_orderkey + 1, o_orderkey FROM {orders} WHERE o_orderstatus = 'F'
+          UNION ALL SELECT o_orderkey + j, o_orderkey FROM {orders}, (SELECT 3 AS j UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 11 UNION ALL SELECT 12 UNION ALL SELECT 14) s WHERE o_orderpriority = '1-URGENT') x""",
     "docs_nodes": """
         SELECT concat('d:', CAST(doc_id AS STRING)) AS id, split_part(text, ' ', 1) AS name, concat(source, '/', lang, '/', CAST(doc_id AS STRING), '.txt') AS file,
                CASE WHEN n_chars > 2000 THEN 'struct_item' WHEN n_chars > 500 THEN 'function_item' ELSE 'call_expression' END AS kind,
