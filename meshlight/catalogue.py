@@ -528,12 +528,6 @@ def pack_neighbors(spark, sf_dir):
     return S.pack_neighbors(scored, char_budget=4000)
 
 
-@query()
-def render_budget(spark, sf_dir):
-    docs = load(spark, sf_dir, "docs_nodes").join(load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("source")), "doc_id")
-    return S.render_budget(docs.select("id", F.col("size").alias("score"), "source", F.lit(0).alias("bin")), 4000)
-
-
 @query()
 def python_call_edges(spark, sf_dir):
     from .sources.samples import python_project

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from .plans import budget as B
 from .plans import spine as W
 from .sources.views import cte, load
 
@@ -53,3 +56,46 @@ e AS (SELECT seed, arg_max(id, hops) AS entry, max(hops) AS hops FROM w GROUP BY
 SELECT seed AS id, CASE WHEN b.id IS NULL THEN entry END AS entry, CAST(CASE WHEN b.id IS NULL THEN hops END AS BIGINT) AS hops FROM e LEFT JOIN b ON b.id = entry""")
 def spine_entries(spark, sf_dir):
     return W.entries(*_orders(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- budgets
+
+_BUDGET = 30_000
+_HEADS = "array_to_string(list_transform(string_split_regex(regexp_replace(source, '\\r?\\n$', ''), '\\r?\\n')[1:4], lambda x: regexp_replace(string_split(x, '{')[1], '^\\s+|\\s+$', '', 'g')), chr(10))"
+
+
+def _blocks(spark, sf_dir):
+    text = load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("source"))
+    docs = load(spark, sf_dir, "docs_nodes").join(text, "doc_id")
+    return docs.select("id", "name", "kind", "file", F.col("doc_id").alias("start_line"), (F.col("doc_id") + 9).alias("end_line"), (F.col("size") % 97).cast("double").alias("score"), "source")
+
+
+@query(cte("docs_nodes").replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+b AS (SELECT id, name, kind, file, d.doc_id, size % 97 AS score, d.text AS source, row_number() OVER (ORDER BY size % 97 DESC, id) - 1 AS i FROM docs_nodes JOIN documents d USING (doc_id)),
+p AS (SELECT *, CASE WHEN i < 7 OR score > 70 THEN 0 ELSE 1 END AS want FROM b),
+c AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY CASE WHEN i < 2 THEN 0 ELSE want END, score DESC, id) AS n,
+        CASE WHEN want = 0 THEN length(concat('### ', name, ' [score: ', score, '.0]', chr(10), 'File: ', file, ':', doc_id, '-', doc_id + 9, chr(10), '```', chr(10), source, chr(10), '```', chr(10), chr(10))) ELSE 999999999 END AS c0,
+        length(concat('### ', name, ' (signature)', chr(10), 'File: ', file, ':', doc_id, chr(10), {_HEADS}, chr(10), '```', chr(10), chr(10))) AS c1,
+        length(concat('- ', name, ' (', kind, ')', chr(10))) AS c2 FROM p),
+w AS (SELECT CAST(0 AS BIGINT) AS n, '' AS id, CAST({_BUDGET} AS BIGINT) AS b, '' AS fidelity, CAST(0 AS BIGINT) AS cost
+      UNION ALL
+      SELECT n, id, b - cost, fidelity, cost FROM (
+        SELECT c.n, c.id, w.b, CASE WHEN c0 <= w.b THEN 'full' WHEN c1 <= w.b THEN 'signature' WHEN c2 <= w.b THEN 'minimal' ELSE 'omitted' END AS fidelity,
+               CASE WHEN c0 <= w.b THEN c0 WHEN c1 <= w.b THEN c1 WHEN c2 <= w.b THEN c2 ELSE 0 END AS cost FROM w JOIN c ON c.n = w.n + 1) x)
+SELECT id, fidelity, cost FROM w WHERE n > 0""")
+def render_budget(spark, sf_dir):
+    return B.render_budget(B.block_costs(_blocks(spark, sf_dir), "implementation"), _BUDGET)
+
+
+_CAP = 120
+
+
+_CUT = """
+t{i} AS (SELECT doc_id, text, list_max(list_filter(range(0, {i} + 1), lambda k: strlen(left(text, k)) <= {i})) AS k FROM documents),
+c{i} AS (SELECT doc_id, CASE WHEN strlen(text) <= {i} THEN text WHEN contains(left(text, k), chr(10)) THEN regexp_extract(left(text, k), '(?s)^(.*)\\n', 1) ELSE left(text, k) END AS cut FROM t{i})"""
+
+
+@query("WITH" + _CUT.format(i=4 * _CAP) + "," + _CUT.format(i=2 * _CAP) + f"""
+SELECT doc_id, CASE WHEN length(a.cut) <= {_CAP} THEN a.cut ELSE b.cut END AS text FROM c{4 * _CAP} AS a JOIN c{2 * _CAP} AS b USING (doc_id)""")
+def truncate_tokens(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", B.truncate_tokens(F.col("text"), _CAP).alias("text"))

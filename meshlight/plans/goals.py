@@ -13,6 +13,7 @@ from ..operators import graph as G
 from ..operators import names as N
 from . import analytics as A
 from . import selection as S
+from .budget import block_costs, render_budget
 
 
 @dataclass
@@ -131,9 +132,9 @@ def get_context(nodes: DataFrame, edges: DataFrame, prompt: str, request: Reques
     deg = G.degrees(nodes, edges).select("id", T.heuristic_score(F.col("in_degree"), F.col("out_degree"), F.lit(False), F.lit(False), F.lit(False), F.lit(9999)).alias("heuristic"))
     rows = S.rank_selection(around.join(deg, "id").withColumn("text_score", F.coalesce("text_score", F.lit(1.0))))
     rows = S.select_blocks(rows.join(nodes, "id"), request.max_results)
-    source = F.col("source") if "source" in nodes.columns else F.col("name")
-    shown = S.render_budget(rows.select("id", "score", source.alias("source"), F.lit(0).alias("bin")), request.max_tokens)
-    return rows.select("id", "name", "file", "score").join(shown.drop("bin"), "id")
+    missing = {c: F.lit(0) for c in ("start_line", "end_line") if c not in rows.columns} | ({} if "source" in rows.columns else {"source": F.col("name")})
+    shown = render_budget(block_costs(rows.withColumns(missing)), request.max_tokens)
+    return rows.select("id", "name", "file", "score").join(shown, "id")
 
 
 # ---------------------------------------------------------------- freeze

@@ -65,20 +65,3 @@ def pack_neighbors(rows: DataFrame, char_budget: int = 4000, per_dir: int = 2) -
     used = F.sum("cost").over(Window.orderBy("place", "side").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("used", used).where((F.col("used") <= char_budget) | (F.col("place") == 1)).drop("late")
 
-
-def render_budget(rows: DataFrame, tokens: int) -> DataFrame:
-    """Per ``bin``: each row of ``(bin, id, score, source)`` in full, as signature or as its name only, as the budget allows.
-
-    Rows are taken by score.  A fidelity is chosen from what a row's forms would
-    add to the running sum of the full forms before it: a prefix in full, then a
-    prefix of signatures, then names.
-    """
-    lines = F.split("source", "\n")
-    forms = rows.withColumn("full", F.length("source")).withColumn("sig", F.length(F.array_join(F.slice(lines, 1, 4), "\n"))).withColumn("least", F.lit(16))
-    w = Window.partitionBy("bin").orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    forms = forms.withColumn("upto", F.sum("full").over(w))
-    forms = forms.withColumn("whole", F.col("upto") <= tokens)
-    rest = F.sum(F.when(F.col("whole"), F.col("full")).otherwise(F.col("sig"))).over(w)
-    forms = forms.withColumn("upto2", rest)
-    level = F.when(F.col("whole"), "full").when(F.col("upto2") <= tokens, "signature").otherwise("minimal")
-    return forms.select("bin", "id", level.alias("fidelity"), F.when(F.col("whole"), F.col("full")).when(F.col("upto2") <= tokens, F.col("sig")).otherwise(F.col("least")).cast("long").alias("cost"))

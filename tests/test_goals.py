@@ -70,8 +70,6 @@ def test_selection_and_neural(graph):
     deg = G.degrees(nodes, edges)
     capped = selection.cap_by_score(edges.select(F.lit("k").alias("k"), F.col("dst").alias("id"), F.lit(1).alias("score")), "k", 3).collect()
     assert [r.place for r in capped] == [1, 2, 3] and {r.omitted for r in capped} == {1}
-    forms = selection.render_budget(nodes.sparkSession.createDataFrame([(0, "x", 2.0, "a" * 50), (0, "y", 1.0, "l1\nl2\nl3\nl4\n" + "z" * 90)], "bin int, id string, score double, source string"), 70).collect()
-    assert {r.id: r.fidelity for r in forms} == {"x": "full", "y": "signature"}
     ranked = nodes.withColumn("score", F.lit(1.0))
     assert sorted(r.score for r in neural.diversity(ranked).collect()) == [0.15, 0.15, 0.15, 1.0, 1.0]
     assert deg.agg(F.sum("degree")).first()[0] == 8
