@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import nameindex as N
+from .operators import trees as R
 from .operators.storage import new_path
 from .sources.views import cte, load
 
@@ -86,3 +87,43 @@ def token_in_graph(spark, sf_dir):
     index, _ = _index(spark, sf_dir)
     words = load(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^ \t\r\n]+"), F.lit(0))).alias("q"))
     return N.token_in_graph(index, words)
+
+
+# ---------------------------------------------------------------- trees
+
+_KINDS = "html head title body nav ul li article h1 p div b br script style footer form a"
+_MARKUP = r"""(?i)<!--(?:.|\n)*?-->|<script(?:[^>"a-z'][^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)?>(?:.|\n)*?</script\s*>|<style(?:[^>"a-z'][^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)?>(?:.|\n)*?</style\s*>|</?[a-z][a-z0-9]*(?:[^>"']|"[^"]*"|'[^']*')*>"""
+
+
+def _names(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+@query(f"""WITH RECURSIVE
+t AS (SELECT page_id, regexp_extract_all(html, '{_MARKUP.replace("'", "''")}') AS m FROM pages),
+k AS MATERIALIZED (
+  SELECT page_id, i, lower(regexp_extract(x, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS kind, x LIKE '</%' AS ends
+  FROM (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY j) AS i, m[j] AS x FROM (SELECT page_id, m, unnest(range(1, len(m) + 1)) AS j FROM t) WHERE m[j] NOT LIKE '<!--%')),
+w AS (
+  SELECT page_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(k VARCHAR, n INTEGER)[]) AS s, 0 AS n, '' AS kind, 0 AS parent, 0 AS depth, false AS made FROM pages
+  UNION ALL
+  SELECT page_id, i, CASE WHEN ends OR leaf THEN s ELSE list_append(s, {{'k': kind, 'n': CASE WHEN asked THEN n + 1 ELSE 0 END}}) END, CASE WHEN asked THEN n + 1 ELSE n END, kind,
+         coalesce(list_filter(s, lambda e: e.n > 0)[-1].n, 0), CAST(len(list_filter(s, lambda e: e.n > 0)) AS INTEGER), asked
+  FROM (
+    SELECT page_id, i, n, kind, ends, NOT ends AND list_contains(string_split('{_KINDS}', ' '), kind) AS asked,
+           kind IN ('area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'link', 'meta', 'source', 'track', 'wbr', 'script', 'style') AS leaf,
+           CASE WHEN same > 0 AND (ends OR itself AND same > coalesce(holds, 0)) THEN s[1:same - 1] ELSE s END AS s
+    FROM (
+      SELECT w.page_id, k.i, w.n, k.kind, k.ends, w.s, kind_in(k.kind) AS itself,
+             list_max(list_transform(range(1, len(w.s) + 1), lambda j: CASE WHEN w.s[j].k = k.kind THEN j ELSE 0 END)) AS same,
+             list_max(list_transform(range(1, len(w.s) + 1), lambda j: CASE WHEN holds_in(w.s[j].k) THEN j ELSE 0 END)) AS holds
+      FROM w JOIN k ON k.page_id = w.page_id AND k.i = w.i + 1) x) y),
+r AS (SELECT page_id, n AS node, parent, depth, kind FROM w WHERE made)
+SELECT page_id, node, parent, depth, kind, CAST(coalesce(lead_.next, top) - 1 AS INTEGER) AS last
+FROM r JOIN (SELECT page_id, max(node) + 1 AS top FROM r GROUP BY page_id) USING (page_id)
+LEFT JOIN (SELECT a.page_id, a.node, min(b.node) AS next FROM r AS a JOIN r AS b ON b.page_id = a.page_id AND b.node > a.node AND b.depth <= a.depth GROUP BY ALL) AS lead_ USING (page_id, node)"""
+    .replace("kind_in(k.kind)", f"k.kind IN ({_names(['p', 'li', 'td', 'th', 'tr', 'dt', 'dd', 'option'])})")
+    .replace("holds_in(w.s[j].k)", f"w.s[j].k IN ({_names(['html', 'body', 'div', 'article', 'section', 'main', 'aside', 'nav', 'header', 'footer', 'form', 'ul', 'ol', 'dl', 'table', 'select', 'blockquote', 'figure'])})"))
+def ast_visit(spark, sf_dir):
+    pages = load(spark, sf_dir, "pages").select("page_id", "html")
+    return R.ast_visit(pages, "html", _KINDS).select("page_id", "node", "parent", "depth", "kind", "last")
