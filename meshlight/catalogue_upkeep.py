@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalogue_rules import _CALLABLE, _NOISE, _TYPE, _WITH, nodes_of
+from .operators.storage import new_path
 from .plans import harvest as H
 from .plans import ranking as K
 from .sources.views import cte, load
 from .streaming import changes as C
 from .streaming import lifecycle as L
+from .streaming.batches import run_to_end, settled_batches
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -162,3 +164,31 @@ def rank_full(spark, sf_dir):
 @query(f"{_WITH} SELECT id FROM code_nodes ORDER BY (starts_with(file, 'src') OR contains(file, '/src') OR ends_with(file, 'src')) DESC, {_NOISE}, in_degree DESC, name, id LIMIT 40")
 def sort_pack(spark, sf_dir):
     return K.sort_pack(nodes_of(spark, sf_dir).withColumn("score", F.col("in_degree")), "src/").limit(40).select("id")
+
+
+# ---------------------------------------------------------------- settled batches
+
+_HOUR = 3_600_000
+
+
+@query(f"""WITH RECURSIVE e AS MATERIALIZED (
+  SELECT key, ms, path, row_number() OVER (PARTITION BY key ORDER BY ms, path) AS i
+  FROM (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) // 1000 AS ms, concat(event_type, props) AS path FROM events)),
+m AS (SELECT max(ms) - {_HOUR} AS mark FROM e),
+w AS (
+  SELECT DISTINCT key, CAST(0 AS BIGINT) AS i, 0 AS phase, CAST(0 AS BIGINT) AS ends, CAST([] AS VARCHAR[]) AS waiting, 0 AS place, CAST(NULL AS BIGINT) AS fired, CAST([] AS VARCHAR[]) AS gone FROM e
+  UNION ALL
+  SELECT key, CASE WHEN over THEN i ELSE i + 1 END, CASE WHEN NOT over THEN greatest(phase, 1) WHEN phase = 1 THEN 2 WHEN len(waiting) > 0 THEN 1 ELSE 0 END,
+         CASE WHEN NOT over THEN ms + CASE WHEN phase = 2 THEN {9 * _HOUR} ELSE {6 * _HOUR} END WHEN phase = 1 THEN ends + {9 * _HOUR} ELSE ends + {6 * _HOUR} END,
+         CASE WHEN NOT over THEN list_distinct(list_append(waiting, path)) WHEN phase = 1 THEN list_sort(waiting)[4:] ELSE waiting END,
+         CASE WHEN over AND phase = 1 THEN place + 1 ELSE place END, CASE WHEN over AND phase = 1 THEN ends END, CASE WHEN over AND phase = 1 THEN list_sort(waiting)[1:3] ELSE [] END
+  FROM (SELECT w.*, e.ms, e.path, phase > 0 AND ends <= least(coalesce(e.ms, mark), mark) AS over FROM w CROSS JOIN m LEFT JOIN e ON e.key = w.key AND e.i = w.i + 1
+        WHERE (phase > 0 AND ends <= least(coalesce(e.ms, mark), mark)) OR e.ms <= mark) x)
+SELECT key, make_timestamp(fired * 1000) AS fired, place - 1 AS place, array_to_string(gone, '|') AS paths, len(waiting) AS waiting FROM w WHERE fired IS NOT NULL""")
+def watch_batches(spark, sf_dir):
+    events = load(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/event[s].parquet")  # a stream takes a folder or a pattern
+    changes = stream.select(F.col("user_id").cast("string").alias("key"), "ts", F.concat("event_type", "props").alias("path"))
+    found = run_to_end(settled_batches(changes, "1 hour", 6 * _HOUR, 9 * _HOUR, 3), new_path(spark, "batches"))
+    fired = F.timestamp_millis("fired_ms").cast("timestamp_ntz").alias("fired")
+    return found.select("key", fired, "place", F.array_join("paths", "|").alias("paths"), F.col("waiting").cast("long").alias("waiting"))
