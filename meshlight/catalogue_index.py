@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .operators import nameindex as N
 from .operators import trees as R
+from .operators import twins as X
 from .operators.storage import new_path
 from .sources.views import cte, load
 
@@ -127,3 +129,36 @@ LEFT JOIN (SELECT a.page_id, a.node, min(b.node) AS next FROM r AS a JOIN r AS b
 def ast_visit(spark, sf_dir):
     pages = load(spark, sf_dir, "pages").select("page_id", "html")
     return R.ast_visit(pages, "html", _KINDS).select("page_id", "node", "parent", "depth", "kind", "last")
+
+
+# ---------------------------------------------------------------- twins
+
+# The second word of each document, or the second and third, is a name; its source is its language.
+_NAMED = "SELECT concat('d:', CAST(doc_id AS STRING)) AS id, CASE WHEN doc_id % 2 = 0 THEN split_part(text, ' ', 2) ELSE concat(split_part(text, ' ', 2), ' ', split_part(text, ' ', 3)) END AS name, concat(source, CASE WHEN doc_id % 3 = 0 THEN '/src/' ELSE '/' END, CAST(doc_id AS STRING)) AS file, 'struct_item' AS kind, source AS lang, 0 AS begin, length(text) AS finish, text FROM {documents}"
+
+
+def _doc_blocks(spark, sf_dir):
+    """Documents, and each of their lines as a function; spans in code points."""
+    docs = spark.sql(_NAMED, documents=load(spark, sf_dir, "documents"))
+    lines = docs.select("id", "file", "lang", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    upto = F.sum(F.length("line") + 1).over(Window.partitionBy("id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    lines = lines.withColumn("finish", upto - 1)
+    lines = lines.select(F.concat("id", F.lit(":"), F.col("n").cast("string")).alias("id"), F.lit("line").alias("name"), "file", F.lit("function_item").alias("kind"), "lang", (F.col("finish") - F.length("line")).alias("begin"), "finish")
+    return docs.drop("text").union(lines.select(*docs.drop("text").columns)), docs.select("file", F.col("text").alias("source"))
+
+
+@query(f"""WITH d AS MATERIALIZED ({_NAMED.format(documents='documents')}),
+s AS (SELECT *, CASE WHEN contains(file, '/src/') THEN 25 ELSE 0 END + least(strlen(name), 40) AS score FROM d
+  WHERE (strlen(name) >= 6 OR contains(name, '_')) AND length(regexp_replace(name, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 3 AND regexp_matches(name, '[\\p{{L}}\\p{{N}}_]')
+    AND lower(name) NOT IN ('if', 'else', 'for', 'while', 'loop', 'match', 'return', 'let', 'unknown', 'anonymous', 'block', 'self', 'super', 'crate', 'main', 'new', 'get', 'set', 'run', 'init', 'open', 'close', 'read', 'write', 'update', 'delete', 'create', 'test', 'setup', 'start', 'stop', 'load', 'save', 'build')),
+t AS MATERIALIZED (SELECT name, arg_min(id, {{'s': -score, 'id': id}}) AS dst, arg_min(lang, {{'s': -score, 'id': id}}) AS dst_lang FROM s GROUP BY name),
+l AS MATERIALIZED (SELECT id, lang, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM d),
+h AS (SELECT concat(l.id, ':', n) AS src, dst, len(list_filter(range(1, length(line) + 1), lambda p: substr(line, p, length(t.name)) = t.name
+          AND NOT regexp_matches(substr(concat(' ', line), p, 1), '[\\p{{L}}\\p{{N}}_]') AND NOT regexp_matches(substr(line, p + length(t.name), 1), '[\\p{{L}}\\p{{N}}_]'))) AS k
+      FROM l JOIN t ON l.lang <> t.dst_lang AND contains(l.line, t.name)),
+x AS (SELECT d.id AS src, dst, len(list_filter(range(1, length(d.text) + 1), lambda p: substr(d.text, p, length(t.name)) = t.name
+          AND NOT regexp_matches(substr(concat(' ', d.text), p, 1), '[\\p{{L}}\\p{{N}}_]') AND NOT regexp_matches(substr(d.text, p + length(t.name), 1), '[\\p{{L}}\\p{{N}}_]'))) AS k
+      FROM d JOIN t ON d.lang <> t.dst_lang AND contains(t.name, chr(10)) AND contains(d.text, t.name))
+SELECT src, dst, CAST(sum(k) AS BIGINT) AS n FROM (SELECT * FROM h WHERE k > 0 UNION ALL SELECT * FROM x WHERE k > 0) GROUP BY src, dst""")
+def twin_edges(spark, sf_dir):
+    return X.text_twins(*_doc_blocks(spark, sf_dir))

@@ -78,11 +78,11 @@ def ipc_edges(nodes: DataFrame, files: DataFrame, rules: tuple[IpcRule, ...] = (
     return out.distinct()
 
 
-def twin_edges(nodes: DataFrame, cap: int = 8000) -> DataFrame:
-    """``(src, dst, kind)``: the first definitions of a worthy name in each two languages; ``cap`` names, by name."""
+def twin_edges(nodes: DataFrame) -> DataFrame:
+    """``(src, dst, kind)``: the first definitions of a worthy name in each two languages; ``twins`` scans texts instead."""
     defs = nodes.where(call_target_kind(F.col("kind")) & worthy_name(F.col("name")))
     one = defs.groupBy("name", "lang").agg(F.min("id").alias("id"))
-    names = one.groupBy("name").count().where("count > 1").orderBy("name").limit(cap).select("name")
+    names = one.groupBy("name").count().where("count > 1").select("name")
     a = one.join(names, "name")
     b = a.select("name", F.col("lang").alias("lang2"), F.col("id").alias("dst"))
     return a.join(b, "name").where("lang < lang2").select(F.col("id").alias("src"), "dst", F.lit("twin").alias("kind"))
