@@ -11,6 +11,7 @@ from __future__ import annotations
 import ast
 import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -18,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lexing import masked
+
 SCHEMA = (
     "id string, name string, file string, kind string, lang string, start_line long, end_line long, start_byte long, end_byte long, "
     "parent_id string, content_hash string, source string, parse_error string"
@@ -57,15 +60,18 @@ def digest(source: str) -> str:
     return hashlib.md5(text.encode()).hexdigest()
 
 
+def line_starts(source: str) -> list[int]:
+    return [0, *(m.end() for m in re.finditer("\n", source))]
+
+
 class _Rows:
     """Definition rows of one file; places are looked up, not counted from the file's start each time."""
 
     def __init__(self, path: str, lang: str, source: str):
         self.path, self.lang, self.source, self.rows = path, lang, source, []
-        self.lines, self.bytes = [0], [0]
-        for line in source.split("\n"):
-            self.lines.append(self.lines[-1] + len(line) + 1)
-            self.bytes.append(self.bytes[-1] + len(line.encode()) + 1)
+        self.lines = line_starts(source)
+        #: Bytes before each code point, if any takes more than one.
+        self.bytes = None if source.isascii() else [0, *itertools.accumulate(len(c.encode()) for c in source)]
         self.seen: dict[str, int] = {}
 
     def add(self, name: str, kind: str, start: int, end: int, parent: str | None) -> str:
@@ -73,7 +79,7 @@ class _Rows:
         body = self.source[start:end]
         h = digest(body)
         line = bisect.bisect_right(self.lines, start) - 1
-        first = self.bytes[line] + len(self.source[self.lines[line] : start].encode())
+        first = start if self.bytes is None else self.bytes[start]
         key = f"{self.path}:{kind}:{h[:8]}"
         n = self.seen[key] = self.seen.get(key, 0) + 1
         self.rows.append({
@@ -107,20 +113,13 @@ def parse_python(path: str, source: str) -> list[dict]:
     return found.rows
 
 
-_BLANK = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])'|`(?:\\.|[^`\\])*`", re.S)
-
-
-def masked(source: str) -> str:
-    """The source with comments and string contents blanked, line breaks kept."""
-    return _BLANK.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
-
-
 class _Brackets:
     """Where items end: brackets are read once, and each open brace knows its close."""
 
     def __init__(self, text: str):
         self.at = [m.start() for m in re.finditer(r"[{}()\[\];]", text)]
         self.text, self.close = text, {}
+        self.stops = [i for i in self.at if text[i] in "{};"]
         opened = []
         for i in self.at:
             if text[i] == "{":
@@ -128,10 +127,16 @@ class _Brackets:
             elif text[i] == "}" and opened:
                 self.close[opened.pop()] = i
 
+    def begin(self, at: int) -> int:
+        """Behind what ends before ``at`` in its line, or the line's start."""
+        k = bisect.bisect_left(self.stops, at)
+        return max(self.text.rfind("\n", self.stops[k - 1] + 1 if k else 0, at) + 1, self.stops[k - 1] + 1 if k else 0)
+
     def end(self, at: int) -> int:
         """Where the item that begins before ``at`` ends: its brace block, or the next ``;`` outside of brackets."""
         round_ = 0
-        for i in self.at[bisect.bisect_left(self.at, at) :]:
+        for k in range(bisect.bisect_left(self.at, at), len(self.at)):
+            i = self.at[k]
             c = self.text[i]
             if c == "{":
                 return self.close.get(i, len(self.text) - 1) + 1
@@ -143,9 +148,12 @@ class _Brackets:
         return len(self.text)
 
 
+_INDENT = re.compile(r"\s*")
+
+
 def parse_braced(path: str, source: str, lang: str) -> list[dict]:
     """Items by rule, at most one for a position, nested ones under the nearest that encloses them."""
-    text = masked(source)
+    text = masked(source, lang)
     found: dict[int, tuple[int, str, str]] = {}
     for kind, pattern in RULES[lang]:
         for m in re.finditer(pattern, text):
@@ -154,8 +162,7 @@ def parse_braced(path: str, source: str, lang: str) -> list[dict]:
                 found.setdefault(m.start(1), (head, kind, m[1]))  # the first rule wins
     rows, stack, brackets = _Rows(path, lang, source), [], _Brackets(text)
     for at, (head, kind, name) in sorted(found.items(), key=lambda x: x[1][0]):
-        begin = text.rfind("\n", 0, head) + 1
-        start = begin + len(text[begin:head]) - len(text[begin:head].lstrip())  # with what stands before it in the line
+        start = min(head, _INDENT.match(text, brackets.begin(head)).end())  # with what stands before it in the line
         end = brackets.end(at)
         while stack and stack[-1][0] <= start:
             stack.pop()
@@ -166,7 +173,7 @@ def parse_braced(path: str, source: str, lang: str) -> list[dict]:
 def dialect(path: str, source: str) -> str:
     """C or C++ of a header by what it holds."""
     lang = LANGS.get(path.rsplit(".", 1)[-1].lower(), "")
-    if path.endswith(".h") and re.search(r"\b(class|namespace|template|public:|private:)\b", masked(source)):
+    if path.endswith(".h") and re.search(r"\b(class|namespace|template|public:|private:)\b", masked(source, "cpp")):
         return "cpp"
     return lang
 
@@ -302,14 +309,14 @@ def ts_exports(source: str) -> list[tuple[str, str | None]]:
     return out + [("*", spec) for spec in re.findall(r"export\s+\*\s+from\s*['\"]([^'\"]+)['\"]", source)]
 
 
-def call_sites(source: str) -> list[tuple[int, str | None, str]]:
-    """(line, receiver, name) of what looks like a call outside of comments and strings."""
-    text = masked(re.sub(r"#[^\n]*", lambda m: " " * len(m[0]), source) if "def " in source else source)
-    out = []
+def call_sites(source: str, lang: str = "c") -> list[tuple[int, str | None, str]]:
+    """(line, receiver, name) of what looks like a call outside of comments and literals."""
+    text = masked(re.sub(r"#[^\n]*", lambda m: " " * len(m[0]), source) if "def " in source else source, lang)
+    out, lines = [], line_starts(text)
     for m in re.finditer(r"(?:([A-Za-z_]\w*)\s*(?:\.|::)\s*)?([A-Za-z_]\w*)\s*(?:::<[^>]*>)?\(", text):
         before = text[max(0, m.start() - 9) : m.start()]
         if m[2] not in _NOT_CALLS and not re.search(r"\b(def|fn|func|function|class)\s+$", before):
-            out.append((text.count("\n", 0, m.start(2)) + 1, m[1], m[2]))
+            out.append((bisect.bisect_right(lines, m.start(2)), m[1], m[2]))
     return out
 
 
@@ -334,7 +341,7 @@ def sites(files: DataFrame) -> DataFrame:
             for path, source in zip(batch["path"], batch["source"], strict=True):
                 lang, source = dialect(path, source or ""), source or ""
                 try:
-                    calls = py_calls(source) if lang == "python" else call_sites(source)
+                    calls = py_calls(source) if lang == "python" else call_sites(source, lang)
                     bound = py_imports(source) if lang == "python" else go_imports(source) if lang == "go" else {a: f"{s}#{b}" for a, b, s in ts_imports(source)} if lang == "typescript" else {}
                 except SyntaxError:
                     continue

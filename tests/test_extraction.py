@@ -2,9 +2,12 @@
 
 import time
 
+import pytest
+
 from meshlight.operators import storage
 from meshlight.operators.graph import canonize
 from meshlight.sources import extract as X
+from meshlight.sources import lexing
 from meshlight.streaming import changes
 
 
@@ -54,6 +57,50 @@ def test_long_files_take_time_in_proportion():
     assert min(took(4000) for _ in range(3)) < 30 * max(0.002, min(took(400) for _ in range(3)))
 
 
+def test_many_functions_take_seconds_on_lines_and_on_one():
+    n = 32_000
+    for glue in ("\n", " "):
+        source = glue.join(f"fn f{i}(a: u8) {{ g{i}(a) }}" for i in range(n))
+        began = time.perf_counter()
+        rows = X.parse_rust("a.rs", source)
+        calls = X.call_sites(source, "rust")
+        assert time.perf_counter() - began < 8  # 24 s and more when each item looked through all before it
+        assert [r["name"] for r in rows] == [f"f{i}" for i in range(n)] and rows[7]["source"] == "fn f7(a: u8) { g7(a) }"
+        assert [c[2] for c in calls] == [f"g{i}" for i in range(n)] and calls[-1][0] == (n if glue == "\n" else 1)
+
+
+NO = "fn no() {}"
+
+
+@pytest.mark.parametrize(("lang", "text", "names"), [
+    ("rust", f"/* /* */ {NO} */ fn yes() {{}}", ["yes"]),
+    ("rust", f'let s = r#"{NO} " {NO}"#; fn yes() {{ let c = \'"\'; }} fn also<\'a>(x: &\'a str) {{ "{{" }}', ["yes", "also"]),
+    ("rust", f"// {NO}\n/* {NO}\n{NO} */ fn yes() {{}} /* {NO}", ["yes"]),
+    ("rust", f'let s = "a \\" {NO}\n{NO}"; let b = b"{{"; fn yes() {{}}', ["yes"]),
+    ("typescript", "function b(x) { return /\\{/.test(x) }\nfunction c() { return 1 / 2 / 3 }\nfunction d() {}", ["b", "c", "d"]),
+    ("typescript", "function a() { return x.replace(/[/\"'{]/g, '') / 2 }\nfunction b() {}", ["a", "b"]),
+    ("typescript", "const t = `a ${f(`function no() {} ${1}`)} function no() {}`\nfunction yes() {}", ["t", "yes"]),
+    ("typescript", "function a() { return '}' + \"{\" + y / 2; } // {\nfunction b() {}", ["a", "b"]),
+    ("go", "var s = `func no() {`\nfunc yes() { x := '{' }\nfunc also() {}", ["yes", "also"]),
+    ("c", "/* /* int no(void) {} */\nint yes(void) { char c = '}'; return 0; }\nint also(void) { return 1; }", ["yes", "also"]),
+    ("cpp", 'int yes() { auto s = R"x(int no() { )" )x"; return 1\'000\'000; }\nint also() { return 2; }', ["yes", "also"]),
+])
+def test_comments_and_literals_hold_no_code(lang, text, names):
+    rows = X.parse_braced("a", text, lang)
+    assert [r["name"] for r in rows] == names
+    assert len(lexing.masked(text, lang)) == len(text) and lexing.masked(text, lang).count("\n") == text.count("\n")
+    assert all(r["source"].count("{") >= 1 and r["source"].rstrip(";").endswith(("}", "`")) for r in rows)
+
+
+def test_literals_that_do_not_end_take_time_in_proportion():
+    for lang in ("rust", "typescript", "go", "c", "cpp"):
+        for piece in ("/*", '"', "'", "`", "`${", 'R"x(', 'r#"', "//", "/ a", "/[", "\\"):
+            began = time.perf_counter()
+            text = piece * 20_000
+            assert len(lexing.masked(text, lang)) == len(text)
+            assert time.perf_counter() - began < 3, (lang, piece)
+
+
 def test_a_table_of_nodes_outlives_its_object(spark, tmp_path):
     schema = "id string, file string, name string, kind string, seq long"
     rows = spark.createDataFrame([("1", "a", "f", "k", 1)], schema)
