@@ -3,9 +3,11 @@
 The page is read into a tree; every paragraph passes points for its length and
 its commas to its ancestors, and the points of a container are discounted by the
 share of its text that is links.  The best container is kept, with siblings that
-score or read alike; what is boilerplate by its tag or its name is left out.  A
-form or a container with a name of boilerplate that may hold the article counts
-for less instead, and is left out only where the better part lies outside it.
+score or read alike, headings and paragraphs among them.  What is boilerplate by its
+tag is left out, and block containers that are by their name; inside an article a
+name for an id alone is not enough, as it may come from a heading.  A form or a
+container with a name of boilerplate that may hold the article counts for less
+instead, and is left out only where the better part lies outside it.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-RAW = frozenset("script style noscript template textarea title iframe svg math object select button canvas audio video xmp noembed noframes".split())
+RAW = frozenset("script style noscript template textarea title iframe svg select button canvas audio video xmp noembed noframes".split())
 OPAQUE = frozenset("script style textarea title iframe xmp noembed noframes".split())  # their content is text up to the end tag
 CHROME = frozenset("nav footer aside form menu dialog head".split()) | RAW
 #: Start tags that end an open <p>.
@@ -37,6 +39,15 @@ JUNK = re.compile(
     r"share|sharing|shoutbox|sidebar\w*|side-?bar|signup|skip|social|sponsor\w*|subscribe|tags|toolbar|topbar|widget)(?:$|[\s_-])",
     re.I,
 )
+#: Only these are judged by their class and id: no row, cell, heading, paragraph, list entry or inline element is.
+NAMED = frozenset("address aside center details dialog dir div dl fieldset footer form header hgroup menu nav ol section table ul".split())
+#: An id alone makes a container of an article boilerplate if it is one of these or the text is links: other ids come from headings.
+SURE_ID = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|breadcrumbs?|comments?|comment-?(?:list|section|area|form|thread)|consent|cookies?|cookie-?(?:bar|banner|notice)|disqus|footer|gdpr|newsletter|pagination|respond|"
+    r"share|sharing|sidebar\w*|side-?bar|social|subscribe)(?:$|[\s_-])",
+    re.I,
+)
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 #: A container with this share of the page's text is not boilerplate by its name alone; ``LOW`` is what its points count.
 LARGE_SHARE, LOW = 0.5, 0.25
@@ -185,6 +196,26 @@ def _may_hold_text(node: Node, page: int) -> bool:
     return node.holds or node.plain >= LARGE_SHARE * page or bool(GOOD.search(f"{a.get('class', '')} {a.get('id', '')}"))
 
 
+def _strings(node: Node) -> list[str]:
+    return [k for n in _walk(node) for k in n.kids if isinstance(k, str)]
+
+
+def _is_section(node: Node, a: dict[str, str]) -> bool:
+    """Whether a container of an article with a name of boilerplate for its id, and none for its class, is a part of the text."""
+    if node.plain < 0.5 * sum(len(k.strip()) for k in _strings(node)):
+        return False
+    if not SURE_ID.search(a.get("id", "")):
+        return True
+    # "Comments" may be a section of the text: its id comes from its heading and no entries stand in it
+    heading = next((n for n in _walk(node) if n.tag in _HEADINGS), None)
+    slug = re.sub(r"\W+", "-", "".join(_strings(heading)).strip().lower()) if heading else None
+    entries: dict[tuple[str, str], int] = {}
+    for n in _walk(node):
+        if n.tag in ("li", "div", "article", "section", "dd"):
+            entries[n.tag, n.attrs] = entries.get((n.tag, n.attrs), 0) + 1
+    return slug == a.get("id", "").lower() and max(entries.values(), default=0) < 2
+
+
 def _is_junk(node: Node, page: int) -> bool:
     """Whether a node is boilerplate; one that may hold the article is not, and gets ``low``."""
     tag = node.tag
@@ -199,7 +230,7 @@ def _is_junk(node: Node, page: int) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
         return True
-    named = any(JUNK.search(a.get(k, "")) for k in ("class", "id")) and not (tag in ("p", "h1", "h2") and GOOD.search(a.get("class", "")))
+    named = tag in NAMED and bool(JUNK.search(a.get("class", "")) or JUNK.search(a.get("id", "")) and not (node.within and _is_section(node, a)))
     if not named and tag != "form":
         return False
     node.low = _may_hold_text(node, page)
@@ -242,6 +273,10 @@ def _passed(node: Node, points: float) -> None:
         up = up.parent
 
 
+#: What belongs to the best container if it stands beside it and is not links.
+_BESIDE = frozenset(["p", "blockquote", "pre", "figure", "hgroup", *_HEADINGS])
+
+
 def main_node(root: Node) -> list[Node]:
     """The best container and the siblings that belong to it, in page order."""
     _measure(root)
@@ -298,8 +333,8 @@ def main_node(root: Node) -> list[Node]:
             continue
         elif finals.get(id(kid), 0.0) >= bar and kid.score >= 0.2 * best.score:
             kept.append(kid)
-        elif kid.tag == "p" and kid.length > 80 and kid.linked / kid.length < 0.25:
-            kept.append(kid)
+        elif kid.tag in _BESIDE and kid.length and kid.linked / kid.length < 0.25:
+            kept.append(kid)  # title, lead and tail
     return kept or [best]
 
 
