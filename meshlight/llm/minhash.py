@@ -31,6 +31,7 @@ from .tokens import CHUNK_BYTES, U64, chunks, group_hash, mix, shingles, span_ha
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 SLOTS = BANDS * ROWS
+MARGIN = 0.25  # by which the share of agreeing slots of a pair may lie under its similarity
 SMALL = 32  # members of a bucket whose pairs are joined; larger ones are compared in blocks
 BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
 LANES = 7  # slots in a long of the short signature: eight bits and a guard bit each
@@ -328,23 +329,62 @@ def near_duplicates(
     meets most others over its buckets, which the others are copies of if any is.
     Pairs of a bucket that are in different components after that are compared
     too: in a bucket of at most ``SMALL`` members whenever their signatures agree
-    in ``similarity - 0.15`` of the slots, which a pair at the threshold misses
-    with probability 2e-4 and which also decides for the leader; in a larger one
-    all of them, in blocks.  No pair is left out by a cap.  The time for a large
-    bucket whose members stay apart grows with the square of their number, its
-    rows and memory do not.
+    in ``similarity - MARGIN`` of the slots, which a pair at the threshold misses
+    with probability 1e-9 and which also decides for the leader; in a larger one
+    all of them, in blocks.  No pair is left out by a cap.  For a large bucket whose
+    members stay apart the time grows with the square of their number, and so do
+    the rows exchanged, each member's text once for every ``BLOCK_ROWS`` others; the
+    memory of a task does not.
 
     Null text reads as empty; texts without words are alike only if equal.
-    Rows that share a doc_id belong to one class.  Rows with a null doc_id form
-    no links: their class_id is null and they are kept.  Other columns are
-    ignored, an empty table gives an empty result.
+    Rows that share a doc_id belong to one class, whatever their texts, and link it
+    to all that any of them is like.  Rows with a null doc_id form no links: their
+    class_id is null and they are kept.  Other columns are ignored, an empty table
+    gives an empty result.
     """
-    slots = bands * rows
-    least = int((similarity - 0.15) * slots)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     schema = "doc_id long, k1 long, k2 long, words boolean, size long, sig array<long>, buckets array<long>"
     sketch = written(arrow_map(docs, _sketch(words, bands, rows), schema), "sketch")
     keyed = sketch.where("doc_id is not null")
+    text_of = F.struct("k1", "k2")
+    several = keyed.groupBy("doc_id").agg(F.min(text_of).alias("lo"), F.max(text_of).alias("hi")).where("lo != hi").select("doc_id")
+    several = written(several, "several")
+    links = ids = None
+    if not several.isEmpty():
+        docs, links, ids = _apart(docs, several)
+        keyed = written(arrow_map(docs, _sketch(words, bands, rows), schema), "sketch").where("doc_id is not null")
+    known = _classes(docs, keyed, links, words, similarity, bands * rows)
+    if ids is not None:
+        # back from the ids of rows to those of documents
+        known = known.join(ids.withColumnRenamed("row_id", "doc_id"), "doc_id", "left").select(F.coalesce("was", "doc_id").alias("doc_id"), "class_id")
+        known = written(known, "known")
+        least = known.groupBy("class_id").agg(F.min("doc_id").alias("least"))
+        known = known.join(least, "class_id").select("doc_id", F.col("least").alias("class_id"))
+    none = sketch.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"))
+    return known.union(none).withColumn("keep", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+
+
+def _apart(docs: DataFrame, several: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``docs`` with ids of their own for the rows of ``several(doc_id)``, links ``(u, v)`` between those of a document, and ``(row_id, was)``.
+
+    Only rows that may have such an id are exchanged.
+    """
+    marked = maybe_among(docs, key_words(several, F.xxhash64("doc_id")), F.xxhash64("doc_id"))
+    alone = marked.where("not __mesh_maybe or doc_id is null").select("doc_id", "text")
+    rest = marked.where("__mesh_maybe and doc_id is not null").select("doc_id", "text")
+    top = docs.agg(F.max("doc_id")).first()[0]
+    rows = rest.join(several.hint("shuffle_merge"), "doc_id", "left_semi")
+    rows = written(rows.select(F.col("doc_id").alias("was"), "text", (F.lit(top) + 1 + F.monotonically_increasing_id()).alias("doc_id")), "apart")
+    ids = rows.select(F.col("doc_id").alias("row_id"), "was")
+    first = ids.groupBy("was").agg(F.min("row_id").alias("v"))
+    links = ids.join(first, "was").where("row_id != v").select(F.col("row_id").alias("u"), "v")
+    others = alone.union(rest.join(several.hint("shuffle_merge"), "doc_id", "left_anti"))
+    return others.union(rows.select("doc_id", "text")), written(links, "shared"), ids
+
+
+def _classes(docs: DataFrame, keyed: DataFrame, shared: DataFrame | None, words: int, similarity: float, slots: int) -> DataFrame:
+    """``(doc_id, class_id)`` of ``docs`` where each id has one sequence of words, with ``shared(u, v)`` as links besides."""
+    least = int((similarity - MARGIN) * slots)
     nodes = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
     member = written(keyed.select("doc_id", "k1", "k2").join(nodes, ["k1", "k2"]).select("doc_id", "node"), "member")
     reps = member.where("doc_id = node").select("node").distinct()
@@ -362,8 +402,7 @@ def near_duplicates(
     sig = sigs.select("node", "sig").hint("shuffle_merge")
     close = pairs.join(sig.alias("x"), F.col("a") == F.col("x.node")).join(sig.alias("y"), F.col("b") == F.col("y.node"))
     close = written(close.where(_agreeing("x", "y", slots) >= least).select("a", "b"), "close")
-    # The same document under two texts: one class.
-    shared = member.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("u")).where("u != v").select("u", "v")
+    shared = _between(member, shared)
     links = written(verified(close, docs, words, similarity).select("a", "b"), "links")
     parts = written(connected_components(links.select(F.col("b").alias("u"), F.col("a").alias("v")).union(shared), written), "parts")
 
@@ -381,6 +420,13 @@ def near_duplicates(
     every = links.union(more).union(many)
     final = connected_components(every.select(F.col("b").alias("u"), F.col("a").alias("v")).union(shared), written)
     forget(sigs, inside, pairs, close, links, parts, open_, rest, more, many)
-    known = member.join(final, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id"))
-    none = sketch.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"))
-    return known.union(none).withColumn("keep", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    return member.join(final, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id"))
+
+
+def _between(member: DataFrame, shared: DataFrame | None) -> DataFrame:
+    """Links between rows as links between the nodes that stand for their texts."""
+    if shared is None:
+        return member.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
+    node = member.distinct()
+    both = shared.join(node.toDF("u", "x"), "u").join(node.toDF("v", "y"), "v").where("x != y")
+    return both.select(F.col("x").alias("u"), F.col("y").alias("v"))

@@ -182,3 +182,36 @@ def test_every_repeat_of_a_line_goes_but_the_earliest(spark):
     assert substring.repeated_lines(t.limit(0)).isEmpty() and substring.repeated_lines(t, 11).isEmpty()
     twice = spark.createDataFrame([(1, rows[0][1]), (1, rows[0][1])], "doc_id long, text string")
     assert substring.repeated_lines(twice).isEmpty() and substring.repeated_runs(twice).isEmpty()
+
+
+def test_rows_of_one_id_link_all_that_any_of_them_is_like(spark):
+    a, b, c = (_own(i, 61) for i in (701, 702, 703))
+
+    def near(w):
+        return [*w[:30], "other", *w[31:]]
+
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (4, c), (5, near(c)), (5, c), (6, _own(9, 40)), (7, _own(10, 40)), (7, near(c)), (None, a), (None, near(a))]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    for table in (docs.coalesce(1), docs.repartition(7)):
+        got = minhash.near_duplicates(table).collect()
+        want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 4, None: None}
+        assert sorted(str((r.doc_id, r.class_id)) for r in got) == sorted(str((d, want[d])) for d, _ in rows)
+        assert all(r.keep == (r.doc_id is None or r.doc_id == r.class_id) for r in got)
+
+
+def test_the_size_of_a_bucket_decides_nothing(spark, monkeypatch):
+    # pairs close to the threshold, of which few agree in as many slots as they are alike
+    r = random.Random(77)
+    rows = []
+    for i in range(30):
+        base = _own(5000 + i, 120)
+        for j in range(3):
+            w = list(base)
+            for at in r.sample(range(0, 120, 6), r.choice([2, 3, 4])):
+                w[at] = f"x{r.randrange(10**6)}"
+            rows.append((i * 10 + j, " ".join(w)))
+    want = _classes(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for small in (32, 1):
+        monkeypatch.setattr(minhash, "SMALL", small)
+        assert {x.doc_id: x.class_id for x in minhash.near_duplicates(docs).collect()} == want
