@@ -19,7 +19,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of each near-duplicate class that has the least doc_id."""
+    """Keeps the document of each near-duplicate class that has the least doc_id.
+
+    Of several rows of a doc_id one stays, that with the least hash of its columns;
+    rows without a doc_id all stay.
+    """
     classes = written(near_duplicates(docs), "classes").where("doc_id is not null")
     gone = classes.where("not keep").select("doc_id").distinct()
     twice = classes.groupBy("doc_id").count().where("count > 1").select("doc_id")
@@ -28,7 +32,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = [f"`{n}`" for n in docs.columns]
     alone = marked.where("not __mesh_maybe or doc_id is null").select(*names)
     rest = marked.where("__mesh_maybe and doc_id is not null").select(*names)
-    return alone.union(rest.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*names))
+    left = rest.join(gone, "doc_id", "left_anti")
+    row = F.struct(*names)
+    one = left.groupBy("doc_id").agg(F.min_by(row, F.xxhash64("text", "source", "lang")).alias("__mesh_row"))
+    return alone.union(one.select(*(F.col("__mesh_row").getField(n).alias(n) for n in docs.columns)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
