@@ -65,13 +65,15 @@ def feature(tensor: np.ndarray) -> str:
 
 def _report(batch: pa.RecordBatch) -> pa.RecordBatch:
     media = batch.column("media").to_pylist()
-    rows = []
-    for lo, hi in _groups([len(m) for m in media]):
-        decoded = jpeg.Batch(media[lo:hi])
+    rows: list[tuple] = [(None,) * 7] * len(media)
+    there = [i for i, m in enumerate(media) if m]
+    for lo, hi in _groups([len(media[i]) for i in there]):
+        decoded = jpeg.Batch([media[i] for i in there[lo:hi]])
         coef = decoded.decode()
-        for m, image, tensor in zip(media[lo:hi], decoded.images, jpeg.tensors(decoded, coef), strict=True):
+        for i, image, tensor in zip(there[lo:hi], decoded.images, jpeg.tensors(decoded, coef), strict=True):
+            m = media[i]
             n, data = jpeg.payload(image, coef)
-            rows.append((n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature(tensor)))
+            rows[i] = (n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature(tensor))
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
@@ -79,7 +81,11 @@ def _report(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def read_texts(media: DataFrame) -> DataFrame:
-    """What the stored images hold: lengths and digests of payload and image, and a feature of the tensor."""
+    """What the stored images hold: lengths and digests of payload and image, and a feature of the tensor.
+
+    Null or empty media gives nulls; repeated rows are read row by row, other columns
+    are ignored, and an empty table gives an empty result.
+    """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return arrow_map(media.select("doc_id", "media"), _report, schema)
 

@@ -25,7 +25,7 @@ from .common import running_total, written
 
 MAX_EPOCHS = 3
 PRECISION = 1000
-_ROW = "__mesh_row"
+_ROW, _TEXT = "__mesh_row", "__mesh_text"
 
 
 def cycling_weights(rank: Column) -> Column:
@@ -74,21 +74,25 @@ def mix(
     ``taken`` are the words that the mix takes of the document, repeats counted:
     at most ``max_epochs`` times its size.  Null or empty text has size 0 and
     nothing is taken; the null source is a source.  Ties of the shuffle are
-    broken by doc_id and size; rows that tie in these as well are alike in all
-    that is returned, so reruns agree.  Other columns are ignored; an empty table
-    gives an empty result.
+    broken by doc_id, size and a hash of the text; rows that tie in these as well
+    are alike in all that is returned, so reruns agree.  Other columns are ignored;
+    an empty table gives an empty result.
     """
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn(_ROW, F.monotonically_increasing_id())
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias(_TEXT)).withColumn(_ROW, F.monotonically_increasing_id())
     return _mix(written(rows, "sizes"), weights, seed, max_epochs, budget).drop(_ROW)
 
 
 def mixed(
     docs: DataFrame, weights: Callable[[Column], Column] = cycling_weights, seed: int = 7, max_epochs: int = MAX_EPOCHS, budget: int | None = None
 ) -> DataFrame:
-    """The rows of ``docs`` that the mix takes words of, all columns, with ``size, source_size, target, taken`` (replaced if there)."""
+    """The rows of ``docs`` that the mix takes words of, all columns, with ``size, source_size, target, taken`` (replaced if there).
+
+    Rows of one id and size are told apart by their text, so the same texts stay in
+    any number of partitions; of equal rows any stays.
+    """
     made = ("size", "source_size", "target", "taken")
     base = written(docs.drop(*made).withColumn(_ROW, F.monotonically_increasing_id()), "rows")
-    rows = written(base.select("doc_id", "source", word_count(F.col("text")).alias("size"), _ROW), "sizes")
+    rows = written(base.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias(_TEXT), _ROW), "sizes")
     taken = _mix(rows, weights, seed, max_epochs, budget).where("taken > 0").select(_ROW, *made)
     return base.join(taken.hint("shuffle_merge"), _ROW).drop(_ROW)
 
@@ -98,7 +102,7 @@ def _mix(rows: DataFrame, weights: Callable[[Column], Column], seed: int, max_ep
     goal, budget, quantum = targets(sizes, weights, budget, max_epochs)
     goal = written(goal, "targets").withColumnRenamed("source", "_s")
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))
-    order = [F.col("source"), F.col("_key"), F.col("doc_id"), F.col("size")]
+    order = [F.col("source"), F.col("_key"), F.col("doc_id"), F.col("size"), F.col(_TEXT), F.col(_ROW)]
     queued = running_total(rows.withColumn("_key", key), order, F.col("size"), "_end", reset="source")
     queued = queued.join(goal, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     queued = written(queued, "queue")
@@ -111,8 +115,8 @@ def _mix(rows: DataFrame, weights: Callable[[Column], Column], seed: int, max_ep
     packets = entries.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(quantum).cast("long"))))
     packets = packets.withColumn("_words", F.least(F.lit(quantum).cast("long"), F.col("size") - F.col("_part")))
     packets = packets.withColumn("_finish", (F.col("_from") + F.col("_part") + F.col("_words")) / F.col("target"))
-    order = [F.col(n) for n in ("_finish", "_key", "doc_id", "size", _ROW, "_round", "_part")]
-    queue = running_total(packets.select(_ROW, "_words", "_finish", "_key", "doc_id", "size", "_round", "_part"), order, F.col("_words"), "_total")
+    order = [F.col(n) for n in ("_finish", "_key", "doc_id", "size", _TEXT, _ROW, "_round", "_part")]
+    queue = running_total(packets.select(_ROW, _TEXT, "_words", "_finish", "_key", "doc_id", "size", "_round", "_part"), order, F.col("_words"), "_total")
     words = F.least(F.col("_words"), F.greatest(F.lit(0), F.lit(budget) - F.col("_total") + F.col("_words")))
     taken = queue.select(_ROW, words.alias("taken")).where("taken > 0").groupBy(_ROW).agg(F.sum("taken").alias("taken"))
     found = queued.join(taken, _ROW, "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))

@@ -142,8 +142,9 @@ def select(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, target_ro
     are likelier under the target model than under the raw one, so the sample
     size follows the corpus.  Null and empty texts have weight one.  Rows with
     equal keys (the same doc_id and text) are kept or dropped together.  Without
-    labelled good rows all ratios are one and, with no k, every row is kept.  An
-    empty table gives an empty result.
+    labelled good rows all ratios are one and, with no k, every row is kept.  Rows
+    of one doc_id share its Gumbel draw, and so do all rows without one.  An empty
+    table gives an empty result.
     """
     ratio = fit(docs, target_sample(labels, target_rows), buckets)
     keys = written(weigh(docs.select("doc_id", "text"), ratio).drop("text"), "weights")

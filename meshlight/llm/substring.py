@@ -286,10 +286,10 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int
     if line_words is not None:
         spans = spans.union(repeated_lines(docs, line_words).select("doc_id", "start", "end"))
     runs = _merged(spans).groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_removed")  # bounded by the text's length
+        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__mesh_removed")  # bounded by the text's length
     )
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    joined = docs.drop("removed").join(runs, "doc_id", "left").withColumn("removed", F.coalesce("_removed", none)).drop("_removed")
+    joined = docs.drop("removed").join(runs, "doc_id", "left").withColumn("removed", F.coalesce("__mesh_removed", none)).drop("__mesh_removed")
     edges = F.concat(
         F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))),
         "removed",

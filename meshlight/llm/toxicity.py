@@ -73,12 +73,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     """``(doc_id, text, toxic)`` of labelled rows outside the held-out fold, ``sample_rows`` at most.
 
     The sample is the first by a hash of doc_id; only its ids and labels, which
-    the bound limits, are broadcast.
+    the bound limits, are broadcast.  Of several rows of an id one is used, that
+    with the least hash of its text.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.join(F.broadcast(known), "doc_id")
+    one = F.min_by(F.struct("text"), F.xxhash64("text"))["text"].alias("text")
+    return rows.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(one, F.max("toxic").alias("toxic"))
 
 
 def held_out(doc_id):
