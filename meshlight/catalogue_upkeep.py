@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalogue_rules import _CALLABLE, _NOISE, _TYPE, _WITH, nodes_of
+from .operators.edits import edit_regions
 from .operators.storage import new_path
 from .plans import harvest as H
 from .plans import ranking as K
@@ -192,3 +193,27 @@ def watch_batches(spark, sf_dir):
     found = run_to_end(settled_batches(changes, "1 hour", 6 * _HOUR, 9 * _HOUR, 3), new_path(spark, "batches"))
     fired = F.timestamp_millis("fired_ms").cast("timestamp_ntz").alias("fired")
     return found.select("key", fired, "place", F.array_join("paths", "|").alias("paths"), F.col("waiting").cast("long").alias("waiting"))
+
+
+# ---------------------------------------------------------------- edits
+
+def _longest(most: str, side: str) -> str:
+    """The largest number of characters, ``most`` at most, in which ``o`` and ``w`` agree on a side; powers of two downwards."""
+    steps = "list_concat([0], list_reverse(list_transform(range(0, 24), lambda i: CAST(2 ** i AS BIGINT))))"
+    return f"CAST(list_reduce({steps}, lambda n, q: CASE WHEN n + q <= {most} AND {side}(o, n + q) = {side}(w, n + q) THEN n + q ELSE n END) AS BIGINT)"
+
+
+@query(f"""WITH f AS (SELECT source, arg_min(text, doc_id) AS o FROM documents WHERE text IS NOT NULL GROUP BY source),
+d AS (SELECT doc_id, o, text AS w FROM documents JOIN f ON documents.source IS NOT DISTINCT FROM f.source),
+p AS (SELECT doc_id, o, w, {_longest("least(length(o), length(w))", "left")} AS k FROM d),
+s AS (SELECT *, {_longest("least(length(o), length(w)) - k", "right")} AS j FROM p),
+e AS (SELECT doc_id, left(o, k) AS a, left(o, length(o) - j) AS b, left(w, length(w) - j) AS c FROM s)
+SELECT doc_id, strlen(a) AS start, strlen(b) AS old_end, strlen(c) AS new_end,
+       length(a) - length(replace(a, chr(10), '')) AS start_row, length(string_split(a, chr(10))[-1]) AS start_column,
+       length(b) - length(replace(b, chr(10), '')) AS old_end_row, length(string_split(b, chr(10))[-1]) AS old_end_column,
+       length(c) - length(replace(c, chr(10), '')) AS new_end_row, length(string_split(c, chr(10))[-1]) AS new_end_column FROM e""")
+def edit_region(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("new"))
+    first = docs.where("new is not null").groupBy("source").agg(F.min_by("new", "doc_id").alias("old"), F.lit(1).alias("one")).withColumnRenamed("source", "s")
+    pairs = docs.join(first, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "old", "new")
+    return edit_regions(pairs)
