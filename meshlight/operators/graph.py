@@ -6,11 +6,14 @@ never built.  Edge tables are bags until ``normalize_adjacency``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import connected_components
+
 Save = Callable[[DataFrame, str], DataFrame]
 
 #: The stronger kind of bridge wins.
@@ -157,20 +160,128 @@ def hop_split(rows: DataFrame) -> DataFrame:
 def detect_cycles(edges: DataFrame, save: Save, rounds: int = 1000) -> DataFrame:
     """``(id)``: the nodes on a directed cycle.
 
-    First nodes without an incoming or without an outgoing edge are peeled off
-    until none is left to peel; then every node that is left gets the colour of
-    the greatest node that reaches it, and the nodes that their colour's node is
-    reached from are its strong component.  Components are taken out round by
-    round.
+    The graph is first made small without losing a cycle: nodes without an incoming or
+    without an outgoing edge are dropped, chains of nodes with one edge in and one
+    out become one edge, found by pointer doubling, and nodes with edges both ways
+    become one node.  Each step shrinks long chains, rings and trees at once, so
+    their length hardly counts.  A node inside a chain is on a cycle exactly if the
+    edge that stands for it is.  What is left is taken apart by colours.
     """
     now = save(edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst").distinct(), "cycle")
-    loops = now.where("src = dst").select(F.col("src").alias("id"))
-    found = save(loops, "loops")
+    found = [save(now.where("src = dst").select(F.col("src").alias("id")), "loops")]
     now = save(now.where("src <> dst"), "cycle")
+    nodes = now.select(F.col("src").alias("id")).union(now.select("dst")).distinct()
+    # What each node is by now: a node, or a part of the edge (a, b).
+    place = save(nodes.select("id", F.col("id").alias("a"), F.lit(None).cast(edges.schema["src"].dataType).alias("b")), "place")
+    size = now.count()
+    for _ in range(rounds):
+        if not size:
+            break
+        now, place, done = _contracted(now, place, save)
+        found.append(done)
+        before, size = size, now.count()
+        if size == before:
+            break
+    if size:
+        parts = _strong(now, save, rounds)
+        x, y = parts.toDF("a", "p"), parts.toDF("b", "q")
+        found.append(save(place.where("b is null").join(x, "a").select("id"), "cyclic"))
+        found.append(save(place.where("b is not null").join(x, "a").join(y, "b").where("p = q").select("id"), "cyclic"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out.distinct()
+
+
+def _contracted(edges: DataFrame, place: DataFrame, save: Save) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round: edges, places and ``(id)`` of nodes that are now known to be on a cycle."""
+    edges, _ = _peel(edges, save, 1)
+    ends = edges.select(F.col("src").alias("n"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("dst", F.lit(0), F.lit(1)))
+    single = save(ends.groupBy("n").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).where("o = 1 and i = 1").select("n"), "single")
+    if single.isEmpty():
+        short, rows, done = edges, place, place.select("id").limit(0)
+    else:
+        short, rows, done = _bridged(edges, place, single, save)
+    # Edges both ways: one node, whose members are all on cycles.
+    mutual = save(short.join(short.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"]).where("src < dst"), "mutual")
+    if mutual.isEmpty():
+        return _alive(short, rows, save(done.distinct(), "cyclic"), save)
+    merged = save(connected_components(mutual.toDF("u", "v"), save), "merged")
+    done = done.union(rows.where("b is null").join(merged.select(F.col("node").alias("a")), "a", "left_semi").select("id"))
+    to = lambda c: merged.select(F.col("node").alias(c), F.col("component").alias(f"{c}_to"))
+    joined = short.join(to("src"), "src", "left").join(to("dst"), "dst", "left")
+    joined = joined.select(F.coalesce("src_to", "src").alias("src"), F.coalesce("dst_to", "dst").alias("dst")).distinct()
+    rows = rows.join(to("a"), "a", "left").join(to("b"), "b", "left").select("id", F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b"))
+    rows = save(rows, "place")
+    done = save(done.union(rows.where("a = b").select("id")).distinct(), "cyclic")
+    joined = save(joined.where("src <> dst"), "cycle")
+    return _alive(joined, rows.where("b is null or a <> b"), done, save)
+
+
+def _alive(edges: DataFrame, place: DataFrame, done: DataFrame, save: Save) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Places of dropped nodes, of edges that lead nowhere and of nodes that are done go."""
+    alive = save(edges.select(F.col("src").alias("a")).union(edges.select("dst")).distinct(), "alive")
+    rows = place.join(alive, "a", "left_semi").join(alive.select(F.col("a").alias("b"), F.lit(True).alias("there")), "b", "left")
+    rows = rows.where("b is null or there").select("id", "a", "b").join(done, "id", "left_anti")
+    return edges, save(rows, "place"), done
+
+
+def _bridged(edges: DataFrame, place: DataFrame, single: DataFrame, save: Save) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges with one in place of each chain of ``single(n)``, places, and ``(id)`` of the nodes of rings.
+
+    A node with one edge in and one out points to the next; the pointers end at the nodes between chains.
+    """
+    ahead = _chain_ends(edges, single, "src", "dst", save)
+    behind = _chain_ends(edges, single, "dst", "src", save)
+    # A chain without an end is a ring.
+    moves = save(ahead.withColumnRenamed("to", "z").join(behind.withColumnRenamed("to", "y"), "n"), "moves")
+    ring = moves.where("z is null").select("n")
+    kept = edges.join(single.withColumnRenamed("n", "src"), "src", "left_anti").join(single.withColumnRenamed("n", "dst"), "dst", "left_anti").select("src", "dst")
+    bridged = moves.where("z is not null").select(F.col("y").alias("src"), F.col("z").alias("dst")).distinct()
+    short = save(kept.union(bridged).distinct(), "short")
+    a, b = moves.select(F.col("n").alias("a"), "y", "z"), moves.select(F.col("n").alias("b"), F.col("z").alias("bz"), F.lit(True).alias("in"))
+    rows = place.join(a, "a", "left").join(b, "b", "left").select("id", "a", "b", "y", "z", "bz", "in")
+    node_in = F.col("b").isNull() & F.col("y").isNotNull()
+    rows = rows.select(
+        "id", F.coalesce("y", "a").alias("a"), F.when(node_in, F.col("z")).when(F.col("in"), F.col("bz")).otherwise(F.col("b")).alias("b"),
+    )
+    on_ring = place.join(ring.withColumnRenamed("n", "a"), "a", "left_semi").select("id")
+    rows = save(rows.join(on_ring, "id", "left_anti"), "place")
+    done = on_ring
+    # A chain that comes back to where it began: the node there and the chain are on a cycle.
+    looped = short.where("src = dst").select(F.col("src").alias("a")).distinct()
+    done = done.union(rows.where("a = b").select("id")).union(rows.where("b is null").join(looped, "a", "left_semi").select("id"))
+    short = save(short.where("src <> dst"), "short")
+    rows = rows.where("b is null or a <> b")
+    return short, rows, done
+
+
+def _chain_ends(edges: DataFrame, single: DataFrame, src: str, dst: str, save: Save) -> DataFrame:
+    """``(n, to)``: where the chain of each ``single(n)`` leads along ``src`` -> ``dst``, by pointer doubling; null in a ring."""
+    now = save(edges.select(F.col(src).alias("n"), F.col(dst).alias("to")).join(single, "n"), "jumps")
+    most = math.ceil(math.log2(max(1, now.count()))) + 1
+    for _ in range(most):
+        on = now.select(F.col("n").alias("to"), F.col("to").alias("next"))
+        new = now.join(on, "to", "left").select("n", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moving"))
+        new = save(new, "jumps")
+        now = new.select("n", "to")
+        if new.where("moving").isEmpty():
+            return now
+    return new.select("n", F.when(~F.col("moving"), F.col("to")).alias("to"))
+
+
+def _strong(now: DataFrame, save: Save, rounds: int) -> DataFrame:
+    """``(id, part)``: the strong components of two nodes or more.
+
+    Every node gets the colour of the greatest node that reaches it, and the nodes
+    that their colour's node is reached from are its strong component.  Components
+    are taken out round by round.
+    """
+    parts: DataFrame | None = None
     for _ in range(rounds):
         now, n = _peel(now, save)
         if not n:
-            return found.distinct()
+            return parts if parts is not None else now.select(F.col("src").alias("id"), F.col("src").alias("part"))
         colour = _reach(now, save)
         # backwards from each colour's own node, inside the colour
         inner = save(
@@ -187,7 +298,8 @@ def detect_cycles(edges: DataFrame, save: Save, rounds: int = 1000) -> DataFrame
                 break
             core = save(core.union(front), "core")
         sizes = core.groupBy("c").count().where("count > 1").select("c")
-        found = save(found.union(core.join(sizes, "c").select("id")), "cyclic")
+        fresh = core.join(sizes, "c").select("id", F.col("c").alias("part"))
+        parts = save(fresh if parts is None else parts.union(fresh), "parts")
         gone = core.select("id")
         now = save(
             now.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"), "cycle"
@@ -195,9 +307,11 @@ def detect_cycles(edges: DataFrame, save: Save, rounds: int = 1000) -> DataFrame
     raise RuntimeError("strong components did not settle")
 
 
-def _peel(edges: DataFrame, save: Save) -> tuple[DataFrame, int]:
+def _peel(edges: DataFrame, save: Save, most: int | None = None) -> tuple[DataFrame, int]:
+    """Edges without those of nodes that nothing leads to or from, in ``most`` rounds or until none is left, and their number."""
     n = edges.count()
-    while n:
+    while n and most != 0:
+        most = most and most - 1
         kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         kept = kept.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
         kept = save(kept, "peeled")
