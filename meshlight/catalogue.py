@@ -526,10 +526,3 @@ def pack_neighbors(spark, sf_dir):
     rows = G.trace_neighborhood(edges, busiest(nodes, edges, "part", "callers")).join(nodes.select("id", "name", "file"), "id")
     scored = rows.join(G.degrees(nodes, edges).select("id", F.col("degree").alias("score")), "id")
     return S.pack_neighbors(scored, char_budget=4000)
-
-
-@query()
-def python_call_edges(spark, sf_dir):
-    from .sources.samples import python_project
-
-    return python_project(spark)

@@ -1,25 +1,36 @@
-"""Extraction, resolution and bridges over the sample project, each against the rows that its source means.
+"""Extraction, resolution and bridges over a project for each document, each against the rows that its source means.
 
-The tables of the fixtures hold no program text, so the project of
-``sources/samples.py`` stands in; the SQL lists what a reader of it expects.
+The tables of the fixtures hold no program text, so each document becomes a copy of
+the project of ``sources/samples.py`` under names of its own; the SQL lists what a
+reader of one expects and says it of all documents.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import bridges as B
 from .operators import resolution as V
+from .operators.storage import save
 from .sources import extract as X
 from .sources import samples
+from .sources.views import load
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def expect(columns: str, *rows: tuple):
-    """Registers a query whose rows are known."""
+#: What a column of the expected rows holds: ``path:name``, a path, a name, or what is the same for every document.
+_LABEL, _PATH, _NAME = "concat('d', doc_id, '/', split_part({c}, ':', 1), ':', split_part({c}, ':', 2), '_', w, '_', doc_id)", "concat('d', doc_id, '/', {c})", "concat({c}, '_', w, '_', doc_id)"
+_HOLDS = {"src": _LABEL, "dst": _LABEL, "caller_file": _PATH, "callee_file": _PATH, "caller": _NAME, "callee": _NAME, "file": _PATH, "path": _PATH, "name": _NAME, "ancestor": _NAME, "export": _NAME}
+
+
+def expect(columns: str, *rows: tuple, first: bool = False, **holds: str):
+    """Registers a query whose rows are known for each document, or for the first one; ``holds`` says what a column has where its name does not."""
 
     def literal(v) -> str:
         return "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
@@ -27,15 +38,30 @@ def expect(columns: str, *rows: tuple):
     def add(f):
         QUERIES[f.__name__] = f
         listed = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
-        ORACLE_SQL[f.__name__] = f"SELECT * FROM (VALUES {listed}) t({columns})"
+        shown = ", ".join((holds.get(c) or _HOLDS.get(c, "{c}")).format(c=c) + f" AS {c}" for c in columns.split(", "))
+        only = " WHERE doc_id = (SELECT min(doc_id) FROM documents)" if first else ""
+        ORACLE_SQL[f.__name__] = f"SELECT {shown} FROM (VALUES {listed}) t({columns}), (SELECT doc_id, {samples.WORD} AS w FROM documents) d{only}"
         return f
 
     return add
 
 
-def project(spark) -> tuple[DataFrame, DataFrame, DataFrame]:
-    files = samples.files(spark)
-    return files, X.extract(files).where("parse_error is null"), X.sites(files)
+_SAME = "{c}"
+
+
+def sources(spark, sf_dir) -> DataFrame:
+    return save(samples.projects(load(spark, sf_dir, "documents").select("doc_id", "text")), "sources")
+
+
+def project(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    files = sources(spark, sf_dir)
+    return files, save(X.extract(files).where("parse_error is null"), "nodes"), save(X.sites(files), "sites")
+
+
+def _first(spark, sf_dir) -> tuple[str, str]:
+    """Folder and ending of the names of the first document."""
+    r = load(spark, sf_dir, "documents").orderBy("doc_id").selectExpr("doc_id", f"{samples.WORD} as w").first()
+    return f"d{r.doc_id}", f"_{r.w}_{r.doc_id}"
 
 
 def _names(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -45,9 +71,22 @@ def _names(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return named.drop("_s", "_d")
 
 
-def _defs(spark, parse, *suffixes: str) -> DataFrame:
-    rows = [(r["file"], r["name"], r["kind"], r["start_line"], r["end_line"]) for p, s in samples.PROJECT.items() if p.endswith(suffixes) for r in parse(p, s)]
-    return spark.createDataFrame(rows, "file string, name string, kind string, start_line long, end_line long")
+def _per_file(files: DataFrame, rows: Callable[[str, str], list[tuple]], schema: str) -> DataFrame:
+    """What ``rows`` makes of each file, in the order of ``schema``."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([r for p, s in zip(batch["path"], batch["source"], strict=True) for r in rows(p, s)], columns=names)
+
+    return files.mapInPandas(run, schema)
+
+
+def _defs(spark, sf_dir, parse, *suffixes: str) -> DataFrame:
+    def rows(path: str, source: str) -> list[tuple]:
+        return [(r["file"], r["name"], r["kind"], r["start_line"], r["end_line"]) for r in parse(path, source)] if path.endswith(suffixes) else []
+
+    return _per_file(sources(spark, sf_dir), rows, "file string, name string, kind string, start_line long, end_line long")
 
 
 _DEF = "file, name, kind, start_line, end_line"
@@ -60,7 +99,7 @@ _DEF = "file, name, kind, start_line, end_line"
     ("app/dyn.py", "len_of", "function_definition", 6, 8), ("ffi/use.py", "main", "function_definition", 4, 6),
 )
 def parse_python(spark, sf_dir):
-    return _defs(spark, X.parse_python, ".py")
+    return _defs(spark, sf_dir, X.parse_python, ".py")
 
 
 @expect(
@@ -68,7 +107,7 @@ def parse_python(spark, sf_dir):
     ("ffi/src/lib.rs", "word_count", "function_item", 2, 4), ("ffi/src/lib.rs", "search", "function_item", 8, 10), ("ffi/src/lib.rs", "open_project", "function_item", 13, 13),
 )
 def parse_rust(spark, sf_dir):
-    return _defs(spark, X.parse_rust, ".rs")
+    return _defs(spark, sf_dir, X.parse_rust, ".rs")
 
 
 @expect(
@@ -76,7 +115,7 @@ def parse_rust(spark, sf_dir):
     ("web/page.ts", "show", "method_definition", 4, 6), ("web/ipc.ts", "openIt", "function_declaration", 1, 3),
 )
 def parse_typescript(spark, sf_dir):
-    return _defs(spark, X.parse_typescript, ".ts")
+    return _defs(spark, sf_dir, X.parse_typescript, ".ts")
 
 
 @expect(
@@ -84,17 +123,17 @@ def parse_typescript(spark, sf_dir):
     ("srv/db/db.go", "Conn", "type_spec", 5, 5), ("srv/db/db.go", "Close", "method_declaration", 7, 7), ("srv/db/other_test.go", "TestOpen", "function_declaration", 3, 5),
 )
 def parse_go(spark, sf_dir):
-    return _defs(spark, X.parse_go, ".go")
+    return _defs(spark, sf_dir, X.parse_go, ".go")
 
 
 @expect(_DEF, ("native/op.h", "add", "function_declaration", 1, 1), ("native/op.c", "add", "function_definition", 2, 4), ("native/op.c", "twice_of", "function_definition", 6, 8))
 def parse_c(spark, sf_dir):
-    return _defs(spark, X.parse_c, ".c", ".h")
+    return _defs(spark, sf_dir, X.parse_c, ".c", ".h")
 
 
 @expect(_DEF, ("native/op.h", "add", "function_declaration", 1, 1))
 def c_prototypes(spark, sf_dir):
-    return _defs(spark, X.c_prototypes, ".c", ".h")
+    return _defs(spark, sf_dir, X.c_prototypes, ".c", ".h")
 
 
 # ---------------------------------------------------------------- calls
@@ -107,144 +146,162 @@ _EDGE = "src, dst"
     ("app/models.py:save", "app/models.py:check"), ("app/models.py:create", "app/models.py:Model"),
 )
 def py_call_edges(spark, sf_dir):
-    _, nodes, sites = project(spark)
+    _, nodes, sites = project(spark, sf_dir)
     return _names(V.py_call_edges(nodes, sites), nodes)
 
 
 @expect(_EDGE, ("lib/src/core.rs:dispatch", "lib/src/handler.rs:handle"))
 def rust_call_edges(spark, sf_dir):
-    _, nodes, sites = project(spark)
+    _, nodes, sites = project(spark, sf_dir)
     return _names(V.rust_call_edges(nodes, sites), nodes)
 
 
 @expect(_EDGE, ("srv/main.go:Serve", "srv/db/db.go:Open"), ("srv/main.go:Serve", "srv/main.go:help"), ("srv/db/other_test.go:TestOpen", "srv/db/db.go:Open"))
 def go_call_edges(spark, sf_dir):
-    _, nodes, sites = project(spark)
+    _, nodes, sites = project(spark, sf_dir)
     return _names(V.go_call_edges(nodes, sites), nodes)
 
 
 @expect(_EDGE, ("web/api.ts:fetchAll", "web/api.ts:load"), ("web/page.ts:show", "web/api.ts:fetchAll"))
 def ts_call_edges(spark, sf_dir):
-    _, nodes, sites = project(spark)
+    _, nodes, sites = project(spark, sf_dir)
     return _names(V.ts_call_edges(nodes, sites), nodes)
 
 
 @expect(_EDGE, ("native/op.c:twice_of", "native/op.c:add"))
 def c_call_edges(spark, sf_dir):
-    _, nodes, sites = project(spark)
+    _, nodes, sites = project(spark, sf_dir)
     return _names(V.c_call_edges(nodes, sites), nodes)
 
 
 @expect(_EDGE, ("native/op.c:twice_of", "native/op.c:add"), ("ffi/bind.cpp:compute_all", "native/op.c:add"))
 def cpp_call_edges(spark, sf_dir):
-    _, nodes, sites = project(spark)
+    _, nodes, sites = project(spark, sf_dir)
     return _names(V.cpp_call_edges(nodes.where("kind <> 'function_declaration'"), sites), nodes)
 
 
 @expect(_EDGE, ("app/models.py:create", "app/models.py:Model"), ("srv/db/db.go:Close", "srv/db/db.go:Conn"))
 def usage_edges(spark, sf_dir):
-    _, nodes, _ = project(spark)
+    _, nodes, _ = project(spark, sf_dir)
     return _names(V.usage_edges(nodes), nodes)
 
 
-@expect("file, name, origin", ("web/index.ts", "fetchAll", "web/api.ts"), ("web/index.ts", "Page", "web/page.ts"), ("web/api.ts", "fetchAll", "web/api.ts"), ("web/api.ts", "load", "web/api.ts"), ("web/page.ts", "Page", "web/page.ts"), ("web/ipc.ts", "openIt", "web/ipc.ts"))
+@expect("file, name, origin", ("web/index.ts", "fetchAll", "web/api.ts"), ("web/index.ts", "Page", "web/page.ts"), ("web/api.ts", "fetchAll", "web/api.ts"), ("web/api.ts", "load", "web/api.ts"), ("web/page.ts", "Page", "web/page.ts"), ("web/ipc.ts", "openIt", "web/ipc.ts"), origin=_PATH)
 def ts_reexport(spark, sf_dir):
-    rows = [
-        (p, name, None if spec is None else p.rsplit("/", 1)[0] + "/" + spec.removeprefix("./") + ".ts")
-        for p, s in samples.PROJECT.items() if p.endswith(".ts") for name, spec in X.ts_exports(s)
-    ]
-    return V.ts_reexport(spark.createDataFrame(rows, "file string, name string, target string"))
+    def rows(path: str, source: str) -> list[tuple]:
+        home = path.rsplit("/", 1)[0]
+        return [(path, name, spec and f"{home}/{spec.removeprefix('./')}.ts") for name, spec in X.ts_exports(source)] if path.endswith(".ts") else []
+
+    return V.ts_reexport(save(_per_file(sources(spark, sf_dir), rows, "file string, name string, target string"), "exports"))
 
 
 @expect("file, line, name", ("app/models.py", 3, "save"), ("app/main.py", 6, "run"), ("web/page.ts", 5, "show"))
 def enclosing_callable(spark, sf_dir):
-    _, nodes, _ = project(spark)
-    at = spark.createDataFrame([("app/models.py", 3), ("app/main.py", 6), ("web/page.ts", 5), ("web/page.ts", 1)], "file string, line long")
+    files, nodes, _ = project(spark, sf_dir)
+    lines = F.expr("case when path like '%app/models.py' then array(3L) when path like '%app/main.py' then array(6L) when path like '%web/page.ts' then array(5L, 1L) end")
+    at = files.select(F.col("path").alias("file"), F.explode(lines).alias("line"))
     return V.enclosing_callable(nodes, at).join(nodes.select("id", "name"), "id").select("file", "line", "name")
 
 
 @expect("name, ancestor, depth", ("save", "Model", 1), ("show", "Page", 1))
 def ast_ancestor(spark, sf_dir):
-    _, nodes, _ = project(spark)
+    _, nodes, _ = project(spark, sf_dir)
     up = V.ast_ancestor(nodes, nodes.select("id"), 2)
     return up.join(nodes.select("id", "name"), "id").join(nodes.select(F.col("id").alias("ancestor"), F.col("name").alias("a")), "ancestor").select("name", F.col("a").alias("ancestor"), "depth")
 
 
 @expect("name", ("clean",), ("strip",))
 def module_interior(spark, sf_dir):
-    return V.module_interior(project(spark)[1], "app::utils").select("name")
+    return V.module_interior(project(spark, sf_dir)[1], "app::utils").select("name")
 
 
-@expect("name, points", ("save", 200))
+@expect("name, points", ("save", 200), first=True)
 def qualify_evidence(spark, sf_dir):
-    _, nodes, _ = project(spark)
-    return V.qualify_evidence(nodes, "Model", "save").join(nodes.select("id", "name"), "id").select("name", "points")
+    _, nodes, _ = project(spark, sf_dir)
+    _, tag = _first(spark, sf_dir)
+    return V.qualify_evidence(nodes, f"Model{tag}", f"save{tag}").join(nodes.select("id", "name"), "id").select("name", "points")
 
 
-@expect("name", ("save",))
+@expect("name", ("save",), first=True)
 def seed_qualified(spark, sf_dir):
-    _, nodes, _ = project(spark)
-    return V.seed_qualified(nodes, "app::Model::save").join(nodes, "id").select("name")
+    _, nodes, _ = project(spark, sf_dir)
+    _, tag = _first(spark, sf_dir)
+    return V.seed_qualified(nodes, f"app::Model{tag}::save{tag}").join(nodes, "id").select("name")
 
 
-@expect("path", ("app/main.py",), ("native/op.h",))
+@expect("path", ("app/main.py",), ("native/op.h",), first=True)
 def detect_full_files(spark, sf_dir):
-    return V.detect_full_files(project(spark)[0], "see app/main.py, then native/op.h").select("path")
+    home, _ = _first(spark, sf_dir)
+    return V.detect_full_files(sources(spark, sf_dir), f"see {home}/app/main.py, then {home}/native/op.h").select("path")
 
 
 # ---------------------------------------------------------------- imports and bridges
 
 
-@expect("file, name, origin", ("app/main.py", "utils", "app.utils"), ("app/main.py", "m", "app.models"), ("ffi/use.py", "ffi_mod", "ffi_mod"))
+@expect("file, name, origin", ("app/main.py", "utils", "app.utils"), ("app/main.py", "m", "app.models"), ("ffi/use.py", "ffi_mod", "ffi_mod"), name=_SAME)
 def py_imports(spark, sf_dir):
-    rows = [(p, a, b) for p, s in samples.PROJECT.items() if p.endswith(".py") for a, b in X.py_imports(s).items()]
-    return spark.createDataFrame(rows, "file string, name string, origin string")
+    def rows(path: str, source: str) -> list[tuple]:
+        return [(path, a, b) for a, b in X.py_imports(source).items()] if path.endswith(".py") else []
+
+    return _per_file(sources(spark, sf_dir), rows, "file string, name string, origin string")
 
 
-@expect("file, name, origin", ("srv/main.go", "db", "proj/srv/db"))
+@expect("file, name, origin", ("srv/main.go", "db", "srv/db"), name=_SAME, origin=_PATH)
 def go_imports(spark, sf_dir):
-    rows = [(p, a, b) for p, s in samples.PROJECT.items() if p.endswith(".go") for a, b in X.go_imports(s).items()]
-    return spark.createDataFrame(rows, "file string, name string, origin string")
+    def rows(path: str, source: str) -> list[tuple]:
+        return [(path, a, b) for a, b in X.go_imports(source).items()] if path.endswith(".go") else []
+
+    return _per_file(sources(spark, sf_dir), rows, "file string, name string, origin string")
 
 
-@expect("file, name, exported, spec", ("web/page.ts", "all", "fetchAll", "./api"))
+@expect("file, name, exported, spec", ("web/page.ts", "all", "fetchAll", "./api"), name=_SAME, exported=_NAME)
 def ts_imports(spark, sf_dir):
-    rows = [(p, *r) for p, s in samples.PROJECT.items() if p.endswith(".ts") for r in X.ts_imports(s)]
-    return spark.createDataFrame(rows, "file string, name string, exported string, spec string")
+    def rows(path: str, source: str) -> list[tuple]:
+        return [(path, *r) for r in X.ts_imports(source)] if path.endswith(".ts") else []
+
+    return _per_file(sources(spark, sf_dir), rows, "file string, name string, exported string, spec string")
 
 
 @expect("name, export", ("word_count", "word_count"), ("search", "search_all"))
 def rust_exports(spark, sf_dir):
-    files, nodes, _ = project(spark)
+    files, nodes, _ = project(spark, sf_dir)
     return B.rust_exports(nodes, files).join(nodes.select("id", "name"), "id").select("name", "export")
 
 
 @expect("name, export", ("compute_all", "compute_all"))
 def pybind_exports(spark, sf_dir):
-    files, nodes, _ = project(spark)
+    files, nodes, _ = project(spark, sf_dir)
     return B.pybind_exports(nodes, files).join(nodes.select("id", "name"), "id").select("name", "export")
 
 
 @expect("export, name", ("word_count", "word_count"), ("search_all", "search"), ("compute_all", "compute_all"))
 def ffi_export_map(spark, sf_dir):
-    files, nodes, _ = project(spark)
+    files, nodes, _ = project(spark, sf_dir)
     table = B.ffi_export_map(B.rust_exports(nodes, files).union(B.pybind_exports(nodes, files)))
     return table.join(nodes.select("id", "name"), "id").select("export", "name")
 
 
 @expect("src, dst, kind", ("ffi/use.py:main", "ffi/src/lib.rs:word_count", "export"), ("ffi/use.py:main", "ffi/bind.cpp:compute_all", "export"))
 def py_link_exports(spark, sf_dir):
-    files, nodes, sites = project(spark)
+    files, nodes, sites = project(spark, sf_dir)
     return _names(B.py_link_exports(nodes, sites, B.rust_exports(nodes, files).union(B.pybind_exports(nodes, files))), nodes)
 
 
 @expect("src, dst, kind", ("web/ipc.ts:openIt", "ffi/src/lib.rs:open_project", "ipc"))
 def ipc_edges(spark, sf_dir):
-    files, nodes, _ = project(spark)
+    files, nodes, _ = project(spark, sf_dir)
     return _names(B.ipc_edges(nodes, files), nodes)
 
 
 @expect("src, dst, kind", ("ffi/use.py:main", "ffi/src/lib.rs:word_count", "export"), ("ffi/use.py:main", "ffi/bind.cpp:compute_all", "export"), ("web/ipc.ts:openIt", "ffi/src/lib.rs:open_project", "ipc"))
 def interconnect_maps(spark, sf_dir):
-    files, nodes, sites = project(spark)
+    files, nodes, sites = project(spark, sf_dir)
     return _names(B.interconnect_maps(nodes, files, sites), nodes)
+
+
+@expect(
+    "caller_file, caller, callee_file, callee", ("app/main.py", "run", "app/utils.py", "clean"), ("app/main.py", "run", "app/models.py", "create"), ("app/main.py", "twice", "app/main.py", "run"),
+    ("app/utils.py", "clean", "app/utils.py", "strip"), ("app/models.py", "save", "app/models.py", "check"), ("app/models.py", "create", "app/models.py", "Model"),
+)
+def python_call_edges(spark, sf_dir):
+    return samples.python_project(sources(spark, sf_dir))

@@ -33,9 +33,32 @@ def files(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([*PROJECT.items()], "path string, source string")
 
 
-def python_project(spark: SparkSession) -> DataFrame:
-    """Call edges of the project's Python files by name."""
-    return named_edges(files(spark).where("path like '%.py'"))
+#: Names of the project that each document replaces by its own.
+NAMES = (
+    "run", "twice", "clean", "strip", "Model", "save", "check", "create", "go", "len_of", "main", "dispatch", "Job", "handle", "fetchAll", "load", "Page", "show",
+    "Serve", "help", "Open", "Conn", "Close", "TestOpen", "openIt", "word_count", "search_all", "search", "open_project", "compute_all", "add", "twice_of",
+)
+#: The first short word of a document, in SQL.
+WORD = "coalesce(nullif(regexp_extract(lower(text), '[a-z]{3,8}', 0), ''), 'x')"
+
+
+def projects(docs: DataFrame) -> DataFrame:
+    """``files(path, source)``: the project once for each of ``docs(doc_id, text)``, in a folder and with names of its own.
+
+    The names end in the document's first short word and its id, so a name is one
+    document's alone; null text gives the word ``x``.
+    """
+    tag = docs.selectExpr("concat('d', doc_id) as home", f"concat('_', {WORD}, '_', doc_id) as tag")
+    pairs = F.create_map(*[F.lit(x) for pair in PROJECT.items() for x in pair])
+    each = tag.select("home", "tag", F.explode(pairs).alias("path", "source"))
+    moved = F.replace("source", F.lit("proj/"), F.concat("home", F.lit("/")))
+    named = F.regexp_replace(moved, F.lit(r"\b(" + "|".join(NAMES) + r")\b"), F.concat(F.lit("$1"), "tag"))
+    return each.select(F.concat_ws("/", "home", "path").alias("path"), named.alias("source"))
+
+
+def python_project(files_: DataFrame) -> DataFrame:
+    """Call edges of the Python files by name."""
+    return named_edges(files_.where("path like '%.py'"))
 
 
 def named_edges(f: DataFrame) -> DataFrame:
