@@ -370,13 +370,13 @@ def edge_progress(spark, sf_dir):
 # ---------------------------------------------------------------- scores and selection
 
 
-@query(cte("trade_nodes") + """, t AS (SELECT unnest(['almond', 'part', 'steel', 'c']) AS token) SELECT id, token, CAST(CASE WHEN lower(name) = token THEN 100000 + 100 * greatest(length(token), 3)
+@query(cte("trade_nodes") + """, t AS (SELECT unnest(['ring', 'small', 'idget', 'mall ri', 's1', 'c']) AS token) SELECT id, token, CAST(CASE WHEN lower(name) = token THEN 100000 + 100 * greatest(length(token), 3)
  WHEN length(token) >= 3 AND ends_with(lower(name), '_' || token) THEN 800 + 8 * length(token) WHEN length(token) >= 4 AND ends_with(lower(name), token) THEN 500 + 5 * length(token)
  WHEN length(token) >= 3 AND starts_with(lower(name), token) THEN 450 + 4 * length(token) WHEN list_contains(string_split_regex(lower(name), '[_:]'), token) THEN 400 + 4 * length(token)
  WHEN length(token) >= 5 AND contains(lower(name), token) THEN 150 + 2 * length(token) ELSE 0 END AS DOUBLE) AS score FROM trade_nodes, t""")
 def name_score(spark, sf_dir):
     nodes = load(spark, sf_dir, "trade_nodes")
-    tokens = F.explode(F.array(*map(F.lit, ("almond", "part", "steel", "c")))).alias("token")
+    tokens = F.explode(F.array(*map(F.lit, ("ring", "small", "idget", "mall ri", "s1", "c")))).alias("token")
     return nodes.select("id", "name", tokens).select("id", "token", T.name_score(F.col("name"), F.col("token")).alias("score"))
 
 
@@ -476,10 +476,11 @@ def harvest_status(spark, sf_dir):
 
 
 @query(_FULL + """, x AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM trade_nodes)
-SELECT a.idx AS from_idx, b.idx AS to_idx, 1 AS type FROM trade_edges e JOIN x a ON e.src = a.id JOIN x b ON e.dst = b.id""")
+SELECT a.idx AS from_idx, b.idx AS to_idx, CASE WHEN starts_with(e.src, 's:') THEN 0 ELSE 1 END AS type FROM trade_edges e JOIN x a ON e.src = a.id JOIN x b ON e.dst = b.id""")
 def export_edges(spark, sf_dir):
     nodes, edges = trade(spark, sf_dir)
-    return X.export_edges(X.dense_index(nodes), edges)
+    parts = F.startswith("src", F.lit("s:"))  # a supplier holds its parts
+    return X.export_edges(X.dense_index(nodes), edges.where(~parts), edges.where(parts))
 
 
 @query(_FULL + ", x AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM trade_nodes) SELECT idx, id, CAST(degree AS BIGINT) AS degree FROM x JOIN deg USING (id)")

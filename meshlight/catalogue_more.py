@@ -142,9 +142,9 @@ def scope_dirs(spark, sf_dir):
     return load(spark, sf_dir, "docs_nodes").select("id", F.when(P.scope_dir(F.col("file"), "src1/"), "same").otherwise("other").alias("bucket"))
 
 
-@query(cte("trade_nodes") + " SELECT id, CASE WHEN lower(name) = 'main' THEN 100 ELSE 0 END AS hint, CASE kind WHEN 'struct_item' THEN TRUE ELSE FALSE END AS arch FROM trade_nodes")
+@query(cte("order_nodes") + " SELECT id, CASE WHEN lower(name) = 'main' THEN 100 ELSE 0 END AS hint, CASE kind WHEN 'struct_item' THEN TRUE ELSE FALSE END AS arch FROM order_nodes")
 def entry_hints(spark, sf_dir):
-    return load(spark, sf_dir, "trade_nodes").select("id", R.entry_hint(F.col("file"), F.col("name")).alias("hint"), R.arch_kind(F.col("kind")).alias("arch"))
+    return load(spark, sf_dir, "order_nodes").select("id", R.entry_hint(F.col("file"), F.col("name")).alias("hint"), R.arch_kind(F.col("kind")).alias("arch"))
 
 
 @query(cte("trade_nodes", "trade_edges") + """, kept AS (SELECT * FROM trade_nodes WHERE file <> 'ASIA/CHINA/suppliers' AND NOT starts_with(file, 'catalog/Brand#1'))

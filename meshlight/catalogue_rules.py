@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +26,20 @@ ORACLE_SQL: dict[str, str] = {}
 _WITH = cte("code_nodes")
 
 
+# Fixed values, written out here so that the SQL does not follow the rules that it is to check.
+_W_SOURCES = "rs py ts tsx js jsx mjs svelte go c h cc cpp cxx hpp hh".split()
+_W_VENDOR = "vendor vendored _vendor _click third_party third-party external deps ext node_modules site-packages".split()
+_W_NOISE = "tests test testutil testing testdata __tests__ docs docs_src doc tutorials tutorial guides examples fixtures benches".split()
+_W_INFRA = "node_modules target .git .cache __pycache__".split()
+_W_JUNK = "if else for while loop match return let unknown anonymous block self super crate".split()
+_W_TRACE = "new get set len map iter into from clone default unwrap expect collect push pop insert remove print println format str string vec some none ok err".split()
+_W_ENTRY = "main lib mod index app __init__ __main__ server cli".split()
+_W_COLLISION = "main new test run init setup default from into drop clone index build error result config options".split()
+_W_PRIMITIVE = "int str bool float u8 u32 u64 i32 i64 usize string vec option result list dict map set".split()
+_W_BOILERPLATE = "fmt eq hash cmp partial_cmp drop deref as_ref borrow default next __init__ __repr__ __str__ __eq__ toString valueOf".split()
+_W_VERBS = "run do call exec handle process init main test apply update".split()
+
+
 def _listed(words) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
@@ -74,13 +87,13 @@ _STEM = rf"regexp_replace({_BASE}, '\.[^.]*$', '')"
 _EXT = rf"lower(regexp_extract({_BASE}, '\.([^.]+)$', 1))"
 _DIRS = "list_slice(string_split(file, '/'), 1, -2)"
 _LOW_DIRS = "list_slice(string_split(lower(file), '/'), 1, -2)"
-_SOURCE = f"({_EXT} IN ({_listed(P.SOURCE_EXTENSIONS)}))"
-_VENDORED = f"list_has_any({_LOW_DIRS}, [{_listed(P.VENDOR_DIRS)}])"
+_SOURCE = f"({_EXT} IN ({_listed(_W_SOURCES)}))"
+_VENDORED = f"list_has_any({_LOW_DIRS}, [{_listed(_W_VENDOR)}])"
 _NOISE_FILE = (
     rf"(starts_with(lower({_BASE}), 'test_') OR regexp_matches(lower({_BASE}), '_tests?\.[^.]+$') OR regexp_matches(lower({_BASE}), '\.(test|spec)\.[^.]+$') OR lower({_BASE}) IN ('conftest.py', 'tests.rs', 'test.rs') OR "
     + " OR ".join(f"ends_with(lower({_BASE}), '{x}')" for x in P.NOISE_FILES) + ")"
 )
-_NOISE = f"(list_has_any({_LOW_DIRS}, [{_listed([*P.NOISE_DIRS, *P.VENDOR_DIRS])}]) OR {_NOISE_FILE})"
+_NOISE = f"(list_has_any({_LOW_DIRS}, [{_listed([*_W_NOISE, *_W_VENDOR])}]) OR {_NOISE_FILE})"
 _PRIORITY = (
     f"(CASE WHEN {_VENDORED} THEN 20 WHEN {_NOISE} THEN 10 WHEN starts_with(file, 'src/') THEN 200 WHEN starts_with(file, 'lib/') THEN 199 WHEN starts_with(file, 'app/') THEN 198 WHEN starts_with(file, 'core/') THEN 197"
     " WHEN regexp_matches(file, '^(crates|packages|pkg)/[^/]+/src/') THEN 150 WHEN starts_with(file, 'tools/') THEN 100 WHEN starts_with(file, 'scripts/') THEN 99 ELSE 50 END)"
@@ -91,9 +104,9 @@ _TIER = "(CASE " + " ".join(
 ) + " ELSE 20 END)"
 _CALLABLE = "(regexp_matches(lower(kind), 'function|method|arrow') AND NOT regexp_matches(lower(kind), 'call|impl|type|struct|class|enum|trait|interface'))"
 _TYPE = "(" + " OR ".join(f"contains(lower(kind), '{x}')" for x in T.TYPE_KINDS) + ")"
-_JUNK = f"(length(regexp_replace(name, '[^\\pL\\pN]', '', 'g')) < 3 OR lower(name) IN ({_listed(T.JUNK_NAMES)}))"
-_TRACE_NOISE = f"(strlen(name) < 3 OR lower(name) IN ({_listed(T.TRACE_NOISE)}))"
-_ENTRY_FILE = f"(lower({_STEM}) IN ({_listed(R.ENTRY_FILES)}))"
+_JUNK = f"(length(regexp_replace(name, '[^\\pL\\pN]', '', 'g')) < 3 OR lower(name) IN ({_listed(_W_JUNK)}))"
+_TRACE_NOISE = f"(strlen(name) < 3 OR lower(name) IN ({_listed(_W_TRACE)}))"
+_ENTRY_FILE = f"(lower({_STEM}) IN ({_listed(_W_ENTRY)}))"
 _LANDMARK = f"(NOT {_NOISE} AND (lower(name) = 'main' OR {_ENTRY_FILE} AND lower(name) IN ('main', 'run', 'start', 'app', 'serve', 'new')))"
 _ENTRY_HINT = f"(CASE WHEN lower(name) = 'main' THEN 100 WHEN {_ENTRY_FILE} THEN 20 WHEN regexp_matches(lower(name), '^(run|start)') THEN 15 ELSE 0 END)"
 _ISLAND = "array_to_string(list_slice(string_split(file, '/'), 1, 2), '/')"
@@ -104,7 +117,7 @@ _FORWARD = r"(regexp_matches(source, '^\s*(template\s*<[^>]*>\s*)?(struct|class|
 
 rule("normalize_path", lambda: P.normalize_path(F.concat(F.lit("C:\\x\\.//"), file_())), r"'x/./' || file")
 rule("ext_filter", lambda: P.ext_filter(file_()), _SOURCE)
-rule("dir_prune", lambda: P.dir_prune(file_(), ["scripts"]), f"list_has_any({_LOW_DIRS}, [{_listed([*P.INFRA_DIRS, *P.VENDOR_DIRS, 'scripts'])}])")
+rule("dir_prune", lambda: P.dir_prune(file_(), ["scripts"]), f"list_has_any({_LOW_DIRS}, [{_listed([*_W_INFRA, *_W_VENDOR, 'scripts'])}])")
 rule("priority_wave", lambda: P.priority_wave(file_()), "CASE WHEN regexp_matches('/' || lower(file), '/(tests?|docs?|examples|benches|fixtures)/') THEN 3 WHEN regexp_matches('/' || lower(file), '/src/') THEN 0 WHEN regexp_matches('/' || lower(file), '/(lib|pkg|crates|packages)/') THEN 1 ELSE 2 END")
 rule("path_plan_priority", lambda: P.path_plan_priority(file_(), ["src/core", "src"], ["docs", "vendor"]), "CASE WHEN starts_with(file, 'docs') THEN 200 WHEN starts_with(file, 'vendor') THEN 201 WHEN starts_with(file, 'src/core') THEN 0 WHEN starts_with(file, 'src') THEN 1 ELSE 100 END")
 rule("scope_facet", lambda: P.scope_facet(file_()), f"array_to_string(list_slice({_DIRS}, 1, 2), '/') || '/'")
@@ -126,12 +139,12 @@ rule("path_hit", lambda: T.path_hit(file_(), F.lit("core"), False), r"list_conta
 
 rule("scope_symbol", lambda: R.scope_symbol(name_(), "b::open"), "name = 'b::open' OR split_part(name, '::', -1) = 'open'")
 rule("seed_ident", lambda: R.seed_ident(name_(), "x::Open()"), "lower(split_part(name, '::', -1)) = 'open'")
-rule("collision_junk", lambda: R.collision_junk(name_()), f"{_JUNK} OR lower(name) IN ({_listed(R.COLLISION_WORDS)})")
+rule("collision_junk", lambda: R.collision_junk(name_()), f"{_JUNK} OR lower(name) IN ({_listed(_W_COLLISION)})")
 rule("entry_landmark", lambda: R.entry_landmark(file_(), name_()), _LANDMARK)
 rule("entry_hint", lambda: R.entry_hint(file_(), name_()), _ENTRY_HINT)
 rule("entry_mult", lambda: R.entry_mult(file_(), name_()), f"CASE WHEN {_LANDMARK} AND lower(name) = 'main' THEN 24 WHEN {_LANDMARK} THEN 16 WHEN {_ENTRY_FILE} THEN 8 ELSE 1 END")
 rule("arch_kind", lambda: R.arch_kind(kind_()), "regexp_matches(lower(kind), 'struct|class|trait|interface|enum|impl|module|mod_item')")
-rule("hub_primitive", lambda: R.hub_primitive(name_(), F.col("in_degree"), F.col("out_degree"), F.lit(2000)), f"strlen(name) <= 2 OR lower(name) IN ({_listed(R.PRIMITIVES)}) OR (in_degree > 20 AND out_degree <= 2)")
+rule("hub_primitive", lambda: R.hub_primitive(name_(), F.col("in_degree"), F.col("out_degree"), F.lit(2000)), f"strlen(name) <= 2 OR lower(name) IN ({_listed(_W_PRIMITIVE)}) OR (in_degree > 20 AND out_degree <= 2)")
 rule("module_shell", lambda: R.module_shell(kind_(), F.col("source")), r"contains(lower(kind), 'mod') AND regexp_matches(source, '^\s*(pub(\([^)]*\))?\s+)?mod\s+\w+\s*;\s*$')")
 rule("forward_shell", lambda: R.forward_shell(F.col("source")), _FORWARD)
 rule("ctor_like", lambda: R.ctor_like(name_(), F.lit("Parser")), "lower(name) IN ('new', 'constructor', '__init__', 'init', 'default') OR starts_with(name, '~') OR name = 'Parser'")
@@ -142,14 +155,14 @@ rule("peripheral", lambda: R.peripheral(file_(), F.lit("src/main.rs")), f"{_PRIO
 rule("type_hub", lambda: R.type_hub(kind_(), F.col("source")), f"{_TIER} = 100 AND NOT {_FORWARD}")
 rule("edge_buildable", lambda: R.edge_buildable(file_()), _SOURCE)
 rule("junk_export_host", lambda: R.junk_export_host(file_(), F.col("source")), f"{_NOISE} OR contains(source, 'macro_rules!') OR contains(source, '#[cfg(test)]')")
-rule("neighbor_noise_name", lambda: R.neighbor_noise_name(name_()), f"name IN ({_listed(R.BOILERPLATE)}) OR {_TRACE_NOISE}")
+rule("neighbor_noise_name", lambda: R.neighbor_noise_name(name_()), f"name IN ({_listed(_W_BOILERPLATE)}) OR {_TRACE_NOISE}")
 rule("edge_family", lambda: R.edge_family(F.col("lang")), "CASE lang WHEN 'rust' THEN 'rust' WHEN 'python' THEN 'python' WHEN 'typescript' THEN 'script' WHEN 'go' THEN 'go' WHEN 'c' THEN 'c_family' WHEN 'cpp' THEN 'c_family' ELSE 'other' END")
 rule("lang_label", lambda: R.lang_label(P.extension(file_())), f"CASE {_EXT} WHEN 'rs' THEN 'rust' WHEN 'py' THEN 'python' WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'typescript' WHEN 'js' THEN 'javascript' WHEN 'h' THEN 'c' ELSE {_EXT} END")
 rule("testish_block", lambda: R.testish_block(file_(), name_(), F.col("source")), rf"{_NOISE} OR starts_with(lower(name), 'test_') OR regexp_matches(source, '^\s*[\w.:]+\([^)]*\)\s*;?\s*$')")
 rule("call_target_kind", lambda: T.call_target_kind(kind_()), _CALLABLE)
 rule("type_target_kind", lambda: T.type_target_kind(kind_()), _TYPE)
 rule("role_tiers", lambda: T.role_tier(kind_()), _TIER)
-rule("weak_penalty", lambda: T.weak_penalty(name_(), P.noise_block(file_())), f"CASE WHEN {_NOISE} THEN 100 WHEN lower(name) IN ({_listed(T.WEAK_VERBS)}) THEN 40 ELSE 0 END")
+rule("weak_penalty", lambda: T.weak_penalty(name_(), P.noise_block(file_())), f"CASE WHEN {_NOISE} THEN 100 WHEN lower(name) IN ({_listed(_W_VERBS)}) THEN 40 ELSE 0 END")
 rule("structural_mult", lambda: T.structural_mult(kind_(), F.col("in_degree")), f"CAST(CASE WHEN {_TIER} = 0 THEN 0 WHEN {_TYPE} THEN 1.5 WHEN {_CALLABLE} THEN 1 WHEN in_degree = 0 THEN 0.1 ELSE 0.5 END AS DOUBLE)")
 rule("coverage", lambda: A.coverage(F.col("in_degree") - 3, F.col("out_degree") == 1, F.col("k") % 2), "k % 2 > 0 AND in_degree - 3 = 0 AND NOT out_degree = 1")
 
@@ -207,9 +220,9 @@ def filter_seeds(spark, sf_dir):
 # ---------------------------------------------------------------- sets of nodes
 
 
-@query(f"{_WITH} SELECT name, min(id) AS id FROM code_nodes WHERE {_CALLABLE} AND strlen(name) >= 3 GROUP BY name HAVING count(*) = 1")
+@query(cte("docs_nodes") + " SELECT name, min(id) AS id FROM docs_nodes WHERE kind = 'function_item' AND strlen(name) >= 3 GROUP BY name HAVING count(*) = 1")
 def unique_name_map(spark, sf_dir):
-    return V.unique_name_map(nodes_of(spark, sf_dir))
+    return V.unique_name_map(load(spark, sf_dir, "docs_nodes"))
 
 
 @query(f"""{_WITH}, r AS (SELECT name, id, row_number() OVER (PARTITION BY name ORDER BY CASE WHEN {_NOISE} THEN 0 ELSE 100 END + {_PRIORITY} + {_STEM_MATCH} + CASE WHEN starts_with(name, '_') THEN 0 ELSE 10 END DESC, file, id) AS r
@@ -270,19 +283,19 @@ def peers_dedupe(spark, sf_dir):
     return K.peers_dedupe(nodes.where("k % 3 <> 0"), nodes.where("k % 3 = 0")).select("id")
 
 
-@query(f"""{_WITH}, t AS (SELECT id AS type_id, file, start_line AS a, end_line AS b FROM code_nodes WHERE {_TIER} = 100)
-SELECT type_id, id FROM code_nodes c JOIN t USING (file) WHERE start_line >= a AND end_line <= b AND id <> type_id AND (start_line > a OR end_line < b)""")
+@query(cte("span_nodes") + """, t AS (SELECT id AS type_id, file, start_line AS a, end_line AS b FROM span_nodes WHERE kind = 'struct_item')
+SELECT type_id, id FROM span_nodes c JOIN t USING (file) WHERE start_line >= a AND end_line <= b AND id <> type_id AND (start_line > a OR end_line < b)""")
 def type_nested(spark, sf_dir):
-    return N.type_nested(nodes_of(spark, sf_dir))
+    return N.type_nested(load(spark, sf_dir, "span_nodes"))
 
 
-@query(f"""{_WITH}, d AS (SELECT id AS src, name, file AS f1, starts_with(ltrim(source), 'static') AS static FROM code_nodes WHERE lang IN ('c', 'cpp') AND kind = 'function_definition'),
-e AS (SELECT id AS dst, name, file, kind FROM code_nodes WHERE lang IN ('c', 'cpp') AND kind = 'function_declaration'),
+@query(cte("c_nodes") + f""", d AS (SELECT id AS src, name, file AS f1, starts_with(ltrim(source), 'static') AS static FROM c_nodes WHERE kind = 'function_definition'),
+e AS (SELECT id AS dst, name, file, kind FROM c_nodes WHERE kind = 'function_declaration'),
 s AS (SELECT src, dst, file, static, CASE WHEN {_STEM} = regexp_replace(split_part(f1, '/', -1), '\\.[^.]*$', '') THEN 100 ELSE 0 END + CASE WHEN regexp_matches(file, '\\.(h|hh|hpp)$') THEN 40 ELSE 0 END
  + CASE WHEN {_MODULE} = regexp_replace(f1, '/[^/]*$', '') THEN 30 ELSE 0 END - CASE WHEN {_NOISE} THEN 50 ELSE 0 END - CASE WHEN static THEN 80 ELSE 0 END AS score FROM d JOIN e USING (name) WHERE NOT static OR f1 = file),
 r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY score DESC, file, dst) AS r FROM s WHERE score > 0 OR static) SELECT src, dst FROM r WHERE r = 1""")
 def c_decl_def(spark, sf_dir):
-    return N.c_decl_def(nodes_of(spark, sf_dir))
+    return N.c_decl_def(load(spark, sf_dir, "c_nodes"))
 
 
 # ---------------------------------------------------------------- files
@@ -316,7 +329,7 @@ def repo_shape(spark, sf_dir):
     return A.repo_shape(nodes_of(spark, sf_dir).select("file").distinct())
 
 
-@query(f"{_WITH} SELECT DISTINCT split_part(file, '/', 1) AS dir FROM code_nodes WHERE split_part(file, '/', 1) NOT IN ({_listed(P.NOISE_DIRS)}) ORDER BY dir LIMIT 40")
+@query(f"{_WITH} SELECT DISTINCT split_part(file, '/', 1) AS dir FROM code_nodes WHERE split_part(file, '/', 1) NOT IN ({_listed(_W_NOISE)}) ORDER BY dir LIMIT 40")
 def toc_dirs(spark, sf_dir):
     return A.toc_dirs(nodes_of(spark, sf_dir))
 
@@ -400,42 +413,30 @@ def edge_census(spark, sf_dir):
     return K.edge_census(rows, rows.where("kind = 'twin'"))
 
 
-@query(f"{_WITH} SELECT DISTINCT CASE WHEN in_degree > 60 THEN 'caller' ELSE 'callee' END AS side, name FROM code_nodes WHERE k % 2 = 0 EXCEPT SELECT CASE WHEN in_degree > 60 THEN 'caller' ELSE 'callee' END, name FROM code_nodes WHERE k % 2 = 1 AND k % 5 = 0")
+@query(cte("docs_nodes") + " SELECT DISTINCT lang AS side, name FROM docs_nodes WHERE doc_id % 2 = 0 EXCEPT SELECT lang, name FROM docs_nodes WHERE doc_id % 2 = 1")
 def diff_shots(spark, sf_dir):
-    shots = nodes_of(spark, sf_dir).withColumn("side", F.when(F.col("in_degree") > 60, "caller").otherwise("callee"))
-    return A.diff_shots(shots.where("k % 2 = 0"), shots.where("k % 2 = 1 and k % 5 = 0"))
+    shots = load(spark, sf_dir, "docs_nodes").withColumn("side", F.col("lang"))
+    return A.diff_shots(shots.where("doc_id % 2 = 0"), shots.where("doc_id % 2 = 1"))
 
 
 # ---------------------------------------------------------------- prompt rules over the names
 
 
-def _python(name: str, fn: Callable[[str], object], kind: str, column: str, sql: str) -> None:
-    """A rule of the prompt side, over a column."""
-
-    def run(spark, sf_dir):
-        @F.pandas_udf(kind)
-        def value(x: pd.Series) -> pd.Series:
-            return x.map(fn)
-
-        return nodes_of(spark, sf_dir).select("id", value(F.col(column)).alias("value"))
-
-    run.__name__ = name
-    QUERIES[name] = run
-    ORACLE_SQL[name] = f"{_WITH} SELECT id, {sql} AS value FROM code_nodes"
-
-
 _PASCAL = "regexp_matches(name, '^[A-Z][a-z0-9]{2,}$')"
 _CODE = rf"(length(name) >= 2 AND (regexp_matches(name, '[/\\._]') OR contains(name, '::') OR {_PASCAL} OR regexp_matches(name, '[a-z].*[A-Z]') OR regexp_matches(name, '^[A-Z0-9]{{4,}}$')))"
-_python("pascal", T.pascal, "boolean", "name", _PASCAL)
-_python("code_shaped", T.code_shaped, "boolean", "name", _CODE)
-_python("junk_symbol", T.junk_symbol, "boolean", "name", f"length(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')) < 3 OR lower(name) IN ({_listed(T.JUNK_NAMES)})")
-_python("strong_token", T.strong_token, "boolean", "name", f"length(name) >= 3 AND NOT (length(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')) < 3 OR lower(name) IN ({_listed(T.JUNK_NAMES)})) AND ({_CODE} OR length(name) >= 6)")
-_python("token_priority", T.token_priority, "long", "name", f"CAST(CASE WHEN {_CODE} THEN 100 ELSE 0 END + CASE WHEN contains(name, '::') OR contains(name, '/') THEN 50 ELSE 0 END + CASE WHEN contains(name, '_') THEN 20 ELSE 0 END + CASE WHEN length(name) >= 8 THEN 10 ELSE 0 END AS BIGINT)")
-_python("split_camel", lambda s: "|".join(T.split_camel(s)), "string", "name", "regexp_replace(name, '([a-z:])([A-Z])', '\\1|\\2', 'g')")
-_python("normalize_seed", lambda s: T.normalize_seed(f"`{s}()`"), "string", "name", "split_part(name, '::', -1)")
-_python("symbol_leaf", T.symbol_leaf, "string", "name", "split_part(name, '::', -1)")
-_python("sanitize_symbol", T.sanitize_symbol, "string", "file", "regexp_replace(file, '[^A-Za-z0-9_-]', '_', 'g')")
-_python("symbol_like", T.symbol_like, "boolean", "file", r"regexp_matches(file, '^[A-Za-z_][A-Za-z0-9_]*((::|\.)[A-Za-z_][A-Za-z0-9_]*)*$')")
-_python("scope_file_src", P.scope_file_src, "boolean", "file", _SOURCE)
-_python("scope_sanitize", lambda s: P.scope_sanitize(f"./a/..//{s}"), "string", "file", "file")
-_python("recency_text", lambda n: T.recency_text(int(n) * 997), "string", "k", "CASE WHEN k * 997 < 60 THEN 'just now' WHEN k * 997 < 3600 THEN concat(k * 997 // 60, ' mins ago') WHEN k * 997 < 86400 THEN concat(k * 997 // 3600, ' hours ago') ELSE concat(k * 997 // 86400, ' days ago') END")
+rule("pascal", lambda: T.pascal_col(name_()), _PASCAL)
+rule("code_shaped", lambda: T.code_shaped_col(name_()), _CODE)
+rule("junk_symbol", lambda: T.junk_symbol_col(name_()), f"length(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')) < 3 OR lower(name) IN ({_listed(_W_JUNK)})")
+rule("strong_token", lambda: T.strong_token_col(name_()), f"length(name) >= 3 AND NOT (length(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')) < 3 OR lower(name) IN ({_listed(_W_JUNK)})) AND ({_CODE} OR length(name) >= 6)")
+rule("token_priority", lambda: T.token_priority_col(name_()).cast("long"), f"CAST(CASE WHEN {_CODE} THEN 100 ELSE 0 END + CASE WHEN contains(name, '::') OR contains(name, '/') THEN 50 ELSE 0 END + CASE WHEN contains(name, '_') THEN 20 ELSE 0 END + CASE WHEN length(name) >= 8 THEN 10 ELSE 0 END AS BIGINT)")
+rule("split_camel", lambda: F.array_join(T.split_camel_col(name_()), "|"), "regexp_replace(name, '([a-z:])([A-Z])', '\\1|\\2', 'g')")
+rule("normalize_seed", lambda: T.normalize_seed_col(F.concat(F.lit("`"), name_(), F.lit("()`"))), "split_part(name, '::', -1)")
+rule("symbol_leaf", lambda: T.symbol_leaf_col(name_()), "split_part(name, '::', -1)")
+rule("sanitize_symbol", lambda: T.sanitize_symbol_col(file_()), "regexp_replace(file, '[^A-Za-z0-9_-]', '_', 'g')")
+rule(
+    "symbol_like", lambda: T.symbol_like_col(F.concat(name_(), F.when(F.col("k") % 3 == 0, ".x").when(F.col("k") % 3 == 1, "-y").otherwise(""))),
+    r"regexp_matches(concat(name, CASE k % 3 WHEN 0 THEN '.x' WHEN 1 THEN '-y' ELSE '' END), '^[A-Za-z_][A-Za-z0-9_]*((::|\.)[A-Za-z_][A-Za-z0-9_]*)*$')",
+)
+rule("scope_file_src", lambda: P.scope_file_src_col(file_()), _SOURCE)
+rule("scope_sanitize", lambda: P.scope_sanitize_col(F.concat(F.lit("./a/..//"), file_())), "file")
+rule("recency_text", lambda: T.recency_text_col(F.col("k") * 997), "CASE WHEN k * 997 < 60 THEN 'just now' WHEN k * 997 < 3600 THEN concat(k * 997 // 60, ' mins ago') WHEN k * 997 < 86400 THEN concat(k * 997 // 3600, ' hours ago') ELSE concat(k * 997 // 86400, ' days ago') END")

@@ -123,6 +123,26 @@ def scope_file_src(scope: str) -> bool:
     return "." in name and name.rsplit(".", 1)[1].lower() in SOURCE_EXTENSIONS
 
 
+def scope_file_src_col(scope: Column) -> Column:
+    """``scope_file_src`` over a column."""
+    name = F.element_at(F.split(scope, "/"), -1)
+    return name.contains(".") & F.lower(F.element_at(F.split(name, r"\."), -1)).isin(*SOURCE_EXTENSIONS)
+
+
+def scope_sanitize_col(scope: Column) -> Column:
+    """``scope_sanitize`` over a column: the parts are folded, a ``..`` taking the last one away."""
+    s = F.translate(F.trim(scope), "\\", "/")
+    no = F.lit(None).cast("array<string>")
+
+    def step(parts: Column, x: Column) -> Column:
+        up = F.when(F.size(parts) > 0, F.slice(parts, F.lit(1), F.size(parts) - 1))
+        return F.when(parts.isNull(), no).when(x == "..", up).when((x == "") | (x == "."), parts).otherwise(F.concat(parts, F.array(x)))
+
+    parts = F.aggregate(F.split(s, "/"), F.array().cast("array<string>"), step)
+    tail = F.when(F.endswith(s, F.lit("/")) & (F.size(parts) > 0), "/").otherwise("")
+    return F.when(~s.rlike("^[/~]|://|^.:"), F.concat(F.array_join(parts, "/"), tail))
+
+
 def scope_dir(path: Column, scope: str) -> Column:
     """Root-anchored prefix, or the pinned file."""
     s = scope.strip("/")

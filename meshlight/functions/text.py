@@ -174,6 +174,47 @@ def strong_token_col(token: Column) -> Column:
     return (F.octet_length(t) >= 3) & ~junk_symbol_col(t) & (code_shaped_col(t) | (F.octet_length(t) >= 6))
 
 
+def token_priority_col(token: Column) -> Column:
+    """``token_priority`` over a column."""
+    return (
+        F.when(code_shaped_col(token), 100).otherwise(0) + F.when(token.rlike("::|/"), 50).otherwise(0)
+        + F.when(token.contains("_"), 20).otherwise(0) + F.when(F.octet_length(token) >= 8, 10).otherwise(0)
+    )
+
+
+def split_camel_col(name: Column) -> Column:
+    """``split_camel`` over a column: its parts as an array."""
+    return F.filter(F.split(name, r"(?U)(?<=[\w&&[^\d_A-ZÀ-ÖØ-Þ]])(?=[A-ZÀ-ÖØ-Þ])"), lambda x: x != "")
+
+
+def normalize_seed_col(query: Column) -> Column:
+    """``normalize_seed`` over a column."""
+    q = F.regexp_replace(_strip(query), "^[`\"']+|[`\"']+$", "")
+    q = F.when(q.rlike(r"^#\[.*\]$"), F.regexp_extract(q, r"^#\[(.*)\]$", 1)).otherwise(q)
+    return _strip(F.substring_index(F.regexp_replace(q, r"\(\s*\)$", ""), "::", -1))
+
+
+def sanitize_symbol_col(name: Column) -> Column:
+    return F.regexp_replace(name, "[^A-Za-z0-9_-]", "_")
+
+
+def symbol_leaf_col(name: Column) -> Column:
+    return F.substring_index(name, "::", -1)
+
+
+def symbol_like_col(name: Column) -> Column:
+    return _strip(name).rlike(r"^[A-Za-z_][A-Za-z0-9_]*(?:(?:::|\.)[A-Za-z_][A-Za-z0-9_]*)*$")
+
+
+def recency_text_col(seconds: Column) -> Column:
+    """``recency_text`` over a column."""
+
+    def ago(unit: int, name: str) -> Column:
+        return F.concat(F.floor(seconds / unit).cast("string"), F.lit(f" {name} ago"))
+
+    return F.when(seconds < 60, "just now").when(seconds < 3600, ago(60, "mins")).when(seconds < 86400, ago(3600, "hours")).otherwise(ago(86400, "days"))
+
+
 def count_tokens(text: Column) -> Column:
     """The larger of sub-word tokens and characters, which is the characters."""
     return F.char_length(text)

@@ -77,6 +77,17 @@ VIEWS: dict[str, str] = {
           UNION ALL SELECT o_custkey, o_orderkey FROM {orders} WHERE o_custkey % 3 <> 0
           UNION ALL SELECT o_orderkey + 1, o_orderkey FROM {orders} WHERE o_orderstatus = 'F'
           UNION ALL SELECT o_orderkey + j, o_orderkey FROM {orders}, (SELECT 3 AS j UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 11 UNION ALL SELECT 12 UNION ALL SELECT 14) s WHERE o_orderpriority = '1-URGENT') x""",
+    # Suppliers as types of their nation's file, its customers as functions.
+    "span_nodes": """
+        SELECT concat('s:', CAST(s_suppkey AS STRING)) AS id, concat('n', CAST(s_nationkey AS STRING)) AS file, 'struct_item' AS kind, s_suppkey * 40 AS start_line, s_suppkey * 40 + 100 AS end_line FROM {supplier}
+        UNION ALL
+        SELECT concat('c:', CAST(c_custkey AS STRING)), concat('n', CAST(c_nationkey AS STRING)), 'function_item', c_custkey * 3, c_custkey * 3 + c_custkey % 7 FROM {customer}""",
+    # Parts as C definitions, and prototypes of the same names in other files and folders.
+    "c_nodes": """
+        SELECT concat('c:', CAST(p_partkey AS STRING)) AS id, concat('fn_', CAST(p_partkey % 211 AS STRING)) AS name, 'c' AS lang,
+               concat(CASE p_partkey % 3 WHEN 0 THEN 'src' WHEN 1 THEN 'include' ELSE 'tests' END, '/m', CAST(p_size % 5 AS STRING), CASE WHEN p_partkey % 2 = 0 THEN '.c' ELSE '.h' END) AS file,
+               CASE WHEN p_partkey % 2 = 0 THEN 'function_definition' WHEN p_partkey % 7 = 0 THEN 'struct_specifier' ELSE 'function_declaration' END AS kind,
+               CASE WHEN p_partkey % 5 = 0 THEN 'static int f(void)' ELSE 'int f(void)' END AS source FROM {part}""",
     "docs_nodes": """
         SELECT concat('d:', CAST(doc_id AS STRING)) AS id, split_part(text, ' ', 1) AS name, concat(source, '/', lang, '/', CAST(doc_id AS STRING), '.txt') AS file,
                CASE WHEN n_chars > 2000 THEN 'struct_item' WHEN n_chars > 500 THEN 'function_item' ELSE 'call_expression' END AS kind,
