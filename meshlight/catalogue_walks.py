@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .plans import budget as B
+from .plans import export as X
+from .plans import sampling as M
 from .plans import spine as W
 from .sources.views import cte, load
 
@@ -99,3 +101,44 @@ c{i} AS (SELECT doc_id, CASE WHEN strlen(text) <= {i} THEN text WHEN contains(le
 SELECT doc_id, CASE WHEN length(a.cut) <= {_CAP} THEN a.cut ELSE b.cut END AS text FROM c{4 * _CAP} AS a JOIN c{2 * _CAP} AS b USING (doc_id)""")
 def truncate_tokens(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", B.truncate_tokens(F.col("text"), _CAP).alias("text"))
+
+
+# ---------------------------------------------------------------- sampling
+
+# Documents without a label, numbered by id; the generator one step at a time.
+_LEFT = cte("docs_nodes").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+e AS MATERIALIZED (SELECT id, size, row_number() OVER (ORDER BY id) - 1 AS idx FROM docs_nodes WHERE kind <> 'call_expression' AND doc_id NOT IN (SELECT doc_id FROM labels)),
+s AS (SELECT CAST((CAST((SELECT count(*) FROM labels) AS UHUGEINT) * 11400714819323198485 + 6) % 18446744073709551616 AS UHUGEINT) AS x),
+g AS (SELECT CAST(-1 AS BIGINT) AS i, x, CAST(0 AS UHUGEINT) AS draw FROM s
+      UNION ALL SELECT i + 1, (x * 6364136223846793005 + 1) % 18446744073709551616, ((x * 6364136223846793005 + 1) % 18446744073709551616) >> 33 FROM g WHERE i < (SELECT 2 * count(*) FROM e))"""
+
+
+def _left(spark, sf_dir):
+    nodes = load(spark, sf_dir, "docs_nodes").where("kind <> 'call_expression'")
+    labels = load(spark, sf_dir, "labels")
+    done = labels.select(F.concat(F.lit("d:"), F.col("doc_id").cast("string")).alias("id"), F.when(F.col("quality") == 1, "open").otherwise("rejected").alias("pole"))
+    return nodes, nodes.join(done.select("id"), "id", "left_anti"), done
+
+
+@query(_LEFT + " SELECT id, idx, CAST(a.draw AS BIGINT) AS draw0, CAST(b.draw AS BIGINT) AS draw1 FROM e JOIN g AS a ON a.i = 2 * idx JOIN g AS b ON b.i = 2 * idx + 1")
+def card_draws(spark, sf_dir):
+    _, left, done = _left(spark, sf_dir)
+    return M.with_draws(X.dense_index(left), M.first_state(done.count(), "query"), 2)
+
+
+@query(_LEFT + """,
+w AS (SELECT CAST(0 AS BIGINT) AS place, (SELECT list(id ORDER BY id) FROM e) AS ids, '' AS id
+      UNION ALL
+      SELECT place + 1, list_concat(list_concat(ids[1:pos], CASE WHEN pos + 1 < len(ids) THEN [ids[-1]] ELSE [] END), ids[pos + 2:len(ids) - 1]), ids[pos + 1]
+      FROM (SELECT w.*, CAST(g.draw % len(ids) AS BIGINT) AS pos FROM w JOIN g ON g.i = 2 * w.place + 1 WHERE w.place < 40) x)
+SELECT w.id, CAST(place AS INTEGER) AS place FROM w WHERE place > 0""")
+def next_cards(spark, sf_dir):
+    _, left, done = _left(spark, sf_dir)
+    return M.walk_sample(left.select("id"), M.first_state(done.count(), "query"), 40)
+
+
+@query(_LEFT + """ SELECT id, CAST(row_number() OVER (ORDER BY w, id) AS INTEGER) AS place, name, file FROM (
+  SELECT e.id, n.name, n.file, -ln((CAST(draw AS DOUBLE) + 0.5) / 2147483648.0) / (e.size % 50 + 1) AS w FROM e JOIN g ON g.i = e.idx JOIN docs_nodes AS n ON n.id = e.id ORDER BY w, e.id LIMIT 40)""")
+def card_batch(spark, sf_dir):
+    nodes, _, done = _left(spark, sf_dir)
+    return M.card_batch(nodes, done, "query", 40, nodes.select("id", (F.col("size") % 50).alias("degree")))
