@@ -203,7 +203,7 @@ f AS (SELECT dst, count(*) AS fan_in FROM c GROUP BY dst)
 SELECT src, dst, kind, from_cluster, to_cluster, fan_in FROM c JOIN f USING (dst) ORDER BY rk DESC, fan_in DESC, src, dst LIMIT 20""")
 def find_bridges(spark, sf_dir):
     nodes, edges = trade(spark, sf_dir)
-    return G.find_bridges(nodes, edges, load(spark, sf_dir, "trade_bridges"))
+    return G.find_bridges(nodes, edges, load(spark, sf_dir, "trade_bridges"), save=save)
 
 
 @query(cte("trade_nodes") + " SELECT cluster, count(*) AS n_nodes, count(DISTINCT file) AS n_files FROM trade_nodes GROUP BY cluster")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .plans import budget as B
 from .plans import export as X
 from .plans import sampling as M
+from .plans import selection as S
 from .plans import spine as W
 from .sources.views import cte, load
 
@@ -103,6 +104,27 @@ def truncate_tokens(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", B.truncate_tokens(F.col("text"), _CAP).alias("text"))
 
 
+# ---------------------------------------------------------------- retrieval
+
+_SCORE = """CASE WHEN lower(name) = '{t}' THEN 100000 + 100 * greatest(length('{t}'), 3) WHEN ends_with(lower(name), '_{t}') THEN 800 + 8 * length('{t}') WHEN ends_with(lower(name), '{t}') THEN 500 + 5 * length('{t}')
+ WHEN starts_with(lower(name), '{t}') THEN 450 + 4 * length('{t}') WHEN list_contains(string_split_regex(lower(name), '[_:]'), '{t}') THEN 400 + 4 * length('{t}') WHEN length('{t}') >= 5 AND contains(lower(name), '{t}') THEN 150 + 2 * length('{t}') ELSE 0 END
+ + 0.5 * CASE WHEN list_contains(string_split_regex(lower(file), '[/\\\\.-]'), '{t}') THEN 80 + 2 * length('{t}') WHEN length('{t}') >= 5 AND contains(lower(file), '{t}') THEN 25 + length('{t}') ELSE 0 END"""
+_KEYWORD = "CASE WHEN contains(lower(module), '{t}') THEN 10 + length('{t}') + CASE WHEN contains(split_part(lower(module), '/', -1), '{t}') THEN 8 ELSE 0 END ELSE 0 END"
+_TOKENS = ["widget", "brand#3"]
+
+
+@query(cte("trade_nodes", "trade_edges") + f""",
+n AS (SELECT *, {" + ".join(_SCORE.format(t=t) for t in _TOKENS)} AS text_score, regexp_replace(file, '/[^/]*$', '') AS key FROM trade_nodes),
+m AS (SELECT module FROM (SELECT DISTINCT key AS module FROM n) WHERE {" + ".join(_KEYWORD.format(t=t) for t in _TOKENS)} > 0
+      ORDER BY {" + ".join(_KEYWORD.format(t=t) for t in _TOKENS)} DESC, module LIMIT 32),
+s AS (SELECT id FROM n WHERE text_score > 0 AND (SELECT count(*) FROM m WHERE file = module OR starts_with(file, concat(module, '/')) OR key = module) > 0 ORDER BY text_score DESC, id LIMIT 12),
+h AS (SELECT id FROM s UNION SELECT dst FROM trade_edges WHERE src IN (SELECT id FROM s) UNION SELECT src FROM trade_edges WHERE dst IN (SELECT id FROM s))
+SELECT id, CAST(text_score AS DOUBLE) AS text_score FROM h JOIN n USING (id)""")
+def retrieve_subgraph(spark, sf_dir):
+    nodes, edges = load(spark, sf_dir, "trade_nodes"), load(spark, sf_dir, "trade_edges")
+    return S.retrieve_with_hops(nodes, edges, _TOKENS, top=12, hops=1)
+
+
 # ---------------------------------------------------------------- sampling
 
 # Documents without a label, numbered by id; the generator one step at a time.

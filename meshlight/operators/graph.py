@@ -121,11 +121,13 @@ def expand_hops(edges: DataFrame, seeds: DataFrame, hops: int, save: Save | None
 
     With ``save`` each step but the last is written, so that no hop is computed twice.
     """
-    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    ways = (edges.select("src", "dst"), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     seen = seeds.select("id").distinct().withColumn("hop", F.lit(0))
     front = seen
     for hop in range(1, hops + 1):
-        near = both.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
+        # Each direction meets the frontier, which is small, before anything is exchanged to be made distinct.
+        a, b = (way.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")) for way in ways)
+        near = a.union(b).distinct()
         front = near.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop))
         if save and hop < hops:
             front = save(front, "front")
@@ -418,8 +420,11 @@ def trace_epoch(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- clusters
 
 
-def find_bridges(nodes: DataFrame, edges: DataFrame, bridges: DataFrame, cap: int = 20) -> DataFrame:
-    """Edges between clusters, typed bridges before calls, ranked by kind, fan-in of the target and ids; the first ``cap``."""
+def find_bridges(nodes: DataFrame, edges: DataFrame, bridges: DataFrame, cap: int = 20, save: Save | None = None) -> DataFrame:
+    """Edges between clusters, typed bridges before calls, ranked by kind, fan-in of the target and ids; the first ``cap``.
+
+    With ``save`` the crossing edges, which are read twice, are made once.
+    """
     typed = bridge_kind_between(bridges).withColumn("rank", bridge_rank(F.col("kind")))
     plain = edges.select("src", "dst").distinct().join(typed.select("src", "dst"), ["src", "dst"], "left_anti")
     every = typed.union(plain.select("src", "dst", F.lit("call"), F.lit(0)))
@@ -429,6 +434,8 @@ def find_bridges(nodes: DataFrame, edges: DataFrame, bridges: DataFrame, cap: in
         .join(at.select(F.col("id").alias("dst"), F.col("cluster").alias("to_cluster")), "dst")
         .where("from_cluster <> to_cluster")
     )
+    if save:
+        crossing = save(crossing, "crossing")
     fan = crossing.groupBy("dst").agg(F.count("*").alias("fan_in"))
     return crossing.join(fan, "dst").select("src", "dst", "kind", "from_cluster", "to_cluster", "fan_in", "rank").orderBy(
         F.desc("rank"), F.desc("fan_in"), "src", "dst"

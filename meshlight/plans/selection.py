@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import module_key
-from ..functions.text import block_score, module_kw
+from ..functions.text import block_score, junk_symbol_col, module_kw
+from ..operators.graph import expand_hops
+from ..operators.storage import save
 
 
 def cap_by_score(rows: DataFrame, key: str, cap: int) -> DataFrame:
     """The best ``cap`` rows of each key, with their place and how many were left out."""
-    w = Window.partitionBy(key)
-    ranked = rows.withColumn("place", F.row_number().over(w.orderBy(F.desc("score"), "id"))).withColumn("omitted", F.greatest(F.count("*").over(w) - cap, F.lit(0)))
-    return ranked.where(F.col("place") <= cap)
+    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "id"))).where(F.col("place") <= cap)
+    # The counts come from an aggregate of their own, so that the best rows are already picked on the map side.
+    sizes = rows.groupBy(F.col(key).alias("__mesh_key")).agg(F.greatest(F.count("*") - cap, F.lit(0)).alias("omitted"))
+    return ranked.join(sizes, F.col(key).eqNullSafe(F.col("__mesh_key"))).drop("__mesh_key")
 
 
 def select_blocks(rows: DataFrame, cap: int = 8) -> DataFrame:
@@ -47,6 +50,28 @@ def retrieve_subgraph(nodes: DataFrame, tokens: list[str], cap: int = 4096, top:
     return found.orderBy(F.desc("text_score"), "id").limit(cap).select("id", "text_score").limit(top)
 
 
+def retrieve_with_hops(nodes: DataFrame, edges: DataFrame, tokens: list[str], top: int = 128, hops: int = 2, modules: int = 32, cap: int = 4096) -> DataFrame:
+    """``(id, text_score)``: the ``top`` nodes by token score and all within ``hops`` calls of them in either direction.
+
+    Nodes of the best modules and of what lies below them are scored first, all
+    nodes if those have no score; junk names are no seeds.  Nodes that the hops bring
+    have their own score, 0 if no token hits them.  Nothing without tokens.
+    """
+    if not tokens:
+        return nodes.select("id", F.lit(0.0).alias("text_score")).limit(0)
+    score = F.lit(0.0)
+    for t in tokens:
+        score = score + block_score(F.col("name"), F.col("file"), F.lit(t))
+    every = nodes.withColumn("text_score", score)
+    scored = save(every.where(~junk_symbol_col(F.col("name")) & (F.col("text_score") > 0)).select("id", "file", "text_score"), "scored")
+    m, below = F.col("module"), F.concat("module", F.lit("/"))
+    inside = (F.col("file") == m) | F.startswith("file", below) | (module_key(F.col("file")) == m)
+    near = scored.join(F.broadcast(l0_modules(nodes, tokens, modules)), inside, "left_semi")  # ``modules`` rows
+    found = near if not near.isEmpty() else scored
+    seeds = save(found.orderBy(F.desc("text_score"), "id").limit(min(top, cap)).select("id"), "seeds")
+    return expand_hops(edges, seeds, hops, save).select("id").join(every.select("id", "text_score"), "id")
+
+
 def rank_selection(rows: DataFrame) -> DataFrame:
     """Text score times one and the heuristic score."""
     return rows.withColumn("score", F.col("text_score") * (1 + F.col("heuristic")))
