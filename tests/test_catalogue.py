@@ -6,13 +6,13 @@ import os
 import duckdb
 import pytest
 
-from meshlight import catalogue, catalogue_code, catalogue_index, catalogue_more, catalogue_rules, catalogue_upkeep, catalogue_walks
+from meshlight import catalogue, catalogue_code, catalogue_index, catalogue_more, catalogue_rest, catalogue_rules, catalogue_upkeep, catalogue_walks
 from meshlight.sources.views import TABLES
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no fixture tables")
-QUERIES = catalogue.QUERIES | catalogue_more.QUERIES | catalogue_rules.QUERIES | catalogue_code.QUERIES | catalogue_upkeep.QUERIES | catalogue_index.QUERIES | catalogue_walks.QUERIES
-ORACLE_SQL = catalogue.ORACLE_SQL | catalogue_more.ORACLE_SQL | catalogue_rules.ORACLE_SQL | catalogue_code.ORACLE_SQL | catalogue_upkeep.ORACLE_SQL | catalogue_index.ORACLE_SQL | catalogue_walks.ORACLE_SQL
+QUERIES = catalogue.QUERIES | catalogue_more.QUERIES | catalogue_rules.QUERIES | catalogue_code.QUERIES | catalogue_upkeep.QUERIES | catalogue_index.QUERIES | catalogue_walks.QUERIES | catalogue_rest.QUERIES
+ORACLE_SQL = catalogue.ORACLE_SQL | catalogue_more.ORACLE_SQL | catalogue_rules.ORACLE_SQL | catalogue_code.ORACLE_SQL | catalogue_upkeep.ORACLE_SQL | catalogue_index.ORACLE_SQL | catalogue_walks.ORACLE_SQL | catalogue_rest.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
