@@ -397,7 +397,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for each row of ``pages(page_id, url, html)``.
 
     Each row is treated alone: repeats, ties and nulls in other columns change
-    nothing; other columns are ignored.
+    nothing; other columns are ignored.  Null html reads as empty and gives empty
+    text; an empty table gives an empty result.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     return arrow_map(rows, _run, "page_id long, url string, text string, n_chars long")

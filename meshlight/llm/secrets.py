@@ -181,7 +181,11 @@ def digest(text: str) -> str:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Counts, span list and digest of the base kinds for each row of ``docs(doc_id, text)``."""
+    """Counts, span list and digest of the base kinds for each row of ``docs(doc_id, text)``.
+
+    Null text reads as empty and has no spans; each row is treated alone, repeated
+    and null ids too; other columns are ignored; an empty table gives an empty result.
+    """
     found = find_secrets(docs.select("doc_id", "text"))
 
     def joined(spans):

@@ -280,7 +280,8 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int
 
     Repeated runs of ``min_words`` words go, and with ``line_words`` repeated
     lines of that many words as well, however short.  Rows without repeats keep
-    their text; ``removed`` is then empty.
+    their text; ``removed`` is then empty.  So do rows without a doc_id, and null
+    texts stay null.  Rows of one doc_id are cut at the same places.
     """
     spans = repeated_runs(docs, min_words).select("doc_id", "start", "end")
     if line_words is not None:

@@ -294,7 +294,11 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes all pages to archives and returns what the reader finds in them."""
+    """Writes all pages to archives and returns what the reader finds in them.
+
+    Null html is an empty payload; of equal payloads the largest page_id is the
+    response.  Other columns are ignored; an empty table gives an empty result.
+    """
     return read_archives(write_archives(pages))
 
 
