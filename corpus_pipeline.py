@@ -14,7 +14,11 @@ from meshlight.llm.secrets import redact
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that importance resampling selects."""
+    """Keeps the documents that importance resampling selects.
+
+    Null and empty texts have weight one; rows of one doc_id share its draw, as do
+    all rows without one; equal rows stay or go together.  An empty table stays empty.
+    """
     return filter_quality(docs, table(spark, sf_dir, "labels"))
 
 
@@ -22,7 +26,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of each near-duplicate class that has the least doc_id.
 
     Of several rows of a doc_id one stays, that with the least hash of its columns;
-    rows without a doc_id all stay.
+    rows without a doc_id all stay.  Null text reads as empty, and empty texts are
+    equal.  An empty table stays empty.
     """
     classes = written(near_duplicates(docs), "classes").where("doc_id is not null")
     gone = classes.where("not keep").select("doc_id").distinct()
@@ -39,17 +44,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a window of a benchmark item."""
+    """Drops the documents that hold a window of a benchmark item.
+
+    Each row is judged by its own text, whatever its id; null and empty texts stay.
+    Without benchmark items every row stays.
+    """
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret in the text by its kind."""
+    """Replaces every secret in the text by its kind.
+
+    All rows stay, each treated alone; null text stays null.
+    """
     return redact(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes words of, all columns, with the words taken and their source's target."""
+    """The documents that the mix takes words of, all columns, with the words taken and their source's target.
+
+    Null and empty texts have no words, so they are not taken; the null source is a
+    source; ties are broken by the text, so reruns agree.  An empty table stays empty.
+    """
     return mixed(docs)
 
 
