@@ -72,7 +72,7 @@ def read_file_tool(spark, sf_dir):
     lines = F.struct(F.size(F.split("text", "\n")).alias("n"), (-F.col("doc_id")).alias("d"))
     longest = docs.where("text is not null").agg(F.max_by("doc_id", lines)).first()[0]
     files = docs.select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("source"))
-    return O.read_file_tool(files, f"d/{longest}", 2, 150)
+    return O.read_file_tool(files, f"d/{longest}", 2, 150).withColumn("line", F.col("line").cast("long"))
 
 
 @query(cte("trade_nodes") + " SELECT id, name, file, kind FROM trade_nodes WHERE kind = 'struct_item' AND starts_with(file, 'ASIA/') ORDER BY file, start_line, id LIMIT 100")
