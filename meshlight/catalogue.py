@@ -518,10 +518,14 @@ def gnn_features(spark, sf_dir):
     return NN.gnn_features(nodes, G.degrees(nodes, edges))
 
 
-# ---------------------------------------------------------------- rows only
+# ---------------------------------------------------------------- packing
 
 
-@query()
+@query(_PART + _TRACE + _DEG.format(e="trade_edges") + """,
+t AS (SELECT side, hop, id, name, file, degree AS score, row_number() OVER (PARTITION BY side, regexp_replace(file, '/[^/]*$', '') ORDER BY hop, degree DESC, id) AS d FROM rows_ JOIN deg USING (id)),
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY side ORDER BY CASE WHEN d > 2 THEN 1 ELSE 0 END, hop, score DESC, id) AS INTEGER) AS place, CAST(20 + length(name) + length(file) AS INTEGER) AS cost FROM t),
+u AS (SELECT *, CAST(sum(cost) OVER (ORDER BY place, side ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM p)
+SELECT id, side, hop, name, file, score, place, cost, used FROM u WHERE used <= 4000 OR place = 1""")
 def pack_neighbors(spark, sf_dir):
     nodes, edges = saved_trade(spark, sf_dir)
     rows = G.trace_neighborhood(edges, busiest(nodes, edges, "part", "callers")).join(nodes.select("id", "name", "file"), "id")
