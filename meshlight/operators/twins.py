@@ -29,7 +29,7 @@ TARGETS = [
 #: Places whose texts are not scanned (fixed values).
 SKIPPED = r"noxfile|/docs/|/guide/|/site/|glossary|/\.github/|conftest\.py"
 #: Code points of a bin of the containment join; identifiers of a batch of the scan.
-BIN, ROWS = 4096, 1 << 16
+BIN, ROWS = 256, 1 << 16
 FILTER_BITS = 1 << 20
 _WORD = re.compile(r"\w+")
 
