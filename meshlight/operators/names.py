@@ -96,23 +96,48 @@ def type_nested(blocks: DataFrame, width: int = 64) -> DataFrame:
     return binned.join(at, ["file", "bin"]).where("start_line >= a and end_line <= b and id <> type_id and (start_line > a or end_line < b)").select("type_id", "id")
 
 
+def c_decl_own(decl_file: Column) -> Column:
+    """What a prototype's file alone adds to its score."""
+    return F.when(decl_file.rlike(r"\.(h|hh|hpp)$"), 40).otherwise(0) - F.when(noise_block(decl_file), 50).otherwise(0)
+
+
 def c_decl_score(def_file: Column, decl_file: Column, static: Column, included: Column) -> Column:
     """Stem 100, header 40, same directory 30, include 20, test -50, static -80."""
     from ..functions.paths import module_key, stem
 
     return (
-        F.when(stem(def_file) == stem(decl_file), 100).otherwise(0) + F.when(decl_file.rlike(r"\.(h|hh|hpp)$"), 40).otherwise(0)
-        + F.when(module_key(def_file) == module_key(decl_file), 30).otherwise(0) + F.when(included, 20).otherwise(0)
-        - F.when(noise_block(decl_file), 50).otherwise(0) - F.when(static, 80).otherwise(0)
+        F.when(stem(def_file) == stem(decl_file), 100).otherwise(0) + F.when(module_key(def_file) == module_key(decl_file), 30).otherwise(0) + F.when(included, 20).otherwise(0)
+        - F.when(static, 80).otherwise(0) + c_decl_own(decl_file)
     )
 
 
 def c_decl_def(nodes: DataFrame) -> DataFrame:
-    """``(src, dst)``: each C definition with its best prototype of the same name; static ones in their file only."""
+    """``(src, dst)``: each C definition with its best prototype of the same name; static ones in their file only.
+
+    What a definition adds to a prototype's score is an equal stem and an equal
+    directory, so its best prototype is the best of all of its name, of those with
+    its stem, with its directory, or with both: a row for each, however many there are.
+    """
+    from ..functions.paths import module_key, stem
+
     c = nodes.where(F.col("lang").isin("c", "cpp"))
     static = F.ltrim(F.element_at(F.split("source", "\n"), 1)).startswith("static")
     defs = c.where("kind = 'function_definition'").select(F.col("id").alias("src"), "name", F.col("file").alias("f1"), static.alias("static"))
     decls = c.where("kind = 'function_declaration'").select(F.col("id").alias("dst"), "name", F.col("file").alias("f2"))
-    pairs = defs.join(decls, "name").where("not static or f1 = f2").withColumn("s", c_decl_score(F.col("f1"), F.col("f2"), F.col("static"), F.lit(False)))
-    order = Window.partitionBy("src").orderBy(F.desc("s"), "f2", "dst")
-    return pairs.where("s > 0 or static").withColumn("r", F.row_number().over(order)).where("r = 1").select("src", "dst")
+    decls = decls.groupBy("name", "f2").agg(F.min("dst").alias("dst"))
+
+    def shared(file: str) -> Column:
+        s, m = stem(F.col(file)), module_key(F.col(file))
+        keys = F.array(F.lit(""), F.concat(F.lit("s:"), s), F.concat(F.lit("m:"), m), F.concat(F.lit("b:"), m, F.lit("/"), s))
+        return F.explode(F.array_compact(keys)).alias("shared")
+
+    # Of prototypes that a definition has as much in common with, the order is that of their own points.
+    best = F.min(F.struct((-c_decl_own(F.col("f2"))).alias("s"), "f2", "dst")).alias("b")
+    bests = decls.select("name", "f2", "dst", shared("f2")).groupBy("name", "shared").agg(best).select("name", "shared", "b.f2", "b.dst")
+    places = defs.where("not static").select("name", "f1").distinct()
+    met = places.select("name", "f1", shared("f1")).join(bests, ["name", "shared"])
+    met = met.withColumn("s", c_decl_score(F.col("f1"), F.col("f2"), F.lit(False), F.lit(False))).where("s > 0")
+    chosen = met.groupBy("name", "f1").agg(F.min(F.struct((-F.col("s")).alias("s"), "f2", "dst")).alias("b"))
+    free = defs.where("not static").join(chosen, (defs.name == chosen.name) & defs.f1.eqNullSafe(chosen.f1)).select("src", "b.dst")
+    held = defs.where("static is null or static").join(decls.withColumnRenamed("f2", "f1"), ["name", "f1"]).select("src", "dst")
+    return free.union(held)

@@ -115,3 +115,21 @@ def test_c_declarations(spark):
     ends = nodes.select("id", "file", "name")
     row = pairs.join(ends, pairs.src == ends.id).select("file", "name", "dst").first()
     assert (row.file, row.name) == ("native/op.c", "add") and row.dst.startswith("native/op.h:function_declaration")
+
+
+def test_c_declarations_of_one_name_are_not_paired(spark):
+    """All of a name's definitions and prototypes: the best of each by score, file and id, without a row for each two."""
+    import time
+
+    files = ["a/m.c", "a/m.h", "b/m.h", "b/n.c", "a/tests/m.h", "m.h", "z.c"]
+    rows = [(f"{k}{i}", "f", "c", files[i % 7], f"function_{k}", "static int f()" if i % 5 == 0 else "int f()") for k in ("definition", "declaration") for i in range(8000)]
+    nodes = spark.createDataFrame(rows, "id string, name string, lang string, file string, kind string, source string").repartition(8)
+    began = time.monotonic()
+    got = {r.src: r.dst for r in N.c_decl_def(nodes).collect()}
+    assert time.monotonic() - began < 90 and len(got) == 8000
+    score = lambda a, b: 100 * (_stem(a) == _stem(b)) + 30 * (_home(a) == _home(b)) + 40 * b.endswith(".h") - 50 * ("tests" in b)
+    _stem, _home = (lambda f: f.split("/")[-1].split(".")[0]), (lambda f: f.rpartition("/")[0])
+    first = {f: min(r[0] for r in rows if r[3] == f and r[4] == "function_declaration") for f in files}
+    for i in range(8000):
+        f = files[i % 7]
+        assert got[f"definition{i}"] == first[f if i % 5 == 0 else min(files, key=lambda g: (-score(f, g), g))]
