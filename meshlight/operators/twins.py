@@ -1,9 +1,9 @@
 """Twins: whole texts scanned for the names of definitions in other languages, in one pass for all names.
 
-Every identifier of every text is looked up in an index of the names by their first
-identifier; a filter of fixed size, made of all names, leaves out most of the rest
-before anything is exchanged.  Names of several identifiers are then compared with the
-text.  There is no limit on the number of names.  A match belongs to the innermost
+Every identifier of every text, and what follows as far as a name may begin so, is
+looked up in the names as a whole; a filter of fixed size, made of all names and
+their beginnings, leaves out most of the rest before anything is exchanged.  There is
+no limit on the number of names.  A match belongs to the innermost
 block around it that is in another language than the name's definition.
 """
 
@@ -30,7 +30,7 @@ TARGETS = [
 SKIPPED = r"noxfile|/docs/|/guide/|/site/|glossary|/\.github/|conftest\.py"
 #: Code points of a bin of the containment join; identifiers of a batch of the scan.
 BIN, ROWS = 256, 1 << 16
-FILTER_BITS = 1 << 20
+FILTER_BITS = 1 << 22
 _WORD = re.compile(r"\w+")
 
 
@@ -58,57 +58,81 @@ def twin_targets(nodes: DataFrame) -> DataFrame:
     return fit.groupBy("name").agg(best).select("name", F.col("b.id").alias("dst"), F.col("b.lang").alias("dst_lang"))
 
 
-def _name_filter(keys: DataFrame) -> np.ndarray:
-    """A bit for the hash of each of ``keys(token)``; of a fixed size whatever their number."""
-    h = F.pmod(F.crc32(F.encode("token", "utf-8")), F.lit(FILTER_BITS))
-    words = keys.select(h.alias("h")).groupBy(F.shiftright("h", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 31 as int))")).alias("bits"))
-    out = np.zeros(FILTER_BITS >> 5, np.uint32)
-    for r in words.collect():  # at most FILTER_BITS / 32 rows
-        out[r.w] = r.bits
-    return out
+def _name_filter(cores: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Bits for the hashes of all ``cores(core)``, and of what they begin with up to each of their other words; of a fixed size whatever their number."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: tuple[list, list] = ([], [])
+            for core in batch.column(0).to_pylist():
+                h = at = 0
+                for m in _WORD.finditer(core):
+                    h, at = zlib.crc32(core[at : m.end()].encode(), h), m.end()
+                    found[0].append(h % FILTER_BITS)
+                    found[1].append(at == len(core))
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.bool_())], ["h", "whole"])
+
+    words = cores.select("core").mapInArrow(hashes, "h long, whole boolean").groupBy("whole", F.shiftright("h", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 31 as int))")).alias("bits"))
+    out = np.zeros((2, FILTER_BITS >> 5), np.uint32)
+    for r in words.collect():  # at most FILTER_BITS / 16 rows
+        out[int(r.whole), r.w] = r.bits
+    return out[1], out[0]
+
+
+def _flags(whole: np.ndarray, more: np.ndarray) -> bytes:
+    """A byte for each bit of both filters: 1 for a name, 2 for what one begins with."""
+    bits = [np.unpackbits(x.astype("<u4").view(np.uint8), bitorder="little") for x in (whole, more)]
+    return (bits[0] | bits[1] << 1).tobytes()
 
 
 def occurrences(files: DataFrame, names: DataFrame) -> DataFrame:
     """``(file, begin, finish, name)``: where ``names(name)`` stand in ``files(file, source)`` as whole words, in code points.
 
     Names without a letter or digit, and null texts, occur nowhere.  Occurrences may
-    overlap; repeated rows of a file are repeated.
+    overlap; repeated rows of a file are repeated.  A name's core goes from its first
+    identifier to its last.  From each identifier of a text the scan goes on for as
+    long as a core may begin so, and gives what may be one with the signs on both
+    sides; it meets its names by the whole core, so no text is joined to candidates.
     """
-    keyed = names.select("name").distinct().withColumn("token", F.regexp_extract("name", r"(?U)[\p{L}\p{N}_]+", 0)).where("token <> ''")
-    keyed = keyed.withColumn("lead", F.instr("name", F.col("token")) - 1)
-    bits = _name_filter(keyed)
+    keyed = names.select("name").distinct().withColumn("core", F.regexp_extract("name", r"(?Us)[\p{L}\p{N}_](?:.*[\p{L}\p{N}_])?", 0)).where("core <> ''")
+    keyed = keyed.withColumn("lead", F.instr("name", F.col("core")) - 1).withColumn("tail", F.length("name") - F.col("lead") - F.length("core"))
+    whole, more = _name_filter(keyed)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: tuple[list, list, list] = ([], [], [])
+        flags, crc = _flags(whole, more), zlib.crc32
+        found: tuple[list, ...] = ([], [], [], [], [])
 
         def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.int32()), pa.array(found[2], pa.string())], ["file", "at", "token"])
+            made = pa.RecordBatch.from_arrays([pa.array(f, pa.int32() if k == 1 else pa.string()) for k, f in enumerate(found)], ["file", "at", "core", "before", "after"])
             for f in found:
                 f.clear()
             return made
 
         for batch in batches:
             for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for m in _WORD.finditer(text or ""):
-                    h = zlib.crc32(m[0].encode()) % FILTER_BITS
-                    if bits[h >> 5] >> np.uint32(h & 31) & 1:
-                        found[0].append(file)
-                        found[1].append(m.start())
-                        found[2].append(m[0])
-                if len(found[0]) >= ROWS:
-                    yield out()
+                spans = [m.span() for m in _WORD.finditer(text or "")]
+                last = len(spans) - 1
+                for i, (a, z) in enumerate(spans):
+                    h, k = crc(text[a:z].encode()), i
+                    while f := flags[h % FILTER_BITS]:
+                        if f & 1:
+                            # Where the text begins or ends a line break stands for it, which no name reaches.
+                            row = (file, a, text[a:z], text[spans[i - 1][1] : a] if i else "\n" + text[:a], text[z : spans[k + 1][0]] if k < last else text[z:] + "\n")
+                            for column, v in zip(found, row, strict=True):
+                                column.append(v)
+                        if not f & 2 or k == last:
+                            break
+                        k += 1
+                        h, z = crc(text[z : spans[k][1]].encode(), h), spans[k][1]
+                    if len(found[0]) >= ROWS:
+                        yield out()
         if found[0]:
             yield out()
 
-    tokens = files.select("file", "source").mapInArrow(scan, "file string, at int, token string")
-    met = save(tokens.join(keyed, "token").select("file", "name", "token", (F.col("at") - F.col("lead")).alias("begin")).where("begin >= 0"), "met")
-    single = met.where("name = token")
-    several = met.where("name <> token").distinct().join(files.select("file", "source"), "file")
-    word = r"(?U)^[\p{L}\p{N}_]$"
-    after = F.substring(F.col("source"), F.col("begin") + F.length("name") + 1, F.lit(1))
-    before = F.when(F.col("begin") > 0, F.substring(F.col("source"), F.col("begin"), F.lit(1))).otherwise("")
-    whole = (F.substring(F.col("source"), F.col("begin") + 1, F.length("name")) == F.col("name")) & ~after.rlike(word) & ~before.rlike(word)
-    return single.drop("token").union(several.where(whole).select("file", "name", "begin")).select("file", "begin", (F.col("begin") + F.length("name")).alias("finish"), "name")
+    met = files.select("file", "source").mapInArrow(scan, "file string, at int, core string, before string, after string").join(keyed, "core")
+    head = (F.col("lead") < F.length("before")) & (F.expr("right(before, lead)") == F.expr("left(name, lead)"))
+    foot = (F.col("tail") < F.length("after")) & (F.expr("left(after, tail)") == F.expr("right(name, tail)"))
+    return met.where(head & foot).select("file", (F.col("at") - F.col("lead")).alias("begin"), (F.col("at") - F.col("lead") + F.length("name")).alias("finish"), "name")
 
 
 def text_twins(nodes: DataFrame, files: DataFrame) -> DataFrame:

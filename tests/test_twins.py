@@ -51,3 +51,18 @@ def test_the_innermost_block_of_another_language(spark):
     assert {(x.src, x.dst): x.n for x in found.collect()} == {("near", "target"): 1, ("empty", "target"): 1} and last > 9000
     none = spark.createDataFrame(nodes, NODES).limit(0)
     assert X.text_twins(none, spark.createDataFrame(files, "file string, source string")).isEmpty()
+
+
+def test_names_that_begin_alike(spark):
+    """Candidates are as many as the words of the text, not times the names that begin with the same word."""
+    import time
+
+    n = 2000
+    names = spark.range(n).selectExpr("concat('common word_', id) as name").union(spark.createDataFrame([("common word_1, common word_2",), ("(common word_3).",)], "name string"))
+    text = " ".join(f"common word_{i % (2 * n)}," for i in range(4 * n)) + " (common word_3)."
+    began = time.monotonic()
+    got = collections.Counter(r.name for r in X.occurrences(spark.createDataFrame([("f", text)], "file string, source string"), names).collect())
+    assert time.monotonic() - began < 60
+    want = collections.Counter({f"common word_{i}": 2 for i in range(n)}) + collections.Counter({"common word_3": 1, "common word_1, common word_2": 2})
+    # at the end of the text the dot is the name's own
+    assert got == want + collections.Counter({"(common word_3).": 1})
