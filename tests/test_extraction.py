@@ -7,7 +7,7 @@ import pytest
 from meshlight.operators import storage
 from meshlight.operators.graph import canonize
 from meshlight.sources import extract as X
-from meshlight.sources import lexing
+from meshlight.sources import lexing, samples
 from meshlight.streaming import changes
 
 
@@ -131,3 +131,17 @@ def test_twins_with_null_keys_and_equal_scores(spark):
     )
     kept, moved = canonize(nodes, spark.createDataFrame([("a", "d"), ("c", "d"), ("a", "b")], "src string, dst string"))
     assert sorted(r.id for r in kept.collect()) == ["b", "d"] and moved.collect() == [("b", "d")]
+
+
+def test_call_edges_by_name_read_each_file_once(spark):
+    plan = samples.named_edges(samples.files(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan  # definitions and sites are tables, which the joins share
+
+
+def test_small_text_is_parsed_by_all_cores(spark):
+    """Files that lie in one partition are dealt out, as parsing takes long for their size."""
+    one = samples.files(spark).coalesce(1)
+    made = samples.projects(spark.range(40).selectExpr("id as doc_id", "'word' as text").coalesce(1))
+    for df in (X.extract(one), X.sites(one), made):
+        assert df.rdd.getNumPartitions() >= 12
+    assert X.extract(made).where("parse_error is null").groupBy("name").count().where("name like 'compute_all%'").count() == 40
