@@ -74,8 +74,8 @@ def entries(nodes: DataFrame, edges: DataFrame, halt: int = HALT) -> DataFrame:
 
     The best caller of each node makes a functional graph.  Pointers are doubled:
     after n rounds each has jumped over 2^n calls, so the rounds grow with the
-    logarithm of the longest walk.  What still moves after as many rounds as any
-    walk without a circle can need goes round in one.
+    logarithm of the longest walk that ends.  Along it all shorter ones end too, so
+    what still moves when a round brings no walk to its end goes round in a circle.
     """
     lists = caller_lists(nodes, edges, halt)
     first = lists.where((F.col("fan") <= halt) & (F.size("callers") > 0)).select("id", F.col("callers")[0]["id"].alias("to"), F.lit(1).cast("long").alias("hops"))
@@ -89,12 +89,15 @@ def entries(nodes: DataFrame, edges: DataFrame, halt: int = HALT) -> DataFrame:
 def _chase(now: DataFrame) -> tuple[DataFrame, int]:
     """The last pointer of each row of ``(id, to, hops)``, whether it was still ``moving`` in the last round, and the rounds that it took."""
     now = save(now, "jumps")
-    most = math.ceil(math.log2(max(1, now.count()))) + 1
+    moved = now.count()
+    most = math.ceil(math.log2(max(1, moved))) + 1
     for round_ in range(1, most + 1):
         onward = now.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("hops").alias("more"))
         new = now.join(onward, "to", "left").select("id", F.coalesce("next", "to").alias("to"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("next").isNotNull().alias("moving"))
         before, now = now, save(new, "jumps")
         forget(before)
-        if now.where("moving").isEmpty():
+        moves = now.where("moving").count()
+        if moves in (0, moved):
             return now, round_
+        moved = moves
     return now, most

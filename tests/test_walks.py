@@ -76,3 +76,12 @@ def test_long_chains_and_rings_take_few_rounds(spark):
     ring = spark.range(n).selectExpr("concat('r', id) id", f"concat('r', (id + 1) % {n}) to", "1L hops")
     ends, rounds = W._chase(ring)
     assert rounds <= 18 and ends.where("moving").count() == n
+
+
+def test_a_ring_beside_short_walks_ends_the_rounds(spark):
+    """A circle does not keep all rows moving for as many rounds as a walk over all of them could need."""
+    ring = spark.range(4000).selectExpr("concat('r', id) as id", "concat('r', (id + 1) % 4000) as to", "1L as hops")
+    walk = spark.range(9).selectExpr("concat('w', id) as id", "concat('w', id + 1) as to", "1L as hops")
+    ends, rounds = W._chase(ring.union(walk))
+    assert rounds <= 6 and ends.where("moving").count() == 4000
+    assert {(r.id, r.to, r.hops) for r in ends.where("not moving").collect()} == {(f"w{i}", "w9", 9 - i) for i in range(9)}
