@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -70,14 +70,19 @@ def resolve_target(sites: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def collect_call_edges(nodes: DataFrame, calls: DataFrame) -> DataFrame:
     """Call sites joined to the block around them, then to their targets."""
-    at = calls.join(enclosing_block(nodes, calls.select("file", "line").distinct()), ["file", "line"])
+    at = enclosing_block(nodes, calls, "name")
     return resolve_target(at.select(F.col("id").alias("src"), "file", "name"), nodes)
 
 
 def usage_edges(nodes: DataFrame) -> DataFrame:
-    """``(src, dst)``: blocks that mention a type of their file by its whole name."""
+    """``(src, dst)``: blocks that mention a type of their file by its whole name.
+
+    A block meets the names of its file's types first, so that a row is made for each
+    mention of one and not for each word.
+    """
     types = nodes.where(T.type_target_kind(F.col("kind")) & (F.octet_length("name") >= 3)).select("file", F.col("name").alias("word"), F.col("id").alias("dst"))
-    words = nodes.where(~T.type_target_kind(F.col("kind"))).select(F.col("id").alias("src"), "file", F.explode(F.array_distinct(F.regexp_extract_all("source", F.lit(r"[A-Za-z_]\w*"), F.lit(0)))).alias("word"))
+    blocks = nodes.where(~T.type_target_kind(F.col("kind"))).select(F.col("id").alias("src"), "file", "source").join(types.groupBy("file").agg(F.collect_set("word").alias("types")), "file")
+    words = blocks.select("src", "file", F.explode(F.array_intersect(F.regexp_extract_all("source", F.lit(r"[A-Za-z_]\w*"), F.lit(0)), "types")).alias("word"))
     return words.join(types, ["file", "word"]).select("src", "dst").distinct()
 
 
@@ -141,12 +146,22 @@ def module_hints(label: str) -> list[str]:
     return [f"{p}.{e}" for e in ("rs", "py", "ts", "tsx", "js", "go", "c", "h", "cc", "cpp", "hpp")] + [f"{p}/{f}" for f in ("mod.rs", "lib.rs", "__init__.py", "index.ts", "index.js", "index.tsx")]
 
 
-def module_interior(nodes: DataFrame, label: str) -> DataFrame:
-    """Nodes of the files that a module label may stand for."""
+def in_module(file: Column, label: str) -> Column:
+    """Files that a module label may stand for."""
     hit = F.lit(False)
     for h in module_hints(label):
-        hit = hit | (F.col("file") == h) | F.endswith("file", F.lit("/" + h))
-    return nodes.where(hit)
+        hit = hit | (file == h) | F.endswith(file, F.lit("/" + h))
+    return hit
+
+
+def module_interior(nodes: DataFrame, label: str) -> DataFrame:
+    """Nodes of the files that a module label may stand for."""
+    return nodes.where(in_module(F.col("file"), label))
+
+
+def may_define(files: DataFrame, name: str) -> DataFrame:
+    """Files with all definitions of a name and all that is around them: those that hold it, or letters that Python may read as others."""
+    return files.where(F.contains("source", F.lit(name)) | (F.octet_length("source") > F.length("source")))
 
 
 def qualify_evidence(nodes: DataFrame, parent: str, leaf: str) -> DataFrame:
