@@ -434,12 +434,28 @@ def find_bridges(nodes: DataFrame, edges: DataFrame, bridges: DataFrame, cap: in
         .join(at.select(F.col("id").alias("dst"), F.col("cluster").alias("to_cluster")), "dst")
         .where("from_cluster <> to_cluster")
     )
+    return first_bridges(crossing, cap, save).select("src", "dst", "kind", "from_cluster", "to_cluster", "fan_in")
+
+
+def first_bridges(crossing: DataFrame, cap: int = 20, save: Save | None = None, shown: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """The first ``cap`` of ``crossing(src, dst, rank, ...)``, each once, by rank, fan-in of the target and the ids as ``shown``, with ``fan_in``.
+
+    With ``save`` the crossing edges are exchanged for no join: a target's best place is
+    that of its best rank and its fan-in, and rows below the best places of the first
+    ``cap`` targets are not among the first.
+    """
     if save:
         crossing = save(crossing, "crossing")
-    fan = crossing.groupBy("dst").agg(F.count("*").alias("fan_in"))
-    return crossing.join(fan, "dst").select("src", "dst", "kind", "from_cluster", "to_cluster", "fan_in", "rank").orderBy(
-        F.desc("rank"), F.desc("fan_in"), "src", "dst"
-    ).limit(cap).drop("rank")
+    fan = crossing.groupBy("dst").agg(F.count("*").alias("fan_in"), F.max("rank").alias("top"))
+    if save:
+        fan = save(fan, "fan")
+        first = fan.orderBy(F.desc("top"), F.desc("fan_in")).limit(cap).select("top", "fan_in").collect()
+        if len(first) == cap:
+            top, least = min((r.top, r.fan_in) for r in first)
+            fan = fan.where((F.col("top") > top) | ((F.col("top") == top) & (F.col("fan_in") >= least)))
+        if fan.limit(100_001).count() <= 100_000:  # else many targets are equal
+            fan = F.broadcast(fan)
+    return crossing.join(fan.drop("top"), "dst").orderBy(F.desc("rank"), F.desc("fan_in"), shown(F.col("src")), shown(F.col("dst"))).limit(cap)
 
 
 def cluster_summary(nodes: DataFrame) -> DataFrame:
