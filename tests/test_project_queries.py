@@ -74,3 +74,8 @@ def test_usage_and_enclosing_blocks_keep_their_rows(spark):
     sites = spark.createDataFrame([("a", 2, "x", None), ("a", 2, "y", "r"), ("a", 2, "y", "r"), ("c", 1, "z", None)], "file string, line long, name string, receiver string")
     got = enclosing_block(nodes, sites, "name", "receiver").collect()
     assert sorted(map(tuple, got), key=str) == [("a", 2, "x", None, "t"), ("a", 2, "y", "r", "t")]
+
+
+def test_the_first_document_is_the_least_id_that_there_is(spark, tmp_path):
+    spark.createDataFrame([(None, "zero"), (5, "five words"), (3, "Three words")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert C._first(spark, str(tmp_path)) == ("d3", "_three_3")  # the row without an id came first
