@@ -7,6 +7,7 @@ import pytest
 
 from meshlight import catalogue_code as C
 from meshlight.functions.text import TYPE_KINDS
+from meshlight.operators import bridges as B
 from meshlight.operators import resolution as V
 from meshlight.operators.names import enclosing_block
 from meshlight.sources import extract as X
@@ -79,3 +80,23 @@ def test_usage_and_enclosing_blocks_keep_their_rows(spark):
 def test_the_first_document_is_the_least_id_that_there_is(spark, tmp_path):
     spark.createDataFrame([(None, "zero"), (5, "five words"), (3, "Three words")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert C._first(spark, str(tmp_path)) == ("d3", "_three_3")  # the row without an id came first
+
+
+@pytest.mark.parametrize(("query", "files"), [("interconnect_maps", 6), ("py_link_exports", 5)])
+def test_python_files_that_name_no_export_are_not_parsed(spark, two, monkeypatch, query, files):
+    parsed = []
+    for name in ("extract", "python_sites_too"):
+        before = getattr(X, name)
+        monkeypatch.setattr(X, name, lambda f, *a, before=before, **k: (parsed.append(f.count()), before(f, *a, **k))[1])
+    C.QUERIES[query](spark, two).count()
+    assert sum(parsed) == 2 * files  # the five Python files of a document before, now the one that calls an export
+
+
+def test_files_that_name_an_export_are_kept_however_they_do(spark):
+    exports = spark.createDataFrame([("r", "word_count"), ("s", "lookup"), ("t", "ﬁnd_all"), ("u", "main"), ("v", None)], "id string, export string")
+    python = {
+        "call.py": "m.word_count(1)", "paren.py": "(\n(lookup))(1)", "def.py": "def word_count(): pass", "format.py": "f'{lookup(1)}'", "other.py": "x = 'é'\nname(1)",
+        "part.py": "word_counts(1); my_lookup(1)", "common.py": "def main(): return 1", "keyword.py": "import os", "empty.py": "", "null.py": None,
+    }
+    kept = B.naming(spark.createDataFrame([*python.items()], "path string, source string"), exports)
+    assert sorted(r.path for r in kept.collect()) == ["call.py", "def.py", "format.py", "other.py", "paren.py"]
