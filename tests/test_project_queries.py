@@ -100,3 +100,32 @@ def test_files_that_name_an_export_are_kept_however_they_do(spark):
     }
     kept = B.naming(spark.createDataFrame([*python.items()], "path string, source string"), exports)
     assert sorted(r.path for r in kept.collect()) == ["call.py", "def.py", "format.py", "other.py", "paren.py"]
+
+
+@pytest.mark.parametrize(("query", "files", "rows"), [("go_call_edges", 3, 3), ("c_call_edges", 2, 1), ("cpp_call_edges", 3, 2)])
+def test_files_are_read_once_for_definitions_and_calls(spark, two, monkeypatch, query, files, rows):
+    read, before = [], X.per_file
+    monkeypatch.setattr(X, "per_file", lambda f, *a, **k: (read.append(f.count()), before(f, *a, **k))[1])
+    assert C.QUERIES[query](spark, two).count() == 2 * rows
+    assert sum(read) == 2 * files  # twice as many before
+
+
+def test_definitions_and_call_sites_of_one_reading_are_those_of_two(spark):
+    texts = {
+        "a.py": "import m\ndef f():\n    m.g(1)\n", "b.py": "def (", "c.rs": "fn h() { i::j(k(1)) } // l(1)\n", "d.svelte": "<script>\nfunction n() { o(1) }\n</script>\n{p(1)}\n",
+        "e.ts": "import { q as r } from './s';\nexport function t() { return r(`${u(1)}`) }\n", "f.go": "import \"v/w\"\nfunc x() { w.y() }\n", "g.h": "class A {};\nint z(int a) { return b<int>(a); }\n", "h.c": "# def c(1)\nint d() { return e (1); }\n", "i.txt": "f(1)", "j.c": None,
+    }
+    files = spark.createDataFrame([*texts.items()], "path string, source string")
+    langs = ("python", "rust", "typescript", "go", "c", "cpp")
+    both = X.extract(files, sites=langs)
+    names, sites = [c.split()[0] for c in X.SCHEMA.split(", ")], [c.split()[0] for c in X.SITE_SCHEMA.split(", ")]
+    site = both.where("id is null and parse_error is null")
+    assert sorted(map(repr, both.where("id is not null or parse_error is not null").select(*names).collect())) == sorted(map(repr, X.extract(files).select(*names).collect()))
+    found = {tuple(r) for r in site.select(*(f"site_{c}" for c in sites)).collect()}
+    assert found == {tuple(r) for r in X.sites(files).select(*sites).collect() if r.lang}
+    assert {(r[0], r[3], r[4]) for r in found} >= {("a.py", "m", "g"), ("c.rs", "i", "j"), ("c.rs", None, "k"), ("e.ts", None, "r"), ("f.go", "w", "y"), ("h.c", None, "e"), ("d.svelte", None, "p")}
+    assert [r[:] for r in X.extract(files, columns=("id",)).where("id is null").collect()] == [(None,)] * 2
+
+
+def test_receivers_and_names_of_calls_are_whole_words():
+    assert X.call_sites("a.b (1); c::d::<E>(2); 9f(3); é_g(4); h . i(5); j.(6)") == [(1, "a", "b"), (1, "c", "d"), (1, None, "f"), (1, None, "_g"), (1, "h", "i")]
