@@ -1,6 +1,7 @@
 """Queries over a project for each document parse the files that can give rows, once, and all of those."""
 
 import ast
+import random
 import re
 
 import pytest
@@ -11,6 +12,7 @@ from meshlight.operators import bridges as B
 from meshlight.operators import resolution as V
 from meshlight.operators.names import enclosing_block
 from meshlight.sources import extract as X
+from meshlight.sources import lexing
 
 
 @pytest.fixture(scope="module")
@@ -129,3 +131,31 @@ def test_definitions_and_call_sites_of_one_reading_are_those_of_two(spark):
 
 def test_receivers_and_names_of_calls_are_whole_words():
     assert X.call_sites("a.b (1); c::d::<E>(2); 9f(3); é_g(4); h . i(5); j.(6)") == [(1, "a", "b"), (1, "c", "d"), (1, None, "f"), (1, None, "_g"), (1, "h", "i")]
+
+
+def counted(monkeypatch):
+    parsed, before = [], X.extract
+    monkeypatch.setattr(X, "extract", lambda f, *a, **k: (parsed.append(f.count()), before(f, *a, **k))[1])
+    return parsed
+
+
+def test_c_files_without_a_body_are_not_parsed_for_bindings(spark, two, monkeypatch):
+    parsed = counted(monkeypatch)
+    assert sorted(C.QUERIES["pybind_exports"](spark, two).collect()) == [("compute_all_some_1", "compute_all_some_1"), ("compute_all_x_2", "compute_all_x_2")]
+    assert sum(parsed) == 2 * 2  # the header too before
+
+
+def test_bindings_keep_columns_of_their_targets(spark):
+    texts = {"a.cpp": 'm.def("e", &n::f); m.def("g", h);', "b.h": "int f(int);", "c.c": "int f(int x) { return x; }\nint h(int x) { return x; }", "d.c": '.def("i", f)'}
+    files = spark.createDataFrame([*texts.items()], "path string, source string")
+    assert sorted(B.pybind_exports(X.extract(files), files, "name", "file").select("export", "name", "file").collect()) == [("e", "f", "c.c"), ("g", "h", "c.c")]
+
+
+@pytest.mark.parametrize("lang", ["rust", "go", "c", "cpp", "typescript"])
+def test_comments_and_literals_are_those_of_a_search_at_each_letter(monkeypatch, lang):
+    parts = ['r#"', '"#', 'br"', 'R"(', ')"', "'a'", "'a", '"', "'", "`", "${", "}", "{", "/*", "*/", "//", "/", "\\", "\n", "b", "r", "R", "x", "1", " ", "(", ")", "=", "#"]
+    rng = random.Random(7)
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 24))) for _ in range(4000)]
+    fast = [lexing.masked(t, lang) for t in texts]
+    monkeypatch.setattr(lexing, "_opened", lambda opener, source, at: opener.search(source, at))
+    assert fast == [lexing.masked(t, lang) for t in texts]
