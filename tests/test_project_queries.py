@@ -159,3 +159,24 @@ def test_comments_and_literals_are_those_of_a_search_at_each_letter(monkeypatch,
     fast = [lexing.masked(t, lang) for t in texts]
     monkeypatch.setattr(lexing, "_opened", lambda opener, source, at: opener.search(source, at))
     assert fast == [lexing.masked(t, lang) for t in texts]
+
+
+def test_rust_exports_need_no_second_reading_of_the_texts(spark, tmp_path, monkeypatch):
+    # Two documents of one id: their files share paths, by which texts and definitions met.
+    spark.createDataFrame([(1, "some words"), (1, "other words")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = C.QUERIES["rust_exports"](spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [(f"{n}_{w}_1", f"{e}_{w}_1") for n, e in (("search", "search_all"), ("word_count", "word_count")) for w in ("other", "some")]
+    assert "Join" not in found._jdf.queryExecution().toString()
+
+
+def test_the_lines_above_are_those_of_the_text(spark):
+    body = "fn a() {}\n"
+    texts = {f"{n}.rs": "#[no_mangle]\n" + "// x\n" * n + body for n in range(6)} | {
+        "n.rs": '#[pyfunction]\n#[pyo3(name = "b")]\n' + body, "o.rs": body + "#[napi]\n" + body, "p.rs": "#[napi]\n\n\n\n" + body, "q.rs": "#[napi]\n\n\n\n\n" + body, "r.py": "def f(): pass", "s.rs": None, "t.txt": "fn",
+    }
+    files = spark.createDataFrame([*texts.items()], "path string, source string")
+    nodes = X.extract(files, columns=("id", "name", "file", "kind", "lang", "start_line", "above"))
+    found = sorted(map(tuple, B.rust_exports(nodes, None, "file").select("file", "export").collect()))
+    assert found == sorted(map(tuple, B.rust_exports(nodes.drop("above"), files, "file").select("file", "export").collect()))
+    assert found == [("0.rs", "a"), ("n.rs", "b"), ("o.rs", "a"), ("p.rs", "a")]
+    assert "above" not in X.extract(files).columns
