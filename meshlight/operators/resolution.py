@@ -75,15 +75,20 @@ def collect_call_edges(nodes: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def usage_edges(nodes: DataFrame) -> DataFrame:
-    """``(src, dst)``: blocks that mention a type of their file by its whole name.
+    """``(src, dst)``: blocks that mention a type of their file by its whole name."""
+    return usages(nodes).select("src", "dst").distinct()
+
+
+def usages(nodes: DataFrame) -> DataFrame:
+    """``(src, dst, file, name, word)``: the same with the block's name and the type's.
 
     A block meets the names of its file's types first, so that a row is made for each
     mention of one and not for each word.
     """
     types = nodes.where(T.type_target_kind(F.col("kind")) & (F.octet_length("name") >= 3)).select("file", F.col("name").alias("word"), F.col("id").alias("dst"))
-    blocks = nodes.where(~T.type_target_kind(F.col("kind"))).select(F.col("id").alias("src"), "file", "source").join(types.groupBy("file").agg(F.collect_set("word").alias("types")), "file")
-    words = blocks.select("src", "file", F.explode(F.array_intersect(F.regexp_extract_all("source", F.lit(r"[A-Za-z_]\w*"), F.lit(0)), "types")).alias("word"))
-    return words.join(types, ["file", "word"]).select("src", "dst").distinct()
+    blocks = nodes.where(~T.type_target_kind(F.col("kind"))).select(F.col("id").alias("src"), "file", "name", "source").join(types.groupBy("file").agg(F.collect_set("word").alias("types")), "file")
+    words = blocks.select("src", "file", "name", F.explode(F.array_intersect(F.regexp_extract_all("source", F.lit(r"[A-Za-z_]\w*"), F.lit(0)), "types")).alias("word"))
+    return words.join(types, ["file", "word"]).select("src", "dst", "file", "name", "word").distinct()
 
 
 def _calls_of(lang: tuple[str, ...]):

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from meshlight import catalogue_code as C
 from meshlight.functions.text import TYPE_KINDS
@@ -180,3 +181,19 @@ def test_the_lines_above_are_those_of_the_text(spark):
     assert found == sorted(map(tuple, B.rust_exports(nodes.drop("above"), files, "file").select("file", "export").collect()))
     assert found == [("0.rs", "a"), ("n.rs", "b"), ("o.rs", "a"), ("p.rs", "a")]
     assert "above" not in X.extract(files).columns
+
+
+def test_texts_are_made_once_for_conditions_and_rows(spark, two):
+    files = C.sources(spark, two).where(X.may_define_types(F.col("source")) & F.endswith("path", F.lit(".rs")))
+    plan = files._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("replace(") == 2  # of the names and of the home, again for each use of the text before
+    assert plan.index("EndsWith") > plan.index("replace(")  # below it: texts of other paths are not made
+    assert sorted(p.path for p in files.collect()) == ["d1/lib/src/core.rs", "d2/lib/src/core.rs"]
+
+
+def test_usages_name_block_and_type_without_joins_by_id(spark, two):
+    schema = "id string, file string, name string, kind string, source string"
+    nodes = spark.createDataFrame([("t", "a", "Type", "class_x", "Type"), ("f", "a", "f", "function", "Type Type"), ("g", "a", "f", "function", "Type"), ("h", "b", "h", "function", "Type")], schema)
+    assert sorted(map(tuple, V.usages(nodes).collect())) == [("f", "t", "a", "f", "Type"), ("g", "t", "a", "f", "Type")]
+    plan = C.QUERIES["usage_edges"](spark, two)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2  # four before
