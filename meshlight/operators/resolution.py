@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,10 +156,10 @@ def module_hints(label: str) -> list[str]:
 
 def in_module(file: Column, label: str) -> Column:
     """Files that a module label may stand for."""
-    hit = F.lit(False)
-    for h in module_hints(label):
-        hit = hit | (file == h) | F.endswith(file, F.lit("/" + h))
-    return hit
+    hints = module_hints(label)
+    # One search for all hints, and only in paths that hold what they share.
+    shared = os.path.commonprefix(hints)
+    return F.contains(file, F.lit(shared)) & file.rlike(r"(?:\A|/)(?:" + "|".join(map(re.escape, hints)) + r")\z")
 
 
 def module_interior(nodes: DataFrame, label: str) -> DataFrame:

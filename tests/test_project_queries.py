@@ -197,3 +197,21 @@ def test_usages_name_block_and_type_without_joins_by_id(spark, two):
     assert sorted(map(tuple, V.usages(nodes).collect())) == [("f", "t", "a", "f", "Type"), ("g", "t", "a", "f", "Type")]
     plan = C.QUERIES["usage_edges"](spark, two)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 2  # four before
+
+
+@pytest.mark.parametrize("label", ["app::utils", "a.b+c", "x", ""])
+def test_files_of_a_module_are_those_of_its_hints(spark, label):
+    hints = V.module_hints(label)
+    paths = [None, "", *(p + h + e for h in hints for p in ("", "/", "q/", "q") for e in ("", "x", "\n")), *(h.replace(".", "_") for h in hints), *(h.upper() for h in hints)]
+    table = spark.createDataFrame([(p,) for p in paths], "file string")
+    expected = sorted(p for p in paths if p is not None and any(p == h or p.endswith("/" + h) for h in hints))
+    assert sorted(r.file for r in table.where(V.in_module(F.col("file"), label)).collect()) == expected
+    assert table.select(V.in_module(F.col("file"), label).alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("file#") <= 4  # 36 before
+
+
+def test_definitions_that_are_read_once_are_not_written(spark, two, monkeypatch):
+    written, before = [], C.save
+    monkeypatch.setattr(C, "save", lambda df, name: (written.append(name), before(df, name))[1])
+    for query in ("module_interior", "rust_exports", "pybind_exports"):
+        C.QUERIES[query](spark, two)
+    assert written == ["words"] * 3  # and nodes, before
