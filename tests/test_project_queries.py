@@ -215,3 +215,12 @@ def test_definitions_that_are_read_once_are_not_written(spark, two, monkeypatch)
     for query in ("module_interior", "rust_exports", "pybind_exports"):
         C.QUERIES[query](spark, two)
     assert written == ["words"] * 3  # and nodes, before
+
+
+def test_the_export_map_parses_no_header_and_joins_no_names(spark, two, monkeypatch):
+    parsed = counted(monkeypatch)
+    found = C.QUERIES["ffi_export_map"](spark, two)
+    assert sum(parsed) == 2 * 3  # four of a document before
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # three before
+    exports = spark.createDataFrame([("b", "x", "n"), ("a", "x", "m"), ("c", "y", None)], "id string, export string, name string")
+    assert sorted(map(tuple, B.ffi_export_map(exports, "name").collect())) == [("x", "a", "m"), ("y", "c", None)]
