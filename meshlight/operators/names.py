@@ -73,19 +73,19 @@ def peer_callers(nodes: DataFrame, edges: DataFrame, seed: DataFrame) -> DataFra
     return reached.join(direct, ["seed", "id"], "left_anti")
 
 
-def enclosing_block(blocks: DataFrame, sites: DataFrame, *keep: str, width: int = 64) -> DataFrame:
-    """Each ``sites(file, line)`` row, with the columns ``keep``, and the smallest ``blocks(id, file, start_line, end_line)`` span around it.
+def enclosing_block(blocks: DataFrame, sites: DataFrame, *keep: str, width: int = 64, of: tuple[str, ...] = ()) -> DataFrame:
+    """Each ``sites(file, line)`` row, with the columns ``keep``, and the smallest ``blocks(id, file, start_line, end_line)`` span around it, with its columns ``of``.
 
     A range join by bins: a span is listed in every bin of ``width`` lines it
     touches, a site in one, so rows meet by equal (file, bin).
     """
     binned = blocks.select(
-        "id", "file", "start_line", "end_line", F.explode(F.sequence(F.floor(F.col("start_line") / width), F.floor(F.col("end_line") / width))).alias("bin")
+        "id", "file", "start_line", "end_line", *of, F.explode(F.sequence(F.floor(F.col("start_line") / width), F.floor(F.col("end_line") / width))).alias("bin")
     )
     at = sites.select("file", "line", *keep, F.floor(F.col("line") / width).alias("bin"))
     inside = at.join(binned, ["file", "bin"]).where("line between start_line and end_line")
-    best = F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("span"), F.col("id").alias("id")))
-    return inside.groupBy("file", "line", *keep).agg(best.alias("b")).select("file", "line", *keep, F.col("b.id").alias("id"))
+    best = F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("span"), F.col("id").alias("id"), *of))
+    return inside.groupBy("file", "line", *keep).agg(best.alias("b")).select("file", "line", *keep, F.col("b.id").alias("id"), *(F.col(f"b.{c}").alias(c) for c in of))
 
 
 def type_nested(blocks: DataFrame, width: int = 64) -> DataFrame:

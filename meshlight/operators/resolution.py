@@ -130,8 +130,8 @@ def ts_reexport(exports: DataFrame, most: int = 8) -> DataFrame:
     return found.select("file", "name", "origin")
 
 
-def enclosing_callable(nodes: DataFrame, sites: DataFrame) -> DataFrame:
-    return enclosing_block(nodes.where(T.call_target_kind(F.col("kind"))), sites)
+def enclosing_callable(nodes: DataFrame, sites: DataFrame, *of: str) -> DataFrame:
+    return enclosing_block(nodes.where(T.call_target_kind(F.col("kind"))), sites, of=of)
 
 
 def ast_ancestor(nodes: DataFrame, ids: DataFrame, most: int = 64) -> DataFrame:

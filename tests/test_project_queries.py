@@ -224,3 +224,12 @@ def test_the_export_map_parses_no_header_and_joins_no_names(spark, two, monkeypa
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # three before
     exports = spark.createDataFrame([("b", "x", "n"), ("a", "x", "m"), ("c", "y", None)], "id string, export string, name string")
     assert sorted(map(tuple, B.ffi_export_map(exports, "name").collect())) == [("x", "a", "m"), ("y", "c", None)]
+
+
+def test_enclosing_blocks_bring_their_columns(spark, two):
+    nodes = spark.createDataFrame([("c", "a", "C", "class_definition", 1, 9), ("f", "a", "f", "function_definition", 2, 5), ("g", "b", None, "function_definition", 1, 2)], "id string, file string, name string, kind string, start_line long, end_line long")
+    sites = spark.createDataFrame([("a", 3), ("a", 8), ("b", 2), ("b", 3)], "file string, line long")
+    expected = [("a", 3, "f", "f", 2), ("a", 8, "c", "C", 1), ("b", 2, "g", None, 1)]
+    assert sorted(map(tuple, enclosing_block(nodes, sites, of=("name", "start_line")).collect())) == expected
+    plan = C.QUERIES["enclosing_callable"](spark, two)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # two before
