@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from .operators import nameindex as N
@@ -137,13 +139,24 @@ def ast_visit(spark, sf_dir):
 _NAMED = "SELECT concat('d:', CAST(doc_id AS STRING)) AS id, CASE WHEN doc_id % 2 = 0 THEN split_part(text, ' ', 2) ELSE concat(split_part(text, ' ', 2), ' ', split_part(text, ' ', 3)) END AS name, concat(source, CASE WHEN doc_id % 3 = 0 THEN '/src/' ELSE '/' END, CAST(doc_id AS STRING)) AS file, 'struct_item' AS kind, source AS lang, 0 AS begin, length(text) AS finish, text FROM {documents}"
 
 
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The span of each line, without a window over the lines of a text."""
+    for batch in batches:
+        found: tuple[list, ...] = ([], [], [], [], [])
+        for id_, file, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            begin = 0
+            for n, line in enumerate(text.split("\n")):
+                for column, v in zip(found, (f"{id_}:{n}" if id_ is not None else None, file, lang, begin, begin + len(line)), strict=True):
+                    column.append(v)
+                begin += len(line) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(f, pa.string() if k < 3 else pa.int32()) for k, f in enumerate(found)], ["id", "file", "lang", "begin", "finish"])
+
+
 def _doc_blocks(spark, sf_dir):
     """Documents, and each of their lines as a function; spans in code points."""
     docs = spark.sql(_NAMED, documents=load(spark, sf_dir, "documents"))
-    lines = docs.select("id", "file", "lang", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    upto = F.sum(F.length("line") + 1).over(Window.partitionBy("id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
-    lines = lines.withColumn("finish", upto - 1)
-    lines = lines.select(F.concat("id", F.lit(":"), F.col("n").cast("string")).alias("id"), F.lit("line").alias("name"), "file", F.lit("function_item").alias("kind"), "lang", (F.col("finish") - F.length("line")).alias("begin"), "finish")
+    lines = docs.where("text is not null").select("id", "file", "lang", "text").mapInArrow(_lines, "id string, file string, lang string, begin int, finish int")
+    lines = lines.withColumns({"name": F.lit("line"), "kind": F.lit("function_item")})
     return docs.drop("text").union(lines.select(*docs.drop("text").columns)), docs.select("file", F.col("text").alias("source"))
 
 

@@ -4,14 +4,16 @@ Every identifier of every text, and what follows as far as a name may begin so,
 looked up in the names as a whole; a filter of fixed size, made of all names and
 their beginnings, leaves out most of the rest before anything is exchanged.  There is
 no limit on the number of names.  A match belongs to the innermost
-block around it that is in another language than the name's definition.
+block around it that is in another language than the name's definition; it is found
+where the text is, so that matches are exchanged once, counted by block.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ TARGETS = [
 ]
 #: Places whose texts are not scanned (fixed values).
 SKIPPED = r"noxfile|/docs/|/guide/|/site/|glossary|/\.github/|conftest\.py"
-#: Code points of a bin of the containment join; identifiers of a batch of the scan.
+#: Code points of a bin of a file's blocks; rows of a batch of the scan.
 BIN, ROWS = 256, 1 << 16
 FILTER_BITS = 1 << 22
 _WORD = re.compile(r"\w+")
@@ -58,48 +60,72 @@ def twin_targets(nodes: DataFrame) -> DataFrame:
     return fit.groupBy("name").agg(best).select("name", F.col("b.id").alias("dst"), F.col("b.lang").alias("dst_lang"))
 
 
-def _name_filter(cores: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Bits for the hashes of all ``cores(core)``, and of what they begin with up to each of their other words; of a fixed size whatever their number."""
+def _keyed(names: DataFrame) -> DataFrame:
+    """``(name, core, lead, tail)``: each name that has a letter or digit, its part from the first identifier to the last, and the number of signs on both sides of it."""
+    keyed = names.select("name").distinct().withColumn("core", F.regexp_extract("name", r"(?Us)[\p{L}\p{N}_](?:.*[\p{L}\p{N}_])?", 0)).where("core <> ''")
+    return keyed.withColumn("lead", F.instr("name", F.col("core")) - 1).withColumn("tail", F.length("name") - F.col("lead") - F.length("core"))
+
+
+def _name_filter(keyed: DataFrame) -> list[np.ndarray]:
+    """Bits for the hashes of all cores of ``_keyed``, of what they begin with up to each of their other words, and of the names; of a fixed size whatever their number."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: tuple[list, list] = ([], [])
-            for core in batch.column(0).to_pylist():
+            for name, core in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = at = 0
                 for m in _WORD.finditer(core):
                     h, at = zlib.crc32(core[at : m.end()].encode(), h), m.end()
                     found[0].append(h % FILTER_BITS)
-                    found[1].append(at == len(core))
-            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.bool_())], ["h", "whole"])
+                    found[1].append(int(at < len(core)))
+                found[0].append(zlib.crc32(name.encode()) % FILTER_BITS)
+                found[1].append(2)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int32())], ["h", "of"])
+
+    words = keyed.select("name", "core").mapInArrow(hashes, "h long, of int").groupBy("of", F.shiftright("h", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 31 as int))")).alias("bits"))
+    out = np.zeros((3, FILTER_BITS >> 5), np.uint32)
+    for r in words.collect():  # at most 3 * FILTER_BITS / 32 rows
+        out[r.of, r.w] = r.bits
+    return [*out]
 
-    words = cores.select("core").mapInArrow(hashes, "h long, whole boolean").groupBy("whole", F.shiftright("h", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 31 as int))")).alias("bits"))
-    out = np.zeros((2, FILTER_BITS >> 5), np.uint32)
-    for r in words.collect():  # at most FILTER_BITS / 16 rows
-        out[int(r.whole), r.w] = r.bits
-    return out[1], out[0]
 
+def _flags(filters: list[np.ndarray]) -> bytes:
+    """A byte for each bit of all filters: 1 for a core, 2 for what one begins with, 4 for a name."""
+    bits = [np.unpackbits(x.astype("<u4").view(np.uint8), bitorder="little") << k for k, x in enumerate(filters)]
+    return np.bitwise_or.reduce(bits).tobytes()
 
-def _flags(whole: np.ndarray, more: np.ndarray) -> bytes:
-    """A byte for each bit of both filters: 1 for a name, 2 for what one begins with."""
-    bits = [np.unpackbits(x.astype("<u4").view(np.uint8), bitorder="little") for x in (whole, more)]
-    return (bits[0] | bits[1] << 1).tobytes()
+
+def _cores(text: str, flags: bytes) -> Iterator[tuple[int, int, str, str]]:
+    """``(begin, finish, before, after)`` of what may be a core, with the signs on both sides.
+
+    From each identifier the scan goes on for as long as a core may begin so.
+    """
+    crc, spans = zlib.crc32, [m.span() for m in _WORD.finditer(text)]
+    last = len(spans) - 1
+    for i, (a, z) in enumerate(spans):
+        h, k = crc(text[a:z].encode()), i
+        while f := flags[h % FILTER_BITS] & 3:
+            if f & 1:
+                # Where the text begins or ends a line break stands for it, which no name reaches.
+                yield a, z, text[spans[i - 1][1] : a] if i else "\n" + text[:a], text[z : spans[k + 1][0]] if k < last else text[z:] + "\n"
+            if not f & 2 or k == last:
+                break
+            k += 1
+            h, z = crc(text[z : spans[k][1]].encode(), h), spans[k][1]
 
 
 def occurrences(files: DataFrame, names: DataFrame) -> DataFrame:
     """``(file, begin, finish, name)``: where ``names(name)`` stand in ``files(file, source)`` as whole words, in code points.
 
     Names without a letter or digit, and null texts, occur nowhere.  Occurrences may
-    overlap; repeated rows of a file are repeated.  A name's core goes from its first
-    identifier to its last.  From each identifier of a text the scan goes on for as
-    long as a core may begin so, and gives what may be one with the signs on both
-    sides; it meets its names by the whole core, so no text is joined to candidates.
+    overlap; repeated rows of a file are repeated.  A core meets its names as a whole,
+    so no text is joined to candidates.
     """
-    keyed = names.select("name").distinct().withColumn("core", F.regexp_extract("name", r"(?Us)[\p{L}\p{N}_](?:.*[\p{L}\p{N}_])?", 0)).where("core <> ''")
-    keyed = keyed.withColumn("lead", F.instr("name", F.col("core")) - 1).withColumn("tail", F.length("name") - F.col("lead") - F.length("core"))
-    whole, more = _name_filter(keyed)
+    keyed = _keyed(names)
+    filters = _name_filter(keyed)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, crc = _flags(whole, more), zlib.crc32
+        flags = _flags(filters)
         found: tuple[list, ...] = ([], [], [], [], [])
 
         def out() -> pa.RecordBatch:
@@ -110,20 +136,9 @@ def occurrences(files: DataFrame, names: DataFrame) -> DataFrame:
 
         for batch in batches:
             for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                spans = [m.span() for m in _WORD.finditer(text or "")]
-                last = len(spans) - 1
-                for i, (a, z) in enumerate(spans):
-                    h, k = crc(text[a:z].encode()), i
-                    while f := flags[h % FILTER_BITS]:
-                        if f & 1:
-                            # Where the text begins or ends a line break stands for it, which no name reaches.
-                            row = (file, a, text[a:z], text[spans[i - 1][1] : a] if i else "\n" + text[:a], text[z : spans[k + 1][0]] if k < last else text[z:] + "\n")
-                            for column, v in zip(found, row, strict=True):
-                                column.append(v)
-                        if not f & 2 or k == last:
-                            break
-                        k += 1
-                        h, z = crc(text[z : spans[k][1]].encode(), h), spans[k][1]
+                for a, z, before, after in _cores(text or "", flags):
+                    for column, v in zip(found, (file, a, text[a:z], before, after), strict=True):
+                        column.append(v)
                     if len(found[0]) >= ROWS:
                         yield out()
         if found[0]:
@@ -135,6 +150,53 @@ def occurrences(files: DataFrame, names: DataFrame) -> DataFrame:
     return met.where(head & foot).select("file", (F.col("at") - F.col("lead")).alias("begin"), (F.col("at") - F.col("lead") + F.length("name")).alias("finish"), "name")
 
 
+#: A block as the scan sees it: score, begin, finish, id and language.
+Block = tuple[int, int | None, int | None, str, str | None]
+
+
+def _two(blocks: Iterable[Block]) -> tuple[Block | None, Block | None]:
+    """The first block, and the first of another language than its."""
+    one = None
+    for b in blocks:
+        if one is None:
+            one = b
+        elif b[4] != one[4]:
+            return one, b
+    return one, None
+
+
+def _sources(blocks: list[Block]):
+    """A function from a match's span to its block and, for names of that block's language, the next best of another."""
+    bins: dict[int, list[Block]] = {}
+    held = [b for b in blocks if b[1] is not None and b[2] is not None and b[1] < b[2]]
+    for b in sorted(held, key=lambda b: (-b[0], b[2] - b[1], b[3])):
+        for k in range(b[1] // BIN, (b[2] - 1) // BIN + 1):
+            bins.setdefault(k, []).append(b)
+    best = _two(sorted(blocks, key=lambda b: (-b[0], b[3])))
+
+    def of(begin: int, finish: int) -> tuple[Block | None, Block | None]:
+        one, two = _two(b for b in bins.get(begin // BIN, ()) if b[1] <= begin and finish <= b[2])
+        if one is None:
+            return best
+        return one, two or (best[0] if best[0][4] != one[4] else best[1])
+
+    return of
+
+
+def _named(texts: list[str], sides: list[tuple[int, int]], flags: bytes) -> Iterator[tuple[int, int, str]]:
+    """``(begin, finish, name)`` of what may be a name with ``sides`` (lead, tail), once for all texts of a file."""
+    seen: set | None = set() if len(texts) > 1 else None
+    for text in texts:
+        for a, z, before, after in _cores(text, flags):
+            for lead, tail in sides:
+                if lead < len(before) and tail < len(after):
+                    row = (a - lead, z + tail, text[a - lead : z + tail])
+                    if flags[zlib.crc32(row[2].encode()) % FILTER_BITS] & 4 and (seen is None or row not in seen):
+                        if seen is not None:
+                            seen.add(row)
+                        yield row
+
+
 def text_twins(nodes: DataFrame, files: DataFrame) -> DataFrame:
     """``(src, dst, n)``: blocks whose text names a definition in another language, and how often.
 
@@ -143,22 +205,46 @@ def text_twins(nodes: DataFrame, files: DataFrame) -> DataFrame:
     score, then the innermost, then the least id; one that no block of another
     language holds goes to the best such block of its file, the first by id; if the
     file has none it is left out.
+
+    The language of a name is not known where its text is scanned, but only the best
+    block and the best of another language than that one's can be chosen.  So texts
+    and blocks meet by file, and matches leave it as numbers of a name and two blocks.
     """
-    targets = twin_targets(nodes)
-    texts = files.where(~F.lower("file").rlike(SKIPPED))
-    targets = save(targets, "targets")
-    hits = save(occurrences(texts, targets).join(targets, "name").select("file", "begin", "finish", "dst", "dst_lang"), "hits")
-    blocks = nodes.where("begin < finish").select("file", F.col("id").alias("src"), "lang", F.col("begin").alias("a"), F.col("finish").alias("z"), block_score(F.col("kind"), F.col("name")).alias("score"))
-    # A block is listed in every bin that it touches, a match in that of its start.
-    binned = blocks.withColumn("bin", F.explode(F.sequence(F.floor(F.col("a") / BIN), F.floor((F.col("z") - 1) / BIN))))
-    at = hits.withColumn("bin", F.floor(F.col("begin") / BIN))
-    inside = (F.col("begin") >= F.col("a")) & (F.col("finish") <= F.col("z")) & ~F.col("lang").eqNullSafe(F.col("dst_lang"))
-    around = at.join(binned, ["file", "bin"]).where(inside)
-    order = F.min(F.struct((-F.col("score")).alias("s"), (F.col("z") - F.col("a")).alias("w"), "src")).alias("b")
-    key = ["file", "begin", "finish", "dst", "dst_lang"]
-    held = save(around.groupBy(*key).agg(order).select(*key, F.col("b.src").alias("src")), "held")
-    rest = hits.distinct().join(held.select(*key), key, "left_anti")
-    # Of each language of a file only its best block can be chosen.
-    best = nodes.groupBy("file", "lang").agg(F.min(F.struct((-block_score(F.col("kind"), F.col("name"))).alias("s"), F.col("id").alias("src"))).alias("c"))
-    other = rest.join(best, "file").where(~F.col("lang").eqNullSafe(F.col("dst_lang"))).groupBy(*key).agg(F.min("c").alias("c")).select(*key, F.col("c.src").alias("src"))
-    return held.union(other).groupBy("src", "dst").agg(F.count("*").alias("n"))
+    targets = save(twin_targets(nodes), "targets")
+    keyed = save(_keyed(targets), "names")
+    filters = _name_filter(keyed)
+    sides = sorted((r.lead, r.tail) for r in keyed.select("lead", "tail").distinct().collect())  # as many as there are kinds of signs around names
+    texts = files.where(F.col("file").isNotNull() & F.col("source").isNotNull() & ~F.lower("file").rlike(SKIPPED))
+    block = F.struct(block_score(F.col("kind"), F.col("name")).alias("score"), F.col("begin").cast("int").alias("a"), F.col("finish").cast("int").alias("z"), F.col("id").alias("src"), "lang")
+    blocks = nodes.where(~F.lower("file").rlike(SKIPPED)).select("file", block.alias("block"))
+    parts = texts.select("file", "source", F.lit(None).cast(blocks.schema["block"].dataType).alias("block")).union(blocks.select("file", F.lit(None).cast("string"), "block"))
+    whole = parts.groupBy("file").agg(F.collect_list("source").alias("texts"), F.collect_list("block").alias("blocks")).where((F.size("texts") > 0) & (F.size("blocks") > 0))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = _flags(filters)
+        found: tuple[list, ...] = ([], [], [], [], [])
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(f, pa.int64() if k == 4 else pa.string()) for k, f in enumerate(found)], ["name", "src", "lang", "other", "n"])
+            for f in found:
+                f.clear()
+            return made
+
+        for batch in batches:
+            lists = batch.column(1)
+            at, rows = lists.offsets.to_pylist(), list(zip(*(f.to_pylist() for f in lists.values.flatten()), strict=True))
+            for k, own in enumerate(batch.column(0).to_pylist()):
+                of, met = _sources(rows[at[k] : at[k + 1]]), Counter()
+                for begin, finish, name in _named(own, sides, flags):
+                    met[name, *of(begin, finish)] += 1
+                for (name, one, two), n in met.items():
+                    for column, v in zip(found, (name, one[3], one[4], two and two[3], n), strict=True):
+                        column.append(v)
+                if len(found[0]) >= ROWS:
+                    yield out()
+        if found[0]:
+            yield out()
+
+    met = whole.select("texts", "blocks").mapInArrow(scan, "name string, src string, lang string, other string, n long").join(targets, "name")
+    src = F.when(~F.col("lang").eqNullSafe(F.col("dst_lang")), F.col("src")).otherwise(F.col("other"))
+    return met.select(src.alias("src"), "dst", "n").where("src is not null").groupBy("src", "dst").agg(F.sum("n").alias("n"))

@@ -66,3 +66,39 @@ def test_names_that_begin_alike(spark):
     want = collections.Counter({f"common word_{i}": 2 for i in range(n)}) + collections.Counter({"common word_3": 1, "common word_1, common word_2": 2})
     # at the end of the text the dot is the name's own
     assert got == want + collections.Counter({"(common word_3).": 1})
+
+
+def test_matches_are_exchanged_once_and_not_written(spark, monkeypatch):
+    """Any block of another language than the name's may be chosen, for texts of one file together, and no match is written on the way."""
+    r = random.Random(5)
+    names = {"alpha_one": "rust", "beta_two.": "go", "(gamma_x": None, "delta four": "python"}
+    nodes = [(f"t{k}", name, f"lib/{k}", "function_item", lang, 0, 1) for k, (name, lang) in enumerate(names.items())]
+    files = [(f"f{i}", " ".join(r.choice([*names, "(gamma_x)", "beta_two", "word,", "\n"]) for _ in range(80))) for i in range(12)] + [("f0", "alpha_one beta_two."), ("f1", None), (None, "alpha_one")]
+    for i in range(12):
+        for k in range(r.randint(0, 9)):
+            a = r.randint(0, 600)
+            nodes.append((f"b{i}_{k}", "block", f"f{i}", r.choice(["struct_item", "function_item", "call"]), r.choice(["rust", "go", "python", None]), a, a + r.choice([0, 9, 40, 300, 700])))
+    want = collections.Counter()
+    spot = {(f, m.start(), name) for f, text in files for name in names for m in re.finditer(rf"(?<!\w)(?={re.escape(name)}(?!\w))", text or "") if f}
+    score = {"struct_item": 40, "function_item": 50, "call": -20}
+    for f, begin, name in spot:
+        other = [b for b in nodes if b[2] == f and b[4] != names[name]]
+        around = [b for b in other if b[5] < b[6] and b[5] <= begin and begin + len(name) <= b[6]]
+        if around or other:
+            best = min(around, key=lambda b: (-score[b[3]], b[6] - b[5], b[0])) if around else min(other, key=lambda b: (-score[b[3]], b[0]))
+            want[best[0], next(n[0] for n in nodes if n[1] == name)] += 1
+    written, before = [], X.save
+    monkeypatch.setattr(X, "save", lambda df, name: (written.append(name), before(df, name))[1])
+    found = X.text_twins(spark.createDataFrame(nodes, NODES), spark.createDataFrame(files, "file string, source string"))
+    assert {(x.src, x.dst): x.n for x in found.collect()} == dict(want) and len(want) > 30
+    assert written == ["targets", "names"]  # and hits and held, before
+
+
+def test_lines_of_documents_are_made_without_an_exchange(spark, tmp_path):
+    from meshlight import catalogue_index as C
+
+    spark.createDataFrame([(1, "ab\n\nçd\n", "s"), (2, None, "s"), (3, "", "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    nodes, _ = C._doc_blocks(spark, str(tmp_path))
+    lines = sorted((r.id, r.begin, r.finish) for r in nodes.where("name = 'line'").collect())
+    assert lines == [("d:1:0", 0, 2), ("d:1:1", 3, 3), ("d:1:2", 4, 6), ("d:1:3", 7, 7), ("d:3:0", 0, 0)]
+    assert "Exchange" not in nodes._jdf.queryExecution().toString()
