@@ -97,6 +97,24 @@ def top_neighbors(edges: DataFrame, scores: DataFrame, ids: DataFrame, n: int) -
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).select("id", "neighbor", "place")
 
 
+def top_by_degree(arcs: DataFrame, n: int, shown) -> DataFrame:
+    """``(id, neighbor, place)``: ``top_neighbors`` of a graph whose edges all meet a hub, by degree; ``shown`` makes ids of numbers.
+
+    ``arcs(leaf, hub, degree, listed)``: each edge once, with the leaf's degree, null
+    if it is no node, and whether the hub is one.  An edge is exchanged by its hub,
+    which gives the hub's degree and its best leaves, and by its leaf.
+    """
+    at = Window.partitionBy("hub")
+    rows = arcs.withColumn("r", F.dense_rank().over(at.orderBy(F.desc_nulls_last("degree"), shown(F.col("leaf"))))).withColumn("of_hub", F.count("*").over(at))
+    leaf = F.when((F.col("r") <= n) & F.col("degree").isNotNull(), F.struct(F.col("hub").alias("id"), F.col("leaf").alias("neighbor"), F.col("degree").alias("score")))
+    hub = F.when(F.col("listed"), F.struct(F.col("leaf").alias("id"), F.col("hub").alias("neighbor"), F.col("of_hub").alias("score")))
+    rows = rows.select(F.explode(F.filter(F.array(leaf, hub), lambda x: x.isNotNull())).alias("x")).select("x.*")
+    order = Window.partitionBy("id").orderBy(F.desc("score"), shown(F.col("neighbor")))
+    # Edges that name no leaf may be alike.
+    best = rows.withColumn("place", F.dense_rank().over(order)).where(F.col("place") <= n).select("id", "neighbor", "place").distinct()
+    return best.select(shown(F.col("id")).alias("id"), shown(F.col("neighbor")).alias("neighbor"), "place")
+
+
 def neighbor_buckets(rows: DataFrame, seed_file: str) -> DataFrame:
     """``bucket``: noise, same file, or external, in which rows keep their order."""
     return rows.withColumn("bucket", F.when(P.noise_block(F.col("file")), "noise").when(F.col("file") == seed_file, "same_file").otherwise("external"))
