@@ -135,15 +135,16 @@ def enclosing_callable(nodes: DataFrame, sites: DataFrame, *of: str) -> DataFram
 
 
 def ast_ancestor(nodes: DataFrame, ids: DataFrame, most: int = 64) -> DataFrame:
-    """``(id, ancestor, depth)`` along parent_id."""
+    """``(id, ancestor, depth)`` along parent_id; a chain ends after ``most`` parents, as one that meets itself would go on."""
     parent = nodes.where("parent_id is not null").select(F.col("id").alias("at"), "parent_id")
     now = ids.select("id", F.col("id").alias("at"))
     out = None
     for depth in range(1, most + 1):
-        now = now.join(parent, "at").select("id", F.col("parent_id").alias("at"))
+        # Written, or each round would walk all rounds before it again.
+        now = save(now.join(parent, "at").select("id", F.col("parent_id").alias("at")), "ancestors")
         step = now.select("id", F.col("at").alias("ancestor"), F.lit(depth).alias("depth"))
         out = step if out is None else out.union(step)
-        if depth % 4 == 0 and now.isEmpty():
+        if now.isEmpty():
             break
     return out
 

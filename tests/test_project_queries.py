@@ -233,3 +233,13 @@ def test_enclosing_blocks_bring_their_columns(spark, two):
     assert sorted(map(tuple, enclosing_block(nodes, sites, of=("name", "start_line")).collect())) == expected
     plan = C.QUERIES["enclosing_callable"](spark, two)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1  # two before
+
+
+def test_ancestors_are_followed_to_the_top(spark, two, monkeypatch):
+    chain = [(f"n{k}", f"name{k}", f"n{k - 1}" if k else None) for k in range(6)] + [("x", "x", "y"), ("y", "y", "x")]
+    nodes = spark.createDataFrame(chain, "id string, name string, parent_id string")
+    monkeypatch.setattr(C, "parse", lambda files: nodes)
+    found = C.QUERIES["ast_ancestor"](spark, two).collect()
+    want = {(f"name{k}", f"name{j}", k - j) for k in range(6) for j in range(k)}  # depths above 2 were left out
+    assert {tuple(r) for r in found if r.name > "n" and r.name < "o"} == want
+    assert max(r.depth for r in found if r.name in "xy") == 64
