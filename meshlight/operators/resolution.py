@@ -163,9 +163,50 @@ def in_module(file: Column, label: str) -> Column:
     return F.contains(file, F.lit(shared)) & file.rlike(r"(?:\A|/)(?:" + "|".join(map(re.escape, hints)) + r")\z")
 
 
+def _parts(label: str) -> list[str]:
+    return [x for x in label.replace("::", "/").replace(".", "/").split("/") if x] or [""]
+
+
+def in_module_folder(file: Column, label: str) -> Column:
+    """Files below a folder of the module's name."""
+    folder = "/".join(_parts(label)) + "/"
+    return (F.startswith(file, F.lit(folder)) | F.contains(file, F.lit("/" + folder))) if folder != "/" else F.lit(False)
+
+
+def module_kind(kind: Column) -> Column:
+    k = F.lower(kind)
+    return F.contains(k, F.lit("mod_item")) | F.contains(k, F.lit("namespace")) | (k == "module")
+
+
+def may_hold_module(path: Column, source: Column, label: str) -> Column:
+    """Files that may have nodes of ``module_interior``: by their place, or as one may be a block of the module's name."""
+    block = X.of_langs(path, *MODULE_LANGS) & F.contains(source, F.lit(_parts(label)[-1])) & source.rlike(r"\b(?:mod|module|namespace)\b")
+    return in_module(path, label) | in_module_folder(path, label) | block
+
+
+#: Languages that ``extract`` finds module blocks in.
+MODULE_LANGS = [lang for lang, rules in X.RULES.items() if any("mod_item" in kind or "namespace" in kind or kind == "module" for kind, _ in rules)]
+
+
 def module_interior(nodes: DataFrame, label: str) -> DataFrame:
-    """Nodes of the files that a module label may stand for."""
-    return nodes.where(in_module(F.col("file"), label))
+    """Nodes of the files that a module label may stand for, of those in a folder of its name, and of those under a module block of its name, without that block.
+
+    A block of the name stands for the label if it lies inside of the module that the rest of the label names.
+    """
+    nodes = save(nodes, "modules")
+    parts = _parts(label)
+    blocks = nodes.where(module_kind(F.col("kind")) & F.col("name").isin(parts)).select("id", "name")
+    above = ast_ancestor(nodes, nodes.where("parent_id is not null").select("id")).join(blocks.select(F.col("id").alias("ancestor"), "name"), "ancestor")
+    inside = None
+    for n, name in enumerate(parts, 1):
+        own = blocks.where(F.col("name") == name).select("id")
+        if inside is not None:
+            own = own.join(inside, "id", "left_semi")
+        upto = "/".join(parts[:n])
+        under = above.where(F.col("name") == name).join(own.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("id")
+        inside = nodes.where(in_module(F.col("file"), upto) | in_module_folder(F.col("file"), upto)).select("id").union(under)
+    fit = nodes.where((F.col("name") != "") & (T.role_tier(F.col("kind")) > 0))
+    return fit.join(inside, "id", "left_semi").join(own, "id", "left_anti")
 
 
 def may_define(files: DataFrame, name: str) -> DataFrame:
